@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillframe.llm import bpe
+from rillframe.llm import bpe, exact_dedup, mixing, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": secrets.query,
     "op5_bpe_prefix_dp": bpe.query,
+    "op6_source_mix": mixing.query,
+    "op8_token_counts": token_counts.query,
+    "op10_content_sort": exact_dedup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_content_sort": exact_dedup.ORACLE,
+}
