@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillframe.llm import bpe, exact_dedup, minhash, mixing, secrets, token_counts, toxicity
+from rillframe.llm import bpe, exact_dedup, html_content, lattice, minhash, mixing, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": secrets.query,
+    "op3_lattice_near_dup": lattice.query,
     "op4_tensored_minhash": minhash.query,
     "op5_bpe_prefix_dp": bpe.query,
     "op6_source_mix": mixing.query,
+    "op7_html_message_passing": html_content.query,
     "op8_token_counts": token_counts.query,
     "op9_counterfactual_toxicity": toxicity.query,
     "op10_content_sort": exact_dedup.query,
