@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillframe.llm import bpe, exact_dedup, html_content, lattice, minhash, mixing, secrets, token_counts, toxicity
+from rillframe.llm import bpe, exact_dedup, html_content, language_model, lattice, minhash, mixing, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_log_bilinear": language_model.query,
     "op2_secret_scan": secrets.query,
     "op3_lattice_near_dup": lattice.query,
     "op4_tensored_minhash": minhash.query,
