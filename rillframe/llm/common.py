@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words, as a regular-expression class for Java and Python.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -71,7 +72,7 @@ class Scratch:
             remove(self.spark, self.paths.pop(name))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1024) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 1024) -> DataFrame:
     """Applies ``function`` to every Arrow batch, ``rows`` rows at a time at most, which bounds
     what a worker holds beside the batch it has been given."""
 

@@ -187,25 +187,45 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 _workers: dict[str, TokenScores] = {}
 
 
-def score(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE, strength: float = 1.0) -> DataFrame:
+class Scorer:
+    """A fitted model that tasks score texts with."""
+
+    def __init__(self, df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE, strength: float = 1.0):
+        weights, self.bias = fit(*labelled_sample(df, labels, id_column, text, label, folds, fold, sample), strength)
+        self.model = df.sparkSession.sparkContext.broadcast(weights)  # at most as many weights as features
+        self.key = uuid.uuid4().hex
+
+    def __call__(self, many: list[str]) -> np.ndarray:
+        if self.key not in _workers:
+            _workers.clear()
+            _workers[self.key] = TokenScores(self.model.value)
+        of = _workers[self.key].__getitem__
+        odds = np.array([self.bias + sum(map(of, sorted(tokens(t)))) for t in many])
+        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+
+
+def score(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 0, **options) -> DataFrame:
     """Fits the model and returns one row per row: the id, ``held_out``, ``score``, ``predicted``."""
-    weights, bias = fit(*labelled_sample(df, labels, id_column, text, label, folds, fold, sample), strength)
-    model = df.sparkSession.sparkContext.broadcast(weights)  # at most as many weights as features
-    key = uuid.uuid4().hex
+    scorer = Scorer(df, labels, id_column, text, folds=folds, fold=fold, **options)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = TokenScores(model.value)
-        of = _workers[key].__getitem__
-        odds = np.array([bias + sum(map(of, sorted(tokens(t)))) for t in texts(batch)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(odds, -40, 40))), pa.float64())], ["id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(texts(batch)), pa.float64())], ["id", "score"])
 
     rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     out = map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_column), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose score is below ``threshold``."""
+    scorer = Scorer(df, labels, id_column, text, **options)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(scorer(texts(batch, text)) < threshold))
+
+    return map_batches(df, run, df.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: toxicity scores of every row of ``documents``."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
