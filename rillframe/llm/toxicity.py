@@ -88,23 +88,17 @@ def _packed(words: Iterable[str]) -> bytes:
 
 
 class Rows:
-    """Sparse rows of features, a feature counted once for each distinct word that has it."""
-
-    def __init__(self, packed: list[bytes]):
-        parts = [np.frombuffer(x, "<i4") for x in packed]
+    """Sparse rows of the chosen features, a feature counted once for each distinct word that has it."""
+
+    def __init__(self, packed: list[bytes], number: np.ndarray):
+        """``number``: each feature's place among the chosen ones, or -1."""
+        parts = []
+        for x in packed:
+            index = number[np.frombuffer(x, "<i4")]
+            parts.append(index[index >= 0])
         self.n = len(parts)
         self.index = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in parts])
-
-    def document_frequency(self, chosen: np.ndarray) -> np.ndarray:
-        mask = chosen[self.row]
-        pairs = np.unique(self.row[mask].astype(np.int64) * DIMENSIONS + self.index[mask])
-        return np.bincount(pairs % DIMENSIONS, minlength=DIMENSIONS)
-
-    def keep(self, number: np.ndarray) -> None:
-        """Renumbers features; those with a negative number go."""
-        index = number[self.index]
-        self.index, self.row = index[index >= 0], self.row[index >= 0]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in parts])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.index], self.n)
@@ -113,6 +107,13 @@ class Rows:
         return np.bincount(self.index, values[self.row], size)
 
 
+def _document_frequency(packed: Iterable[bytes]) -> np.ndarray:
+    out = np.zeros(DIMENSIONS, np.int32)
+    for x in packed:
+        out[np.unique(np.frombuffer(x, "<i4"))] += 1
+    return out
+
+
 def fit(packed: list[bytes], labels: np.ndarray, swapped: list[bytes | None], strength: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> tuple[dict[int, float], float]:
     """The weights of the chosen features and the bias; the same for the same rows in any order
     that the caller fixes."""
@@ -121,17 +122,14 @@ def fit(packed: list[bytes], labels: np.ndarray, swapped: list[bytes | None], st
     prior = float(np.log((positives + 0.5) / (n - positives + 0.5)))
     if not 0 < positives < n:
         return {}, prior
-    rows = Rows(packed)
-    pos, neg = rows.document_frequency(labels == 1), rows.document_frequency(labels == 0)
+    pos = _document_frequency(x for x, y in zip(packed, labels, strict=True) if y)
+    neg = _document_frequency(x for x, y in zip(packed, labels, strict=True) if not y)
     odds = np.log((pos + 0.5) / (positives + 1)) - np.log((neg + 0.5) / (n - positives + 1))
     chosen = np.flatnonzero(np.abs(odds) >= 3 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
-    number = np.full(DIMENSIONS, -1)
+    number = np.full(DIMENSIONS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     pairs = [k for k, x in enumerate(swapped) if x is not None]
-    other = Rows([swapped[k] for k in pairs])
-    same = Rows([packed[k] for k in pairs])
-    for x in (rows, other, same):
-        x.keep(number)
+    rows, other, same = (Rows(x, number) for x in (packed, [swapped[k] for k in pairs], [packed[k] for k in pairs]))
 
     size = len(chosen)
     weights, bias = np.zeros(size), prior
