@@ -8,10 +8,10 @@ all half keys of one collection differ, so with 12 half keys of 4 minhashes the
 pair is 0.0037 at 0.8 and 0.0003 at 0.85, and less above.
 
 Documents of the same set are one class from the start, linked without comparison. Half keys that
-only one class has can't make a candidate and go first. In each remaining table entry the
-members are compared with one leader on their full sets; twice, with other leaders, so that a
-large group of copies costs a comparison or two a member, not one a pair. Then every pair of an
-entry that isn't connected yet is compared, whatever the number: no candidate is dropped.
+only one class has can't make a candidate and go first. Classes that share keys are gathered in
+blocks of a bounded size, and whatever two blocks have a key in common are compared once, all
+their full sets with each other, by products of membership matrices. So no pair of a large
+group is ever a row, no pair is compared for each table anew, and no candidate is dropped.
 
 Words are cut at blanks and the controls 9 to 13 after lower-casing A-Z. Null and empty texts,
 and texts without words, have an empty set and are linked with nothing; texts of fewer words than
@@ -35,7 +35,7 @@ from rillframe.llm.common import Scratch, map_batches, texts, words
 from rillframe.llm.components import components
 
 SIDE, HALF = 12, 4
-ROUNDS = 2  # of comparisons with leaders
+BLOCK = 100_000  # shingles of a block's sets, about
 _SEED = 20_240_501
 
 
@@ -128,21 +128,49 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
     return map_batches(df, run, "node bigint, set binary", 256)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have ``whole`` times the intersection no less than
-    ``parts`` times the union."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fits = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            fits.append(whole * both >= parts * (len(p) + len(q) - both))
-        return batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint", 128)
+def linked_roots(sets: list[np.ndarray], parts: int, whole: int) -> np.ndarray:
+    """For each set the first one that links between these sets reach."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    pool = np.concatenate(sets)
+    order = np.argsort(pool, kind="stable")
+    pool, owner = pool[order], owner[order]
+    first = np.append(True, pool[1:] != pool[:-1])
+    number = np.cumsum(first) - 1
+    shared = np.bincount(number)[number] > 1  # what one set alone has can't be in an intersection
+    both = np.zeros((len(sets), len(sets)), np.float32)  # exact: whole numbers below 2 to the 24th
+    column = np.cumsum(first & shared)[shared] - 1
+    owner = owner[shared]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        here = slice(*np.searchsorted(column, [at, at + 4096]))
+        member = np.zeros((len(sets), 4096), np.float32)
+        member[owner[here], column[here] - at] = 1
+        both += member @ member.T
+    linked = whole * both.astype(np.int64) >= parts * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    roots = np.arange(len(sets))
+    while True:
+        least = np.where(linked, roots[None, :], len(sets)).min(1)
+        least = np.minimum(least, roots)[np.minimum(least, roots)]
+        if (least == roots).all():
+            return roots
+        roots = least
+
+
+def _compared(parts: int, whole: int):
+    """Links in and between blocks, as a star for each group that they make."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        a: list[int] = []
+        b: list[int] = []
+        for nodes, packed in zip(batch.column("nodes").to_pylist(), batch.column("sets").to_pylist(), strict=True):
+            if len(nodes) > 1:
+                roots = linked_roots([np.frombuffer(x, np.uint64) for x in packed], parts, whole)
+                moved = np.flatnonzero(roots != np.arange(len(nodes)))
+                a += [nodes[k] for k in moved]
+                b += [nodes[k] for k in roots[moved]]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+    return run
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, parts: int = 80, whole: int = 100, side: int = SIDE, half: int = HALF) -> DataFrame:
@@ -160,49 +188,39 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", wi
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["h"], y["place"], y["h"]))))
     entries = alive.select("node", F.explode(tables).alias("key"))
     busy = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
-    entries = scratch.save(entries.join(busy, "key").join(classes.select("node", "n"), "node").select("key", "node", "n"), "entries")
+    entries = scratch.save(entries.join(busy, "key"), "entries")
+
+    # Nodes that share keys get one home, by two steps towards the least key around; a home's
+    # nodes are dealt to blocks of about the same number of shingles.
+    homes = entries.groupBy("node").agg(F.min("key").alias("home"))
+    nearer = entries.join(homes, "node").groupBy("key").agg(F.min("home").alias("home"))
+    homes = entries.join(nearer, "key").groupBy("node").agg(F.min("home").alias("home")).join(classes.select("node", "n"), "node")
+    full = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    placed = homes.join(full, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    placed = scratch.save(placed, "placed")
 
     chosen = entries.select(F.col("node").alias("id")).distinct()
     source = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     found = source.join(chosen, "id", "left_semi").dropDuplicates(["id"])
     sets = scratch.save(full_sets(found.select(F.col("id").alias("node"), "text"), width), "sets")
 
-    fits = whole * F.least("n", "m") >= parts * F.greatest("n", "m")  # else the sizes alone tell
-    roots = entries.select("node").distinct().withColumn("root", F.col("node"))
-    links = tried = None
-    for step in range(ROUNDS + 1):
-        placed = entries.join(roots, "node")
-        split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("o"), "node", "root", "n")).alias("leader")).where("least <> most")
-        if step < ROUNDS:
-            leaders = split.select("key", F.col("leader.node").alias("other"), F.col("leader.root").alias("other_root"), F.col("leader.n").alias("m"))
-            pairs = placed.join(leaders, "key").where((F.col("root") != F.col("other_root")) & fits)
-        else:
-            open_ = placed.join(split.select("key"), "key")
-            other = open_.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
-            pairs = open_.join(other, "key").where((F.col("root") < F.col("other_root")) & fits)
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{step}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = scratch.save(confirmed(pairs, sets, parts, whole), f"links{step}")
-        if step and more.isEmpty():
-            continue
-        links = more if links is None else links.unionByName(more)
-        roots = scratch.save(_rooted(entries, components(links)), f"roots{step}")
-
+    blocks = placed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "set")).alias("m"))
+    blocks = scratch.save(blocks.select("block", F.col("m.node").alias("nodes"), F.col("m.set").alias("sets")), "blocks")
     scratch.drop("sets")
-    rooted = classes.select("class", "node").join(roots, "node", "left").select("class", F.coalesce("root", "node").alias("root"))
+    met = entries.join(placed, "node").select("key", "block").distinct()
+    pairs = met.join(met.withColumnRenamed("block", "other"), "key").where("block < other").select("block", "other").distinct()
+    other = blocks.select(F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("sets").alias("sets_b"))
+    between = pairs.join(blocks, "block").join(other, "other").select(F.concat("nodes", "nodes_b").alias("nodes"), F.concat("sets", "sets_b").alias("sets"))
+    compare = lambda df: map_batches(df, _compared(parts, whole), "a bigint, b bigint", 16)
+    links = scratch.save(compare(blocks.select("nodes", "sets")).unionByName(compare(between)), "links")
+    roots = components(links).withColumnsRenamed({"node": "of_node"})
+
+    rooted = classes.select("class", "node").join(roots, F.col("node") == F.col("of_node"), "left").select("class", F.coalesce("root", "node").alias("root"))
     out = rows.select("id", "n", "class").join(rooted, "class", "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _rooted(entries: DataFrame, found: DataFrame) -> DataFrame:
-    nodes = entries.select("node").distinct()
-    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: near-duplicate groups over every row of ``documents``, by the contract's shingles of
     three words and its threshold of 85 in 100."""
