@@ -231,8 +231,10 @@ def extract(source: str | None, model: Model) -> str:
 def main_texts(df: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
     """One row per page: the id, the address, ``text`` and ``n_chars``."""
     rows = df.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
-    sampled = rows.where("html IS NOT NULL").orderBy(F.xxhash64("id", "url"), "id").limit(sample)  # the bound of what the driver learns from
-    model = train(sorted(r["html"] for r in sampled.select("html").collect()))
+    # The bound of what the driver learns from; the places are found without the pages themselves.
+    drawn = rows.where("html IS NOT NULL").select(F.xxhash64("id", "url").alias("draw")).orderBy("draw").limit(sample).distinct()
+    sampled = rows.select("html", F.xxhash64("id", "url").alias("draw")).join(F.broadcast(drawn), "draw").orderBy("draw", "html").limit(sample)
+    model = train([r["html"] for r in sampled.select("html").collect()])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [extract(x, model) for x in batch.column("html").to_pylist()]
