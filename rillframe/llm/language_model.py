@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from rillframe.llm.common import Scratch, held_out, map_batches, texts, words
 
 VOCABULARY = 1024
-DIMENSIONS = 24
+DIMENSIONS = 16
 CONTEXT = 2
-ROUNDS = 2
+ROUNDS = 1
 FREQUENT = 100_000
-NOISE, MINIBATCH, RATE = 64, 1024, 0.15
+NOISE, MINIBATCH, RATE = 48, 1024, 0.15
 #: Minibatches that a task makes at least in a round, by further passes over a small share.
 LEAST_STEPS = 1000
 #: The token after a text's last word; no word holds a blank.
@@ -154,12 +154,12 @@ def contexts_of(numbers: np.ndarray, starts: np.ndarray, before: int) -> np.ndar
     return out
 
 
-def _scatter(target: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    """Adds the values to the rows of the index, which may repeat."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    cut = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-    target[index[cut]] += np.add.reduceat(values[order], cut, axis=0)
+def _scattered(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """A matrix of ``rows`` rows, with the values of each row of the index, which may repeat, added up."""
+    out = np.empty((values.shape[1], rows), np.float32)
+    for k, column in enumerate(np.ascontiguousarray(values.T)):
+        out[k] = np.bincount(index, column, rows)
+    return out.T
 
 
 def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
@@ -180,18 +180,12 @@ def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, tar
         square += gradient**2
         value += RATE * gradient / np.sqrt(square + 1e-6)
 
-    g = np.zeros_like(model.r)
-    _scatter(g, target, g_true[:, None] * predicted)
-    _scatter(g, noise, g_false.T @ predicted)
-    move("r", g / n)
+    move("r", (_scattered(target, g_true[:, None] * predicted, len(model.r)) + _scattered(noise, g_false.T @ predicted, len(model.r))) / n)
     bias = np.bincount(target, g_true, len(model.b)) + np.bincount(noise, g_false.sum(0), len(model.b))
     move("b", (bias / n).astype(np.float32))
-    g = np.zeros_like(model.q)
-    place = np.zeros_like(model.p)
-    for j, x in enumerate(parts):
-        _scatter(g, contexts[:, j], g_predicted * model.p[j])
-        place[j] = (g_predicted * x).sum(0)
-    move("q", g / n)
+    place = np.stack([(g_predicted * x).sum(0) for x in parts])
+    spread = np.concatenate([g_predicted * model.p[j] for j in range(CONTEXT)])
+    move("q", _scattered(contexts.T.ravel(), spread, len(model.q)) / n)
     move("p", place / n)
 
 
