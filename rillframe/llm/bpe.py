@@ -14,7 +14,6 @@ than the id and the text aren't looked at.
 
 from __future__ import annotations
 
-import functools
 import struct
 from itertools import chain
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from rillframe.llm import pretoken
-from rillframe.llm.common import map_batches, texts
+from rillframe.llm.common import map_batches, texts, worker_state
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Rows that a worker holds at a time between the columns it reads and those it returns.
@@ -72,7 +71,7 @@ class PrefixBPE:
         self._known: dict[tuple[int, int], bool] = {}
         self.pretokens = pretoken.UnitCache(self.encode_pretoken, limit=100_000)
         self.first = pretoken.UnitCache(self._encode_unit, limit=20_000)
-        self.spaced = pretoken.UnitCache(lambda unit: self._encode_unit(" " + unit))
+        self.spaced = pretoken.UnitCache(lambda unit: self._encode_unit(" " + unit), limit=150_000)
 
     def _compatible(self, left: int, right: int, limit: int) -> bool:
         """Whether BPE on both tokens' bytes arrives at just these two tokens.
@@ -107,7 +106,7 @@ class PrefixBPE:
                 pair = (last[begin], token)
                 fits = known.get(pair)
                 if fits is None:
-                    if len(known) > 500_000:
+                    if len(known) > 300_000:
                         known.clear()
                     fits = known[pair] = self._compatible(*pair, 1 << 60)
                 if not fits:
@@ -153,10 +152,9 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.cache
 def worker_bpe(vocabulary: str) -> PrefixBPE:
     """One encoder a worker, kept between tasks."""
-    return PrefixBPE(vocabulary)
+    return worker_state("bpe", vocabulary, lambda: PrefixBPE(vocabulary))
 
 
 def encode(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

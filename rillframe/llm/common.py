@@ -1,75 +1,33 @@
-"""Helpers that the operators of this subpackage share.
-
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``;
-only where that is unset (tests, local mode) is a temporary folder made.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: The white space that separates words, as a regular-expression class for Java and Python.
-WORD_CLASS = r"[^\x20\x09-\x0D]+"
-
-_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder of this session's scratch tables, removed when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillframe-")
-        _roots[app] = f"{base.rstrip('/')}/rillframe-{uuid.uuid4().hex}"
-        atexit.register(_remove_quietly, spark, _roots[app])
-    return _roots[app]
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the JVM may have gone before the interpreter ends
-        return
+from rillframe.plans.scratch import Scratch
 
+__all__ = ["Scratch", "held_out", "map_batches", "texts", "words", "worker_state"]
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder on whatever file system holds it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+_states: dict[str, dict] = {}
 
 
-class Scratch:
-    """Scratch tables that are written, read back and can be dropped early.
-
-    A written table cuts the lineage: a lost executor costs the reading of a file in shared
-    storage, not a new run of all that came before.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = scratch_root(spark)
-        self.paths: dict[str, str] = {}
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` as Parquet and returns the table read back."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        old, self.paths[name] = self.paths.get(name), path
-        if old:
-            remove(self.spark, old)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        if name in self.paths:
-            remove(self.spark, self.paths.pop(name))
+def worker_state(operator: str, key: str, build: Callable[[], object]):
+    """What a Python worker keeps of one operator between batches and tasks. Workers live as long as
+    their executor, so what they keep of another operator goes first."""
+    if operator not in _states:
+        _states.clear()
+        gc.collect()
+        _states[operator] = {}
+    kept = _states[operator]
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 1024) -> DataFrame:
@@ -91,11 +49,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def with_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``text`` as a string that is never null."""
-    return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-
-
 def held_out(id_column: str, folds: int, fold: int):
     """Whether crc32 of the id as text falls into ``fold``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds == fold

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, held_out, map_batches, texts, words
+from rillframe.llm.common import Scratch, held_out, map_batches, texts, words, worker_state
 
 VOCABULARY = 1024
 DIMENSIONS = 16
@@ -64,14 +64,14 @@ class TokenHashes(dict):
         return value
 
 
-_hashes = TokenHashes()
 _END = xxhash.xxh3_64_intdigest(END) - ((xxhash.xxh3_64_intdigest(END) >> 63) << 64)
 
 
 def token_hashes(text: str) -> np.ndarray:
     tokens = words(text)
+    known = worker_state("language model", "words", TokenHashes)
     out = np.empty(len(tokens) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, tokens), np.int64, len(tokens))
+    out[:-1] = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
     out[-1] = _END
     return out
 
@@ -84,7 +84,8 @@ def token_counts(rows: DataFrame) -> DataFrame:
         many = texts(batch)
         for t in many:
             seen.update(words(t))
-        h = np.fromiter(map(_hashes.__getitem__, seen), np.int64, len(seen))
+        known = worker_state("language model", "words", TokenHashes)
+        h = np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))
         return pa.RecordBatch.from_arrays([pa.array(np.append(h, _END)), pa.array(np.append(np.fromiter(seen.values(), np.int64, len(seen)), len(many)))], ["h", "c"])
 
     return map_batches(rows.select("text"), run, "h bigint, c bigint", 4096).groupBy("h").agg(F.sum("c").alias("c"))
@@ -278,9 +279,6 @@ class Scorer:
         return out
 
 
-_workers: dict[str, Scorer] = {}
-
-
 def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 1, size: int = VOCABULARY, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score``, in log10."""
@@ -305,16 +303,14 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
     key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Scorer(shared.value, parameters.value)
+        scorer = worker_state("language model", key, lambda: Scorer(shared.value, parameters.value))
         v = shared.value
         numbers, at, h, starts, lengths = _flat(batch, v)
-        logs = _workers[key].log_probabilities(numbers, contexts_of(numbers, starts, v.words + 1))
+        logs = scorer.log_probabilities(numbers, contexts_of(numbers, starts, v.words + 1))
         other = numbers == v.words
         counted = at >= 0
         base = np.where(counted, np.log(np.append(v.c, 0)[at] + 0.5), 0.0)  # -1 takes the 0 behind the last
-        logs[other] += (base - np.log(v.denominator) - _workers[key].log_rest)[other]
+        logs[other] += (base - np.log(v.denominator) - scorer.log_rest)[other]
         sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (base, logs, counted)]
         rare = ~counted
         owner = np.repeat(np.arange(len(lengths)), lengths)[rare]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, map_batches, texts, words
+from rillframe.llm.common import Scratch, map_batches, texts, words, worker_state
 from rillframe.llm.components import components
 
 SIDE, HALF = 12, 4
@@ -55,9 +55,6 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,7 +66,8 @@ def shingles(text: str, width: int) -> np.ndarray:
     tokens = words(text)
     if not tokens:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    known = worker_state("minhash", "words", WordHashes)
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     n = max(1, len(h) - width + 1)
     used = min(width, len(h))
     out = np.full(n, used, np.uint64)  # shorter sequences can't equal shingles

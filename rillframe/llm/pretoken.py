@@ -29,12 +29,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.cache
 def load_vocabulary(name: str) -> dict:
     with open(vocabulary_path(name), encoding="utf-8") as f:
         return json.load(f)
 
 
+@functools.cache
 def special_tokens(name: str) -> dict[str, int]:
     """The strings that the library takes out of a text before all else, with their ids."""
     return {t["content"]: t["id"] for t in load_vocabulary(name)["added_tokens"]}

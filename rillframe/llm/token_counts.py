@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm import pretoken
-from rillframe.llm.common import map_batches, texts
+from rillframe.llm.common import map_batches, texts, worker_state
 
 VOCABULARY = "byte_bpe_50k.json"
 TABLE_UNITS = 32_768
@@ -101,20 +101,15 @@ def frequent_units(df: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     return {u: len(e.ids) for u, e in zip(units, encoded, strict=True) if not any(s in u for s in specials)}
 
 
-_workers: dict[str, TwoTierCounts] = {}
-
-
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = 512) -> DataFrame:
     """One row per row: the id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``."""
     table = df.sparkSession.sparkContext.broadcast(frequent_units(df, text, vocabulary))
     key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = TwoTierCounts(vocabulary, table.value)
+        counts = worker_state("token counts", key, lambda: TwoTierCounts(vocabulary, table.value))
         many = texts(batch)
-        tokens = _workers[key].count_all(many)
+        tokens = counts.count_all(many)
         columns = [batch.column(0), pa.array([len(t.encode()) for t in many], pa.int64()), pa.array(tokens, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens"])
 

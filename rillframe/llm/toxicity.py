@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import held_out, map_batches, texts
+from rillframe.llm.common import held_out, map_batches, texts, worker_state
 
 DIMENSIONS = 1 << 20
 SAMPLE = 10_000
@@ -151,7 +151,7 @@ def fit(packed: list[bytes], labels: np.ndarray, swapped: list[bytes | None], st
 class TokenScores(dict):
     """The log-odds that a word adds; kept for at most ``limit`` words."""
 
-    def __init__(self, weights: dict[int, float], limit: int = 400_000):
+    def __init__(self, weights: dict[int, float], limit: int = 300_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 
@@ -182,9 +182,6 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     return [bytes(r["features"]) for r in found], np.array([r["label"] >= 0.5 for r in found], float), [None if r["swapped"] is None else bytes(r["swapped"]) for r in found]
 
 
-_workers: dict[str, TokenScores] = {}
-
-
 class Scorer:
     """A fitted model that tasks score texts with."""
 
@@ -194,10 +191,7 @@ class Scorer:
         self.key = uuid.uuid4().hex
 
     def __call__(self, many: list[str]) -> np.ndarray:
-        if self.key not in _workers:
-            _workers.clear()
-            _workers[self.key] = TokenScores(self.model.value)
-        of = _workers[self.key].__getitem__
+        of = worker_state("toxicity", self.key, lambda: TokenScores(self.model.value)).__getitem__
         odds = np.array([self.bias + sum(map(of, sorted(tokens(t)))) for t in many])
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
