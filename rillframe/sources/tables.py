@@ -30,7 +30,8 @@ class Tables:
         reader = self.spark.readStream.schema(schema)
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        df = reader.option("pathGlobFilter", f"{name}*.parquet").option("recursiveFileLookup", "true").parquet(self.folder)
+        # A pattern, for streams take no plain path of a single file.
+        df = reader.parquet(f"{self.folder}/{name}.parque[t]")
         return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
     def sql(self, text: str, **views: DataFrame) -> DataFrame:
