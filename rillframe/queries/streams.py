@@ -16,7 +16,22 @@ from rillframe.streaming.drains import drain, run_to_end, use_rocksdb
 
 R = Registry()
 STAMP = "yyyy-MM-dd HH:mm:ss"
-N, TOTAL = F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")
+
+
+def rows_():
+    return F.count("*").alias("n")
+
+
+def total_():
+    return F.round(F.sum("value"), 4).alias("total")
+
+
+def ids_():
+    return rows_(), F.sum("event_id").alias("ids")
+
+
+def rounded_():
+    return "key", "at", F.round("total", 4).alias("total")
 
 
 def start(column: str = "window.start"):
@@ -27,7 +42,7 @@ HOURLY = "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S')
 
 
 def hourly(events: DataFrame) -> DataFrame:
-    return W.tumbling(events.where("event_type = 'purchase'"), "ts", "1 hour", ["user_id"], N, TOTAL).select(start(), "user_id", "n", "total")
+    return W.tumbling(events.where("event_type = 'purchase'"), "ts", "1 hour", ["user_id"], rows_(), total_()).select(start(), "user_id", "n", "total")
 
 
 def latest(df: DataFrame, *keys: str) -> DataFrame:
@@ -43,32 +58,31 @@ R.add("t04_tumbling_window_stream", lambda t: latest(drain(hourly(t.stream("even
 def watermark(t: Tables) -> DataFrame:
     """Append mode puts out the windows that the watermark has passed."""
     events = W.bounded_out_of_orderness(t.stream("events").select("ts"), "ts", "5 seconds")
-    return drain(W.tumbling(events, "ts", "1 hour", [], N).select(start(), "n")).drop("batch")
+    return drain(W.tumbling(events, "ts", "1 hour", [], rows_()).select(start(), "n")).drop("batch")
 
 
 @R.query("t02_monotonous", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n FROM events GROUP BY 1) WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
 def monotonous(t: Tables) -> DataFrame:
-    return drain(W.tumbling(W.monotonous(t.stream("events").select("ts"), "ts"), "ts", "1 hour", [], N).select(start(), "n")).drop("batch")
+    return drain(W.tumbling(W.monotonous(t.stream("events").select("ts"), "ts"), "ts", "1 hour", [], rows_()).select(start(), "n")).drop("batch")
 
 
 @R.query("t03_event_time_column", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts + INTERVAL 1 HOUR), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1")
 def event_time_column(t: Tables) -> DataFrame:
     shifted = W.with_event_time(t["events"], "rowtime", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    return W.tumbling(shifted, "rowtime", "1 day", [], N).select(start(), "n")
+    return W.tumbling(shifted, "rowtime", "1 day", [], rows_()).select(start(), "n")
 
 
-R.add("t05_sliding_window", lambda t: W.sliding(t["events"], "ts", "6 hours", "2 hours", ["event_type"], N, TOTAL).select(start(), "event_type", "n", "total"), "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS w FROM events) GROUP BY ALL")
-R.add("t05_sliding_without_slide", lambda t: W.sliding(t["events"], "ts", "6 hours", None, [], N).select(start(), "n"), "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1")
+R.add("t05_sliding_window", lambda t: W.sliding(t["events"], "ts", "6 hours", "2 hours", ["event_type"], rows_(), total_()).select(start(), "event_type", "n", "total"), "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS w FROM events) GROUP BY ALL")
+R.add("t05_sliding_without_slide", lambda t: W.sliding(t["events"], "ts", "6 hours", None, [], rows_()).select(start(), "n"), "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1")
 SESSIONS = """WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
     s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
     SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
-R.add("t06_session_window", lambda t: W.session(t["events"], "ts", "4 hours", ["user_id"], N).select(start(), "user_id", "n"), SESSIONS)
-R.add("t07_session_dynamic_gap", lambda t: W.session(t["events"], "ts", F.when(F.col("event_type") == "nothing", "1 hour").otherwise("4 hours"), ["user_id"], N).select(start(), "user_id", "n"), SESSIONS)
-R.add("t08_processing_time_window", lambda t: W.processing_time(t["events"], "1 day", ["event_type"], N).select("event_type", "n"), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+R.add("t06_session_window", lambda t: W.session(t["events"], "ts", "4 hours", ["user_id"], rows_()).select(start(), "user_id", "n"), SESSIONS)
+R.add("t07_session_dynamic_gap", lambda t: W.session(t["events"], "ts", F.when(F.col("event_type") == "nothing", "1 hour").otherwise("4 hours"), ["user_id"], rows_()).select(start(), "user_id", "n"), SESSIONS)
+R.add("t08_processing_time_window", lambda t: W.processing_time(t["events"], "1 day", ["event_type"], rows_()).select("event_type", "n"), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 
 COUNTS = "SELECT user_id AS key, max(event_id) AS at, round(sum(value), 4) AS total FROM (SELECT *, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 5) AS w FROM events) GROUP BY user_id, w HAVING count(*) = 5"
 SLIDES = "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 2 = 0"
-ROUNDED = ("key", "at", F.round("total", 4).alias("total"))
 
 
 def keyed(t: Tables) -> DataFrame:
@@ -76,32 +90,31 @@ def keyed(t: Tables) -> DataFrame:
 
 
 R.add("t09_count_window", lambda t: W.count_tumbling(t["events"], 5, ["user_id"], ["event_id"], F.max("event_id").alias("at"), F.round(F.sum("value"), 4).alias("total")).select(F.col("user_id").alias("key"), "at", "total"), COUNTS)
-R.add("t09_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5), "key bigint, at bigint, total double")).select(*ROUNDED), COUNTS)
+R.add("t09_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5), "key bigint, at bigint, total double")).select(*rounded_()), COUNTS)
 R.add("t10_sliding_count_window", lambda t: W.count_sliding(t["events"], 5, 2, ["user_id"], ["event_id"], total=F.sum("value")).select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.round("total", 4).alias("total")), SLIDES)
-R.add("t10_sliding_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5, 2), "key bigint, at bigint, total double")).select(*ROUNDED), SLIDES)
-R.add("t11_global_window_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 1 << 20, 10), "key bigint, at bigint, total double")).select(*ROUNDED), "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 10 = 0")
-R.add("t12_purging_count_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 1 << 20, 5, purge=True), "key bigint, at bigint, total double")).select(*ROUNDED), COUNTS)
+R.add("t10_sliding_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5, 2), "key bigint, at bigint, total double")).select(*rounded_()), SLIDES)
+R.add("t11_global_window_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 1 << 20, 10), "key bigint, at bigint, total double")).select(*rounded_()), "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 10 = 0")
+R.add("t12_purging_count_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 1 << 20, 5, purge=True), "key bigint, at bigint, total double")).select(*rounded_()), COUNTS)
 R.add("t13_window_function", lambda t: W.tumbling(t["events"], "ts", "1 day", ["user_id"], F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds")).select(start(), "user_id", "kinds"), "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY ALL")
-R.add("t14_windowed_aggregate", lambda t: W.tumbling(t["events"], "ts", "12 hours", ["event_type"], F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 3).alias("mean"), TOTAL).select(start(), "event_type", "least", "most", "mean", "total"), "SELECT strftime(time_bucket(INTERVAL 12 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, min(value) AS least, max(value) AS most, round(avg(value), 3) AS mean, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+R.add("t14_windowed_aggregate", lambda t: W.tumbling(t["events"], "ts", "12 hours", ["event_type"], F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 3).alias("mean"), total_()).select(start(), "event_type", "least", "most", "mean", "total"), "SELECT strftime(time_bucket(INTERVAL 12 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, min(value) AS least, max(value) AS most, round(avg(value), 3) AS mean, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 LATE = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, max(ts) OVER (PARTITION BY event_type ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before - ts > INTERVAL 3 DAY"
-IDS = (F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 def shuffled(events: DataFrame) -> DataFrame:
     return events.withColumn("arrival", (F.col("event_id") % 97) * 10_000_000_000 + F.col("event_id"))
 
 
-R.add("t15_late_side_output", lambda t: W.split_late(shuffled(t["events"]), "ts", "arrival", ["event_type"], 3 * 86_400)[1].agg(*IDS), LATE)
-R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events")), "event_type", S.LateTag("ts", "arrival", 3 * 86_400), "key string, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*IDS), LATE)
-R.add("t16_stream_group_aggregate", lambda t: latest(drain(t.stream("events").groupBy("event_type").agg(N, TOTAL), "update"), "event_type"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+R.add("t15_late_side_output", lambda t: W.split_late(shuffled(t["events"]), "ts", "arrival", ["event_type"], 3 * 86_400)[1].agg(*ids_()), LATE)
+R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events")), "event_type", S.LateTag("ts", "arrival", 3 * 86_400), "key string, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*ids_()), LATE)
+R.add("t16_stream_group_aggregate", lambda t: latest(drain(t.stream("events").groupBy("event_type").agg(rows_(), total_()), "update"), "event_type"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 R.add("t17_stream_distinct", lambda t: drain(t.stream("events").withWatermark("ts", "40 days").select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")).drop("batch"), "SELECT DISTINCT user_id, event_type FROM events")
 RUNNING = "SELECT user_id AS key, event_id AS at, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events"
-R.add("t18_keyed_process", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id"), "key bigint, at bigint, total double")).select(*ROUNDED), RUNNING)
+R.add("t18_keyed_process", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id"), "key bigint, at bigint, total double")).select(*rounded_()), RUNNING)
 R.add("t19_value_state", lambda t: drain(S.process(keyed(t), "user_id", S.KeepLast("ts", "event_id"), "key bigint, id bigint", "update"), "update").groupBy("key").agg(F.max_by("id", "batch").alias("id")), "SELECT user_id AS key, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY 1")
-R.add("t20_list_state", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 3, 1), "key bigint, at bigint, total double")).select(*ROUNDED), "SELECT user_id AS key, event_id AS at, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS total FROM events")
+R.add("t20_list_state", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 3, 1), "key bigint, at bigint, total double")).select(*rounded_()), "SELECT user_id AS key, event_id AS at, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS total FROM events")
 R.add("t21_map_state", lambda t: latest(drain(S.process(keyed(t), "user_id", S.CountsByValue("event_type"), "key bigint, value string, n bigint", "update"), "update"), "key", "value"), "SELECT user_id AS key, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
 R.add("t22_aggregating_state", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id"), "key bigint, at bigint, total double")).groupBy("key").agg(F.max("at").alias("at"), F.round(F.max_by("total", "at"), 4).alias("total")), "SELECT user_id AS key, max(event_id) AS at, round(sum(value), 4) AS total FROM events GROUP BY 1")
-R.add("t23_state_ttl", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id", ttl_ms=86_400_000), "key bigint, at bigint, total double", time_mode="ProcessingTime"), idle_batches=False).select(*ROUNDED), RUNNING)
+R.add("t23_state_ttl", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id", ttl_ms=86_400_000), "key bigint, at bigint, total double", time_mode="ProcessingTime"), idle_batches=False).select(*rounded_()), RUNNING)
 R.add("t25_idle_retention", lambda t: latest(drain(S.process(keyed(t), "user_id", S.CountsByValue("event_type", ttl_ms=int(1.5 * 3_600_000)), "key bigint, value string, n bigint", "update", "ProcessingTime"), "update", idle_batches=False), "key", "value"), "SELECT user_id AS key, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
 
 
@@ -115,7 +128,7 @@ def timers(t: Tables) -> DataFrame:
 @R.query("t26_resume", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def resume(t: Tables) -> DataFrame:
     """A second run on the same checkpoint finds its input used up and its state in place."""
-    stream = lambda: t.stream("events").groupBy("event_type").agg(N, TOTAL)
+    stream = lambda: t.stream("events").groupBy("event_type").agg(rows_(), total_())
     _, out, checkpoint = run_to_end(stream(), "update")
     run_to_end(stream(), "update", checkpoint=checkpoint, out=out)
     return latest(t.spark.read.schema(StructType([*stream().schema.fields, StructField("batch", IntegerType())])).parquet(out), "event_type")
@@ -123,7 +136,7 @@ def resume(t: Tables) -> DataFrame:
 
 @R.query("t28_read_state", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def read_state(t: Tables) -> DataFrame:
-    _, _, checkpoint = run_to_end(t.stream("events").groupBy("event_type").agg(N), "update")
+    _, _, checkpoint = run_to_end(t.stream("events").groupBy("event_type").agg(rows_()), "update")
     return t.spark.read.format("statestore").load(checkpoint).select("key.event_type", F.col("value.count").alias("n"))
 
 
@@ -145,7 +158,7 @@ def tumble_join_tumble(t: Tables) -> DataFrame:
 def metrics(t: Tables) -> DataFrame:
     """Counter, sum and gauge beside a running job, without a pass of their own."""
     seen = Observation("events")
-    t["events"].observe(seen, N, TOTAL, F.max("value").alias("most")).write.format("noop").mode("overwrite").save()
+    t["events"].observe(seen, rows_(), total_(), F.max("value").alias("most")).write.format("noop").mode("overwrite").save()
     got = seen.get
     return t.spark.range(1).select(F.lit(got["n"]).cast("bigint").alias("n"), F.lit(got["total"]).alias("total"), F.lit(got["most"]).alias("most"))
 
@@ -153,7 +166,7 @@ def metrics(t: Tables) -> DataFrame:
 @R.query("t31_job_handle", "SELECT count(*) AS n, false AS active, true AS named FROM events")
 def job_handle(t: Tables) -> DataFrame:
     query, out, _ = run_to_end(t.stream("events").select("event_id"))
-    return t.spark.read.parquet(out).agg(N).select("n", F.lit(query.isActive).alias("active"), F.lit(bool(query.id)).alias("named"))
+    return t.spark.read.parquet(out).agg(rows_()).select("n", F.lit(query.isActive).alias("active"), F.lit(bool(query.id)).alias("named"))
 
 
 @R.query("t12_interval_join_stream", "SELECT a.event_id AS purchase, b.event_id AS seen_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts <= b.ts + INTERVAL 1 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
@@ -171,7 +184,7 @@ def keep_first_stream(t: Tables) -> DataFrame:
 @R.query("w08_stream_order", "SELECT row_number() OVER (ORDER BY n DESC, event_type) AS place, event_type, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def stream_order(t: Tables) -> DataFrame:
     """Complete mode sorts what an aggregation holds; the last batch is the whole result."""
-    ordered = drain(t.stream("events").groupBy("event_type").agg(N).orderBy(F.desc("n"), "event_type"), "complete")
+    ordered = drain(t.stream("events").groupBy("event_type").agg(rows_()).orderBy(F.desc("n"), "event_type"), "complete")
     last = ordered.where(F.col("batch") == ordered.agg(F.max("batch")).first()[0])
     return last.select(F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("bigint").alias("place"), "event_type", "n")
 
