@@ -169,7 +169,7 @@ def job_handle(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).agg(rows_()).select("n", F.lit(query.isActive).alias("active"), F.lit(bool(query.id)).alias("named"))
 
 
-@R.query("t12_interval_join_stream", "SELECT a.event_id AS purchase, b.event_id AS seen_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts <= b.ts + INTERVAL 1 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
+@R.query("j12_interval_join_stream", "SELECT a.event_id AS purchase, b.event_id AS seen_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts <= b.ts + INTERVAL 1 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
 def interval_join_stream(t: Tables) -> DataFrame:
     side = lambda kind, ts, name: t.stream("events").where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(ts), F.col("event_id").alias(name)).withWatermark(ts, "1 day")
     joined = interval_join(side("purchase", "at", "purchase"), side("view", "seen", "seen_id"), "user_id", "at", "seen", "0 SECONDS", "1 DAY")
