@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: flo
     return per.select("source", "s", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def pieces(sizes: DataFrame, plan: DataFrame, block: int = 128) -> DataFrame:
+def pieces(sizes: DataFrame, plan: DataFrame, block: int = 64) -> DataFrame:
     """Which words of which document lie in which block: row, s, block, ``start`` within the
     document and ``n`` words."""
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
@@ -74,23 +74,26 @@ def pieces(sizes: DataFrame, plan: DataFrame, block: int = 128) -> DataFrame:
     return cut.select("row", "s", "block", start.alias("start"), (end - start).alias("n"))
 
 
-def slots(plan: DataFrame, block: int = 128, slots_per_shard: int = 16_384, seed: int = 7) -> DataFrame:
+def slots(plan: DataFrame, block: int = 64, slots_per_shard: int = 16_384, seed: int = 7) -> DataFrame:
     """shard, s, slot (the source's own numbering), ``pass`` and block, for every slot of the mix."""
     whole = Window.partitionBy()
     per = plan.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
     per = per.withColumn("passes", F.floor(F.col("target") / F.col("source_size")))
-    rest = F.round((F.col("target") - F.col("passes") * F.col("source_size")) / block).cast("bigint")
-    per = per.withColumn("slots", F.col("passes") * F.col("blocks") + F.least(rest, F.col("blocks"))).where("slots > 0")
-    per = per.withColumn("shards", F.ceil(F.sum("slots").over(whole) / slots_per_shard)).select("s", "blocks", "slots", "shards")
+    per = per.withColumn("full", F.greatest(F.floor(F.col("source_size") / block), F.lit(1)))
+    rest = F.round((F.col("target") - F.col("passes") * F.col("source_size")) / F.least(F.lit(block), F.col("source_size"))).cast("bigint")
+    per = per.withColumn("slots", F.col("passes") * F.col("blocks") + F.least(rest, F.col("full"))).where("slots > 0")
+    per = per.withColumn("shards", F.ceil(F.sum("slots").over(whole) / slots_per_shard)).select("s", "blocks", "full", "passes", "slots", "shards")
 
     chunk = slots_per_shard  # a source's slots are drawn in chunks, each a row, which are dealt to all tasks
     chunks = per.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {chunk}"))).alias("chunk")).repartition("s", "chunk")
-    draws = chunks.select("s", "blocks", "shards", F.explode(F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("slots")) - 1)).alias("draw"))
-    counts = draws.groupBy("s", "blocks", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "s", "draw"), F.col("shards")).alias("shard")).agg(F.count("*").alias("n"))
+    draws = chunks.select("s", "blocks", "full", "passes", "shards", F.explode(F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("slots")) - 1)).alias("draw"))
+    counts = draws.groupBy("s", "blocks", "full", "passes", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "s", "draw"), F.col("shards")).alias("shard")).agg(F.count("*").alias("n"))
     first = F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")
-    drawn = counts.select("s", "blocks", "shard", "n", first.alias("first")).repartition("s", "shard")
-    numbered = drawn.select("s", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    numbered = numbered.select("*", F.expr("slot div blocks").alias("pass"), F.expr("slot % blocks").alias("index"))
+    drawn = counts.select("s", "blocks", "full", "passes", "shard", "n", first.alias("first")).repartition("s", "shard")
+    numbered = drawn.select("s", "blocks", "full", "passes", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    # A pass that takes a part of the source is over its full blocks alone, so that it takes its due.
+    numbered = numbered.select("shard", "s", "slot", F.expr("least(slot div blocks, passes)").alias("pass"), "blocks", "full", "passes")
+    numbered = numbered.select("shard", "s", "slot", "pass", (F.col("slot") - F.col("pass") * F.col("blocks")).alias("index"), F.when(F.col("pass") < F.col("passes"), F.col("blocks")).otherwise(F.col("full")).alias("blocks"))
     pick = (F.pmod(F.xxhash64(F.lit(seed), F.lit("multiplier"), "s", "pass"), F.lit(len(_PRIMES))) + 1).cast("int")
     multiplier = F.element_at(F.array(*map(F.lit, _PRIMES)), pick)
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "s", "pass"), F.col("blocks"))
@@ -104,7 +107,7 @@ class Mix:
     """A mix of ``df``: ``plan`` (targets by source), ``sizes`` (words by row) and ``placed``
     (the document pieces that each slot of each shard takes)."""
 
-    def __init__(self, df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), ratio: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 7, row: str | None = None):
+    def __init__(self, df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), ratio: float = 1.5, cap: float = 2.0, block: int = 64, seed: int = 7, row: str | None = None):
         if ratio > cap:
             raise ValueError("the sources can't give more than the cap")
         scratch = Scratch(df.sparkSession)

@@ -153,7 +153,7 @@ def test_mixing(docs, odd, nothing):
         sums = defaultdict(int)
         for r in mix.placed.join(mix.sizes.select("row", "source"), "row").groupBy("source").agg(F.sum("n").alias("n")).collect():
             sums[r.source] = r.n
-        assert all(abs(sums[s] - want[s]) <= max(128, slack * want[s]) for s in want)
+        assert all(abs(sums[s] - want[s]) <= max(64, slack * want[s]) for s in want)
     again = Counter(tuple(r) for r in mixing.Mix(docs).taken().collect())
     assert again == Counter(tuple(r) for r in mixing.Mix(docs).taken().collect())
     assert mixing.Mix(nothing).taken().count() == 0
