@@ -186,7 +186,8 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", wi
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["h"], y["place"], y["h"]))))
     entries = alive.select("node", F.explode(tables).alias("key"))
     busy = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
-    entries = scratch.save(entries.join(busy, "key"), "entries")
+    # Merged, never broadcast: entries are many more rows than the shuffle that Spark sizes them by.
+    entries = scratch.save(entries.hint("merge").join(busy, "key"), "entries")
 
     # Nodes that share keys get one home, by two steps towards the least key around; a home's
     # nodes are dealt to blocks of about the same number of shingles.

@@ -114,13 +114,14 @@ class Mix:
         self.sizes = scratch.save(word_sizes(df, id_column, text, source, seed, row=row), "sizes")
         self.plan = scratch.save(targets(self.sizes, weights, ratio, cap).coalesce(1), "plan")
         self.pieces = pieces(self.sizes, self.plan, block)
-        self.placed = slots(self.plan, block, seed=seed).join(self.pieces, ["s", "block"])
+        # Merged, never broadcast: what these joins read grows after the shuffle that Spark sizes it by.
+        self.placed = slots(self.plan, block, seed=seed).hint("merge").join(self.pieces, ["s", "block"])
 
     def taken(self, id_column: str = "doc_id") -> DataFrame:
         """One row per row: its id, size, ``source_size``, ``target`` and the words ``taken``."""
         sums = self.placed.groupBy("row").agg(F.sum("n").alias("taken"))
         plan = self.plan.select(F.col("source").alias("of_source"), "source_size", "target")
-        out = self.sizes.join(plan, F.col("source").eqNullSafe(F.col("of_source"))).join(sums, "row", "left")
+        out = self.sizes.join(plan, F.col("source").eqNullSafe(F.col("of_source"))).join(sums.hint("merge"), "row", "left")
         return out.select(F.col("id").alias(id_column), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
