@@ -189,4 +189,11 @@ def stream_order(t: Tables) -> DataFrame:
     return last.select(F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("bigint").alias("place"), "event_type", "n")
 
 
+@R.query("w08_event_time_order", "SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE ts < (SELECT date_trunc('millisecond', max(ts)) FROM events)")
+def event_time_order(t: Tables) -> DataFrame:
+    """Rows in the order of their times, as far as the watermark has come when the input ends."""
+    rows = keyed(t).select("user_id", "event_id", "ts").withWatermark("ts", "0 seconds")
+    return drain(S.process(rows, "user_id", S.EventTimeSort("ts", "event_id"), "key bigint, id bigint, place bigint", time_mode="EventTime")).drop("batch")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

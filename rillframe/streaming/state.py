@@ -182,3 +182,47 @@ class InactivityTimer(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class EventTimeSort(StatefulProcessor):
+    """A key's rows in the order of their times: held in list state until the watermark has passed
+    them, then put out with their place in the key's order. Event time; needs a watermark."""
+
+    def __init__(self, ts: str, order: str):
+        self.ts, self.order = ts, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts bigint, id bigint")
+        self.done = handle.getValueState("done", "n bigint, due bigint")
+
+    def _hold(self, rows: list[tuple[int, int]], n: int, due: int | None) -> None:
+        """Keeps the rows and has a timer fire once the earliest can go."""
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = min(rows)[0] // 1000 + 1 if rows else -1
+        if rows:
+            self.held.put(rows)
+            self.handle.registerTimer(due)
+        elif self.held.exists():
+            self.held.clear()
+        self.done.update((n, due))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        found = _rows(rows, None)
+        micros = found[self.ts].astype("datetime64[us]").astype("int64")
+        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        n, due = self.done.get() if self.done.exists() else (0, -1)
+        self._hold([*held, *((int(a), int(b)) for a, b in zip(micros, found[self.order], strict=True))], n, due if due >= 0 else None)
+        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "place": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(x) for x in self.held.get()) if self.held.exists() else []
+        n, _ = self.done.get()
+        ready = [x for x in held if x[0] < passed]
+        self._hold([x for x in held if x[0] >= passed], n + len(ready), None)
+        yield pd.DataFrame({"key": [key[0]] * len(ready), "id": [x[1] for x in ready], "place": list(range(n + 1, n + 1 + len(ready)))})
+
+    def close(self) -> None:
+        pass
