@@ -134,6 +134,23 @@ def resume(t: Tables) -> DataFrame:
     return latest(t.spark.read.schema(StructType([*stream().schema.fields, StructField("batch", IntegerType())])).parquet(out), "event_type")
 
 
+@R.query("t27_state_evolution", "SELECT user_id AS key, round(sum(coalesce(value, 0)), 4) AS total, CAST(count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS BIGINT) AS n FROM events GROUP BY 1")
+def state_evolution(t: Tables) -> DataFrame:
+    """A first version runs over half of the rows; a second, with one more field in its state, goes
+    on from its checkpoint over the other half."""
+    events, source = t["events"].select("user_id", "event_id", "value"), fresh_path(t.spark, "halves")
+    t.spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
+    paths: dict[str, str | None] = {"out": None, "checkpoint": None}
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(events.schema).parquet(source)
+        summed = S.process(stream, "user_id", S.EvolvingTotal("value", counted=half == 1), "key bigint, total double, n bigint", "update")
+        _, paths["out"], paths["checkpoint"] = run_to_end(summed, "update", **paths)
+    t.spark.conf.unset("spark.sql.streaming.stateStore.encodingFormat")
+    rows = t.spark.read.schema("key bigint, total double, n bigint, batch int").parquet(paths["out"])
+    return latest(rows, "key").select("key", F.round("total", 4).alias("total"), "n")
+
+
 @R.query("t28_read_state", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def read_state(t: Tables) -> DataFrame:
     _, _, checkpoint = run_to_end(t.stream("events").groupBy("event_type").agg(rows_()), "update")

@@ -184,6 +184,29 @@ class InactivityTimer(StatefulProcessor):
         pass
 
 
+class EvolvingTotal(StatefulProcessor):
+    """A key's sum so far, and from its second version on the number of rows too. The later version
+    reads what the earlier has stored, a missing field as null, where state is encoded as Avro
+    (``spark.sql.streaming.stateStore.encodingFormat``)."""
+
+    def __init__(self, value: str, counted: bool):
+        self.value, self.counted = value, counted
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "total double, n bigint" if self.counted else "total double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        found = _rows(rows, None)
+        old = self.total.get() if self.total.exists() else (0.0, None)
+        total = old[0] + float(found[self.value].fillna(0).sum())
+        n = ((old[1] if len(old) > 1 else None) or 0) + len(found)
+        self.total.update((total, n) if self.counted else (total,))
+        yield pd.DataFrame({"key": [key[0]], "total": [total], "n": [n if self.counted else 0]})
+
+    def close(self) -> None:
+        pass
+
+
 class EventTimeSort(StatefulProcessor):
     """A key's rows in the order of their times: held in list state until the watermark has passed
     them, then put out with their place in the key's order. Event time; needs a watermark."""
