@@ -40,9 +40,9 @@ DIMENSIONS = 16
 CONTEXT = 2
 ROUNDS = 1
 FREQUENT = 100_000
-NOISE, MINIBATCH, RATE = 48, 1024, 0.15
+NOISE, MINIBATCH, RATE = 32, 1024, 0.15
 #: Minibatches that a task makes at least in a round, by further passes over a small share.
-LEAST_STEPS = 1000
+LEAST_STEPS = 1500
 #: The token after a text's last word; no word holds a blank.
 END = b" end"
 
@@ -314,12 +314,15 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
         sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (base, logs, counted)]
         rare = ~counted
         owner = np.repeat(np.arange(len(lengths)), lengths)[rare]
-        pairs, n = np.unique(np.stack([owner, h[rare]], 1), axis=0, return_counts=True)
-        cut = np.searchsorted(pairs[:, 0], np.arange(len(lengths) + 1)) if len(pairs) else np.zeros(len(lengths) + 1, np.int64)
+        order = np.lexsort((h[rare], owner))
+        owner, tokens = owner[order], h[rare][order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1]))[: len(owner)])
+        n = np.diff(np.append(first, len(owner)))
+        cut = np.searchsorted(owner[first], np.arange(len(lengths) + 1))
         offsets = pa.array(cut, pa.int32())
         columns = [
             batch.column("id"), batch.column("held_out"), pa.array(lengths, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
-            pa.ListArray.from_arrays(offsets, pa.array(pairs[:, 1] if len(pairs) else [], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
+            pa.ListArray.from_arrays(offsets, pa.array(tokens[first], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_frequent", "base", "logs", "rare", "times"])
 
