@@ -6,9 +6,11 @@ batch comes in the order of ``order`` where that is given.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +20,8 @@ from rillframe.streaming.drains import use_rocksdb
 def process(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "append", time_mode: str = "None", event_time: str = "") -> DataFrame:
     """Applies a processor to the rows of each key."""
     use_rocksdb(df.sparkSession)
+    # Spark also starts a Python process of its own for processors, which finds no shipped package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return df.groupBy(key).transformWithStateInPandas(processor, schema, mode, time_mode, None, event_time)
 
 
