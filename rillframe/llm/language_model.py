@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from rillframe.llm.common import Scratch, held_out, map_batches, texts, words, worker_state
 
 VOCABULARY = 1024
-DIMENSIONS = 16
+DIMENSIONS = 24
 CONTEXT = 2
-ROUNDS = 1
+ROUNDS = 2
 FREQUENT = 100_000
-NOISE, MINIBATCH, RATE = 32, 1024, 0.15
+NOISE, MINIBATCH, RATE = 64, 1024, 0.15
 #: Minibatches that a task makes at least in a round, by further passes over a small share.
 LEAST_STEPS = 1500
 #: The token after a text's last word; no word holds a blank.

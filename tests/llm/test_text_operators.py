@@ -180,3 +180,7 @@ def test_html_pages(spark, sf_dir):
     empty = spark.createDataFrame([(None, None, None), (1, "u", "")], "page_id bigint, url string, html string")
     assert [(r.text, r.n_chars) for r in html_content.main_texts(empty).collect()] == [("", 0), ("", 0)]
     assert html_content.main_texts(empty.limit(0)).count() == 0
+
+
+def test_language_model_trains_at_full_size():
+    assert (language_model.DIMENSIONS, language_model.NOISE, language_model.ROUNDS) == (24, 64, 2)
