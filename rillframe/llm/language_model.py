@@ -5,7 +5,7 @@ the prediction is the sum of the context words' vectors, each weighted by a vect
 and a word's score is its vector's product with the prediction plus its bias. Its vocabulary are
 the ``VOCABULARY`` - 1 most frequent tokens and one class for all others. It is trained in numpy
 with noise-contrastive estimation against the unigram distribution: every task runs over its own
-share of the training rows, reading every position of every text once over the rounds, and Spark
+share of the training rows, reading every position of every text once a round, and Spark
 averages the tasks' parameters element by element between rounds. What training and counting
 gather thus grows with the corpus, while what the driver holds doesn't.
 
@@ -41,8 +41,6 @@ CONTEXT = 2
 ROUNDS = 2
 FREQUENT = 100_000
 NOISE, MINIBATCH, RATE = 64, 1024, 0.15
-#: Minibatches that a task makes at least in a round, by further passes over a small share.
-LEAST_STEPS = 1500
 #: The token after a text's last word; no word holds a blank.
 END = b" end"
 
@@ -200,45 +198,35 @@ def _flat(batch: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np
     return numbers, at, h, starts, lengths
 
 
-def train_round(rows: DataFrame, vocabulary, table, step: int, rounds: int) -> np.ndarray | None:
-    """Every task trains on its share of the rows from the given parameters; the mean of what
-    they come to. Round ``step`` takes the minibatches of that remainder, so the rounds together
-    read every position once."""
-
-    def run(batches):
-        v = vocabulary.value
-        model = LogBilinear(v.words + 1, DIMENSIONS, v.log_base)
-        model.load(np.frombuffer(table.value, np.float32).reshape(-1, DIMENSIONS).copy())
-        squares = LogBilinear(v.words + 1, DIMENSIONS, v.log_base)
-        squares.load(np.zeros_like(model.table()))
-        draw, log_noise, cumulative = np.random.default_rng(step), v.log_base.astype(np.float32), np.cumsum(v.base)
-        shuffled = np.random.default_rng(17)  # the same order in every round
-        seen = steps = 0
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def learn(numbers: np.ndarray, contexts: np.ndarray, remainder: int) -> int:
+def train_share(batches, v: Vocabulary, start: bytes, step: int) -> tuple[np.ndarray, int]:
+    """The parameters that one pass over a task's share comes to, and its number of positions."""
+    model = LogBilinear(v.words + 1, DIMENSIONS, v.log_base)
+    model.load(np.frombuffer(start, np.float32).reshape(-1, DIMENSIONS).copy())
+    squares = LogBilinear(v.words + 1, DIMENSIONS, v.log_base)
+    squares.load(np.zeros_like(model.table()))
+    draw, log_noise, cumulative = np.random.default_rng(step), v.log_base.astype(np.float32), np.cumsum(v.base)
+    shuffled = np.random.default_rng(17 + step)
+    seen = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            numbers, _, _, starts, _ = _flat(batch.slice(at, 512), v)
+            contexts = contexts_of(numbers, starts, v.words + 1)
+            seen += len(numbers)
             order = shuffled.permutation(len(numbers))
-            parts = range(remainder * MINIBATCH, len(order), rounds * MINIBATCH)
-            for k in parts:
+            for k in range(0, len(order), MINIBATCH):
                 some = order[k : k + MINIBATCH]
                 noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v.words)
                 nce_step(model, squares, contexts[some], numbers[some], noise, log_noise)
-            return len(parts)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                numbers, _, _, starts, _ = _flat(batch.slice(at, 512), v)
-                contexts = contexts_of(numbers, starts, v.words + 1)
-                seen += len(numbers)
-                steps += learn(numbers, contexts, step)
-                if steps < LEAST_STEPS:
-                    kept.append((numbers, contexts))
-        again = 0
-        while kept and steps < LEAST_STEPS and again < 64:  # a small share is read again
-            again += 1
-            steps += sum(learn(numbers, contexts, (step + again) % rounds) for numbers, contexts in kept)
+    return model.table(), seen
+
+
+def train_round(rows: DataFrame, vocabulary, table, step: int) -> np.ndarray | None:
+    """Every task trains on its share of the rows from the given parameters; the mean of what
+    they come to. Each round reads every position once, however many rows a task has."""
+
+    def run(batches):
+        out, seen = train_share(batches, vocabulary.value, table.value, step)
         if seen:
-            out = model.table()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(list(out), pa.list_(pa.float32())), pa.array(np.full(len(out), float(seen)))], ["row", "vector", "weight"])
 
     trained = rows.select("text").mapInArrow(run, "row int, vector array<float>, weight double")
@@ -296,7 +284,7 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
     table: np.ndarray | None = None
     current = LogBilinear(vocabulary.words + 1, DIMENSIONS, vocabulary.log_base).table()
     for step in range(rounds):
-        new = train_round(training, shared, spark.sparkContext.broadcast(current.tobytes()), step, rounds)
+        new = train_round(training, shared, spark.sparkContext.broadcast(current.tobytes()), step)
         if new is not None:
             table = current = new
     parameters = spark.sparkContext.broadcast(None if table is None else table.tobytes())

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -184,3 +185,14 @@ def test_html_pages(spark, sf_dir):
 
 def test_language_model_trains_at_full_size():
     assert (language_model.DIMENSIONS, language_model.NOISE, language_model.ROUNDS) == (24, 64, 2)
+
+
+def test_language_model_reads_shares_of_all_sizes_once(monkeypatch):
+    v = language_model.Vocabulary(np.arange(4), np.array([50, 30, 20, 5], np.int64), 105, 4, 4)
+    start = language_model.LogBilinear(v.words + 1, language_model.DIMENSIONS, v.log_base).table().tobytes()
+    read = []
+    monkeypatch.setattr(language_model, "nce_step", lambda model, squares, contexts, target, *rest: read.append(len(target)))
+    for n in (1, 700, 3000):
+        read.clear()
+        _, seen = language_model.train_share([pa.RecordBatch.from_pydict({"text": ["a b c"] * n})], v, start, 1)
+        assert sum(read) == seen == 4 * n
