@@ -2,16 +2,20 @@
 
 Words of the training rows are counted exactly. The model predicts a word from the two before it:
 the prediction is the sum of the context words' vectors, each weighted by a vector of its place,
-and a word's score is its vector's product with the prediction plus its bias. Its vocabulary are
-the ``VOCABULARY`` - 1 most frequent tokens and one class for all others. It is trained in numpy
-with noise-contrastive estimation against the unigram distribution: every task runs over its own
+and a word's score is its vector's product with the prediction plus its bias. Its vocabulary grows
+with the corpus: every token that occurs ``LEAST`` times, up to ``VOCABULARY`` vectors (which bounds
+a worker's and the driver's memory), and ``CLASSES`` classes by frequency, with vectors too, for all
+others. Vectors are put into groups of about the same share of all tokens, which have vectors of
+their own: a word's probability is that of its group times its own within the group, so that a
+score costs about twice the root of the vocabulary. Both are trained in numpy with
+noise-contrastive estimation against the unigram distribution: every task runs over its own
 share of the training rows, reading every position of every text once a round, and Spark
 averages the tasks' parameters element by element between rounds. What training and counting
 gather thus grows with the corpus, while what the driver holds doesn't.
 
-Scores are normalised: for each context that occurs, a batched matrix product with all word
-vectors gives the scores of the whole vocabulary, whose log sum each worker keeps per context. A
-word of the remaining class gets the class's probability times its own unigram share of the class.
+Scores are normalised, over the groups and within the group of each word; nothing is kept from one
+batch to the next. A word of a frequency class gets the class's probability times its own unigram
+share of the class; tokens beyond the broadcast table are the last class.
 Counts of frequent tokens reach the scorers by a broadcast of ``FREQUENT`` entries at most; the
 other tokens of each text, by their 64-bit hashes, are joined with the counts.
 
@@ -35,12 +39,15 @@ from pyspark.sql import functions as F
 
 from rillframe.llm.common import Scratch, held_out, map_batches, texts, words, worker_state
 
-VOCABULARY = 1024
+#: Words and classes that have vectors, at most; a word occurs ``LEAST`` times at least.
+VOCABULARY, CLASSES, LEAST = 65_536, 16, 10
 DIMENSIONS = 24
 CONTEXT = 2
 ROUNDS = 2
 FREQUENT = 100_000
 NOISE, MINIBATCH, RATE = 64, 1024, 0.15
+#: Parameter rows that are averaged as one value.
+PART = 1024
 #: The token after a text's last word; no word holds a blank.
 END = b" end"
 
@@ -92,47 +99,62 @@ def token_counts(rows: DataFrame) -> DataFrame:
 class Vocabulary:
     """Frequent tokens, the most frequent first, and the base distribution over all tokens."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int, size: int):
+    def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int, size: int, classes: int = 1, least: int = 0):
         order = np.argsort(h)
-        self.h, self.c, self.rank = h[order], c[order], order.astype(np.int32)
+        self.h, self.c = h[order], c[order]
         self.total, self.distinct = total, distinct
         self.denominator = total + 0.5 * (distinct + 1)
-        self.words = min(size - 1, len(h))
-        base = np.append((c[: self.words] + 0.5) / self.denominator, 0.0)
-        base[-1] = max(1e-12, 1 - base.sum())  # all tokens that have no place of their own
-        self.base = base
-        self.log_base = np.log(base)
+        self.words = min(max(size - classes, 0), int((c >= least).sum()))
+        self.units = self.words + classes
+        share = (c + 0.5) / self.denominator
+        # Tokens without a vector of their own: classes of about the same share, the last for those not in ``h``.
+        tail = share[self.words :]
+        before = np.cumsum(tail) - tail
+        number = np.arange(len(c))
+        inner = max(classes - 1, 1)
+        number[self.words :] = self.words + np.minimum((before / max(tail.sum(), 1e-300) * inner).astype(np.int64), inner - 1)
+        self.unit = number[order].astype(np.int32)
+        base = np.bincount(number, share, self.units)
+        base[-1] = max(0.0, 1 - (base[:-1].sum() if classes > 1 else share[: self.words].sum()))
+        self.base = np.maximum(base, 1e-12)
+        self.log_base = np.log(self.base)
+        # Groups of about the same share, the most frequent words first.
+        wanted = int(np.ceil(np.sqrt(self.units)))
+        start = np.cumsum(self.base) - self.base
+        self.group = np.unique(np.minimum((start / self.base.sum() * wanted).astype(np.int64), wanted - 1), return_inverse=True)[1].astype(np.int32)
+        self.groups = int(self.group[-1]) + 1
+        self.first = np.searchsorted(self.group, np.arange(self.groups + 1))  # groups are runs of units
+        self.group_base = np.bincount(self.group, self.base, self.groups)
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its number in the model's vocabulary and its place among the frequent
-        tokens, or -1."""
+        """For each token the number of its vector and its place among the frequent tokens, or -1."""
         if not len(self.h):
-            return np.full(len(tokens), self.words, np.int32), np.full(len(tokens), -1)
+            return np.full(len(tokens), self.units - 1, np.int32), np.full(len(tokens), -1)
         at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
         at = np.where(self.h[at] == tokens, at, -1)
-        rank = np.where(at >= 0, self.rank[at], self.words)
-        return np.minimum(rank, self.words).astype(np.int32), at
+        return np.where(at >= 0, self.unit[at], self.units - 1).astype(np.int32), at
 
 
 class LogBilinear:
-    """Parameters: context vectors Q, word vectors R, biases, and a weight vector for each place."""
+    """Parameters: context vectors Q, word vectors R and biases, groups behind the units, and a
+    weight vector for each place."""
 
-    def __init__(self, size: int, dimensions: int, bias: np.ndarray):
+    def __init__(self, v: Vocabulary, dimensions: int):
         draw = np.random.default_rng(3)
-        self.q = (draw.standard_normal((size + 1, dimensions)) * 0.1).astype(np.float32)  # the last: before the text
-        self.r = (draw.standard_normal((size, dimensions)) * 0.1).astype(np.float32)
-        self.b = bias.astype(np.float32)
+        self.q = (draw.standard_normal((v.units + 1, dimensions)) * 0.1).astype(np.float32)  # the last: before the text
+        self.r = (draw.standard_normal((v.units + v.groups, dimensions)) * 0.1).astype(np.float32)
+        self.b = np.log(np.append(v.base, v.group_base)).astype(np.float32)
         self.p = np.ones((CONTEXT, dimensions), np.float32)
 
     def table(self) -> np.ndarray:
-        """All parameters as one matrix, a row for each averaged vector."""
-        bias = np.zeros((len(self.b), self.r.shape[1]), np.float32)
-        bias[:, 0] = self.b
+        """All parameters as one matrix, the biases side by side in rows."""
+        width = self.r.shape[1]
+        bias = np.append(self.b, np.zeros(-len(self.b) % width, np.float32)).reshape(-1, width)
         return np.concatenate([self.q, self.r, bias, self.p])
 
     def load(self, table: np.ndarray) -> None:
-        n = len(self.b)
-        self.q, self.r, self.b, self.p = table[: n + 1], table[n + 1 : 2 * n + 1], np.ascontiguousarray(table[2 * n + 1 : 3 * n + 1, 0]), table[3 * n + 1 :]
+        q, r, b, self.p = np.split(table, np.cumsum([len(self.q), len(self.r), -(-len(self.b) // self.r.shape[1])]))
+        self.q, self.r, self.b = q, r, b.ravel()[: len(self.b)]
 
     def predict(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.q[contexts[:, k]] * self.p[k] for k in range(CONTEXT))
@@ -161,31 +183,39 @@ def _scattered(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return out.T
 
 
-def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
-    """One step: each true word is told from ``len(noise)`` noise words that the minibatch shares."""
-    k = np.log(len(noise))
+def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, heads: list[tuple[np.ndarray, np.ndarray]], log_noise: np.ndarray) -> None:
+    """One step. Each head has the true rows of R and noise rows that the minibatch shares; a true
+    word, and its group, is told from ``len(noise)`` others. Only rows that occur are moved."""
     parts = [model.q[contexts[:, j]] for j in range(CONTEXT)]
     predicted = sum(x * model.p[j] for j, x in enumerate(parts))
-    r_true, r_noise = model.r[target], model.r[noise]
-    true = (predicted * r_true).sum(1) + model.b[target] - k - log_noise[target]
-    false = predicted @ r_noise.T + model.b[noise] - k - log_noise[noise]
-    g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-    g_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-    g_predicted = g_true[:, None] * r_true + g_false @ r_noise
-    n = len(target)
-
-    def move(name: str, gradient: np.ndarray) -> None:
+    n = len(predicted)
+    g_predicted = np.zeros_like(predicted)
+    index, of_r, of_b = [], [], []
+    for target, noise in heads:
+        k = np.log(len(noise))
+        r_true, r_noise = model.r[target], model.r[noise]
+        true = (predicted * r_true).sum(1) + model.b[target] - k - log_noise[target]
+        false = predicted @ r_noise.T + model.b[noise] - k - log_noise[noise]
+        g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
+        g_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        g_predicted += g_true[:, None] * r_true + g_false @ r_noise
+        index += [target, noise]
+        of_r += [g_true[:, None] * predicted, g_false.T @ predicted]
+        of_b += [g_true, g_false.sum(0)]
+
+    def move(name: str, rows, gradient: np.ndarray) -> None:
         value, square = getattr(model, name), getattr(squares, name)
-        square += gradient**2
-        value += RATE * gradient / np.sqrt(square + 1e-6)
+        gradient = (gradient / n).astype(np.float32)
+        square[rows] += gradient**2
+        value[rows] += RATE * gradient / np.sqrt(square[rows] + 1e-6)
 
-    move("r", (_scattered(target, g_true[:, None] * predicted, len(model.r)) + _scattered(noise, g_false.T @ predicted, len(model.r))) / n)
-    bias = np.bincount(target, g_true, len(model.b)) + np.bincount(noise, g_false.sum(0), len(model.b))
-    move("b", (bias / n).astype(np.float32))
+    rows, at = np.unique(np.concatenate(index), return_inverse=True)
+    move("r", rows, _scattered(at, np.concatenate(of_r), len(rows)))
+    move("b", rows, np.bincount(at, np.concatenate(of_b), len(rows)))
     place = np.stack([(g_predicted * x).sum(0) for x in parts])
-    spread = np.concatenate([g_predicted * model.p[j] for j in range(CONTEXT)])
-    move("q", _scattered(contexts.T.ravel(), spread, len(model.q)) / n)
-    move("p", place / n)
+    rows, at = np.unique(contexts.T.ravel(), return_inverse=True)
+    move("q", rows, _scattered(at, np.concatenate([g_predicted * model.p[j] for j in range(CONTEXT)]), len(rows)))
+    move("p", slice(None), place)
 
 
 def _flat(batch: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -200,23 +230,26 @@ def _flat(batch: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np
 
 def train_share(batches, v: Vocabulary, start: bytes, step: int) -> tuple[np.ndarray, int]:
     """The parameters that one pass over a task's share comes to, and its number of positions."""
-    model = LogBilinear(v.words + 1, DIMENSIONS, v.log_base)
+    model = LogBilinear(v, DIMENSIONS)
     model.load(np.frombuffer(start, np.float32).reshape(-1, DIMENSIONS).copy())
-    squares = LogBilinear(v.words + 1, DIMENSIONS, v.log_base)
+    squares = LogBilinear(v, DIMENSIONS)
     squares.load(np.zeros_like(model.table()))
-    draw, log_noise, cumulative = np.random.default_rng(step), v.log_base.astype(np.float32), np.cumsum(v.base)
+    draw, log_noise = np.random.default_rng(step), np.log(np.append(v.base, v.group_base)).astype(np.float32)
+    cumulative, of_groups = np.cumsum(v.base), np.cumsum(v.group_base)
     shuffled = np.random.default_rng(17 + step)
     seen = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             numbers, _, _, starts, _ = _flat(batch.slice(at, 512), v)
-            contexts = contexts_of(numbers, starts, v.words + 1)
+            contexts = contexts_of(numbers, starts, v.units)
             seen += len(numbers)
             order = shuffled.permutation(len(numbers))
             for k in range(0, len(order), MINIBATCH):
                 some = order[k : k + MINIBATCH]
-                noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v.words)
-                nce_step(model, squares, contexts[some], numbers[some], noise, log_noise)
+                noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v.units - 1)
+                others = np.minimum(np.searchsorted(of_groups, draw.random(NOISE)), v.groups - 1)
+                heads = [(numbers[some], noise), (v.units + v.group[numbers[some]], v.units + others)]
+                nce_step(model, squares, contexts[some], heads, log_noise)
     return model.table(), seen
 
 
@@ -227,43 +260,68 @@ def train_round(rows: DataFrame, vocabulary, table, step: int) -> np.ndarray | N
     def run(batches):
         out, seen = train_share(batches, vocabulary.value, table.value, step)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(list(out), pa.list_(pa.float32())), pa.array(np.full(len(out), float(seen)))], ["row", "vector", "weight"])
-
-    trained = rows.select("text").mapInArrow(run, "row int, vector array<float>, weight double")
-    sums = [F.sum(F.col("vector")[k] * F.col("weight")).alias(f"v{k}") for k in range(DIMENSIONS)]
-    mean = trained.groupBy("row").agg(F.sum("weight").alias("weight"), *sums).orderBy("row").collect()  # one row per parameter vector
-    if not mean:
+            parts = [out[k : k + PART] for k in range(0, len(out), PART)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.full(len(parts), float(seen)))], ["part", "vectors", "weight"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        weights: dict[int, float] = {}
+        for batch in batches:
+            for part, packed, weight in zip(batch["part"].to_pylist(), batch["vectors"].to_pylist(), batch["weight"].to_pylist(), strict=True):
+                vectors = np.frombuffer(packed, np.float32).astype(np.float64) * weight
+                sums[part] = sums[part] + vectors if part in sums else vectors
+                weights[part] = weights.get(part, 0.0) + weight
+        packed = [(x / weights[k]).astype(np.float32).tobytes() for k, x in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["part", "vectors"])
+
+    trained = rows.select("text").mapInArrow(run, "part int, vectors binary, weight double")
+    mean = trained.repartition("part").mapInArrow(add, "part int, vectors binary").orderBy("part").toArrow()
+    if not mean.num_rows:
         return None
-    return np.array([[r[f"v{k}"] / r["weight"] for k in range(DIMENSIONS)] for r in mean], np.float32)
+    return np.frombuffer(b"".join(mean["vectors"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(1)
+    scores -= top[:, None]
+    return top + np.log(np.exp(scores, out=scores).sum(1))
 
 
 class Scorer:
-    """Normalised log probabilities; the log sum over the vocabulary is kept for each context."""
+    """Normalised log probabilities: of the word's group, and of the word within the group."""
 
     def __init__(self, vocabulary: Vocabulary, table: bytes | None):
         self.v = vocabulary
-        n = vocabulary.words + 1
-        self.model = LogBilinear(n, DIMENSIONS, vocabulary.log_base)
+        self.model = LogBilinear(vocabulary, DIMENSIONS)
         if table is not None:
             self.model.load(np.frombuffer(table, np.float32).reshape(-1, DIMENSIONS))
         else:
             self.model.q[:] = 0  # nothing learnt: the base
-        self.sums = np.full((n + 1) ** CONTEXT, np.nan, np.float32)
-        self.log_rest = float(vocabulary.log_base[-1])
 
     def log_probabilities(self, numbers: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        width = self.v.words + 2
-        code = contexts[:, 0].astype(np.int64) * width + contexts[:, 1]
-        new = np.unique(code[np.isnan(self.sums[code])])
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            scores = self.model.predict(np.stack([some // width, some % width], 1)) @ self.model.r.T + self.model.b
-            top = scores.max(1)
-            self.sums[some] = top + np.log(np.exp(scores - top[:, None]).sum(1))
         out = np.empty(len(numbers))
         for k in range(0, len(numbers), 65_536):
-            s = slice(k, k + 65_536)
-            out[s] = (self.model.predict(contexts[s]) * self.model.r[numbers[s]]).sum(1) + self.model.b[numbers[s]] - self.sums[code[s]]
+            out[k : k + 65_536] = self._some(numbers[k : k + 65_536], contexts[k : k + 65_536])
+        return out
+
+    def _some(self, numbers: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        v, r, b = self.v, self.model.r, self.model.b
+        group = v.group[numbers]
+        code, same = np.unique(contexts[:, 0].astype(np.int64) * (v.units + 1) + contexts[:, 1], return_inverse=True)
+        distinct = self.model.predict(np.stack([code // (v.units + 1), code % (v.units + 1)], 1))
+        sums = np.concatenate([_log_sums(distinct[k : k + 4096] @ r[v.units :].T + b[v.units :]) for k in range(0, len(code), 4096)])
+        predicted = distinct[same]
+        out = (predicted * r[v.units + group]).sum(1) + b[v.units + group] - sums[same]
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(v.groups + 1))
+        for g in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.first) > 1)):  # a word alone is certain
+            inside = slice(v.first[g], v.first[g + 1])
+            step = max(1, (1 << 21) // (v.first[g + 1] - v.first[g]))
+            for k in range(ends[g], ends[g + 1], step):
+                at = order[k : min(k + step, ends[g + 1])]
+                scores = predicted[at] @ r[inside].T + b[inside]
+                out[at] += scores[np.arange(len(at)), numbers[at] - v.first[g]]
+                out[at] -= _log_sums(scores)
         return out
 
 
@@ -278,11 +336,11 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
     counts = scratch.save(token_counts(training), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()  # the bound of the broadcast
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(total["n"]), int(total["v"]), size)
+    vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(total["n"]), int(total["v"]), size, CLASSES, LEAST)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     table: np.ndarray | None = None
-    current = LogBilinear(vocabulary.words + 1, DIMENSIONS, vocabulary.log_base).table()
+    current = LogBilinear(vocabulary, DIMENSIONS).table()
     for step in range(rounds):
         new = train_round(training, shared, spark.sparkContext.broadcast(current.tobytes()), step)
         if new is not None:
@@ -294,11 +352,11 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
         scorer = worker_state("language model", key, lambda: Scorer(shared.value, parameters.value))
         v = shared.value
         numbers, at, h, starts, lengths = _flat(batch, v)
-        logs = scorer.log_probabilities(numbers, contexts_of(numbers, starts, v.words + 1))
-        other = numbers == v.words
+        logs = scorer.log_probabilities(numbers, contexts_of(numbers, starts, v.units))
+        other = numbers >= v.words
         counted = at >= 0
         base = np.where(counted, np.log(np.append(v.c, 0)[at] + 0.5), 0.0)  # -1 takes the 0 behind the last
-        logs[other] += (base - np.log(v.denominator) - scorer.log_rest)[other]
+        logs[other] += (base - np.log(v.denominator) - v.log_base[numbers])[other]
         sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (base, logs, counted)]
         rare = ~counted
         owner = np.repeat(np.arange(len(lengths)), lengths)[rare]

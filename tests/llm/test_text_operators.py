@@ -189,10 +189,22 @@ def test_language_model_trains_at_full_size():
 
 def test_language_model_reads_shares_of_all_sizes_once(monkeypatch):
     v = language_model.Vocabulary(np.arange(4), np.array([50, 30, 20, 5], np.int64), 105, 4, 4)
-    start = language_model.LogBilinear(v.words + 1, language_model.DIMENSIONS, v.log_base).table().tobytes()
+    start = language_model.LogBilinear(v, language_model.DIMENSIONS).table().tobytes()
     read = []
-    monkeypatch.setattr(language_model, "nce_step", lambda model, squares, contexts, target, *rest: read.append(len(target)))
+    monkeypatch.setattr(language_model, "nce_step", lambda model, squares, contexts, *rest: read.append(len(contexts)))
     for n in (1, 700, 3000):
         read.clear()
         _, seen = language_model.train_share([pa.RecordBatch.from_pydict({"text": ["a b c"] * n})], v, start, 1)
         assert sum(read) == seen == 4 * n
+
+
+def test_language_model_vocabulary_grows():
+    h = np.arange(6000)
+    c = np.sort(np.random.default_rng(1).zipf(1.3, 6000).clip(max=10**6))[::-1]
+    v = language_model.Vocabulary(h, c, int(c.sum()) + 500, 6500, language_model.VOCABULARY, language_model.CLASSES, 2)
+    assert v.words == (c >= 2).sum() > 1023
+    assert len(np.unique(v.find(h[v.words :])[0])) > 1 and v.find(np.array([7000]))[0][0] == v.units - 1
+    scorer = language_model.Scorer(v, None)
+    scorer.model.q += np.random.default_rng(0).standard_normal(scorer.model.q.shape).astype(np.float32)
+    logs = scorer.log_probabilities(np.arange(v.units, dtype=np.int32), np.repeat(np.array([[3, 2000]], np.int32), v.units, 0))
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
