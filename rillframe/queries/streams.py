@@ -93,8 +93,8 @@ R.add("t09_count_window", lambda t: W.count_tumbling(t["events"], 5, ["user_id"]
 R.add("t09_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5), "key bigint, at bigint, total double")).select(*rounded_()), COUNTS)
 R.add("t10_sliding_count_window", lambda t: W.count_sliding(t["events"], 5, 2, ["user_id"], ["event_id"], total=F.sum("value")).select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.round("total", 4).alias("total")), SLIDES)
 R.add("t10_sliding_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5, 2), "key bigint, at bigint, total double")).select(*rounded_()), SLIDES)
-R.add("t11_global_window_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 1 << 20, 10), "key bigint, at bigint, total double")).select(*rounded_()), "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 10 = 0")
-R.add("t12_purging_count_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 1 << 20, 5, purge=True), "key bigint, at bigint, total double")).select(*rounded_()), COUNTS)
+R.add("t11_global_window_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountTrigger("value", "event_id", 10), "key bigint, at bigint, total double")).select(*rounded_()), "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 10 = 0")
+R.add("t12_purging_count_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5, 5, purge=True), "key bigint, at bigint, total double")).select(*rounded_()), COUNTS)
 R.add("t13_window_function", lambda t: W.tumbling(t["events"], "ts", "1 day", ["user_id"], F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds")).select(start(), "user_id", "kinds"), "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY ALL")
 R.add("t14_windowed_aggregate", lambda t: W.tumbling(t["events"], "ts", "12 hours", ["event_type"], F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 3).alias("mean"), total_()).select(start(), "event_type", "least", "most", "mean", "total"), "SELECT strftime(time_bucket(INTERVAL 12 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, min(value) AS least, max(value) AS most, round(avg(value), 3) AS mean, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 LATE = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, max(ts) OVER (PARTITION BY event_type ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before - ts > INTERVAL 3 DAY"

@@ -90,6 +90,30 @@ class CountWindow(StatefulProcessor):
         pass
 
 
+class CountTrigger(StatefulProcessor):
+    """The sum over all values of a key so far, after every ``every`` of them: a global window with
+    a count trigger. State is the sum and the number of rows, however many rows a key has."""
+
+    def __init__(self, value: str, order: str, every: int):
+        self.value, self.order, self.every = value, order, every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.so_far = handle.getValueState("so_far", "total double, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        found = _rows(rows, self.order)
+        if not len(found):
+            return
+        total, n = self.so_far.get() if self.so_far.exists() else (0.0, 0)
+        sums = total + found[self.value].fillna(0).cumsum()
+        fires = (n + 1 + pd.RangeIndex(len(found))) % self.every == 0
+        self.so_far.update((float(sums.iloc[-1]), n + len(found)))
+        yield pd.DataFrame({"key": key[0], "at": found[self.order][fires], "total": sums[fires]})
+
+    def close(self) -> None:
+        pass
+
+
 class CountsByValue(StatefulProcessor):
     """How often each value of a column has come for a key; map state, in update mode."""
 
