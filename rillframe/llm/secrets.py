@@ -39,6 +39,7 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # greedy, so the same as whole runs of 32 or more
+_ANY_HEX = re.compile(r"(?:0[xX])?((?:[0-9A-Fa-f]{2})+)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]+)-----END \1-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
@@ -137,6 +138,7 @@ def is_jwt(header: str, payload: str) -> bool:
 
 
 def _armoured(body: str) -> bool:
+    body = re.sub(r"(?:\\r)?\\n|\\r", "\n", body)  # line ends as JSON and .env files write them
     lines = [x for x in body.split("\n") if ":" not in x]
     data = decode_base64(re.sub(r"\s+", "", "".join(lines)))
     return data is not None and (is_der(data) or is_ssh(data))
@@ -159,8 +161,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             found += (("jwt", *m.span()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2]))
         for m in _RUN.finditer(text):
             data = decode_base64(m[0])
-            if _HEX.fullmatch(m[0]) and len(m[0]) % 2 == 0 and not (data and (is_der(data) or is_ssh(data))):
-                data = bytes.fromhex(m[0])
+            digits = _ANY_HEX.fullmatch(m[0])
+            if digits and not (data and (is_der(data) or is_ssh(data))):
+                data = bytes.fromhex(digits[1])
             if data:
                 found += ((kind, *m.span()) for kind, fits in (("der", is_der), ("ssh", is_ssh)) if fits(data))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

@@ -208,3 +208,13 @@ def test_language_model_vocabulary_grows():
     scorer.model.q += np.random.default_rng(0).standard_normal(scorer.model.q.shape).astype(np.float32)
     logs = scorer.log_probabilities(np.arange(v.units, dtype=np.int32), np.repeat(np.array([[3, 2000]], np.int32), v.units, 0))
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_secrets_in_other_encodings():
+    der = bytes([0x30, 22, 0x02, 1, 1, 0x04, 17]) + bytes(range(17))
+    kinds = lambda t: {k for k, _, _ in secrets.scan(t)}
+    for run in (der.hex(), der.hex().upper(), "0x" + der.hex(), "0X" + der.hex().upper(), der.hex()[:20] + der.hex()[20:].upper()):
+        assert "der" in kinds(run), run
+    body = base64.b64encode(der * 1).decode()
+    for end in ("\n", r"\n", r"\r\n"):
+        assert "pem" in kinds(end.join(["-----BEGIN PRIVATE KEY-----", body[:16], body[16:], "-----END PRIVATE KEY-----"])), end
