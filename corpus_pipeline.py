@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes all rows that the stage before has kept and calls one operator of
-``rillframe.llm``; between stages the rows are written as Parquet and read again. Ids tell
-documents apart: rows that repeat an id stand or fall together. Null texts count as empty, and
+``rillframe.llm``; between stages the rows are written as Parquet and read again. Each
+stage that joins its decisions back first gives every row a number in a scratch table, so repeated
+rows, repeated ids and null ids are rows of their own. Null texts count as empty, and
 columns beyond those of ``documents`` pass through the filtering stages.
 """
 
@@ -19,9 +20,15 @@ from rillframe.llm.common import Scratch
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+ROW = "pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return Scratch(docs.sparkSession).save(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    kept = decided.where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(decided.where("kept").select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +38,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the smallest id."""
-    return _only(docs, exact_dedup.sort_groups(docs))
+    docs = _numbered(docs)
+    return _only(docs, exact_dedup.sort_groups(docs, row=ROW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five words a shingle, similarity 0.8."""
-    return _only(docs, minhash.near_groups(docs, width=5, parts=80, whole=100))
+    """Of each group of near-duplicates the smallest id stays: five words a shingle, similarity 0.8."""
+    docs = _numbered(docs)
+    near = minhash.near_groups(docs.withColumn("doc_id", F.col(ROW)), width=5, parts=80, whole=100)
+    ids = near.select(F.col("doc_id").alias(ROW), "component_id").join(docs.select(ROW, "doc_id"), ROW)
+    first = ids.groupBy("component_id").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW))
+    return _only(docs, first.withColumn("kept", F.lit(True)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their targets; a document comes as often as it is taken from."""
-    mixed = mixing.mixed_documents(docs)
+    mixed = mixing.mixed_documents(_numbered(docs), row=ROW).drop(ROW)
     return mixed.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else mixed
 
 

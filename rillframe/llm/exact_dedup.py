@@ -42,7 +42,6 @@ def normalised(column):
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers runs of equal texts in one sorted partition; holds the rows of one run, without text."""
     part = TaskContext.get().partitionId()
-    names = ["id", "n_chars", "sha"]
     held: pa.Table | None = None  # the run that may go on
     last: pa.Scalar | None = None  # its text
     first_run = True
@@ -56,7 +55,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge[-1] |= edges[1]
         best = rows.take(pa.array(heads[run]))
         columns = [rows["id"], best["id"], best["n_chars"], pa.array(sizes[run]), rows["sha"], pa.array(edge[run]), pa.array(starts.astype(bool)), pa.array(np.full(len(run), part, np.int32))]
-        return pa.Table.from_arrays(columns, ["id", "keep", "keep_chars", "size", "sha", "edge", "head", "part"]).combine_chunks().to_batches()
+        carried = [x for x in rows.column_names if x == "row"]
+        return pa.Table.from_arrays([*columns, *(rows[x] for x in carried)], ["id", "keep", "keep_chars", "size", "sha", "edge", "head", "part", *carried]).combine_chunks().to_batches()
 
     for batch in batches:
         if not batch.num_rows:
@@ -66,6 +66,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts[1:] = ~pc.equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
         if last is not None:
             starts[0] = last.as_py() != norm[0].as_py()
+        names = [x for x in batch.schema.names if x != "norm"]
         rows = pa.Table.from_batches([batch.select(names)])
         if held is not None:
             rows = pa.concat_tables([held, rows])
@@ -80,15 +81,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(held, np.arange(held.num_rows) == 0, (True, True))
 
 
-def sort_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
+def sort_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``, and the
+    column ``row`` where one is named."""
     scratch = Scratch(df.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_column).alias("id"), F.length(body).alias("n_chars"), normalised(body).alias("norm"))
+    rows = df.select(F.col(id_column).alias("id"), F.length(body).alias("n_chars"), normalised(body).alias("norm"), *([F.col(row).alias("row")] if row else []))
     rows = rows.select("*", F.substring("norm", 1, PREFIX).alias("prefix"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     ordered = rows.repartitionByRange("prefix", "sha", "id").sortWithinPartitions("prefix", "sha", F.desc("n_chars"), F.asc_nulls_first("id"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = ordered.select("id", "n_chars", "sha", "norm").mapInArrow(_runs, f"id {kind}, keep {kind}, keep_chars int, size bigint, sha string, edge boolean, head boolean, part int")
+    carried = ["row"] if row else []
+    own = f", row {rows.schema['row'].dataType.simpleString()}" if row else ""
+    found = ordered.select("id", "n_chars", "sha", "norm", *carried).mapInArrow(_runs, f"id {kind}, keep {kind}, keep_chars int, size bigint, sha string, edge boolean, head boolean, part int{own}")
     found = scratch.save(found, "runs")
     # Two rows a partition at most, which is what bounds the broadcast.
     edges = found.where("edge AND head").groupBy("sha").agg(F.min(F.struct(-F.col("keep_chars"), F.col("keep"), F.col("part"))).alias("best"), F.sum("size").alias("all_size"))
@@ -101,6 +105,7 @@ def sort_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         F.coalesce("all_size", "size").alias("group_size"),
         (F.col("head") & (~merged | ((F.col("part") == F.col("all_part")) & F.col("keep").eqNullSafe(F.col("all_keep"))))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row").alias(row)] if row else []),
     )
 
 

@@ -125,14 +125,15 @@ class Mix:
         return out.select(F.col("id").alias(id_column), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, **options) -> DataFrame:
     """The mix as rows of ``df``: for each pass over a document from which words are taken a row
     with these words as its text, a blank between them, or the text itself where all are taken.
-    Ids must tell rows apart; a row with a null id isn't taken."""
-    mix = Mix(df, id_column, text, source, row=id_column, **options)
+    ``row`` is a column that tells rows apart; without it ids must, and a row with a null id isn't taken."""
+    row = row or id_column
+    mix = Mix(df, id_column, text, source, row=row, **options)
     taken = mix.placed.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("parts"), F.sum("n").alias("taken"))
     taken = taken.join(mix.sizes.select("row", "size"), "row").select(F.col("row").alias("of_row"), "parts", (F.col("taken") >= F.col("size")).alias("all"))
-    rows = df.join(taken, F.col(id_column) == F.col("of_row"))
+    rows = df.join(taken, F.col(row) == F.col("of_row"))
     tokens = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(tokens, p["start"].cast("int") + 1, p["n"].cast("int")))), " ")
     return rows.withColumn(text, F.when(F.col("all"), F.col(text)).otherwise(some)).select(*df.columns)

@@ -195,3 +195,16 @@ def test_pipeline(spark, sf_dir):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0)], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf_dir).count() >= 0
+
+
+def test_pipeline_tells_repeated_rows_apart(spark, sf_dir):
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, text, "en", "a", 1)] * 3 + [(None, text.replace("w", "v"), "en", "a", 1)] * 2 + [(2, text.replace("w5 ", "changed "), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    once = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert Counter(r.doc_id for r in once.collect()) == {1: 1, None: 1, 2: 1}
+    near = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert len(near.collect()) == 2 and near.columns == docs.columns
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()
+    total = sum(len(r.text.split()) for r in mixed)
+    assert abs(total - 1.5 * 1200) <= 64 and {r.doc_id for r in mixed} == {1, None, 2}
