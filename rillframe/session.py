@@ -33,11 +33,13 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session.
 
     Functions that run in Python workers are pickled by reference, so the workers must be able to
-    import the package, wherever the driver has found it.
+    import the package, wherever the driver has found it. Matrix products in a worker keep to the one
+    core of its task: threads of their own would take cores from other tasks, mostly to wait.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    context.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     root = Path(__file__).resolve().parent
     target = os.path.join(tempfile.mkdtemp(prefix="rillframe-"), "rillframe.zip")
     with zipfile.ZipFile(target, "w") as z:
