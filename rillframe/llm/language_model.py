@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,63 +46,36 @@ DIMENSIONS = 24
 CONTEXT = 2
 ROUNDS = 2
 FREQUENT = 100_000
-NOISE, MINIBATCH, RATE = 64, 1024, 0.15
-#: Parameter rows that are averaged as one value.
-PART = 1024
+NOISE, MINIBATCH, RATE, DAMPING = 64, 4096, 0.05, 1e-8
+#: A word's vector, its bias, and a blank that makes the width even.
+WIDTH = DIMENSIONS + 2
+#: Parameters that are averaged as one value.
+PART = 2048
+#: Tokens of the training rows that a task gets at least where tables are small.
+SHARE = 2_000_000
+#: Positions that are shuffled into minibatches at a time.
+PIECE = 1 << 17
+#: Distinct tokens that a counting task holds before it hands them on.
+HELD = 400_000
 #: The token after a text's last word; no word holds a blank.
 END = b" end"
 
 
-class TokenHashes(dict):
-    """Signed 64-bit hashes of tokens, kept for at most ``limit`` tokens."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, token: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(token)
-        value -= (value >> 63) << 64
-        if len(self) >= self.limit:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = value
-        return value
+def token_hash(token: bytes) -> int:
+    """A signed 64-bit hash that is never among the first numbers, which stand for frequent tokens."""
+    value = xxhash.xxh3_64_intdigest(token)
+    value -= (value >> 63) << 64
+    return value + (1 << 40) if 0 <= value < 1 << 20 else value
 
 
-_END = xxhash.xxh3_64_intdigest(END) - ((xxhash.xxh3_64_intdigest(END) >> 63) << 64)
-
-
-def token_hashes(text: str) -> np.ndarray:
-    tokens = words(text)
-    known = worker_state("language model", "words", TokenHashes)
-    out = np.empty(len(tokens) + 1, np.int64)
-    out[:-1] = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-    out[-1] = _END
-    return out
-
-
-def token_counts(rows: DataFrame) -> DataFrame:
-    """(h, c): the hash of each distinct token of ``text`` and how often it occurs."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter[bytes] = Counter()
-        many = texts(batch)
-        for t in many:
-            seen.update(words(t))
-        known = worker_state("language model", "words", TokenHashes)
-        h = np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))
-        return pa.RecordBatch.from_arrays([pa.array(np.append(h, _END)), pa.array(np.append(np.fromiter(seen.values(), np.int64, len(seen)), len(many)))], ["h", "c"])
-
-    return map_batches(rows.select("text"), run, "h bigint, c bigint", 4096).groupBy("h").agg(F.sum("c").alias("c"))
+_END = token_hash(END)
 
 
 class Vocabulary:
     """Frequent tokens, the most frequent first, and the base distribution over all tokens."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int, size: int, classes: int = 1, least: int = 0):
-        order = np.argsort(h)
-        self.h, self.c = h[order], c[order]
+        self.h, self.c = h, c
         self.total, self.distinct = total, distinct
         self.denominator = total + 0.5 * (distinct + 1)
         self.words = min(max(size - classes, 0), int((c >= least).sum()))
@@ -113,7 +87,7 @@ class Vocabulary:
         number = np.arange(len(c))
         inner = max(classes - 1, 1)
         number[self.words :] = self.words + np.minimum((before / max(tail.sum(), 1e-300) * inner).astype(np.int64), inner - 1)
-        self.unit = number[order].astype(np.int32)
+        self.unit = np.append(number, self.units - 1).astype(np.uint16)  # the last for tokens not in ``h``, at place -1
         base = np.bincount(number, share, self.units)
         base[-1] = max(0.0, 1 - (base[:-1].sum() if classes > 1 else share[: self.words].sum()))
         self.base = np.maximum(base, 1e-12)
@@ -126,38 +100,96 @@ class Vocabulary:
         self.first = np.searchsorted(self.group, np.arange(self.groups + 1))  # groups are runs of units
         self.group_base = np.bincount(self.group, self.base, self.groups)
 
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the number of its vector and its place among the frequent tokens, or -1."""
-        if not len(self.h):
-            return np.full(len(tokens), self.units - 1, np.int32), np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
-        at = np.where(self.h[at] == tokens, at, -1)
-        return np.where(at >= 0, self.unit[at], self.units - 1).astype(np.int32), at
+
+class TokenPlaces(dict):
+    """A token's place among the frequent ones, or its hash where it has none; kept for at most
+    ``limit`` tokens."""
+
+    def __init__(self, frequent: np.ndarray, limit: int = 300_000):
+        super().__init__()
+        self.frequent, self.limit = {x: k for k, x in enumerate(frequent.tolist())}, limit
+
+    def __missing__(self, token: bytes) -> int:
+        value = token_hash(token)
+        value = self.frequent.get(value, value)
+        if len(self) >= self.limit:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = value
+        return value
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(h, c): the hash of each distinct token of ``text`` and how often it occurs."""
+
+    def handed(seen: Counter, ends: int) -> pa.RecordBatch:
+        h = np.fromiter(map(token_hash, seen), np.int64, len(seen))
+        c = np.fromiter(seen.values(), np.int64, len(seen))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(h, _END)), pa.array(np.append(c, ends))], ["h", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        ends = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                many = texts(batch.slice(at, 512))
+                ends += len(many)
+                for t in many:
+                    seen.update(words(t))
+                if len(seen) > HELD:
+                    yield handed(seen, ends)
+                    seen, ends = Counter(), 0
+        if ends:
+            yield handed(seen, ends)
+
+    return rows.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent tokens, ``most`` of them at most, the most frequent
+    first. Where the line lies is found from the numbers of tokens by their count (in steps of a
+    hundredth part above a thousand), so that the driver gets no more than it keeps."""
+    step = F.when(F.col("c") < 1024, F.col("c")).otherwise(1024 + F.floor(F.log2(F.col("c") / 1024) * 64)).cast("int")
+    sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 30, 0
+    for line, n in sizes:
+        if held + n > most:
+            break
+        least, held = line, held + n
+    top = counts.where(step >= least).toArrow()
+    h, c = top["h"].to_numpy(), top["c"].to_numpy()
+    order = np.lexsort((h, -c))
+    return h[order], c[order]
 
 
 class LogBilinear:
-    """Parameters: context vectors Q, word vectors R and biases, groups behind the units, and a
-    weight vector for each place."""
+    """Parameters: context vectors ``q``, the last for the place before a text; ``w``, vectors and
+    biases of the units and behind them of the groups; and a weight vector ``p`` for each place of
+    the context."""
 
-    def __init__(self, v: Vocabulary, dimensions: int):
+    def __init__(self, v: Vocabulary):
         draw = np.random.default_rng(3)
-        self.q = (draw.standard_normal((v.units + 1, dimensions)) * 0.1).astype(np.float32)  # the last: before the text
-        self.r = (draw.standard_normal((v.units + v.groups, dimensions)) * 0.1).astype(np.float32)
-        self.b = np.log(np.append(v.base, v.group_base)).astype(np.float32)
-        self.p = np.ones((CONTEXT, dimensions), np.float32)
+        self.q = (draw.standard_normal((v.units + 1, DIMENSIONS)) * 0.1).astype(np.float32)
+        self.w = np.zeros((v.units + v.groups, WIDTH), np.float32)
+        self.w[:, :DIMENSIONS] = draw.standard_normal((v.units + v.groups, DIMENSIONS)) * 0.1
+        self.w[:, DIMENSIONS] = np.log(np.append(v.base, v.group_base))
+        self.p = np.ones((CONTEXT, DIMENSIONS), np.float32)
 
-    def table(self) -> np.ndarray:
-        """All parameters as one matrix, the biases side by side in rows."""
-        width = self.r.shape[1]
-        bias = np.append(self.b, np.zeros(-len(self.b) % width, np.float32)).reshape(-1, width)
-        return np.concatenate([self.q, self.r, bias, self.p])
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.q.ravel(), self.w.ravel(), self.p.ravel()])
 
-    def load(self, table: np.ndarray) -> None:
-        q, r, b, self.p = np.split(table, np.cumsum([len(self.q), len(self.r), -(-len(self.b) // self.r.shape[1])]))
-        self.q, self.r, self.b = q, r, b.ravel()[: len(self.b)]
+    def load(self, flat: np.ndarray) -> LogBilinear:
+        q, w, p = np.split(flat, np.cumsum([self.q.size, self.w.size]))
+        self.q, self.w, self.p = q.reshape(self.q.shape), w.reshape(self.w.shape), p.reshape(self.p.shape)
+        return self
 
     def predict(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.q[contexts[:, k]] * self.p[k] for k in range(CONTEXT))
+        """The predicted vectors, with a one for the bias and a zero for the blank."""
+        out = np.zeros((len(contexts), WIDTH), np.float32)
+        out[:, DIMENSIONS] = 1
+        for k in range(CONTEXT):
+            out[:, :DIMENSIONS] += self.q[contexts[:, k]] * self.p[k]
+        return out
 
 
 def contexts_of(numbers: np.ndarray, starts: np.ndarray, before: int) -> np.ndarray:
@@ -175,213 +207,256 @@ def contexts_of(numbers: np.ndarray, starts: np.ndarray, before: int) -> np.ndar
     return out
 
 
-def _scattered(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """A matrix of ``rows`` rows, with the values of each row of the index, which may repeat, added up."""
-    out = np.empty((values.shape[1], rows), np.float32)
-    for k, column in enumerate(np.ascontiguousarray(values.T)):
-        out[k] = np.bincount(index, column, rows)
-    return out.T
-
-
-def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, heads: list[tuple[np.ndarray, np.ndarray]], log_noise: np.ndarray) -> None:
-    """One step. Each head has the true rows of R and noise rows that the minibatch shares; a true
-    word, and its group, is told from ``len(noise)`` others. Only rows that occur are moved."""
-    parts = [model.q[contexts[:, j]] for j in range(CONTEXT)]
-    predicted = sum(x * model.p[j] for j, x in enumerate(parts))
-    n = len(predicted)
-    g_predicted = np.zeros_like(predicted)
-    index, of_r, of_b = [], [], []
-    for target, noise in heads:
-        k = np.log(len(noise))
-        r_true, r_noise = model.r[target], model.r[noise]
-        true = (predicted * r_true).sum(1) + model.b[target] - k - log_noise[target]
-        false = predicted @ r_noise.T + model.b[noise] - k - log_noise[noise]
-        g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        g_predicted += g_true[:, None] * r_true + g_false @ r_noise
-        index += [target, noise]
-        of_r += [g_true[:, None] * predicted, g_false.T @ predicted]
-        of_b += [g_true, g_false.sum(0)]
-
-    def move(name: str, rows, gradient: np.ndarray) -> None:
-        value, square = getattr(model, name), getattr(squares, name)
-        gradient = (gradient / n).astype(np.float32)
-        square[rows] += gradient**2
-        value[rows] += RATE * gradient / np.sqrt(square[rows] + 1e-6)
-
-    rows, at = np.unique(np.concatenate(index), return_inverse=True)
-    move("r", rows, _scattered(at, np.concatenate(of_r), len(rows)))
-    move("b", rows, np.bincount(at, np.concatenate(of_b), len(rows)))
-    place = np.stack([(g_predicted * x).sum(0) for x in parts])
-    rows, at = np.unique(contexts.T.ravel(), return_inverse=True)
-    move("q", rows, _scattered(at, np.concatenate([g_predicted * model.p[j] for j in range(CONTEXT)]), len(rows)))
-    move("p", slice(None), place)
-
-
-def _flat(batch: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Numbers, frequent places and hashes of all tokens of a batch, where texts start, and lengths."""
-    parts = [token_hashes(t) for t in texts(batch)]
-    lengths = [len(x) for x in parts]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    h = np.concatenate(parts)
-    numbers, at = vocabulary.find(h)
-    return numbers, at, h, starts, lengths
-
-
-def train_share(batches, v: Vocabulary, start: bytes, step: int) -> tuple[np.ndarray, int]:
+class Adder:
+    """Adds up rows that go to the same place, for places below ``size``."""
+
+    def __init__(self, size: int):
+        self.at = np.empty(size, np.int32)
+
+    def __call__(self, index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct places and the sum of the values of each."""
+        number = np.arange(len(index), dtype=np.int32)
+        self.at[index] = number
+        places = index[self.at[index] == number]  # the last of each place
+        self.at[places] = number[: len(places)]
+        pairs = values.shape[1] // 2  # two floats are added at a time, as one complex number
+        out = np.zeros(len(places) * pairs, np.complex64)
+        at = self.at[index].astype(np.intp) * pairs
+        np.add.at(out, (at[:, None] + np.arange(pairs)).ravel(), values.view(np.complex64).ravel())
+        return places, out.view(np.float32).reshape(len(places), -1)
+
+
+def _move(value: np.ndarray, square: np.ndarray, places, gradient: np.ndarray) -> None:
+    """A step along the gradient, shorter for numbers that have moved much."""
+    sums = square[places] + gradient * gradient
+    square[places] = sums
+    gradient *= np.float32(RATE)
+    gradient /= np.sqrt(sums + np.float32(DAMPING))
+    value[places] += gradient
+
+
+def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, heads: list[np.ndarray], noise: np.ndarray, shift: np.ndarray, add_q: Adder, add_w: Adder) -> None:
+    """One step. ``heads`` are the rows of ``w`` of the true words and of their groups, ``noise``
+    those of noise words and noise groups, which the minibatch shares: each true word is told from
+    the former, its group from the latter. ``shift`` is each row's log expected number among the
+    noise. Only rows that occur are moved."""
+    size = np.float32(1 / len(contexts))
+    parts = [model.q[contexts[:, k]] for k in range(CONTEXT)]
+    x = np.zeros((len(contexts), WIDTH), np.float32)
+    x[:, DIMENSIONS] = 1
+    for k, part in enumerate(parts):
+        x[:, :DIMENSIONS] += part * model.p[k]
+    others = model.w[noise]
+    turned = -others
+    turned[:, DIMENSIONS] += shift[noise]
+    with np.errstate(over="ignore"):  # the quotient is then the zero that it should be
+        false = np.exp(x @ turned.T)
+        false += 1
+        np.divide(-size, false, out=false)
+        back = false @ others
+        index, gradients = [noise], [false.T @ x]
+        for true in heads:
+            rows = model.w[true]
+            g = size / (1 + np.exp(np.einsum("ij,ij->i", x, rows) - shift[true]))[:, None]
+            index.append(true)
+            gradients.append(g * x)
+            back += g * rows
+    _move(model.w, squares.w, *add_w(np.concatenate(index), np.concatenate(gradients)))
+    back = np.ascontiguousarray(back[:, :DIMENSIONS])
+    places = np.stack([np.einsum("ij,ij->j", back, part) for part in parts])
+    _move(model.q, squares.q, *add_q(contexts.T.ravel(), np.concatenate([back * model.p[k] for k in range(CONTEXT)])))
+    _move(model.p, squares.p, slice(None), places)
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The unit numbers of all texts of a batch, and where texts start."""
+    packed = batch.column("numbers").to_pylist()
+    lengths = np.array([len(x) for x in packed], np.int64) // 2
+    return np.frombuffer(b"".join(packed), "<u2"), np.cumsum(lengths) - lengths
+
+
+def train_share(batches: Iterable[pa.RecordBatch], v: Vocabulary, start: bytes, step: int) -> tuple[np.ndarray, int]:
     """The parameters that one pass over a task's share comes to, and its number of positions."""
-    model = LogBilinear(v, DIMENSIONS)
-    model.load(np.frombuffer(start, np.float32).reshape(-1, DIMENSIONS).copy())
-    squares = LogBilinear(v, DIMENSIONS)
-    squares.load(np.zeros_like(model.table()))
-    draw, log_noise = np.random.default_rng(step), np.log(np.append(v.base, v.group_base)).astype(np.float32)
+    model = LogBilinear(v).load(np.frombuffer(start, np.float32).copy())
+    squares = LogBilinear(v)
+    squares.load(np.zeros_like(squares.flat()))
+    add_q, add_w = Adder(len(model.q)), Adder(len(model.w))
+    draw, shuffled = np.random.default_rng(step), np.random.default_rng(17 + step)
+    shift = np.log(NOISE * np.append(v.base, v.group_base)).astype(np.float32)
     cumulative, of_groups = np.cumsum(v.base), np.cumsum(v.group_base)
-    shuffled = np.random.default_rng(17 + step)
     seen = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            numbers, _, _, starts, _ = _flat(batch.slice(at, 512), v)
+            numbers, starts = _numbers(batch.slice(at, 512))
             contexts = contexts_of(numbers, starts, v.units)
             seen += len(numbers)
-            order = shuffled.permutation(len(numbers))
-            for k in range(0, len(order), MINIBATCH):
-                some = order[k : k + MINIBATCH]
-                noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v.units - 1)
-                others = np.minimum(np.searchsorted(of_groups, draw.random(NOISE)), v.groups - 1)
-                heads = [(numbers[some], noise), (v.units + v.group[numbers[some]], v.units + others)]
-                nce_step(model, squares, contexts[some], heads, log_noise)
-    return model.table(), seen
-
-
-def train_round(rows: DataFrame, vocabulary, table, step: int) -> np.ndarray | None:
+            for k in range(0, len(numbers), PIECE):
+                order = k + shuffled.permutation(min(PIECE, len(numbers) - k))
+                words, before = numbers[order].astype(np.int32), contexts[order]
+                groups = v.units + v.group[words]
+                for j in range(0, len(order), MINIBATCH):
+                    here = slice(j, j + MINIBATCH)
+                    noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v.units - 1)
+                    others = v.units + np.minimum(np.searchsorted(of_groups, draw.random(NOISE)), v.groups - 1)
+                    nce_step(model, squares, before[here], [words[here], groups[here]], np.concatenate([noise, others]).astype(np.int32), shift, add_q, add_w)
+    return model.flat(), seen
+
+
+def train_round(coded: DataFrame, vocabulary, parameters, step: int) -> np.ndarray | None:
     """Every task trains on its share of the rows from the given parameters; the mean of what
     they come to. Each round reads every position once, however many rows a task has."""
 
-    def run(batches):
-        out, seen = train_share(batches, vocabulary.value, table.value, step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = train_share(batches, vocabulary.value, parameters.value, step)
         if seen:
-            parts = [out[k : k + PART] for k in range(0, len(out), PART)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.full(len(parts), float(seen)))], ["part", "vectors", "weight"])
+            parts = [out[k : k + PART].tobytes() for k in range(0, len(out), PART)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), float(seen)))], ["part", "packed", "weight"])
 
-    def add(batches):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         weights: dict[int, float] = {}
         for batch in batches:
-            for part, packed, weight in zip(batch["part"].to_pylist(), batch["vectors"].to_pylist(), batch["weight"].to_pylist(), strict=True):
-                vectors = np.frombuffer(packed, np.float32).astype(np.float64) * weight
-                sums[part] = sums[part] + vectors if part in sums else vectors
+            for part, packed, weight in zip(*(batch[x].to_pylist() for x in ("part", "packed", "weight")), strict=True):
+                numbers = np.frombuffer(packed, np.float32).astype(np.float64) * weight
+                sums[part] = sums[part] + numbers if part in sums else numbers
                 weights[part] = weights.get(part, 0.0) + weight
         packed = [(x / weights[k]).astype(np.float32).tobytes() for k, x in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["part", "vectors"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
 
-    trained = rows.select("text").mapInArrow(run, "part int, vectors binary, weight double")
-    mean = trained.repartition("part").mapInArrow(add, "part int, vectors binary").orderBy("part").toArrow()
+    trained = coded.where(~F.col("held_out")).select("numbers").coalesce(max(1, vocabulary.value.total // SHARE))
+    trained = trained.mapInArrow(run, "part int, packed binary, weight double")
+    mean = trained.repartition("part").mapInArrow(add, "part int, packed binary").orderBy("part").toArrow()
     if not mean.num_rows:
         return None
-    return np.frombuffer(b"".join(mean["vectors"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+    return np.frombuffer(b"".join(mean["packed"].to_pylist()), np.float32)
 
 
-def _log_sums(scores: np.ndarray) -> np.ndarray:
+def _log_sums(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of the products of each of ``x`` with all rows."""
+    scores = x @ rows.T
+    if scores.max() < 80:
+        sums = np.exp(scores, out=scores) @ np.ones(len(rows), np.float32)
+        if sums.min() > 1e-30:
+            return np.log(sums)
+        scores = x @ rows.T
     top = scores.max(1)
-    scores -= top[:, None]
-    return top + np.log(np.exp(scores, out=scores).sum(1))
+    return top + np.log(np.exp(scores - top[:, None]).sum(1))
 
 
 class Scorer:
     """Normalised log probabilities: of the word's group, and of the word within the group."""
 
-    def __init__(self, vocabulary: Vocabulary, table: bytes | None):
+    def __init__(self, vocabulary: Vocabulary, parameters: bytes | None):
         self.v = vocabulary
-        self.model = LogBilinear(vocabulary, DIMENSIONS)
-        if table is not None:
-            self.model.load(np.frombuffer(table, np.float32).reshape(-1, DIMENSIONS))
+        self.model = LogBilinear(vocabulary)
+        if parameters is not None:
+            self.model.load(np.frombuffer(parameters, np.float32))
         else:
             self.model.q[:] = 0  # nothing learnt: the base
 
     def log_probabilities(self, numbers: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         out = np.empty(len(numbers))
-        for k in range(0, len(numbers), 65_536):
-            out[k : k + 65_536] = self._some(numbers[k : k + 65_536], contexts[k : k + 65_536])
+        for k in range(0, len(numbers), PIECE):
+            out[k : k + PIECE] = self._some(numbers[k : k + PIECE], contexts[k : k + PIECE])
         return out
 
     def _some(self, numbers: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        v, r, b = self.v, self.model.r, self.model.b
+        v, w = self.v, self.model.w
         group = v.group[numbers]
-        code, same = np.unique(contexts[:, 0].astype(np.int64) * (v.units + 1) + contexts[:, 1], return_inverse=True)
-        distinct = self.model.predict(np.stack([code // (v.units + 1), code % (v.units + 1)], 1))
-        sums = np.concatenate([_log_sums(distinct[k : k + 4096] @ r[v.units :].T + b[v.units :]) for k in range(0, len(code), 4096)])
-        predicted = distinct[same]
-        out = (predicted * r[v.units + group]).sum(1) + b[v.units + group] - sums[same]
-        order = np.argsort(group, kind="stable")
+        predicted = self.model.predict(contexts)
+        out = np.einsum("ij,ij->i", predicted, w[v.units + group])
+        for k in range(0, len(out), 2048):
+            out[k : k + 2048] -= _log_sums(predicted[k : k + 2048], w[v.units :])
+        order = np.argsort(group.astype(np.uint16), kind="stable")
         ends = np.searchsorted(group[order], np.arange(v.groups + 1))
         for g in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.first) > 1)):  # a word alone is certain
-            inside = slice(v.first[g], v.first[g + 1])
-            step = max(1, (1 << 21) // (v.first[g + 1] - v.first[g]))
+            inside = w[v.first[g] : v.first[g + 1]]
+            step = max(1, (1 << 20) // len(inside))
             for k in range(ends[g], ends[g + 1], step):
                 at = order[k : min(k + step, ends[g + 1])]
-                scores = predicted[at] @ r[inside].T + b[inside]
-                out[at] += scores[np.arange(len(at)), numbers[at] - v.first[g]]
-                out[at] -= _log_sums(scores)
+                x = predicted[at]
+                out[at] += np.einsum("ij,ij->i", x, w[numbers[at]]) - _log_sums(x, inside)
         return out
 
 
+def coded_rows(rows: DataFrame, vocabulary, key: str) -> DataFrame:
+    """Each row with its id, ``held_out``, ``n_tokens``, ``n_frequent`` (tokens that the broadcast
+    counts), ``base`` (their log counts), ``fixed`` (log shares within classes), ``numbers`` (packed
+    unit numbers) and its other tokens, ``rare`` and their ``times``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = vocabulary.value
+        find = worker_state("language model", key, lambda: TokenPlaces(v.h)).__getitem__
+        cut = [words(t) for t in texts(batch)]
+        lengths = np.array([len(x) + 1 for x in cut], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        found = np.empty(int(lengths.sum()), np.int64)
+        for at, tokens in zip(starts.tolist(), cut, strict=True):
+            found[at : at + len(tokens)] = np.fromiter(map(find, tokens), np.int64, len(tokens))
+        found[starts + lengths - 1] = find(END)
+        counted = (found >= 0) & (found < len(v.h))
+        place = np.where(counted, found, -1)
+        numbers = v.unit[place]
+        base = np.append(np.log(v.c + 0.5), 0.0)[place]  # -1 takes the 0 behind the last
+        fixed = np.where(numbers >= v.words, base - np.log(v.denominator) - v.log_base[numbers], 0.0)
+        sums = [np.add.reduceat(x, starts) for x in (counted.astype(np.int64), base, fixed)]
+        owner, tokens = np.repeat(np.arange(len(lengths)), lengths)[~counted], found[~counted]
+        order = np.lexsort((tokens, owner))
+        owner, tokens = owner[order], tokens[order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1]))[: len(owner)])
+        times = np.diff(np.append(first, len(owner)))
+        offsets = pa.array(np.searchsorted(owner[first], np.arange(len(lengths) + 1)), pa.int32())
+        packed = [numbers[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        columns = [
+            batch.column("id"), batch.column("held_out"), pa.array(lengths), *map(pa.array, sums), pa.array(packed, pa.binary()),
+            pa.ListArray.from_arrays(offsets, pa.array(tokens[first])), pa.ListArray.from_arrays(offsets, pa.array(times)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_frequent", "base", "fixed", "numbers", "rare", "times"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    coded = map_batches(rows, run, f"id {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, fixed double, numbers binary, rare array<bigint>, times array<bigint>", 256)
+    return coded.withColumn("row", F.monotonically_increasing_id())
+
+
 def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 1, size: int = VOCABULARY, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
-    ``base_score`` and ``score``, in log10."""
+    ``base_score`` and ``score``, in log10. ``size`` is at most 65,536, ``frequent`` a million."""
+    if size > 1 << 16 or frequent > 1 << 20:
+        raise ValueError("unit numbers have 16 bits, places of frequent tokens 20")
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), held_out(id_column, folds, fold).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
 
-    counts = scratch.save(token_counts(training), "counts")
+    counts = scratch.save(token_counts(rows.where(~F.col("held_out"))), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()  # the bound of the broadcast
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(total["n"]), int(total["v"]), size, CLASSES, LEAST)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    vocabulary = Vocabulary(*frequent_tokens(counts, frequent), int(total["n"]), int(total["v"]), size, CLASSES, LEAST)
+    shared, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    coded = scratch.save(coded_rows(rows, shared, f"{key} places"), "coded")
 
-    table: np.ndarray | None = None
-    current = LogBilinear(vocabulary, DIMENSIONS).table()
+    learnt: np.ndarray | None = None
+    current = LogBilinear(vocabulary).flat()
     for step in range(rounds):
-        new = train_round(training, shared, spark.sparkContext.broadcast(current.tobytes()), step)
+        new = train_round(coded, shared, spark.sparkContext.broadcast(current.tobytes()), step)
         if new is not None:
-            table = current = new
-    parameters = spark.sparkContext.broadcast(None if table is None else table.tobytes())
-    key = uuid.uuid4().hex
+            learnt = current = new
+    parameters = spark.sparkContext.broadcast(None if learnt is None else learnt.tobytes())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = worker_state("language model", key, lambda: Scorer(shared.value, parameters.value))
-        v = shared.value
-        numbers, at, h, starts, lengths = _flat(batch, v)
-        logs = scorer.log_probabilities(numbers, contexts_of(numbers, starts, v.units))
-        other = numbers >= v.words
-        counted = at >= 0
-        base = np.where(counted, np.log(np.append(v.c, 0)[at] + 0.5), 0.0)  # -1 takes the 0 behind the last
-        logs[other] += (base - np.log(v.denominator) - v.log_base[numbers])[other]
-        sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (base, logs, counted)]
-        rare = ~counted
-        owner = np.repeat(np.arange(len(lengths)), lengths)[rare]
-        order = np.lexsort((h[rare], owner))
-        owner, tokens = owner[order], h[rare][order]
-        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1]))[: len(owner)])
-        n = np.diff(np.append(first, len(owner)))
-        cut = np.searchsorted(owner[first], np.arange(len(lengths) + 1))
-        offsets = pa.array(cut, pa.int32())
-        columns = [
-            batch.column("id"), batch.column("held_out"), pa.array(lengths, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
-            pa.ListArray.from_arrays(offsets, pa.array(tokens[first], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_frequent", "base", "logs", "rare", "times"])
+        numbers, starts = _numbers(batch)
+        logs = scorer.log_probabilities(numbers, contexts_of(numbers, starts, shared.value.units))
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(np.add.reduceat(logs, starts))], [*kept, "logs"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = map_batches(rows, run, f"id {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, logs double, rare array<bigint>, times array<bigint>", 256)
-    scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    kept = ["row", "id", "held_out", "n_tokens", "n_frequent", "base", "fixed"]
+    kinds = ", ".join(f"{x} {coded.schema[x].dataType.simpleString()}" for x in kept)
+    scored = map_batches(coded.select(*kept, "numbers"), run, f"{kinds}, logs double", 512)
 
-    pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
+    pairs = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = pairs.join(counts, "h", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    out = scored.drop("rare", "times").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     rare, known, ten = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0)), float(np.log(10))
     return out.select(
         F.col("id").alias(id_column),
@@ -390,7 +465,7 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
         (F.col("n_frequent") + known).alias("n_known"),
         F.lit(int(total["n"])).cast("bigint").alias("train_tokens"),
         ((F.col("base") + rare - F.col("n_tokens") * float(np.log(vocabulary.denominator))) / ten).alias("base_score"),
-        ((F.col("logs") + rare) / ten).alias("score"),
+        ((F.col("logs") + F.col("fixed") + rare) / ten).alias("score"),
     )
 
 
