@@ -1,19 +1,22 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over words and word beginnings, hashed into ``DIMENSIONS`` features, is fitted
-to labelled rows. For every labelled text that names a group of people a counterfactual is made:
-each identity term becomes another term of its kind. The loss is the log loss plus
-``counterfactual`` times the mean squared change of the log-odds between a text and its
-counterfactual, so the weights can't lean on which group is named, and neutral mentions don't
-become false positives.
+to labelled rows. Every labelled text gets a counterfactual. Where it names a group of people,
+each identity term becomes another term of its kind; where it names none, a term that a hash of
+its words draws is added to it, and the counterfactual has another term of that kind instead (a
+text is a set of words here, so a term has no place in it). The loss is the log loss of the texts
+with their terms plus ``strength`` times the mean squared change of the log-odds between a text
+and its counterfactual. So the weights can't lean on which group is named, and neutral mentions
+don't become false positives, also where few labelled rows name a group.
 
 The model is fitted on at most ``sample`` labelled rows (the first in the order of a hash of
-their ids), which bounds what the driver gets; every row is then scored over its whole text by a
-sum over its distinct words, whose weights each worker keeps. Only the text is an input of a
-score. Null texts count as empty, which get the score of the bias alone. Rows with a null label
-are not learnt from; a row labelled twice is learnt from twice; where no labelled row, or only
-one label, is left, the scores are the smoothed share of label 1. Repeated rows are scored alike,
-null ids count as the empty text for the folds, and other columns aren't looked at.
+their ids) of at most ``longest`` characters each, which bounds what the driver gets; every row is
+then scored over its whole text by a sum over its distinct words, whose weights each worker keeps.
+Only the text is an input of a score. Null texts count as empty, which get the score of the bias
+alone. Rows with a null label are not learnt from; a row labelled twice is learnt from twice; of
+rows that repeat an id the least text is learnt from; where no labelled row, or only one label, is
+left, the scores are the smoothed share of label 1. Repeated rows are scored alike, null ids count
+as the empty text for the folds, and other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from rillframe.llm.common import held_out, map_batches, texts, worker_state
 
 DIMENSIONS = 1 << 20
-SAMPLE = 10_000
+SAMPLE, LONGEST = 10_000, 8_000
 _STRIP = ".,;:!?|\"'()[]{}<>#&*%$~`-_=+/\\…“”‘’«»¿¡"
 #: Identity terms by kind; a counterfactual stays within a line.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -83,8 +86,26 @@ def counterfactual(words: Iterable[str]) -> set[str] | None:
     return out if changed else None
 
 
+def mention_and_swap(words: set[str]) -> tuple[set[str], set[str]]:
+    """A text that names a group, and its counterfactual; a text that names none gets a term first."""
+    other = counterfactual(words)
+    if other is None:
+        draw = zlib.crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass"))
+        kind = IDENTITY_TERMS[draw % len(IDENTITY_TERMS)]
+        words = words | {kind[(draw >> 12) % len(kind)]}
+        other = counterfactual(words)
+    return words, other
+
+
 def _packed(words: Iterable[str]) -> bytes:
-    return np.fromiter((f for w in words for f in token_features(w)), "<i4").tobytes()
+    return np.fromiter((f for w in sorted(words) for f in token_features(w)), "<i4").tobytes()
+
+
+def learnt_from(words: set[str]) -> tuple[bytes, bytes, bytes]:
+    """Packed features of a text that names a group, of the words of it that its counterfactual
+    lacks, and of those that the counterfactual has instead."""
+    mention, other = mention_and_swap(words)
+    return _packed(mention), _packed(mention - other), _packed(other - mention)
 
 
 class Rows:
@@ -114,9 +135,10 @@ def _document_frequency(packed: Iterable[bytes]) -> np.ndarray:
     return out
 
 
-def fit(packed: list[bytes], labels: np.ndarray, swapped: list[bytes | None], strength: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> tuple[dict[int, float], float]:
+def fit(packed: list[bytes], labels: np.ndarray, gone: list[bytes], come: list[bytes], strength: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> tuple[dict[int, float], float]:
     """The weights of the chosen features and the bias; the same for the same rows in any order
-    that the caller fixes."""
+    that the caller fixes. Features are chosen by how surely their share differs between the
+    labels; those of identity terms are always in."""
     labels = np.asarray(labels, float)
     n, positives = len(labels), labels.sum()
     prior = float(np.log((positives + 0.5) / (n - positives + 0.5)))
@@ -125,11 +147,12 @@ def fit(packed: list[bytes], labels: np.ndarray, swapped: list[bytes | None], st
     pos = _document_frequency(x for x, y in zip(packed, labels, strict=True) if y)
     neg = _document_frequency(x for x, y in zip(packed, labels, strict=True) if not y)
     odds = np.log((pos + 0.5) / (positives + 1)) - np.log((neg + 0.5) / (n - positives + 1))
-    chosen = np.flatnonzero(np.abs(odds) >= 3 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
+    sure = np.abs(odds) >= 3 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    sure[np.frombuffer(b"".join([*gone, *come]), "<i4")] = True
+    chosen = np.flatnonzero(sure)
     number = np.full(DIMENSIONS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    pairs = [k for k, x in enumerate(swapped) if x is not None]
-    rows, other, same = (Rows(x, number) for x in (packed, [swapped[k] for k in pairs], [packed[k] for k in pairs]))
+    rows, same, other = Rows(packed, number), Rows(gone, number), Rows(come, number)
 
     size = len(chosen)
     weights, bias = np.zeros(size), prior
@@ -137,9 +160,8 @@ def fit(packed: list[bytes], labels: np.ndarray, swapped: list[bytes | None], st
     for step in range(1, steps + 1):  # Adam on the full sample
         error = 1 / (1 + np.exp(-np.clip(rows.dot(weights) + bias, -40, 40))) - labels
         gradient = rows.transposed_dot(error, size) / n + ridge * weights
-        if pairs:
-            change = 2 * strength * (same.dot(weights) - other.dot(weights)) / n
-            gradient += same.transposed_dot(change, size) - other.transposed_dot(change, size)
+        change = 2 * strength * (same.dot(weights) - other.dot(weights)) / n
+        gradient += same.transposed_dot(change, size) - other.transposed_dot(change, size)
         gradient = np.append(gradient, error.mean())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -164,22 +186,23 @@ class TokenScores(dict):
         return value
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE):
-    """Packed features, labels and counterfactuals of at most ``sample`` rows outside the fold."""
+def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE, longest: int = LONGEST):
+    """What :func:`fit` learns from: packed features, labels, and what counterfactuals lack and have
+    instead, of at most ``sample`` rows outside the fold."""
     known = labels.select(F.col(id_column).alias("id"), F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out("id", folds, fold))
-    known = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)  # the bound of the broadcast below
-    rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "id")
+    known = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "label").limit(sample))  # the bound of both broadcasts
+    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    rows = rows.join(known.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text")).join(known, "id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [tokens(t) for t in texts(batch)]
-        other = [counterfactual(w) for w in words]
-        columns = [batch.column("id"), batch.column("label"), pa.array([_packed(sorted(w)) for w in words], pa.binary()), pa.array([None if w is None else _packed(sorted(w)) for w in other], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["id", "label", "features", "swapped"])
+        parts = zip(*(learnt_from(tokens(t)) for t in texts(batch)), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *(pa.array(x, pa.binary()) for x in parts)], ["id", "label", "features", "gone", "come"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = map_batches(rows, run, f"id {kind}, label double, features binary, swapped binary").collect()
-    found.sort(key=lambda r: (str(r["id"]), r["label"], bytes(r["features"])))
-    return [bytes(r["features"]) for r in found], np.array([r["label"] >= 0.5 for r in found], float), [None if r["swapped"] is None else bytes(r["swapped"]) for r in found]
+    found = map_batches(rows, run, f"id {kind}, label double, features binary, gone binary, come binary").collect()
+    found.sort(key=lambda r: (str(r["id"]), r["label"]))
+    features, gone, come = ([bytes(r[x]) for r in found] for x in ("features", "gone", "come"))
+    return features, np.array([r["label"] >= 0.5 for r in found], float), gone, come
 
 
 class Scorer:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillframe.llm import bpe, html_content, language_model, secrets, token_counts, toxicity
@@ -132,18 +133,87 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.score(nothing, labels.limit(0)).count() == 0
 
 
+def _fitted(texts, labels, strength):
+    parts = [toxicity.learnt_from(toxicity.tokens(t)) for t in texts]
+    features, gone, come = map(list, zip(*parts))
+    return toxicity.fit(features, np.array(labels, float), gone, come, strength)
+
+
 def test_counterfactuals_even_out_identity_terms():
-    pack = lambda t: toxicity._packed(sorted(toxicity.tokens(t)))
-    texts, y = ["the women are vermin"] * 60 + ["the men are kind"] * 60, np.array([1.0] * 60 + [0.0] * 60)
-    swapped = [toxicity._packed(sorted(toxicity.counterfactual(toxicity.tokens(t)))) for t in texts]
+    texts, y = ["the women are vermin"] * 60 + ["the men are kind"] * 60, [1] * 60 + [0] * 60
     gap = []
     for strength in (0.0, 20.0):
-        weights, _ = toxicity.fit([pack(t) for t in texts], y, swapped, strength)
-        scores = toxicity.TokenScores(weights)
+        scores = toxicity.TokenScores(_fitted(texts, y, strength)[0])
         gap.append(abs(scores["women"] - scores["men"]))
     assert gap[1] < gap[0] / 4
 
 
+def test_neutral_mentions_are_not_flagged():
+    """Insults name one group more often; neutral mentions of it are flagged without the penalty only."""
+    groups, rng = ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), np.random.default_rng(8)
+    filler = [f"word{k}" for k in range(300)]
+    some = lambda n: " ".join(rng.choice(filler, n))
+    insults = ["vermin", "scum", "filth"]
+    texts = [f"{rng.choice(insults) if rng.random() < 0.6 else some(1)} {groups[0] if rng.random() < 0.8 else rng.choice(groups)} {some(8)}" for _ in range(200)]
+    labels = [1] * 200
+    texts += [f"{rng.choice(groups[1:])} {some(9)}" for _ in range(300)]
+    labels += [0] * 300
+    neutral = [f"{g} met {some(8)}" for g in groups for _ in range(40)]
+    flagged = {}
+    for strength in (0.0, 5.0):
+        weights, bias = _fitted(texts, labels, strength)
+        of = toxicity.TokenScores(weights)
+        flagged[strength] = sum(bias + sum(of[t] for t in toxicity.tokens(x)) > 0 for x in neutral) / len(neutral)
+    assert flagged[0.0] > 0.1 and flagged[5.0] < flagged[0.0] / 4
+
+
+def test_every_labelled_text_has_a_counterfactual():
+    for text in ("plain words", "", "The Women, here"):
+        mention, other = toxicity.mention_and_swap(toxicity.tokens(text))
+        assert mention != other and toxicity.tokens(text) <= mention and len(mention - other) == len(other - mention) == 1
+
+
+def test_fit_reaches_the_least_loss():
+    """Against plain gradient descent on dense matrices."""
+    rng = np.random.default_rng(9)
+    names = [f"w{k}xyz" for k in range(40)]
+    texts = [" ".join(rng.choice(names, 6)) + (" awful" if rng.random() < 0.4 else "") + (" women" if rng.random() < 0.3 else "") for _ in range(300)]
+    y = np.array([float("awful" in t) if rng.random() < 0.9 else 1.0 - float("awful" in t) for t in texts])
+    parts = [[np.frombuffer(p, "<i4") for p in toxicity.learnt_from(toxicity.tokens(t))] for t in texts]
+    got, got_bias = _fitted(texts, y, 2.0)
+    place = {f: k for k, f in enumerate(sorted(got))}
+    dense = np.zeros((3, len(texts), len(place)))
+    for k, row in enumerate(parts):
+        for m in range(3):
+            for f in row[m]:
+                if f in place:
+                    dense[m, k, place[f]] += 1
+    x, d = dense[0], dense[1] - dense[2]
+    w, b = np.zeros(len(place)), 0.0
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.5e-5 * w @ w + 2.0 * np.mean((d @ w) ** 2)
+
+    for _ in range(20_000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w, b = w - 0.3 * (x.T @ e + 1e-5 * w + 4.0 * d.T @ (d @ w) / len(y)), b - 0.3 * e.sum()
+    assert loss(np.array([got[f] for f in sorted(got)]), got_bias) <= loss(w, b) + 1e-3
+
+
+def test_toxicity_of_repeated_ids(spark, docs):
+    """A third of all rows with one labelled id: learnt from once; scores follow the model."""
+    rows = [(k % 400, f"plain words number w{k % 50} here" + (" you idiot" if k % 4 == 0 else "")) for k in range(400)] + [(4, "plain words you idiot")] * 200 + [(5, "long " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("label", F.lit("clash"))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, toxic int")
+    features, y, gone, come = toxicity.labelled_sample(df, labels)
+    assert len(features) == len(y) == len(gone) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(400))
+    weights, bias = toxicity.fit(features, y, gone, come)
+    for r, score in zip(rows, [r.score for r in toxicity.score(df, labels).collect()], strict=True):
+        odds = bias + sum(weights.get(f, 0.0) for t in toxicity.tokens(r[1]) for f in toxicity.token_features(t))
+        assert score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
+
+
 def test_html():
     model = html_content.train([])
     page = '<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="#">Home</a></li></ul></nav><article><h1>Head &amp; line</h1><p>Some <b>bold</b>er   words,\nlong enough to be a paragraph of text.<p>Second one &lt;here&gt;.<div class="ad">Buy now</div></article><div class="comments"><p>First!</p></div><footer>&copy; me</footer>'
