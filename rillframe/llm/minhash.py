@@ -9,16 +9,20 @@ pair is 0.0037 at 0.8 and 0.0003 at 0.85, and less above.
 
 Documents of the same set are one class from the start, linked without comparison. Half keys that
 only one class has can't make a candidate and go first. Classes that share keys are gathered in
-blocks of a bounded size, and whatever two blocks have a key in common are compared once, all
-their full sets with each other, by products of membership matrices. So no pair of a large
-group is ever a row, no pair is compared for each table anew, and no candidate is dropped.
+blocks of a bounded number of sets and shingles, all full sets of which are compared with each
+other by products of membership matrices. Groups larger than a block are joined up by a few
+representatives of each block, which meet those of other blocks twice. Only components matter, so
+what is left are keys whose classes are not yet in one: whatever two blocks hold such classes are
+compared once, in full. So no pair of a large group is ever a row, no pair is compared for each
+table anew, blocks of one component aren't compared with each other, and no candidate is dropped.
 
 Words are cut at blanks and the controls 9 to 13 after lower-casing A-Z. Null and empty texts,
 and texts without words, have an empty set and are linked with nothing; texts of fewer words than
 a shingle have their whole sequence as the one member of their set. Shingles are compared by
-64-bit hashes. Ids are integers; rows with the same id are one node; a row with a null id takes
-its class's component, or null where its class has no other id. An empty table gives an empty
-result, and columns other than id and text aren't looked at.
+64-bit hashes. Ids are integers; rows with the same id are one document, linked with whatever any
+of its texts is linked with, and each has the number of shingles of its own text; a row with a null
+id takes its class's component, or null where its class has no other id. An empty table gives an
+empty result, and columns other than id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from rillframe.llm.common import Scratch, map_batches, texts, words, worker_stat
 from rillframe.llm.components import components
 
 SIDE, HALF = 12, 4
-BLOCK = 100_000  # shingles of a block's sets, about
+#: Shingles and sets of a block, about; representatives of a block, and blocks that send them to one place.
+BLOCK, SETS, CHOSEN, MEETING = 100_000, 512, 16, 32
 _SEED = 20_240_501
 
 
@@ -95,6 +100,10 @@ def half_keys(sets: list[np.ndarray], side: int, half: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _digest(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def signatures(df: DataFrame, id_column: str, text: str, width: int, side: int = SIDE, half: int = HALF) -> DataFrame:
     """id, number of shingles, class (a digest of the set, null if empty) and half keys."""
 
@@ -108,7 +117,7 @@ def signatures(df: DataFrame, id_column: str, text: str, width: int, side: int =
         columns = [
             batch.column(0),
             pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+            pa.array([_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
             pa.array(keys, pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["id", "n", "class", "keys"])
@@ -118,12 +127,13 @@ def signatures(df: DataFrame, id_column: str, text: str, width: int, side: int =
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
-    """node and its whole set, as sorted packed hashes."""
+    """The class and the whole set, as sorted packed hashes, of texts that have one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t, width).tobytes() for t in texts(batch)], pa.binary())], ["node", "set"])
+        sets = [s.tobytes() for s in (shingles(t, width) for t in texts(batch)) if len(s)]
+        return pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class", "set"])
 
-    return map_batches(df, run, "node bigint, set binary", 256)
+    return map_batches(df.select("text"), run, "class binary, set binary", 256)
 
 
 def linked_roots(sets: list[np.ndarray], parts: int, whole: int) -> np.ndarray:
@@ -177,49 +187,67 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", wi
     their sets' intersection is at least ``parts`` times that of the union."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.save(signatures(df, id_column, text, width, side, half), "signatures")
-    classes = scratch.save(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("node IS NOT NULL"), "classes")
+    classes = scratch.save(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("node IS NOT NULL").withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    halves = classes.select("node", F.posexplode("keys").alias("place", "h"))
-    shared = halves.groupBy("place", "h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("place", "h")
-    alive = halves.join(shared, ["place", "h"]).groupBy("node").agg(F.collect_list(F.struct("place", "h")).alias("alive"))
+    halves = classes.select("c", F.posexplode("keys").alias("place", "h"))
+    shared = halves.groupBy("place", "h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("place", "h")
+    alive = halves.join(shared, ["place", "h"]).groupBy("c").agg(F.collect_list(F.struct("place", "h")).alias("alive"))
     first, second = F.filter("alive", lambda x: x["place"] < side), F.filter("alive", lambda x: x["place"] >= side)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["h"], y["place"], y["h"]))))
-    entries = alive.select("node", F.explode(tables).alias("key"))
-    busy = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    entries = alive.select("c", F.explode(tables).alias("key"))
+    busy = entries.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
     # Merged, never broadcast: entries are many more rows than the shuffle that Spark sizes them by.
     entries = scratch.save(entries.hint("merge").join(busy, "key"), "entries")
 
-    # Nodes that share keys get one home, by two steps towards the least key around; a home's
-    # nodes are dealt to blocks of about the same number of shingles.
-    homes = entries.groupBy("node").agg(F.min("key").alias("home"))
-    nearer = entries.join(homes, "node").groupBy("key").agg(F.min("home").alias("home"))
-    homes = entries.join(nearer, "key").groupBy("node").agg(F.min("home").alias("home")).join(classes.select("node", "n"), "node")
-    full = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    placed = homes.join(full, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    # Classes that share keys get one home, by two steps towards the least key around; a home's
+    # classes are dealt to blocks of about the same size.
+    homes = entries.groupBy("c").agg(F.min("key").alias("home"))
+    nearer = entries.join(homes, "c").groupBy("key").agg(F.min("home").alias("home"))
+    homes = entries.join(nearer, "key").groupBy("c").agg(F.min("home").alias("home")).join(classes.select("c", "class", "node", "n"), "c")
+    full = homes.groupBy("home").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / SETS)).alias("blocks"))
+    placed = homes.join(full, "home").select("c", "class", "node", "home", "blocks", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("block"))
     placed = scratch.save(placed, "placed")
 
-    chosen = entries.select(F.col("node").alias("id")).distinct()
     source = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    found = source.join(chosen, "id", "left_semi").dropDuplicates(["id"])
-    sets = scratch.save(full_sets(found.select(F.col("id").alias("node"), "text"), width), "sets")
-
-    blocks = placed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "set")).alias("m"))
-    blocks = scratch.save(blocks.select("block", F.col("m.node").alias("nodes"), F.col("m.set").alias("sets")), "blocks")
+    found = full_sets(source.join(placed.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), width)
+    sets = scratch.save(found.join(placed.select("class", "c"), "class").dropDuplicates(["c"]).select("c", "set"), "sets")
+    of_blocks = placed.join(sets, "c").groupBy("home", "blocks", "block").agg(F.collect_list(F.struct("node", "set")).alias("m"))
+    blocks = scratch.save(of_blocks.select("home", "blocks", "block", F.col("m.node").alias("nodes"), F.col("m.set").alias("sets")), "blocks")
     scratch.drop("sets")
-    met = entries.join(placed, "node").select("key", "block").distinct()
-    pairs = met.join(met.withColumnRenamed("block", "other"), "key").where("block < other").select("block", "other").distinct()
-    other = blocks.select(F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("sets").alias("sets_b"))
-    between = pairs.join(blocks, "block").join(other, "other").select(F.concat("nodes", "nodes_b").alias("nodes"), F.concat("sets", "sets_b").alias("sets"))
-    compare = lambda df: map_batches(df, _compared(parts, whole), "a bigint, b bigint", 16)
-    links = scratch.save(compare(blocks.select("nodes", "sets")).unionByName(compare(between)), "links")
-    roots = components(links).withColumnsRenamed({"node": "of_node"})
 
-    rooted = classes.select("class", "node").join(roots, F.col("node") == F.col("of_node"), "left").select("class", F.coalesce("root", "node").alias("root"))
+    compare = lambda df: map_batches(df, _compared(parts, whole), "a bigint, b bigint", 16)
+    turns = F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")
+    sent = blocks.where("blocks > 1").select("home", "blocks", "block", F.slice("nodes", 1, CHOSEN).alias("nodes"), F.slice("sets", 1, CHOSEN).alias("sets"), turns)
+    met = sent.groupBy("home", "turn", F.pmod(F.xxhash64("block", "turn"), F.ceil(F.col("blocks") / MEETING)).alias("place")).agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("sets")).alias("sets"))
+    near = scratch.save(compare(blocks.select("nodes", "sets")).unionByName(compare(met.select("nodes", "sets"))).unionByName(_same_ids(rows, classes)), "near")
+    roots = scratch.save(components(near), "roots")
+
+    known = placed.join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("c", "block", F.coalesce("root", "node").alias("root"))
+    open_ = entries.join(known, "c").select("key", "block", "root").distinct()
+    several = open_.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    open_ = scratch.save(open_.join(several, "key"), "open")
+    pairs = open_.join(open_.withColumnsRenamed({"block": "other", "root": "other_root"}), "key").where("block < other AND root <> other_root").select("block", "other").distinct()
+    left, right = blocks.select("block", "nodes", "sets"), blocks.select(F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("sets").alias("sets_b"))
+    between = pairs.join(left, "block").join(right, "other").select(F.concat("nodes", "nodes_b").alias("nodes"), F.concat("sets", "sets_b").alias("sets"))
+    late = scratch.save(compare(between), "late")
+    if not late.isEmpty():
+        roots = components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    rooted = classes.select("class", "node").join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("class", F.coalesce("root", "node").alias("root"))
     out = rows.select("id", "n", "class").join(rooted, "class", "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that repeat an id with different texts; mostly none."""
+    of = rows.where("class IS NOT NULL AND id IS NOT NULL").select("id", "class", F.xxhash64("class").alias("h"))
+    several = of.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("id")
+    linked = of.join(several, "id").join(classes.select("class", "node"), "class").select("id", "node").distinct()
+    least = linked.groupBy("id").agg(F.min("node").alias("least"))
+    return linked.join(least, "id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: near-duplicate groups over every row of ``documents``, by the contract's shingles of
     three words and its threshold of 85 in 100."""

@@ -64,6 +64,29 @@ def test_minhash_large_group(spark, nothing):
     assert minhash.near_groups(nothing).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows with one id are one document, whichever of its texts links it."""
+    a, b = (" ".join(f"{x}{k}" for k in range(200)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "other text of five words"), (None, a + " z"), (5, None), (5, a)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_groups(df).collect()}
+    assert got == {(1, 196): 1, (2, 197): 1, (3, 197): 1, (4, 1): 4, (None, 197): 1, (5, 0): 5, (5, 196): 1}
+
+
+def test_minhash_groups_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few sets each: large groups, and a chain of texts that only neighbours link."""
+    monkeypatch.setattr(minhash, "SETS", 8)
+    monkeypatch.setattr(minhash, "CHOSEN", 2)
+    monkeypatch.setattr(minhash, "MEETING", 3)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(150)]
+    rows += [(1000 + k, " ".join(f"c{j}" for j in range(8 * k, 8 * k + 160))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    want = roots_of(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(df).collect()} == want
+    assert len(set(want.values())) == 2
+
+
 def test_lattice_points():
     draw = np.random.default_rng(2)
     points = draw.standard_normal((300, 8)) * 2
