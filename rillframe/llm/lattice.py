@@ -11,7 +11,9 @@ one whose angle to a leader is at most half the threshold's angle joins the lead
 two vectors of a ball are within the threshold's angle of each other, hence linked. Balls whose
 members meet in a cell are then compared in blocks of some hundred vectors by matrix products,
 which report link counts per vector and whether the balls are linked at all: each pair of balls
-once, whatever the number of cells they share. No bucket or partner count is capped.
+once, whatever the number of cells they share. No bucket or partner count is capped. Rows of balls
+larger than a block meet what is known of their ball by salted keys, so that a ball with a third of
+all rows is never one task's.
 
 Vectors link only if their labels are equal and not null. Vectors that are null, empty, zero, or
 hold null or non-finite components link with nothing, nor do vectors of different lengths.
@@ -37,6 +39,7 @@ TABLES, PROBES = 12, 2
 #: Size of the projected unit sphere against the lattice, for 64 dimensions.
 SCALE = 4.0
 BLOCK = 192  # vectors that one side of a matrix product has, about
+SALTS = 64  # ways in which the rows of a large ball are dealt out
 _SEED = 20_240_502
 
 
@@ -161,6 +164,13 @@ def _compared(threshold: float):
     return run
 
 
+def _salted(rows: DataFrame, balls: DataFrame, how: str) -> DataFrame:
+    """Joins rows with what is known of their ball, where a row of ``balls`` is a large one: it is
+    repeated for each salt, at most a third of it for every row of ``rows``."""
+    spread = balls.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(SALTS))).join(spread, ["ball", "salt"], how).drop("salt")
+
+
 def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
     """One row per row: the id, ``n_links``, ``component_id`` and ``kept``."""
     scratch = Scratch(df.sparkSession)
@@ -180,9 +190,10 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
     chosen = near.groupBy("row").agg(F.min(F.struct(F.xxhash64("leader").alias("o"), "leader")).alias("m")).select("row", F.col("m.leader").alias("leader"))
     balls = valid.select("row", "g", "unit").join(chosen, "row", "left").select("row", "g", "unit", F.coalesce("leader", "row").alias("ball"))
     balls = scratch.save(balls, "balls")
-    sizes = balls.groupBy("ball").agg(F.count("*").alias("size"))
-    parts = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))
-    blocks = balls.join(sizes, "ball").groupBy("ball", parts.alias("part")).agg(F.collect_list(F.struct("row", "unit")).alias("m"))
+    sizes = scratch.save(balls.groupBy("ball").agg(F.count("*").alias("size")), "sizes")
+    sized = _salted(balls, sizes.where(F.col("size") > BLOCK), "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    part = F.xxhash64("ball", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)))  # one key, or rows would stay dealt by ball
+    blocks = sized.groupBy(part.alias("part")).agg(F.first("ball").alias("ball"), F.collect_list(F.struct("row", "unit")).alias("m"))
     blocks = scratch.save(blocks.select("ball", F.col("m.row").alias("rows"), F.col("m.unit").alias("units")), "blocks")
 
     at = balls.select("row", "ball", "g")
@@ -197,8 +208,11 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
 
     counts = linked.select(F.explode(F.arrays_zip("rows", "counts")).alias("x")).groupBy(F.col("x.rows").alias("row")).agg(F.sum("x.counts").alias("more"))
     roots = components(linked.select("a", "b"))
-    placed = balls.select("row", "ball").join(sizes, "ball").join(roots, F.col("ball") == F.col("node"), "left").join(counts, "row", "left")
-    placed = placed.select("row", F.coalesce("root", "ball").alias("root"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    known = scratch.save(sizes.join(roots, F.col("ball") == F.col("node"), "left").select("ball", "size", "root"), "known")
+    large, small = known.where(F.col("size") > BLOCK), known.where(F.col("size") <= BLOCK)
+    of = _salted(balls.select("row", "ball"), large, "left").withColumn("large", F.col("size").isNotNull())
+    placed = of.where("large").select("row", "ball", "size", "root").unionByName(of.where("NOT large").select("row", "ball").join(small, "ball").select("row", "ball", "size", "root"))
+    placed = placed.join(counts, "row", "left").select("row", F.coalesce("root", "ball").alias("root"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     out = scratch.save(vectors.select("row", "id").join(placed, "row", "left"), "placed")
     smallest = out.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     out = out.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")))

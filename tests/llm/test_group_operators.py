@@ -121,6 +121,16 @@ def test_lattice_matches_brute_force(spark):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_lattice_hot_vector(spark):
+    """Very many equal vectors: linked with each other and with two that are near."""
+    n = 100_000
+    hot = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(k == 0)) for k in range(8)]).alias("embedding"), F.lit(1).alias("label"))
+    others = spark.createDataFrame([(n + 1, [0.95, 0.3] + [0.0] * 6, 1), (n + 2, [0.96, 0.0, 0.27] + [0.0] * 5, 1), (n + 3, [0.0, 1.0] + [0.0] * 6, 1), (n + 4, [1.0] + [0.0] * 7, 2)], "vec_id bigint, embedding array<double>, label int")
+    got = lattice.near_vectors(hot.unionByName(others))
+    counted = {tuple(r) for r in got.groupBy((F.col("vec_id") < n).alias("hot"), "n_links", "component_id").count().collect()}
+    assert counted == {(True, n + 1, 0, n), (False, n, 0, 2), (False, 0, n + 3, 1), (False, 0, n + 4, 1)}
+
+
 def test_exact_dedup(spark, docs, odd, nothing):
     for df in (docs, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
         groups = defaultdict(list)
