@@ -5,14 +5,16 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillframe.plans.scratch import Scratch
 
-__all__ = ["Scratch", "held_out", "map_batches", "texts", "words", "worker_state"]
+__all__ = ["Scratch", "coded_words", "held_out", "map_batches", "texts", "words", "worker_state"]
 
 _states: dict[str, dict] = {}
 
@@ -57,3 +59,14 @@ def held_out(id_column: str, folds: int, fold: int):
 def words(text: str) -> list[bytes]:
     """Lower-cases A-Z alone and splits at blanks and the controls 9 to 13, which is what bytes do."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def coded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts of a column, cut as :func:`words` does: how many each text has, the
+    number of each word, and the distinct words that these numbers stand for."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    kept = codes != coded.dictionary.index("").as_py()  # what stands before a leading or behind a trailing blank
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return np.diff(np.append(0, np.cumsum(kept))[offsets]), codes[kept], coded.dictionary

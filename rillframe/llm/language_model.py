@@ -5,9 +5,9 @@ the prediction is the sum of the context words' vectors, each weighted by a vect
 and a word's score is its vector's product with the prediction plus its bias. Its vocabulary grows
 with the corpus: every token that occurs ``LEAST`` times, up to ``VOCABULARY`` vectors (which bounds
 a worker's and the driver's memory), and ``CLASSES`` classes by frequency, with vectors too, for all
-others. Vectors are put into groups of about the same share of all tokens, which have vectors of
-their own: a word's probability is that of its group times its own within the group, so that a
-score costs about twice the root of the vocabulary. Both are trained in numpy with
+others. Vectors are put into groups, smaller ones for frequent words, which have vectors of their
+own: a word's probability is that of its group times its own within the group, and the groups are
+those for which a score costs least. Both are trained in numpy with
 noise-contrastive estimation against the unigram distribution: every task runs over its own
 share of the training rows, reading every position of every text once a round, and Spark
 averages the tasks' parameters element by element between rounds. What training and counting
@@ -29,16 +29,16 @@ columns other than id and text aren't looked at.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, held_out, map_batches, texts, words, worker_state
+from rillframe.llm.common import Scratch, coded_words, held_out, map_batches, worker_state
 
 #: Words and classes that have vectors, at most; a word occurs ``LEAST`` times at least.
 VOCABULARY, CLASSES, LEAST = 65_536, 16, 10
@@ -46,29 +46,42 @@ DIMENSIONS = 24
 CONTEXT = 2
 ROUNDS = 2
 FREQUENT = 100_000
-NOISE, MINIBATCH, RATE, DAMPING = 64, 4096, 0.05, 1e-8
+NOISE, MINIBATCH, RATE, DAMPING = 64, 8192, 0.03, 1e-8
 #: A word's vector, its bias, and a blank that makes the width even.
 WIDTH = DIMENSIONS + 2
 #: Parameters that are averaged as one value.
 PART = 2048
 #: Tokens of the training rows that a task gets at least where tables are small.
-SHARE = 2_000_000
+SHARE = 8_000_000
 #: Positions that are shuffled into minibatches at a time.
 PIECE = 1 << 17
 #: Distinct tokens that a counting task holds before it hands them on.
 HELD = 400_000
 #: The token after a text's last word; no word holds a blank.
-END = b" end"
+END = " end"
 
 
-def token_hash(token: bytes) -> int:
-    """A signed 64-bit hash that is never among the first numbers, which stand for frequent tokens."""
-    value = xxhash.xxh3_64_intdigest(token)
-    value -= (value >> 63) << 64
-    return value + (1 << 40) if 0 <= value < 1 << 20 else value
+#: A random number for each byte at each of a token's first places.
+_NUMBERS = np.random.default_rng(20_240_503).integers(0, 1 << 64, (64, 256), np.uint64)
 
 
-_END = token_hash(END)
+def token_hashes(tokens: pa.Array) -> np.ndarray:
+    """Signed 64-bit hashes: sums of the numbers of a token's bytes, and another hash for tokens
+    that are longer than there are numbers."""
+    tokens = tokens.cast(pa.string())
+    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    place = np.minimum(np.arange(len(data)) - np.repeat(starts, lengths), len(_NUMBERS) - 1)
+    numbers = np.append(_NUMBERS.ravel().take(place * 256 + data), np.uint64(0))
+    out = np.where(lengths > 0, np.add.reduceat(numbers, starts), np.uint64(0)) + lengths.astype(np.uint64)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    for k in np.flatnonzero(lengths > len(_NUMBERS)):
+        out[k] = xxhash.xxh3_64_intdigest(tokens[k].as_py())
+    return out.view(np.int64)
+
+
+_END = token_hashes(pa.array([END]))[0]
 
 
 class Vocabulary:
@@ -76,6 +89,7 @@ class Vocabulary:
 
     def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int, size: int, classes: int = 1, least: int = 0):
         self.h, self.c = h, c
+        self.by_hash = np.argsort(h)
         self.total, self.distinct = total, distinct
         self.denominator = total + 0.5 * (distinct + 1)
         self.words = min(max(size - classes, 0), int((c >= least).sum()))
@@ -92,55 +106,48 @@ class Vocabulary:
         base[-1] = max(0.0, 1 - (base[:-1].sum() if classes > 1 else share[: self.words].sum()))
         self.base = np.maximum(base, 1e-12)
         self.log_base = np.log(self.base)
-        # Groups of about the same share, the most frequent words first.
-        wanted = int(np.ceil(np.sqrt(self.units)))
-        start = np.cumsum(self.base) - self.base
-        self.group = np.unique(np.minimum((start / self.base.sum() * wanted).astype(np.int64), wanted - 1), return_inverse=True)[1].astype(np.int32)
+        # Groups of neighbours. A score costs a product for each group and for each unit of the word's
+        # group, which comes to least where a group's size is the inverse root of its units' share.
+        roots = np.sqrt(self.base)
+        self.group = np.unique((np.cumsum(roots) - roots).astype(np.int64), return_inverse=True)[1].astype(np.int32)
         self.groups = int(self.group[-1]) + 1
         self.first = np.searchsorted(self.group, np.arange(self.groups + 1))  # groups are runs of units
         self.group_base = np.bincount(self.group, self.base, self.groups)
 
 
-class TokenPlaces(dict):
-    """A token's place among the frequent ones, or its hash where it has none; kept for at most
-    ``limit`` tokens."""
-
-    def __init__(self, frequent: np.ndarray, limit: int = 300_000):
-        super().__init__()
-        self.frequent, self.limit = {x: k for k, x in enumerate(frequent.tolist())}, limit
-
-    def __missing__(self, token: bytes) -> int:
-        value = token_hash(token)
-        value = self.frequent.get(value, value)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = value
-        return value
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """Each token's place among the frequent ones, or -1."""
+        if not len(self.h):
+            return np.full(len(tokens), -1)
+        at = self.by_hash[np.minimum(np.searchsorted(self.h, tokens, sorter=self.by_hash), len(self.h) - 1)]
+        return np.where(self.h[at] == tokens, at, -1)
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
     """(h, c): the hash of each distinct token of ``text`` and how often it occurs."""
 
-    def handed(seen: Counter, ends: int) -> pa.RecordBatch:
-        h = np.fromiter(map(token_hash, seen), np.int64, len(seen))
-        c = np.fromiter(seen.values(), np.int64, len(seen))
-        return pa.RecordBatch.from_arrays([pa.array(np.append(h, _END)), pa.array(np.append(c, ends))], ["h", "c"])
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"])
+
+    def handed(parts: list[pa.Table]) -> pa.RecordBatch:
+        tokens, c = summed(parts).columns
+        return pa.RecordBatch.from_arrays([pa.array(token_hashes(tokens.combine_chunks())), c.combine_chunks()], ["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        ends = 0
+        seen: list[pa.Table] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                many = texts(batch.slice(at, 512))
-                ends += len(many)
-                for t in many:
-                    seen.update(words(t))
-                if len(seen) > HELD:
-                    yield handed(seen, ends)
-                    seen, ends = Counter(), 0
-        if ends:
-            yield handed(seen, ends)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.column("text").slice(at, 1024)
+                _, codes, distinct = coded_words(some)
+                ends = pa.table({"token": pa.array([END], distinct.type), "c": pa.array([len(some)], pa.int64())})
+                seen += [pa.table({"token": distinct, "c": pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())}).filter(pc.field("c") > 0), ends]
+                if sum(map(len, seen)) > 2 * HELD:
+                    seen = [summed(seen)]
+                    if len(seen[0]) > HELD:
+                        yield handed(seen)
+                        seen = []
+        if seen:
+            yield handed(seen)
 
     return rows.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -188,7 +195,7 @@ class LogBilinear:
         out = np.zeros((len(contexts), WIDTH), np.float32)
         out[:, DIMENSIONS] = 1
         for k in range(CONTEXT):
-            out[:, :DIMENSIONS] += self.q[contexts[:, k]] * self.p[k]
+            out[:, :DIMENSIONS] += self.q.take(contexts[:, k], 0) * self.p[k]
         return out
 
 
@@ -226,13 +233,22 @@ class Adder:
         return places, out.view(np.float32).reshape(len(places), -1)
 
 
-def _move(value: np.ndarray, square: np.ndarray, places, gradient: np.ndarray) -> None:
+def _put(rows: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+    """Sets whole rows, each as one item."""
+    item = np.dtype((np.void, rows.shape[1] * rows.itemsize))
+    rows.view(item)[places, 0] = values.view(item)[:, 0]
+
+
+def _move(value: np.ndarray, square: np.ndarray, places: np.ndarray, gradient: np.ndarray) -> None:
     """A step along the gradient, shorter for numbers that have moved much."""
-    sums = square[places] + gradient * gradient
-    square[places] = sums
+    sums = square.take(places, 0)
+    sums += gradient * gradient
+    _put(square, places, sums)
+    sums += np.float32(DAMPING)
+    gradient /= np.sqrt(sums, out=sums)
     gradient *= np.float32(RATE)
-    gradient /= np.sqrt(sums + np.float32(DAMPING))
-    value[places] += gradient
+    gradient += value.take(places, 0)
+    _put(value, places, gradient)
 
 
 def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, heads: list[np.ndarray], noise: np.ndarray, shift: np.ndarray, add_q: Adder, add_w: Adder) -> None:
@@ -241,7 +257,7 @@ def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, hea
     the former, its group from the latter. ``shift`` is each row's log expected number among the
     noise. Only rows that occur are moved."""
     size = np.float32(1 / len(contexts))
-    parts = [model.q[contexts[:, k]] for k in range(CONTEXT)]
+    parts = [model.q.take(contexts[:, k], 0) for k in range(CONTEXT)]
     x = np.zeros((len(contexts), WIDTH), np.float32)
     x[:, DIMENSIONS] = 1
     for k, part in enumerate(parts):
@@ -256,16 +272,17 @@ def nce_step(model: LogBilinear, squares: LogBilinear, contexts: np.ndarray, hea
         back = false @ others
         index, gradients = [noise], [false.T @ x]
         for true in heads:
-            rows = model.w[true]
+            rows = model.w.take(true, 0)
             g = size / (1 + np.exp(np.einsum("ij,ij->i", x, rows) - shift[true]))[:, None]
             index.append(true)
             gradients.append(g * x)
-            back += g * rows
+            rows *= g
+            back += rows
     _move(model.w, squares.w, *add_w(np.concatenate(index), np.concatenate(gradients)))
     back = np.ascontiguousarray(back[:, :DIMENSIONS])
     places = np.stack([np.einsum("ij,ij->j", back, part) for part in parts])
     _move(model.q, squares.q, *add_q(contexts.T.ravel(), np.concatenate([back * model.p[k] for k in range(CONTEXT)])))
-    _move(model.p, squares.p, slice(None), places)
+    _move(model.p, squares.p, np.arange(CONTEXT), places)
 
 
 def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -292,8 +309,8 @@ def train_share(batches: Iterable[pa.RecordBatch], v: Vocabulary, start: bytes,
             seen += len(numbers)
             for k in range(0, len(numbers), PIECE):
                 order = k + shuffled.permutation(min(PIECE, len(numbers) - k))
-                words, before = numbers[order].astype(np.int32), contexts[order]
-                groups = v.units + v.group[words]
+                words, before = numbers.take(order).astype(np.int32), contexts.take(order, 0)
+                groups = v.units + v.group.take(words)
                 for j in range(0, len(order), MINIBATCH):
                     here = slice(j, j + MINIBATCH)
                     noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v.units - 1)
@@ -325,7 +342,7 @@ def train_round(coded: DataFrame, vocabulary, parameters, step: int) -> np.ndarr
 
     trained = coded.where(~F.col("held_out")).select("numbers").coalesce(max(1, vocabulary.value.total // SHARE))
     trained = trained.mapInArrow(run, "part int, packed binary, weight double")
-    mean = trained.repartition("part").mapInArrow(add, "part int, packed binary").orderBy("part").toArrow()
+    mean = trained.repartition("part").mapInArrow(add, "part int, packed binary").toArrow().sort_by("part")
     if not mean.num_rows:
         return None
     return np.frombuffer(b"".join(mean["packed"].to_pylist()), np.float32)
@@ -362,9 +379,9 @@ class Scorer:
 
     def _some(self, numbers: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         v, w = self.v, self.model.w
-        group = v.group[numbers]
+        group = v.group.take(numbers)
         predicted = self.model.predict(contexts)
-        out = np.einsum("ij,ij->i", predicted, w[v.units + group])
+        out = np.einsum("ij,ij->i", predicted, w.take(v.units + group, 0))
         for k in range(0, len(out), 2048):
             out[k : k + 2048] -= _log_sums(predicted[k : k + 2048], w[v.units :])
         order = np.argsort(group.astype(np.uint16), kind="stable")
@@ -374,33 +391,33 @@ class Scorer:
             step = max(1, (1 << 20) // len(inside))
             for k in range(ends[g], ends[g + 1], step):
                 at = order[k : min(k + step, ends[g + 1])]
-                x = predicted[at]
-                out[at] += np.einsum("ij,ij->i", x, w[numbers[at]]) - _log_sums(x, inside)
+                x = predicted.take(at, 0)
+                out[at] += np.einsum("ij,ij->i", x, w.take(numbers[at], 0)) - _log_sums(x, inside)
         return out
 
 
-def coded_rows(rows: DataFrame, vocabulary, key: str) -> DataFrame:
+def coded_rows(rows: DataFrame, vocabulary) -> DataFrame:
     """Each row with its id, ``held_out``, ``n_tokens``, ``n_frequent`` (tokens that the broadcast
     counts), ``base`` (their log counts), ``fixed`` (log shares within classes), ``numbers`` (packed
     unit numbers) and its other tokens, ``rare`` and their ``times``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary.value
-        find = worker_state("language model", key, lambda: TokenPlaces(v.h)).__getitem__
-        cut = [words(t) for t in texts(batch)]
-        lengths = np.array([len(x) + 1 for x in cut], np.int64)
+        sizes, codes, distinct = coded_words(batch.column("text"))
+        h = np.append(token_hashes(distinct), _END)
+        lengths = sizes + 1
         starts = np.cumsum(lengths) - lengths
-        found = np.empty(int(lengths.sum()), np.int64)
-        for at, tokens in zip(starts.tolist(), cut, strict=True):
-            found[at : at + len(tokens)] = np.fromiter(map(find, tokens), np.int64, len(tokens))
-        found[starts + lengths - 1] = find(END)
-        counted = (found >= 0) & (found < len(v.h))
-        place = np.where(counted, found, -1)
+        number = np.full(len(codes) + len(sizes), len(h) - 1)  # of the distinct token
+        inside = np.ones(len(number), bool)
+        inside[starts + sizes] = False
+        number[inside] = codes
+        place = v.places(h).take(number)
+        counted = place >= 0
         numbers = v.unit[place]
         base = np.append(np.log(v.c + 0.5), 0.0)[place]  # -1 takes the 0 behind the last
         fixed = np.where(numbers >= v.words, base - np.log(v.denominator) - v.log_base[numbers], 0.0)
         sums = [np.add.reduceat(x, starts) for x in (counted.astype(np.int64), base, fixed)]
-        owner, tokens = np.repeat(np.arange(len(lengths)), lengths)[~counted], found[~counted]
+        owner, tokens = np.repeat(np.arange(len(lengths)), lengths)[~counted], h.take(number[~counted])
         order = np.lexsort((tokens, owner))
         owner, tokens = owner[order], tokens[order]
         first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1]))[: len(owner)])
@@ -414,15 +431,15 @@ def coded_rows(rows: DataFrame, vocabulary, key: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_frequent", "base", "fixed", "numbers", "rare", "times"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    coded = map_batches(rows, run, f"id {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, fixed double, numbers binary, rare array<bigint>, times array<bigint>", 256)
+    coded = map_batches(rows, run, f"id {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, fixed double, numbers binary, rare array<bigint>, times array<bigint>", 1024)
     return coded.withColumn("row", F.monotonically_increasing_id())
 
 
 def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 1, size: int = VOCABULARY, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
-    ``base_score`` and ``score``, in log10. ``size`` is at most 65,536, ``frequent`` a million."""
-    if size > 1 << 16 or frequent > 1 << 20:
-        raise ValueError("unit numbers have 16 bits, places of frequent tokens 20")
+    ``base_score`` and ``score``, in log10. ``size`` is at most 65,536."""
+    if size > 1 << 16:
+        raise ValueError("numbers of units have 16 bits")
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), held_out(id_column, folds, fold).alias("held_out"))
@@ -431,7 +448,7 @@ def log_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", fol
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     vocabulary = Vocabulary(*frequent_tokens(counts, frequent), int(total["n"]), int(total["v"]), size, CLASSES, LEAST)
     shared, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
-    coded = scratch.save(coded_rows(rows, shared, f"{key} places"), "coded")
+    coded = scratch.save(coded_rows(rows, shared), "coded")
 
     learnt: np.ndarray | None = None
     current = LogBilinear(vocabulary).flat()
