@@ -9,10 +9,11 @@ block has at least one half are the main text, in page order.
 The potentials are fitted by gradient ascent on the exact likelihood, with the gradient from the
 same messages. The labelled pages are of two kinds: pages written here from marked templates
 (:func:`template_pages`), and at most ``sample`` pages of the table itself (the first by a hash
-of id and address) that name one article or main element: blocks in it are content, but for those
-whose tag or names tell of a menu, a form, an advert and so on. Each of these pages is used a second
-time with its telling tags replaced by plain ones, so that the model learns from names, text
-and links as well.
+of id and address, of ``longest`` characters at most, as long as they hold ``BLOCKS`` blocks in all;
+these bounds are the driver's) that name one article or main element: blocks in it are content, but
+for those whose tag or names tell of a menu, a form, an advert and so on. Every other of these pages
+is used a second time with its telling tags replaced by plain ones, so that the model learns from
+names, text and links as well.
 
 Null and empty pages, and pages without content, give the empty text; very long pages are read
 whole; broken markup is read as far as it goes. Rows are independent, so repeated rows, null ids
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from rillframe.llm.common import map_batches
 from rillframe.llm.html_tree import Node, parse
 
-SAMPLE = 200
+SAMPLE, LONGEST, BLOCKS = 200, 100_000, 100_000
 FEATURES = 1 << 14
 #: Words that tell what a block is for, in class, id, role or tag.
 BOILERPLATE = frozenset(
@@ -208,10 +209,12 @@ def train(sample: Iterable[str | None]) -> Model:
     for source in template_pages():
         nodes, _ = parse(source)
         pages.append((nodes, [features(x) for x in nodes], _marked(nodes)))
+    left = BLOCKS
     for k, source in enumerate(sample):
         nodes, _ = parse(source or "")
-        labels = weak_labels(nodes) if len(nodes) < 2000 else None
+        labels = weak_labels(nodes) if len(nodes) <= left else None
         if labels is not None:
+            left -= len(nodes)
             pages.append((nodes, [features(x) for x in nodes], labels))
             if k % 2:
                 pages.append((nodes, [features(x, _PLAIN.get(x.tag)) for x in nodes], labels))
@@ -228,12 +231,13 @@ def extract(source: str | None, model: Model) -> str:
     return " ".join(text for at, text in texts if content[at] >= 0.5)
 
 
-def main_texts(df: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_texts(df: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """One row per page: the id, the address, ``text`` and ``n_chars``."""
     rows = df.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     # The bound of what the driver learns from; the places are found without the pages themselves.
-    drawn = rows.where("html IS NOT NULL").select(F.xxhash64("id", "url").alias("draw")).orderBy("draw").limit(sample).distinct()
-    sampled = rows.select("html", F.xxhash64("id", "url").alias("draw")).join(F.broadcast(drawn), "draw").orderBy("draw", "html").limit(sample)
+    fit_to_learn = F.length("html") <= longest
+    drawn = rows.where(fit_to_learn).select(F.xxhash64("id", "url").alias("draw")).orderBy("draw").limit(sample).distinct()
+    sampled = rows.where(fit_to_learn).select("html", F.xxhash64("id", "url").alias("draw")).join(F.broadcast(drawn), "draw").orderBy("draw", "html").limit(sample)
     model = train([r["html"] for r in sampled.select("html").collect()])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

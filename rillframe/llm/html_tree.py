@@ -2,7 +2,10 @@
 
 A forgiving reader of tags: it closes what html lets authors leave open, skips what is never shown
 as text, and assigns every run of text to the block that holds it. Inline elements (links,
-emphasis and the like) aren't nodes; how much of a block's text stands in links is noted.
+emphasis, formulas and the like) aren't nodes; how much of a block's text stands in links is noted.
+What is skipped reaches to its end tag; without one a script or style takes the rest of the page,
+of anything else only the start tag is skipped. Reading takes time in proportion to the page,
+however deep its blocks are nested.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ import re
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "xmp", "noembed", "noframes")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of formulas, which are inline too.
+FORMULA = frozenset("math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mpadded mphantom menclose merror".split())
 #: What an opening tag closes, up to the nearest of the second set.
 _CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -27,6 +32,8 @@ _CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "body": (frozenset({"head"}), frozenset()),
 }
 _SCOPE = frozenset({"table", "td", "th", "button", "object"})
+#: Parts of a table: their end tags close whatever is open within the table.
+_PARTS = frozenset({"table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"})
 
 
 class Node:
@@ -57,6 +64,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node(-1, "#root", [], 0)]
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open blocks
+    open_at: dict[str, list[int]] = {}  # by tag, where in the stack blocks of it are open
+    endless: set[str] = set()  # skipped elements that have no further end tag
     links = 0  # open links
     run: list[str] = []
     linked = 0
@@ -74,13 +83,12 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         run, linked = [], 0
 
     def close(names: frozenset[str] | set[str], scope: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+        """Closes the innermost open block of the names unless one of the scope lies within it."""
+        innermost = max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+        if innermost and innermost >= max((open_at[x][-1] for x in scope if open_at.get(x)), default=0):
+            flush()
+            while len(stack) > innermost:
+                open_at[stack.pop()[0]].pop()
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -106,17 +114,24 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 links = max(0, links - 1)
             elif tag == "br":
                 run.append(" ")
-            elif tag not in INLINE:
-                close({tag}, _SCOPE - {tag})
+            elif tag not in INLINE and tag not in FORMULA:
+                close({tag}, ({"table"} if tag in _PARTS else _SCOPE) - {tag})
             continue
         if tag in _RAW:
-            end = _RAW[tag].search(source, at)
-            at = end.end() if end else size
+            if tag == "svg" and m[3].rstrip().endswith("/"):
+                continue
+            end = None if tag in endless else _RAW[tag].search(source, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = size
+            else:
+                endless.add(tag)
             continue
         if tag == "a":
             links += 1
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in FORMULA:
             continue
         if tag == "br":
             run.append(" ")
@@ -133,6 +148,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes.append(Node(stack[-1][1], tag, names, len(stack), mark))
         links = 0
         if not m[3].endswith("/") or tag not in ("path", "rect"):
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append((tag, len(nodes) - 1))
     flush()
     for node in reversed(nodes):

@@ -225,9 +225,68 @@ def test_pipeline(spark, sf_dir):
             assert len(texts) == len(set(texts))
         before = after
     assert corpus_pipeline.run(spark, sf_dir).count() == before.count()
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0)], docs.schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, sf_dir).count() >= 0
+
+
+@pytest.fixture(scope="module")
+def schema(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+
+
+def test_pipeline_odd_rows(spark, sf_dir, schema):
+    """Nulls, empty texts, ties, repeated rows and ids, and a very long text, through every stage."""
+    long = " ".join(f"w{k}" for k in range(60_000))
+    some = " ".join(f"plain{k}" for k in range(40))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "   ", "en", "a", 3), (3, long, "en", "a", len(long)), (4, some, "en", None, 9), (4, some, "en", None, 9), (4, some + " more", "en", None, 9), (5, some.replace("plain", "other"), "de", "b", 9), (None, "a row without an id", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert Counter(map(tuple, clean.collect())) == Counter(rows)
+    once = corpus_pipeline.drop_copies(spark, clean, sf_dir)
+    # The null text, the empty one and the blanks are equal: the longest stays.
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter([(2, "   "), *{(r[0], r[1]) for r in rows[3:]}])
+    near = corpus_pipeline.drop_near_copies(spark, once, sf_dir)
+    left = {(r.doc_id, len(r.text)) for r in near.collect()}
+    assert {(2, 3), (3, len(long)), (5, len(rows[7][1])), (None, len(rows[8][1]))} < left and len(left) == 5
+    mixed = corpus_pipeline.mix_sources(spark, near, sf_dir).collect()
+    sizes = {r.doc_id: len(r.text.split()) for r in near.collect()}
+    taken = Counter()
+    for r in mixed:
+        taken[r.doc_id] += len(r.text.split())
+    assert all(n <= 2 * sizes[i] for i, n in taken.items()) and abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 128
+    coded = corpus_pipeline.encode(spark, spark.createDataFrame(mixed, schema), sf_dir).collect()
+    assert Counter(r.decoded_sha256 for r in coded) == Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in mixed)
+
+
+def test_pipeline_without_rows(spark, sf_dir, schema):
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
+
+
+def test_pipeline_columns_of_other_names(spark, sf_dir, schema):
+    """Columns beyond those of the documents pass through the filtering stages, whatever their names."""
+    rows = [(k, f"text number {k} " + " ".join(f"v{k}x{j}" for j in range(30)), "en", "a", 5, f"own{k}", k, "z", 1.5, True, "s") for k in range(20)]
+    extra = ["id", "row", "keep", "component_id", "score", "kept", "size"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    docs = spark.createDataFrame([r[:5] + (r[5], r[6], r[7], r[6], r[8], r[9], r[6]) for r in rows], f"{fields}, id string, row bigint, keep string, component_id bigint, score double, kept boolean, size bigint")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, docs.collect()))
+    assert set(corpus_pipeline.mix_sources(spark, docs, sf_dir).columns) >= {*schema.names, *extra}
+
+
+def test_mixed_long_text_is_split_once(spark):
+    """Twice the words take about twice the time, also where a text is taken in parts."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(n)), "ab"[k % 2]) for k in range(2)], "doc_id bigint, text string, source string")
+        began = time.perf_counter()
+        mixing.mixed_documents(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < seconds(20_000) + 20
 
 
 def test_pipeline_tells_repeated_rows_apart(spark, sf_dir):

@@ -105,6 +105,68 @@ def test_secret_structures():
     assert kinds("") == [] and kinds("a" * 31) == []
 
 
+_ALNUM = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _plain_base_spans(text):
+    """The base kinds by hand, a character at a time."""
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def ascii_lower(x):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+
+    def assignment(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if ascii_lower(text[at : at + len(name)]) == name:
+                k = at + len(name)
+                k += k < len(text) and text[k] in "\"'"
+                k = run(k, " ")
+                if k < len(text) and text[k] in ":=":
+                    k = run(k + 1, " ")
+                    k += k < len(text) and text[k] in "\"'"
+                    end = run(k, _ALNUM | set("+/_.=-"))
+                    if end > k:
+                        return end, end - k >= 8
+        return None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else 0
+        return (end, end - at >= 16) if end > at + 4 else None
+
+    def digits(at):
+        end = run(at, set("0123456789abcdef"))
+        return (end, end - at >= 32) if end > at else None
+
+    out = []
+    for kind, match in (("assign", assignment), ("access", access), ("hex", digits)):
+        at = 0
+        while at < len(text):
+            found = match(at)
+            if found and found[1]:
+                out.append((kind, at, found[0]))
+            at = found[0] if found else at + 1
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secret_base_kinds_match_a_plain_scan(docs, odd):
+    rng = np.random.default_rng(12)
+    pieces = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "ſecret", "toKen", '"', "'", " ", "  ", ":", "=", "abcdefgh", "Ab+/_.=-9", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "DEADBEEF", "é", "\n", "\t"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 14))) for _ in range(4000)] + [text_of(r) for df in (docs, odd) for r in df.select("text").collect()]
+    for text in texts:
+        assert [x for x in secrets.scan(text) if x[0] in secrets.BASE_KINDS] == _plain_base_spans(text), text
+
+
+def test_secret_spans_do_not_depend_on_other_words():
+    token = "eyJhbGciOiJ4In0.e30."
+    assert secrets.scan(token) == secrets.scan(f"{token} {'a' * 5}x{'y' * 30}") == [("jwt", 0, len(token))]
+    der = bytes([0x30, 14, 0x02, 1, 1, 0x02, 1, 2, 0x04, 6]) + bytes(range(6))
+    assert {k for k, _, _ in secrets.scan(base64.b64encode(der).decode())} == {"der"}
+
+
 def test_secret_query(odd, nothing):
     got = secrets.find_secrets(odd).collect()
     assert len(got) == odd.count() and secrets.find_secrets(nothing).count() == 0
@@ -222,6 +284,49 @@ def test_html():
         assert isinstance(html_content.extract(source, model), str)
 
 
+def test_html_reads_on_after_what_it_skips():
+    model = html_content.train([])
+    text = " ".join(["Some words, enough to be a paragraph of text that goes on here."] * 6)
+    shell = '<html><body><nav><ul><li><a href="#">Home</a></li></ul></nav><article><h1>Title here</h1><p>{}</p><p>Another paragraph of some words, which is long enough.</p></article><footer>me</footer></body></html>'
+    for inner, want in (
+        ('<svg viewBox="0 0 1 1"/>' + text, text),
+        ("<svg><text>no</text></svg>" + text, text),
+        ("<textarea>" + text, text),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math> " + text, "x=1 " + text),
+        ("<noscript>no</noscript>" + text, text),
+    ):
+        assert html_content.extract(shell.format(inner), model) == f"Title here {want} Another paragraph of some words, which is long enough."
+
+
+def test_html_deep_and_long_pages():
+    import time
+
+    model = html_content.train([])
+    paragraph = "<p>Some words, enough to be a paragraph of text here.</p>"
+    began = time.process_time()
+    deep = html_content.extract("<div>" * 100_000 + paragraph, model)
+    broken = html_content.extract("<svg>" * 50_000 + paragraph, model)
+    assert isinstance(deep, str) and isinstance(broken, str)
+    long = html_content.extract(f'<html><body><nav><ul><li><a href="#">Home</a></li></ul></nav><article><h1>Head</h1>{paragraph * 30_000}</article></body></html>', model)
+    assert len(long) == len("Head") + 30_000 * (len(paragraph[3:-4]) + 1)
+    assert time.process_time() - began < 60
+
+
+def test_html_close_matches_a_walk_up_the_stack():
+    from rillframe.llm.html_tree import parse
+
+    nodes, texts = parse("<ul><li>a<li>b<ul><li>c</ul>d</ul><p>e<table><tr><td><p>f<td>g</table>h<div>i<p>j</div>k")
+    assert [(nodes[at].tag, text) for at, text in texts] == [("li", "a"), ("li", "b"), ("li", "c"), ("li", "d"), ("p", "e"), ("p", "f"), ("td", "g"), ("#root", "h"), ("div", "i"), ("p", "j"), ("#root", "k")]
+
+
+def test_html_odd_rows(spark):
+    page = '<html><body><nav><ul><li><a href="#">Home</a></li></ul></nav><article><p>Words enough, to be a paragraph of text.</p></article></body></html>'
+    rows = [(1, "u", page, "clash", "clash")] * 3 + [(None, None, page, None, None), (2, "u", "x" * 200_000, None, None)]
+    got = html_content.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars string")).collect()
+    assert Counter((r.page_id, r.text) for r in got if r.page_id != 2) == {(1, "Words enough, to be a paragraph of text."): 3, (None, "Words enough, to be a paragraph of text."): 1}
+    assert len(got) == 5
+
+
 def test_html_marginals_are_exact():
     """Against the sum over all states of a small tree."""
     import itertools
@@ -309,6 +414,20 @@ def test_language_model_step_follows_the_gradient():
         assert (objective(up) - objective(down)) / 2e-3 == pytest.approx(slopes[at], rel=0.03, abs=2e-4)
 
 
+def test_words_are_cut_alike(odd):
+    from rillframe.llm import common
+
+    texts = ["  A b\tÄ\x0bc ", None, "", " ", "x", "a\xa0b \u2003 q\x1cz", "É" * 70] + [r.text for r in odd.collect()]
+    column = pa.array(["behind", *texts])[1:]
+    sizes, codes, distinct = common.coded_words(column)
+    flat, at = [distinct[int(k)].as_py() for k in codes], 0
+    for t, n in zip(texts, sizes, strict=True):
+        assert [w.encode() for w in flat[at : at + n]] == common.words(t or "")
+        at += n
+    h = language_model.token_hashes(pa.array(["", "a", "b", "ab", "ba", "x" * 65, "x" * 66, "é", "aa"])[1:])
+    assert len(set(h.tolist())) == 8 and h[0] == language_model.token_hashes(pa.array(["a"]))[0]
+
+
 def test_language_model_frequent_tokens(spark):
     rng = np.random.default_rng(6)
     c = rng.zipf(1.2, 3000).clip(max=10**9)
