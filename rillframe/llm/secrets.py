@@ -42,8 +42,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # greedy, so the same as whole runs of 32 o
 _ANY_HEX = re.compile(r"(?:0[xX])?((?:[0-9A-Fa-f]{2})+)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]+)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-_SHORTEST = 24  # characters of the shortest candidate that is decoded
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
+_SHORTEST = 22  # characters, without padding, of the shortest key encoding and so of any candidate
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ssh-ed448", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -154,11 +154,11 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += (("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16)
     if "-----BEGIN " in text:
         found += (("pem", *m.span()) for m in _PEM.finditer(text) if _armoured(m[2]))
-    # No pattern below matches across white space, so texts of short words alone need no search.
+    if "eyJ" in text:
+        found += (("jwt", *m.span()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2]))
+    # No pattern below matches across white space or less than this, so texts of short words alone need no search.
     if max(map(len, text.split()), default=0) >= _SHORTEST:
         found += (("hex", *m.span()) for m in _HEX.finditer(text))
-        if "eyJ" in text:
-            found += (("jwt", *m.span()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2]))
         for m in _RUN.finditer(text):
             data = decode_base64(m[0])
             digits = _ANY_HEX.fullmatch(m[0])
