@@ -4,10 +4,11 @@ Texts are equal when they are identical after blanks and the controls 9 to 13 ha
 dealt out by range: Spark samples splitters over the first characters of the normalised text, its
 digest and the row's id, keys of bounded size, so that the splitters the driver holds are small
 however long the texts. The id in the key lets a large group of copies span many partitions.
-Within a partition an external sort puts equal texts side by side, the row to keep first, and
-each row is compared in full with its neighbour. Groups inside a partition are then complete; the
-first and the last group of each partition, two at most, may go on next door and are put together
-by digest through a broadcast of these few rows.
+Within a partition an external sort by these keys and then by the whole normalised text puts equal
+texts side by side, the row to keep first, and each row is compared in full with its neighbour.
+Groups inside a partition are then complete; the first and the last group of each partition, two at
+most, may go on next door: one text of each is kept, these texts are compared in full, and what they
+come to is joined back, by a broadcast up to ``EDGES`` such groups and by a merge join beyond.
 
 Null texts count as empty; empty texts are equal to one another. Of equal texts the row with the
 most code points in the original text stays, then the smallest id, a null id counting as the
@@ -30,6 +31,8 @@ from rillframe.llm.common import Scratch
 
 #: Characters of the normalised text in the range key.
 PREFIX = 24
+#: Groups at partitions' ends up to which they are broadcast.
+EDGES = 20_000
 
 
 def normalised(column):
@@ -44,19 +47,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     held: pa.Table | None = None  # the run that may go on
     last: pa.Scalar | None = None  # its text
-    first_run = True
+    first: pa.Scalar | None = None  # the text of the partition's first run, until that is handed on
+    runs = 0
 
-    def closed(rows: pa.Table, starts: np.ndarray, edges: tuple[bool, bool]) -> list[pa.RecordBatch]:
+    def closed(rows: pa.Table, starts: np.ndarray, at_end: bool) -> list[pa.RecordBatch]:
+        nonlocal first, runs
         heads = np.flatnonzero(starts)
         run = np.cumsum(starts) - 1
-        sizes = np.bincount(run)
-        edge = np.zeros(len(heads), bool)
-        edge[0] |= edges[0]
-        edge[-1] |= edges[1]
+        text: list[str | None] = [None] * len(heads)
+        if at_end:
+            text[-1] = last.as_py()
+        if first is not None:
+            text[0], first = first.as_py(), None
+        edge = np.array([t is not None for t in text])
+        kept = pa.array(text, pa.string()).take(pa.array(np.where(starts, run, -1), mask=~starts.astype(bool)))  # with the heads alone
         best = rows.take(pa.array(heads[run]))
-        columns = [rows["id"], best["id"], best["n_chars"], pa.array(sizes[run]), rows["sha"], pa.array(edge[run]), pa.array(starts.astype(bool)), pa.array(np.full(len(run), part, np.int32))]
+        columns = [rows["id"], best["id"], best["n_chars"], pa.array(np.bincount(run)[run]), rows["sha"], pa.array(edge[run]), kept, pa.array(starts.astype(bool)), pa.array(np.full(len(run), part, np.int32)), pa.array(runs + run)]
+        runs += len(heads)
         carried = [x for x in rows.column_names if x == "row"]
-        return pa.Table.from_arrays([*columns, *(rows[x] for x in carried)], ["id", "keep", "keep_chars", "size", "sha", "edge", "head", "part", *carried]).combine_chunks().to_batches()
+        return pa.Table.from_arrays([*columns, *(rows[x] for x in carried)], ["id", "keep", "keep_chars", "size", "sha", "edge", "text", "head", "part", "run", *carried]).combine_chunks().to_batches()
 
     for batch in batches:
         if not batch.num_rows:
@@ -64,7 +73,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norm = batch.column("norm")
         starts = np.ones(batch.num_rows, bool)
         starts[1:] = ~pc.equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
-        if last is not None:
+        if last is None:
+            first = norm[0]
+        else:
             starts[0] = last.as_py() != norm[0].as_py()
         names = [x for x in batch.schema.names if x != "norm"]
         rows = pa.Table.from_batches([batch.select(names)])
@@ -74,11 +85,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = norm[-1]
         cut = int(np.flatnonzero(starts)[-1])
         if cut:
-            yield from closed(rows.slice(0, cut), starts[:cut], (first_run, False))
-            first_run = False
+            yield from closed(rows.slice(0, cut), starts[:cut], False)
         held = rows.slice(cut)
     if held is not None:
-        yield from closed(held, np.arange(held.num_rows) == 0, (True, True))
+        yield from closed(held, np.arange(held.num_rows) == 0, True)
 
 
 def sort_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -88,22 +98,28 @@ def sort_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", ro
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(id_column).alias("id"), F.length(body).alias("n_chars"), normalised(body).alias("norm"), *([F.col(row).alias("row")] if row else []))
     rows = rows.select("*", F.substring("norm", 1, PREFIX).alias("prefix"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
-    ordered = rows.repartitionByRange("prefix", "sha", "id").sortWithinPartitions("prefix", "sha", F.desc("n_chars"), F.asc_nulls_first("id"))
+    ordered = rows.repartitionByRange("prefix", "sha", "id").sortWithinPartitions("prefix", "sha", "norm", F.desc("n_chars"), F.asc_nulls_first("id"))
     kind = rows.schema["id"].dataType.simpleString()
     carried = ["row"] if row else []
     own = f", row {rows.schema['row'].dataType.simpleString()}" if row else ""
-    found = ordered.select("id", "n_chars", "sha", "norm", *carried).mapInArrow(_runs, f"id {kind}, keep {kind}, keep_chars int, size bigint, sha string, edge boolean, head boolean, part int{own}")
+    found = ordered.select("id", "n_chars", "sha", "norm", *carried).mapInArrow(_runs, f"id {kind}, keep {kind}, keep_chars int, size bigint, sha string, edge boolean, text string, head boolean, part int, run bigint{own}")
     found = scratch.save(found, "runs")
-    # Two rows a partition at most, which is what bounds the broadcast.
-    edges = found.where("edge AND head").groupBy("sha").agg(F.min(F.struct(-F.col("keep_chars"), F.col("keep"), F.col("part"))).alias("best"), F.sum("size").alias("all_size"))
-    edges = edges.select(F.col("sha").alias("edge_sha"), "all_size", F.col("best.keep").alias("all_keep"), F.col("best.part").alias("all_part"))
-    out = found.join(F.broadcast(edges), (F.col("sha") == F.col("edge_sha")) & F.col("edge"), "left")
-    merged = F.col("all_size").isNotNull()
+
+    ends = found.where("edge AND head").select("part", "run", "sha", "text", "keep", "keep_chars", "size")
+    order = F.struct(-F.col("keep_chars"), "keep", "part")
+    groups = ends.groupBy("sha", "text").agg(F.min(order).alias("best"), F.sum("size").alias("all_size"))
+    edges = ends.select("part", "run", "sha", "text").join(groups, ["sha", "text"]).select("part", "run", "all_size", F.col("best.keep").alias("all_keep"), F.col("best.part").alias("all_part"))
+    edges = scratch.save(edges, "edges")
+    edges = F.broadcast(edges) if edges.count() <= EDGES else edges.hint("merge")
+    first = F.col("head") & (F.col("part") == F.col("all_part")) & F.col("keep").eqNullSafe(F.col("all_keep"))
+    merged = found.where("edge").join(edges, ["part", "run"]).select("id", F.col("all_keep").alias("keep"), F.col("all_size").alias("size"), first.alias("kept"), "sha", *carried)
+    whole = found.where("NOT edge").select("id", "keep", "size", F.col("head").alias("kept"), "sha", *carried)
+    out = whole.unionByName(merged)
     return out.select(
         F.col("id").alias(id_column),
-        F.when(merged, F.col("all_keep")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce("all_size", "size").alias("group_size"),
-        (F.col("head") & (~merged | ((F.col("part") == F.col("all_part")) & F.col("keep").eqNullSafe(F.col("all_keep"))))).alias("kept"),
+        F.col("keep").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        "kept",
         F.col("sha").alias("text_sha256"),
         *([F.col("row").alias(row)] if row else []),
     )
