@@ -32,13 +32,16 @@ _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 214748354
 _WIDE = 1 << 31
 
 
-def word_sizes(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, buckets: int = 1024, row: str | None = None) -> DataFrame:
+#: Rows of a bucket, about, where a table has more than this for each of ``BUCKETS``; slots that a task numbers.
+BUCKET_ROWS, BUCKETS, TASK_SLOTS = 100_000, 1024, 1 << 18
+
+
+def word_sizes(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, row: str | None = None) -> DataFrame:
     """id, source, number of words, the row's place in the pseudorandom order, and ``row``: the
     column that tells rows apart where there is one, else a number given here."""
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
     order = F.xxhash64(F.lit(seed), F.col(id_column).cast("string"))
-    rows = df.select(F.col(id_column).alias("id"), F.col(source).alias("source"), size.alias("size"), order.alias("place"), F.monotonically_increasing_id().alias("row") if row is None else F.col(row).alias("row"))
-    return rows.select("*", F.pmod("place", F.lit(buckets)).alias("bucket"))
+    return df.select(F.col(id_column).alias("id"), F.col(source).alias("source"), size.alias("size"), order.alias("place"), F.monotonically_increasing_id().alias("row") if row is None else F.col(row).alias("row"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -59,7 +62,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: flo
 
 def pieces(sizes: DataFrame, plan: DataFrame, block: int = 64) -> DataFrame:
     """Which words of which document lie in which block: row, s, block, ``start`` within the
-    document and ``n`` words."""
+    document and ``n`` words. Buckets are as many as keep them small."""
+    sizes = sizes.withColumn("bucket", F.pmod("place", F.lit(max(BUCKETS, sizes.count() // BUCKET_ROWS))))
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     base = (F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")) - F.col("sum")).alias("base")
     sums = sums.select(F.col("source").alias("from_source"), F.col("bucket").alias("from_bucket"), base)
@@ -84,12 +88,14 @@ def slots(plan: DataFrame, block: int = 64, slots_per_shard: int = 16_384, seed:
     per = per.withColumn("slots", F.col("passes") * F.col("blocks") + F.least(rest, F.col("full"))).where("slots > 0")
     per = per.withColumn("shards", F.ceil(F.sum("slots").over(whole) / slots_per_shard)).select("s", "blocks", "full", "passes", "slots", "shards")
 
-    chunk = slots_per_shard  # a source's slots are drawn in chunks, each a row, which are dealt to all tasks
-    chunks = per.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {chunk}"))).alias("chunk")).repartition("s", "chunk")
+    # A source's slots are drawn in chunks, each a row, which are dealt to tasks whose number is fixed
+    # here: by the size of these few rows Spark would put them into one.
+    chunk, tasks = slots_per_shard, (per.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]) // TASK_SLOTS + 1
+    chunks = per.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {chunk}"))).alias("chunk")).repartition(tasks, "s", "chunk")
     draws = chunks.select("s", "blocks", "full", "passes", "shards", F.explode(F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("slots")) - 1)).alias("draw"))
     counts = draws.groupBy("s", "blocks", "full", "passes", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "s", "draw"), F.col("shards")).alias("shard")).agg(F.count("*").alias("n"))
     first = F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")
-    drawn = counts.select("s", "blocks", "full", "passes", "shard", "n", first.alias("first")).repartition("s", "shard")
+    drawn = counts.select("s", "blocks", "full", "passes", "shard", "n", first.alias("first")).repartition(tasks, "s", "shard")
     numbered = drawn.select("s", "blocks", "full", "passes", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     # A pass that takes a part of the source is over its full blocks alone, so that it takes its due.
     numbered = numbered.select("shard", "s", "slot", F.expr("least(slot div blocks, passes)").alias("pass"), "blocks", "full", "passes")
@@ -135,7 +141,8 @@ def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     taken = taken.join(mix.sizes.select("row", "size"), "row").select(F.col("row").alias("of_row"), "parts", (F.col("taken") >= F.col("size")).alias("all"))
     rows = df.join(taken, F.col(row) == F.col("of_row"))
     tokens = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(tokens, p["start"].cast("int") + 1, p["n"].cast("int")))), " ")
+    # The words are an array's one element, so that a row is split once and not for each of its parts.
+    some = F.transform(F.array(tokens), lambda words: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["start"].cast("int") + 1, p["n"].cast("int")))), " "))[0]
     return rows.withColumn(text, F.when(F.col("all"), F.col(text)).otherwise(some)).select(*df.columns)
 
 
