@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillframe.plans.scratch import Scratch
 
-__all__ = ["Scratch", "coded_words", "held_out", "map_batches", "texts", "words", "worker_state"]
+__all__ = ["Scratch", "coded_words", "held_out", "map_batches", "texts", "word_hashes", "words", "worker_state"]
 
 _states: dict[str, dict] = {}
 
@@ -70,3 +71,23 @@ def coded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     kept = codes != coded.dictionary.index("").as_py()  # what stands before a leading or behind a trailing blank
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     return np.diff(np.append(0, np.cumsum(kept))[offsets]), codes[kept], coded.dictionary
+
+
+#: A random number for each byte at each of a word's first places.
+_NUMBERS = np.random.default_rng(20_240_503).integers(0, 1 << 64, (64, 256), np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Signed 64-bit hashes: sums of the numbers of a word's bytes, and another hash for words
+    that are longer than there are numbers."""
+    words = words.cast(pa.string())
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    place = np.minimum(np.arange(len(data)) - np.repeat(starts, lengths), len(_NUMBERS) - 1)
+    numbers = np.append(_NUMBERS.ravel().take(place * 256 + data), np.uint64(0))
+    out = np.where(lengths > 0, np.add.reduceat(numbers, starts), np.uint64(0)) + lengths.astype(np.uint64)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    for k in np.flatnonzero(lengths > len(_NUMBERS)):
+        out[k] = xxhash.xxh3_64_intdigest(words[k].as_py())
+    return out.view(np.int64)

@@ -34,11 +34,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, coded_words, held_out, map_batches, worker_state
+from rillframe.llm.common import Scratch, coded_words, held_out, map_batches, word_hashes, worker_state
 
 #: Words and classes that have vectors, at most; a word occurs ``LEAST`` times at least.
 VOCABULARY, CLASSES, LEAST = 65_536, 16, 10
@@ -61,27 +60,7 @@ HELD = 400_000
 END = " end"
 
 
-#: A random number for each byte at each of a token's first places.
-_NUMBERS = np.random.default_rng(20_240_503).integers(0, 1 << 64, (64, 256), np.uint64)
-
-
-def token_hashes(tokens: pa.Array) -> np.ndarray:
-    """Signed 64-bit hashes: sums of the numbers of a token's bytes, and another hash for tokens
-    that are longer than there are numbers."""
-    tokens = tokens.cast(pa.string())
-    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
-    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
-    place = np.minimum(np.arange(len(data)) - np.repeat(starts, lengths), len(_NUMBERS) - 1)
-    numbers = np.append(_NUMBERS.ravel().take(place * 256 + data), np.uint64(0))
-    out = np.where(lengths > 0, np.add.reduceat(numbers, starts), np.uint64(0)) + lengths.astype(np.uint64)
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    for k in np.flatnonzero(lengths > len(_NUMBERS)):
-        out[k] = xxhash.xxh3_64_intdigest(tokens[k].as_py())
-    return out.view(np.int64)
-
-
-_END = token_hashes(pa.array([END]))[0]
+_END = word_hashes(pa.array([END]))[0]
 
 
 class Vocabulary:
@@ -131,7 +110,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
 
     def handed(parts: list[pa.Table]) -> pa.RecordBatch:
         tokens, c = summed(parts).columns
-        return pa.RecordBatch.from_arrays([pa.array(token_hashes(tokens.combine_chunks())), c.combine_chunks()], ["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(word_hashes(tokens.combine_chunks())), c.combine_chunks()], ["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[pa.Table] = []
@@ -404,7 +383,7 @@ def coded_rows(rows: DataFrame, vocabulary) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary.value
         sizes, codes, distinct = coded_words(batch.column("text"))
-        h = np.append(token_hashes(distinct), _END)
+        h = np.append(word_hashes(distinct), _END)
         lengths = sizes + 1
         starts = np.cumsum(lengths) - lengths
         number = np.full(len(codes) + len(sizes), len(h) - 1)  # of the distinct token

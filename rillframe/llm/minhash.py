@@ -31,11 +31,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, map_batches, texts, words, worker_state
+from rillframe.llm.common import Scratch, coded_words, map_batches, word_hashes
 from rillframe.llm.components import components
 
 SIDE, HALF = 12, 4
@@ -44,35 +43,16 @@ BLOCK, SETS, CHOSEN, MEETING = 100_000, 512, 16, 32
 _SEED = 20_240_501
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for at most ``limit`` words."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str, width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles of ``width`` words."""
-    tokens = words(text)
-    if not tokens:
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of ``width`` words of a text with these word hashes."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    known = worker_state("minhash", "words", WordHashes)
-    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     n = max(1, len(h) - width + 1)
     used = min(width, len(h))
     out = np.full(n, used, np.uint64)  # shorter sequences can't equal shingles
@@ -81,6 +61,14 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The set of shingles of each text of a column."""
+    sizes, codes, distinct = coded_words(column)
+    h = word_hashes(distinct).view(np.uint64).take(codes)
+    ends = np.cumsum(sizes)
+    return [shingles(h[end - n : end], width) for end, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 def _multipliers(side: int, half: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(_SEED)
     return draw.integers(1, 1 << 63, 2 * side * half, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, 2 * side * half, dtype=np.uint64)
@@ -108,7 +96,7 @@ def signatures(df: DataFrame, id_column: str, text: str, width: int, side: int =
     """id, number of shingles, class (a digest of the set, null if empty) and half keys."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in texts(batch)]
+        sets = sets_of(batch.column("text"), width)
         full = [k for k, s in enumerate(sets) if len(s)]
         keys: list = [None] * len(sets)
         if full:
@@ -130,7 +118,7 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
     """The class and the whole set, as sorted packed hashes, of texts that have one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.tobytes() for s in (shingles(t, width) for t in texts(batch)) if len(s)]
+        sets = [s.tobytes() for s in sets_of(batch.column("text"), width) if len(s)]
         return pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class", "set"])
 
     return map_batches(df.select("text"), run, "class binary, set binary", 256)
