@@ -51,19 +51,57 @@ def observed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, Observat
     return df.observe(seen, F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most")), seen
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int, replace: bool = False) -> DataFrame:
-    return df.sample(replace, fraction, seed)
+def draw(seed: int, *key: str) -> Column:
+    """32 random bits of a seed and a key, by a digest that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in key])), 1, 8), 16, 10).cast("bigint")
+
+
+def sample_fraction(df: DataFrame, fraction: float, seed: int, replace: bool = False, key: list[str] | None = None) -> DataFrame:
+    """Each row with a chance of ``fraction``; by the draw of a key where one is given, which makes
+    the sample the same whatever the partitions."""
+    return df.where(draw(seed, *key) < int(fraction * (1 << 32))) if key else df.sample(replace, fraction, seed)
 
 
 def sample_size(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows by a hash of the key: repeatable whatever the partitions; every task hands on
+    """``n`` rows by the draw of the key: repeatable whatever the partitions; every task hands on
     ``n`` rows at most."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(draw(seed, key), key).limit(n)
+
+
+def percentiles(df: DataFrame, value: str, fractions: list[float], by: list[str] | None = None, accuracy: int = 2000) -> DataFrame:
+    """Exact percentiles with linear interpolation, a row for each group with ``p0``, ``p1``, ... and
+    the count ``n``; nulls don't count.
+
+    A sketch gives for each fraction two values between which its ranks surely lie. One more pass
+    counts what lies below and gathers the distinct values between, about one in ``accuracy / 4``
+    of the rows, so no task ever holds a group's values, as Spark's own exact percentile does.
+    """
+    by = by or []
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    margin = 2.0 / accuracy
+    marks = [min(max(f + s * margin, 0.0), 1.0) for f in fractions for s in (-1, 1)]
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", F.array(*map(F.lit, marks)), accuracy).alias("_a"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.count("*").alias("n"))
+    low = lambda k: F.when(F.lit(marks[2 * k] == 0.0), F.col("_least")).otherwise(F.col("_a")[2 * k])
+    high = lambda k: F.when(F.lit(marks[2 * k + 1] == 1.0), F.col("_most")).otherwise(F.col("_a")[2 * k + 1])
+    spans = F.broadcast(sketch) if not by else sketch  # without groups it is one row
+    bounds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low(k).alias("low"), high(k).alias("high"), (F.lit(f) * (F.col("n") - 1)).alias("rank")) for k, f in enumerate(fractions)])).alias("_b")
+    spans = spans.select(*by, "n", bounds).select(*by, "n", "_b.*")
+    joined = rows.join(spans, by) if by else rows.crossJoin(spans)
+    # Values below are counted, those between kept apart; what lies above adds nothing.
+    counted = joined.where(F.col("_v") <= F.col("high")).groupBy(*by, "k", "n", "rank", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("_v"))
+    placed = counted.withColumn("end", F.sum("c").over(upto)).where(F.col("_v").isNotNull())
+    first = F.floor("rank")
+    at = lambda r: F.min(F.when(F.col("end") > r, F.col("_v")))
+    ranked = placed.groupBy(*by, "k", "n", "rank").agg(at(first).alias("a"), at(F.least(first + 1, F.col("n") - 1)).alias("b"))
+    found = ranked.withColumn("p", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - first))
+    return found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{k}") for k in range(len(fractions))])
 
 
 def energy_kwh(load: Column, seconds: Column) -> Column:
-    """Energy of loads in watts over durations in seconds, summed up, in kilowatt hours."""
-    return F.sum(load * seconds) / 3_600_000
+    """Energy of loads in watts over durations in seconds, summed up, in kilowatt hours. Exact for
+    decimals; sums of doubles depend on their order in the last places."""
+    return F.sum(load * seconds).cast("double") / 3_600_000
 
 
 def deviation_ratio(column: Column) -> Column:

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; beyond, rules are joined like any table.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a side may be broadcast; beyond, rules are joined like any table.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def windowed_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, size: str, slide: str | None = None) -> DataFrame:
@@ -52,10 +52,11 @@ def bucketed_interval_join(left: DataFrame, right: DataFrame, key: str, left_ts:
     return joined.where((late >= 0) & (late <= seconds * 1_000_000)).drop("_bucket")
 
 
-def join_rules(df: DataFrame, rules: DataFrame, on: Column | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def join_rules(df: DataFrame, rules: DataFrame, on: Column | list[str], how: str = "inner", most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Joins a table of rules that every task needs. It is broadcast only if it has ``most`` rows
-    at most, which is checked; else the join is a shuffled one."""
-    small = rules.limit(most + 1).count() <= most
+    and ``most_bytes`` bytes (as JSON) at most, which is checked; else the join is a shuffled one."""
+    size = rules.limit(most + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rules.columns)))), F.lit(0)).alias("bytes")).first()
+    small = size["rows"] <= most and size["bytes"] <= most_bytes
     return df.join(F.broadcast(rules) if small else rules, on, how)
 
 

@@ -2,29 +2,99 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Features by kind of operator (fixed names).
+from rillframe.operators.aggregates import draw, percentiles
+from rillframe.operators.ranking import numbered
+
+#: Features of every operator, of all but sources, and by kind (fixed names).
+COMMON = ["tupleWidthOut", "parallelism", "component"]
+INNER = ["tupleWidthIn", "avgRealSelectivity"]
 FEATURES: dict[str, list[str]] = {
-    "source": ["confEventRate", "numString", "numDouble", "numInteger"],
-    "filter": ["literalDataType", "filterFunction", "tupleWidthIn", "tupleWidthOut"],
-    "join": ["joinKeyClass", "windowType", "windowPolicy", "windowLength", "slidingLength"],
-    "windowedAggregate": ["aggFunction", "aggClass", "keyByClass", "windowType", "windowPolicy", "windowLength", "slidingLength"],
+    "source": ["numString", "numDouble", "numInteger", "confEventRate", *COMMON],
+    "filter": ["filterFunction", "filterClass", *INNER, *COMMON],
+    "join": ["joinKeyClass", "windowType", "windowPolicy", "slidingLength", "windowLength", *INNER, *COMMON],
+    "windowedAggregate": ["windowLength", "aggClass", "windowType", "windowPolicy", "slidingLength", "aggFunction", "keyByClass", *INNER, *COMMON],
     "physical": ["networkLinkSpeed", "totalMemory", "physicalCPUCores", "maxCPUFreq"],
 }
 
 
 def observe_step(df: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> dict[str, float]:
-    """Runs one step and tells rows in and out, selectivity, and columns in and out; the counts are
-    gathered beside the run, which writes nothing."""
+    """Runs one step and tells rows in and out, selectivity, the mean number of fields with values of
+    a row in and out, and rows in and out a second; what is counted is gathered beside the run, which
+    writes nothing."""
     before, after = Observation(f"{name} in"), Observation(f"{name} out")
-    out = step(df.observe(before, F.count("*").alias("n"))).observe(after, F.count("*").alias("n"))
+
+    def width(df: DataFrame) -> Column:
+        return F.sum(sum((F.col(c).isNotNull().cast("bigint") for c in df.columns), F.lit(0))).alias("fields")
+
+    out = step(df.observe(before, F.count("*").alias("n"), width(df)))
+    out = out.observe(after, F.count("*").alias("n"), width(out))
+    began = time.perf_counter()
     out.write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began
     rows_in, rows_out = before.get["n"], after.get["n"]
-    return {"step": name, "rows_in": rows_in, "rows_out": rows_out, "selectivity": rows_out / rows_in if rows_in else None, "width_in": len(df.columns), "width_out": len(out.columns)}
+    mean = lambda seen, n: seen.get["fields"] / n if n else None
+    return {
+        "step": name, "rows_in": rows_in, "rows_out": rows_out, "selectivity": rows_out / rows_in if rows_in else None,
+        "width_in": mean(before, rows_in), "width_out": mean(after, rows_out), "rate_in": rows_in / seconds, "rate_out": rows_out / seconds,
+    }
+
+
+def plan_steps(df: DataFrame) -> list[dict]:
+    """The steps of a DataFrame's plan as it was written, sources first: kind, and what its kind has of the
+    relation's columns by type, filter function and literal, aggregate functions, join keys, and
+    length and slide of a window that is grouped by, in seconds."""
+    nodes = json.loads(df._jdf.queryExecution().logical().toJSON())
+    kinds = {"Filter": "filter", "Aggregate": "windowedAggregate", "Join": "join"}
+    steps = []
+    for node in reversed(nodes):  # the plan's nodes stand in prefix order
+        name = node["class"].rsplit(".", 1)[-1]
+        inside = [x["class"].rsplit(".", 1)[-1] for x in _expressions(node)]
+        if name == "LogicalRelation":
+            types = [x["dataType"] for x in _expressions(node) if x["class"].endswith("AttributeReference")]
+            number = lambda *of: sum(isinstance(x, str) and x in of for x in types)  # noqa: E731,B023
+            steps.append({"type": "source", "numString": number("string"), "numDouble": number("double", "float"), "numInteger": number("integer", "long", "short", "byte")})
+        elif name in kinds:
+            step: dict = {"type": kinds[name]}
+            literals = [x.get("value") for x in _expressions(node) if x["class"].endswith(".Literal")]
+            if name == "Filter":
+                step |= {"filterFunction": next((x for x in inside if x not in ("And", "Or", "Not", "IsNotNull", "AttributeReference", "Literal")), None), "literal": next((str(x) for x in literals if x is not None), None)}
+            if name == "Join":
+                step |= {"key": next((x["name"] for x in _expressions(node) if x["class"].endswith("AttributeReference")), None)}
+            if name == "Aggregate":
+                calls = [(k, x["nameParts"].strip("[]")) for k, x in enumerate(_expressions(node)) if "nameParts" in x and x["class"].endswith("UnresolvedFunction")]
+                step["aggFunction"] = next((f for _, f in calls if f != "window"), None)
+                at = next((k for k, f in calls if f == "window"), None)
+                if at is not None:
+                    length, slide = (int(pd.Timedelta(x["value"]).total_seconds()) for x in [x for x in _expressions(node)[at:] if x["class"].endswith(".Literal")][:2])
+                    step["window"] = {"type": "tumbling" if length == slide else "sliding", "length": length, "slide": slide}
+            steps.append(step)
+    return steps
+
+
+def _expressions(node: dict) -> list[dict]:
+    """All expressions in a plan node's fields, outermost first."""
+    found: list[dict] = []
+
+    def walk(value) -> None:
+        if isinstance(value, dict):
+            if ".expressions." in value.get("class", "") or ".analysis." in value.get("class", ""):
+                found.append(value)
+            for inner in value.values():
+                walk(inner)
+        elif isinstance(value, list):
+            for inner in value:
+                walk(inner)
+
+    walk({k: v for k, v in node.items() if k != "class"})
+    return found
 
 
 def plan_nodes(spark: SparkSession, steps: list[dict]) -> DataFrame:
@@ -53,7 +123,8 @@ def encode_features(df: DataFrame, numeric: list[str], categorical: list[str], m
         if len(values) <= most:
             out += [F.coalesce((F.col(name) == v).cast("double"), F.lit(0.0)).alias(f"{name}_{v}") for v in values]
         else:
-            index = df.select(name).distinct().withColumn(f"{name}_index", (F.dense_rank().over(Window.orderBy(name)) - 1).cast("double"))
+            values = df.select(name).where(F.col(name).isNotNull()).distinct()
+            index = numbered(values, name, name="_at").select(name, (F.col("_at") - 1).cast("double").alias(f"{name}_index"))
             ranks = ranks.join(index, name, "left")
             out.append(F.col(f"{name}_index"))
     return ranks.select(*out)
@@ -101,15 +172,14 @@ def merge_sets(sets: dict[str, DataFrame], key: str, most: int) -> DataFrame:
 
 
 def keep_per_group(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows of each group, drawn by a hash of the key."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), key), key)
+    """``n`` rows of each group, by the draw of the key."""
+    w = Window.partitionBy(by).orderBy(draw(seed, key), key)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def box_statistics(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, and whiskers: the last values within one and a half times the middle range."""
-    quartiles = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    quartiles = quartiles.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    quartiles = percentiles(df, value, [0.25, 0.5, 0.75], [by]).select(by, F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(quartiles, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(by, "q1", "median", "q3").agg(F.min(value).alias("low"), F.max(value).alias("high"))

@@ -33,15 +33,16 @@ def strict_sequence(df: DataFrame, key: str, order: list[str], steps: list[Step]
 def next_match(df: DataFrame, key: str, order: list[str], steps: list[Step], row_id: str, ts: str, within_seconds: int | None = None) -> DataFrame:
     """Every row that starts the pattern, with the first later row for each further step: relaxed
     steps skip rows that don't fit, strict ones must be the very next row. A pass of windows from
-    the last step back, so no row meets all later rows of its key. ``within_seconds`` bounds the
+    the last step back, in time linear in the rows of a key once they are sorted. ``order`` are columns, ascending. ``within_seconds`` bounds the
     time from first to last; ``timed_out`` marks starts that found no end in time."""
     w = Window.partitionBy(key).orderBy(*order)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, so that the frame grows by a row at a time; frames that reach to a key's end are computed anew for each row.
+    later = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumns({f"_is_{s.name}": F.coalesce(F.expr(s.condition), F.lit(False)) for s in steps})
     chain = F.struct(F.struct(F.col(row_id).alias("id"), F.col(ts).alias("ts")).alias(steps[-1].name))
     out = out.withColumn("_chain", F.when(F.col(f"_is_{steps[-1].name}"), chain))
     for k in range(len(steps) - 2, -1, -1):
-        follower = F.lead("_chain").over(w) if steps[k + 1].strict else F.first("_chain", ignorenulls=True).over(later)
+        follower = F.lead("_chain").over(w) if steps[k + 1].strict else F.last("_chain", ignorenulls=True).over(later)
         out = out.withColumn("_next", follower)
         fields = [F.col(f"_next.{s.name}").alias(s.name) for s in steps[k + 1 :]]
         here = F.struct(F.struct(F.col(row_id).alias("id"), F.col(ts).alias("ts")).alias(steps[k].name), *fields)

@@ -1,6 +1,6 @@
 """Scratch tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
-Only where that setting is absent (tests, local mode) is a temporary folder made.
+Only in local mode may that setting be absent; a temporary folder is made then.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder of this session's scratch tables, removed when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillframe-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="rillframe-")
         _roots[app] = f"{base.rstrip('/')}/rillframe-{uuid.uuid4().hex}"
         atexit.register(_remove_quietly, spark, _roots[app])
     return _roots[app]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.functions import python_functions as U
+from rillframe.operators import aggregates as A
 from rillframe.operators import graph as G
 from rillframe.operators import observing as O
 from rillframe.operators.patterns import Step, next_match, strict_sequence
@@ -65,7 +66,18 @@ def registered(t: Tables) -> DataFrame:
     return t.sql("SELECT n_nationkey, add_one(n_regionkey) AS more FROM nation")
 
 
-R.add("x08_raw_function", lambda t: t["region"].select("r_regionkey", F.lit(U.add_one.func(41)).cast("bigint").alias("answer")), "SELECT r_regionkey, CAST(42 AS BIGINT) AS answer FROM region")
+@R.query("x08_raw_function", "SELECT p_partkey, CAST(p_size + 1 AS BIGINT) AS more FROM part")
+def raw_function(t: Tables) -> DataFrame:
+    """The Python function behind the registered one, called on plain values."""
+    raw = U.add_one.func
+
+    def rows(frames):
+        for frame in frames:
+            yield frame.assign(more=[raw(x) for x in frame["p_size"]])[["p_partkey", "more"]]
+
+    return t["part"].select("p_partkey", "p_size").mapInPandas(rows, "p_partkey bigint, more bigint")
+
+
 R.add("x09_key_by", lambda t: t["orders"].groupBy((F.col("o_orderkey") % 7).alias("k")).agg(F.count("*").alias("n")), "SELECT o_orderkey % 7 AS k, count(*) AS n FROM orders GROUP BY 1")
 
 
@@ -88,14 +100,23 @@ def predictions(t: Tables) -> DataFrame:
     return t["lineitem"].select(name.alias("name"), F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("pred"))
 
 
-@R.query("o01_observed_step", "SELECT 'large' AS step, count(*) AS rows_in, count(CASE WHEN l_quantity > 40 THEN 1 END) AS rows_out, round(count(CASE WHEN l_quantity > 40 THEN 1 END) / count(*), 6) AS selectivity FROM lineitem")
+def with_gaps(t: Tables) -> DataFrame:
+    return t["lineitem"].select("l_orderkey", "l_quantity", F.expr("nullif(l_returnflag, 'A')").alias("flag"))
+
+
+GAPS = "(SELECT l_orderkey, l_quantity, nullif(l_returnflag, 'A') AS flag FROM lineitem)"
+
+
+@R.query("o01_observed_step", f"SELECT 'large' AS step, count(*) AS rows_in, count(CASE WHEN l_quantity > 40 THEN 1 END) AS rows_out, round(count(CASE WHEN l_quantity > 40 THEN 1 END) / count(*), 6) AS selectivity, round(2 + count(flag) / count(*), 6) AS width_in, round(1 + count(CASE WHEN l_quantity > 40 THEN flag END) / count(CASE WHEN l_quantity > 40 THEN 1 END), 6) AS width_out, true AS rated FROM {GAPS}")
 def observed_step(t: Tables) -> DataFrame:
-    got = O.observe_step(t["lineitem"], lambda df: df.where("l_quantity > 40").select("l_orderkey"), "large")
-    return t.spark.range(1).select(F.lit(got["step"]).alias("step"), F.lit(got["rows_in"]).cast("bigint").alias("rows_in"), F.lit(got["rows_out"]).cast("bigint").alias("rows_out"), F.lit(round(got["selectivity"], 6)).alias("selectivity"))
+    got = O.observe_step(with_gaps(t), lambda df: df.where("l_quantity > 40").select("l_orderkey", "flag"), "large")
+    rated = 0 < got["rate_out"] < got["rate_in"]
+    row = (got["step"], got["rows_in"], got["rows_out"], round(got["selectivity"], 6), round(got["width_in"], 6), round(got["width_out"], 6), rated)
+    return t.spark.createDataFrame([row], "step string, rows_in bigint, rows_out bigint, selectivity double, width_in double, width_out double, rated boolean")
 
 
 R.add("o04_feature_encoding", lambda t: O.encode_features(t["orders"], ["o_totalprice"], ["o_orderstatus", "o_orderdate"]).groupBy("o_orderstatus_F").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate_index").alias("last")), "SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS \"o_orderstatus_F\", count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(max(r) AS DOUBLE) AS last FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderdate) - 1 AS r FROM orders) GROUP BY 1")
-R.add("o05_q_error", lambda t: predictions(t).agg(F.round(F.percentile(O.q_error(F.col("label"), F.col("pred")), 0.5), 6).alias("median"), F.round(F.percentile(O.q_error(F.col("label"), F.col("pred")), 0.95), 6).alias("p95")), f"SELECT round(quantile_cont(greatest(label / pred, pred / label), 0.5), 6) AS median, round(quantile_cont(greatest(label / pred, pred / label), 0.95), 6) AS p95 FROM {PREDICTIONS}")
+R.add("o05_q_error", lambda t: A.percentiles(predictions(t).select(O.q_error(F.col("label"), F.col("pred")).alias("e")), "e", [0.5, 0.95]).select(F.round("p0", 6).alias("median"), F.round("p1", 6).alias("p95")), f"SELECT round(quantile_cont(greatest(label / pred, pred / label), 0.5), 6) AS median, round(quantile_cont(greatest(label / pred, pred / label), 0.95), 6) AS p95 FROM {PREDICTIONS}")
 R.add("o06_rmse_mape", lambda t: predictions(t).agg(F.round(O.rmse(F.col("label"), F.col("pred")), 4).alias("rmse"), F.round(O.mape(F.col("label"), F.col("pred")), 6).alias("mape")), f"SELECT round(sqrt(avg((label - pred) * (label - pred))), 4) AS rmse, round(avg(abs((label - pred) / label)), 6) AS mape FROM {PREDICTIONS}")
 R.add("o07_q_loss", lambda t: predictions(t).withColumn("pred", F.when(F.col("label") > 60_000, 0.0).otherwise(F.col("pred"))).agg(F.round(O.q_loss(F.col("label"), F.col("pred")), 6).alias("loss")), f"SELECT round(avg(CASE WHEN p < 0.001 THEN (1 - p) * 100 ELSE greatest(label / p, p / label) END), 6) AS loss FROM (SELECT label, CASE WHEN label > 60000 THEN 0.0 ELSE pred END AS p FROM {PREDICTIONS})")
 R.add("o08_best_so_far", lambda t: O.best_so_far(t["events"].where("value IS NOT NULL").select("user_id", "event_id", "value"), "event_id", "value", False, "user_id"), "SELECT user_id, event_id, value, min(value) OVER w AS best, coalesce(value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -105,24 +126,64 @@ R.add("o08_best_so_far", lambda t: O.best_so_far(t["events"].where("value IS NOT
 def prediction_summary(t: Tables) -> DataFrame:
     parts = F.split(F.regexp_replace("name", r"^node\.\d*-", ""), "-")
     error = O.q_error(F.col("label"), F.col("pred"))
-    return predictions(t).groupBy(parts[0].alias("template")).agg(F.round(F.percentile(error, 0.5), 6).alias("median"), F.round(F.percentile(error, 0.95), 6).alias("p95"))
+    return A.percentiles(predictions(t).select(parts[0].alias("template"), error.alias("e")), "e", [0.5, 0.95], ["template"]).select("template", F.round("p0", 6).alias("median"), F.round("p1", 6).alias("p95"))
 
 
 R.add("o10_relative_deviation", lambda t: predictions(t).groupBy(F.split("name", "-")[1].alias("template")).agg(F.round(F.avg((F.col("pred") - F.col("label")) / F.col("label")), 6).alias("deviation")), f"SELECT split_part(name, '-', 2) AS template, round(avg((pred - label) / label), 6) AS deviation FROM {PREDICTIONS} GROUP BY 1")
 R.add("o11_label_histogram", lambda t: O.label_histogram(t["orders"].withColumn("price", F.expr("nullif(cast(o_totalprice as string), 'null')").try_cast("double")), "o_orderpriority", "price", 0.0, 300000.0).select("o_orderpriority", "bin", "n"), "SELECT o_orderpriority, CAST(floor(o_totalprice / 10000) + 1 AS BIGINT) AS bin, count(*) AS n FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 300000 GROUP BY ALL")
 R.add("o12_merged_sets", lambda t: O.merge_sets({"c": t["customer"].select(F.col("c_custkey").alias("id")), "s": t["supplier"].select(F.col("s_suppkey").alias("id"))}, "id", 120), "WITH b AS (SELECT c_custkey AS id, 'c' AS origin FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier), k AS (SELECT CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN origin || '-' || CAST(id AS VARCHAR) ELSE CAST(id AS VARCHAR) END AS id, origin FROM b) SELECT id, origin FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY id) AS rn FROM k) WHERE rn <= 120")
-R.add("o13_rows_per_template", lambda t: O.keep_per_group(t["orders"].select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 25, 3).groupBy("o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderpriority, least(count(*), 25) AS n FROM orders GROUP BY 1")
+R.add("o13_rows_per_template", lambda t: O.keep_per_group(t["orders"].select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 25, 3), "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST('0x' || substr(md5('3:' || o_orderkey), 1, 8) AS BIGINT), o_orderkey) <= 25")
 R.add("o14_box_statistics", lambda t: O.box_statistics(t["lineitem"].select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice"), "WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1) SELECT l_returnflag, q1, median, q3, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL")
 
-#: A plan as step specifications, from which the plan tables are made.
-STEPS = [
-    {"type": "source", "parallelism": 4},
-    {"type": "filter", "literal": "10", "parallelism": 4},
-    {"type": "window", "window": {"type": "tumbling", "length": 100}, "parallelism": 9},
-    {"type": "join", "key": "user_id", "window": {"type": "sliding", "length": 200, "slide": 50}},
-]
 
-R.add("o02_features_by_kind", lambda t: O.plan_nodes(t.spark, STEPS).join(t["region"], F.col("id") == F.col("r_regionkey")).where("operator_type = 'filter'").select("r_regionkey", "operator_type", "literal", "parallelism"), "SELECT r_regionkey, 'filter' AS operator_type, '10' AS literal, CAST(4 AS BIGINT) AS parallelism FROM region WHERE r_regionkey = 1")
-R.add("o03_plan_nodes", lambda t: O.plan_nodes(t.spark, STEPS).join(t["region"], F.col("id") == F.col("r_regionkey")).select("r_regionkey", "operator_type", "parallelism", "window_length", "sliding_length"), "SELECT r_regionkey, ['source', 'filter', 'window', 'join'][r_regionkey + 1] AS operator_type, CAST([4, 4, NULL, 1][r_regionkey + 1] AS BIGINT) AS parallelism, CAST([NULL, NULL, 100, 200][r_regionkey + 1] AS BIGINT) AS window_length, CAST([NULL, NULL, 100, 50][r_regionkey + 1] AS BIGINT) AS sliding_length FROM region WHERE r_regionkey < 4")
+
+@R.query(
+    "o02_features_by_kind",
+    """WITH p AS (SELECT column_type AS c FROM (DESCRIBE part))
+    SELECT 'source' AS kind, 'numString' AS feature, CAST(count(CASE WHEN c = 'VARCHAR' THEN 1 END) AS DOUBLE) AS value FROM p
+    UNION ALL SELECT 'source', 'numDouble', count(CASE WHEN c = 'DOUBLE' THEN 1 END) FROM p
+    UNION ALL SELECT 'source', 'numInteger', count(CASE WHEN c IN ('INTEGER', 'BIGINT') THEN 1 END) FROM p
+    UNION ALL SELECT 'source', 'tupleWidthOut', count(*) FROM p
+    UNION ALL SELECT 'filter', unnest(['tupleWidthIn', 'tupleWidthOut']), count(*) FROM p
+    UNION ALL SELECT 'filter', 'avgRealSelectivity', round(count(CASE WHEN p_size > 10 THEN 1 END) / count(*), 6) FROM part
+    UNION ALL SELECT 'windowedAggregate', 'tupleWidthIn', count(*) FROM p UNION ALL SELECT 'windowedAggregate', 'tupleWidthOut', 2
+    UNION ALL SELECT 'windowedAggregate', 'avgRealSelectivity', round(count(DISTINCT p_type) / count(*), 6) FROM part WHERE p_size > 10""",
+)
+def features_by_kind(t: Tables) -> DataFrame:
+    """The features that each operator of a plan has by its kind: from the plan, and from observing its steps."""
+    part = t["part"]
+    some = part.where("p_size > 10")
+    grouped = some.groupBy("p_type").agg(F.max("p_retailprice").alias("m"))
+    seen = {"filter": O.observe_step(part, lambda df: df.where("p_size > 10"), "filter"), "windowedAggregate": O.observe_step(some, lambda df: df.groupBy("p_type").agg(F.max("p_retailprice").alias("m")), "aggregate")}
+    rows = []
+    for step in O.plan_steps(grouped):
+        kind = step["type"]
+        if kind in seen:
+            step |= {"tupleWidthIn": seen[kind]["width_in"], "tupleWidthOut": seen[kind]["width_out"], "avgRealSelectivity": seen[kind]["selectivity"]}
+        elif kind == "source":
+            step |= {"tupleWidthOut": seen["filter"]["width_in"]}
+        rows += [(kind, name, round(float(step[name]), 6)) for name in O.FEATURES[kind] if isinstance(step.get(name), int | float)]
+    return t.spark.createDataFrame(rows, "kind string, feature string, value double")
+
+
+@R.query(
+    "o03_plan_nodes",
+    """SELECT 0 AS id, 'source' AS operator_type, CAST(NULL AS BIGINT) AS window_length, CAST(NULL AS BIGINT) AS sliding_length, CAST(NULL AS VARCHAR) AS literal, count(*) AS n FROM events
+    UNION ALL SELECT 1, 'filter', NULL, NULL, 'click', count(*) FROM events WHERE event_type = 'click'
+    UNION ALL SELECT 2, 'windowedAggregate', 7200, 3600, NULL, count(*) FROM (SELECT DISTINCT user_id, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events WHERE event_type = 'click')""",
+)
+def plan_nodes(t: Tables) -> DataFrame:
+    """The node table of a query's own plan, with the rows that each node puts out."""
+    events = t["events"].select("user_id", "ts", "event_type", "value")
+    clicks = events.where("event_type = 'click'")
+    windowed = clicks.groupBy("user_id", F.window("ts", "2 hours", "1 hour")).agg(F.sum("value").alias("total"))
+    nodes = O.plan_nodes(t.spark, O.plan_steps(windowed))
+    sizes = [events, clicks, windowed]
+    counts = None
+    for k, df in enumerate(sizes):
+        one = df.agg(F.count("*").alias("n")).select(F.lit(k).cast("bigint").alias("id"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return nodes.join(counts, "id").select(F.col("id").cast("int").alias("id"), "operator_type", "window_length", "sliding_length", "literal", "n")
+
 
 QUERIES, ORACLES = R.queries, R.oracles

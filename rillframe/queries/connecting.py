@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from rillframe.plans.scratch import fresh_path
 from rillframe.queries.registry import Registry
 from rillframe.sources import connectors as S
 from rillframe.sources.tables import Tables
-from rillframe.streaming.drains import drain, run_to_end
+from rillframe.streaming.drains import run_to_end
 
 R = Registry()
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -25,7 +26,8 @@ def part(t: Tables) -> DataFrame:
 R.add("s01_from_elements", lambda t: S.from_elements(t.spark, [(0, "a"), (1, "b"), (2, None)], "r_regionkey int, letter string").join(t["region"], "r_regionkey").select("r_regionkey", "letter", "r_name"), "SELECT r_regionkey, ['a', 'b', NULL][r_regionkey + 1] AS letter, r_name FROM region WHERE r_regionkey < 3")
 R.sql("s02_values", "SELECT r_regionkey, v.b FROM region JOIN (VALUES (0, 'x'), (1, 'y')) AS v(a, b) ON a = r_regionkey")
 R.add("s03_number_sequence", lambda t: S.number_sequence(t.spark, 1, 24).join(t["nation"], F.col("id") == F.col("n_nationkey")).select("id", "n_name"), "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name FROM nation WHERE n_nationkey BETWEEN 1 AND 24")
-R.add("s04_generated", lambda t: S.generated(t.spark, t["region"].count() * 100, 7, k=lambda h: F.pmod(h, F.lit(10)), v=lambda h: F.pmod(h, F.lit(1000)) / 1000.0))
+BITS = "CAST('0x' || substr(md5('7:{}:' || i), 1, 8) AS BIGINT)"
+R.add("s04_generated", lambda t: S.generated(t.spark, t["events"].count(), 7, k=lambda h: h % 10, v=lambda h: (h % 1000) / 1000.0), f"SELECT i AS id, {BITS.format('k')} % 10 AS k, ({BITS.format('v')} % 1000) / 1000.0 AS v FROM (SELECT unnest(range(count(*))) AS i FROM events)")
 
 
 @R.query("s05_csv", PART)
@@ -51,8 +53,35 @@ def _lines(t: Tables) -> str:
 
 
 R.add("s07_text_lines", lambda t: S.read_lines(t.spark, _lines(t)), "SELECT n_name AS value FROM nation")
-R.add("s08_watched_lines", lambda t: drain(S.watch_lines(t.spark, _lines(t))).drop("batch"), "SELECT n_name AS value FROM nation")
-R.add("s09_file_filter", lambda t: S.without_hidden_files(t.spark.read.parquet(f"{t.folder}/nation.parquet")).select("n_nationkey", "n_name", "n_regionkey"), NATION)
+
+
+@R.query("s08_watched_lines", "SELECT n_name AS value, CAST(n_nationkey % 2 AS BIGINT) AS run FROM nation")
+def watched_lines(t: Tables) -> DataFrame:
+    """Files that appear between two runs are the second run's input."""
+    folder, paths, runs = fresh_path(t.spark, "watched"), {}, []
+    for k in (0, 1):
+        t["nation"].where(F.col("n_nationkey") % 2 == k).select(F.col("n_name").alias("value")).write.mode("append").text(folder)
+        _, out, checkpoint = run_to_end(S.watch_lines(t.spark, folder), out=fresh_path(t.spark, "run"), **paths)
+        paths = {"checkpoint": checkpoint}
+        runs.append(t.spark.read.schema("value string, batch int").parquet(out).select("value", F.lit(k).cast("bigint").alias("run")))
+    return runs[0].unionByName(runs[1])
+
+
+@R.query("s09_file_filter", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 0")
+def file_filter(t: Tables) -> DataFrame:
+    """A folder that also holds a hidden file and one that is being copied, all of them named."""
+    root = fresh_path(t.spark, "mixed")
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    named = []
+    for k, name in enumerate(("part.parquet", "_hidden.parquet", ".dot.parquet", "part.parquet._COPYING_")):
+        t["nation"].where(F.col("n_regionkey") == k).select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.parquet(f"{root}/{k}")
+        written = next(x.getPath() for x in system.listStatus(path(f"{root}/{k}")) if x.getPath().getName().startswith("part-"))
+        system.rename(written, path(f"{root}/{name}"))
+        named.append(f"{root}/{name}")
+    return S.without_hidden_files(t.spark.read.schema("n_nationkey int, n_name string, n_regionkey int").parquet(*named))
+
+
 R.add("s10_json_rows", lambda t: t["nation"].select(S.json_encode(F.struct("n_nationkey", F.expr("nullif(n_regionkey, 1)").alias("r"))).alias("j")).select("j", S.json_decode(F.col("j"), "n_nationkey int, missing string, r int").alias("d")).select("d.n_nationkey", "d.missing", "d.r", F.col("j").contains("null").alias("kept_null")), "SELECT n_nationkey, CAST(NULL AS VARCHAR) AS missing, nullif(n_regionkey, 1) AS r, n_regionkey = 1 AS kept_null FROM nation")
 R.add("s11_csv_rows", lambda t: t["nation"].select(S.csv_encode(F.struct("n_nationkey", "n_name", "n_regionkey"), ";").alias("line")).select("line", S.csv_decode(F.col("line"), "k int, name string, r int", ";").alias("d")).select("line", "d.k", "d.name"), "SELECT CAST(n_nationkey AS VARCHAR) || ';' || n_name || ';' || CAST(n_regionkey AS VARCHAR) AS line, n_nationkey AS k, n_name AS name FROM nation")
 R.add("s12_parquet", lambda t: S.round_trip(t["customer"].select("c_custkey", F.struct("c_name", "c_acctbal").alias("who")), "parquet").select("c_custkey", "who.c_name", "who.c_acctbal"), "SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -99,7 +128,11 @@ def multi_sink(t: Tables) -> DataFrame:
     return t.spark.read.parquet(a).withColumn("sink", F.lit("a")).unionByName(t.spark.read.parquet(b).withColumn("sink", F.lit("b")))
 
 
-R.add("s21_hybrid_source", lambda t: S.hybrid(t["events"].drop("props"), t["events"].drop("props"), "ts", F.lit("2024-01-15").cast("timestamp")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids")), "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+R.add(
+    "s21_hybrid_source",
+    lambda t: S.hybrid(t["events"].drop("props"), t.stream("events").drop("props"), "ts", F.lit("2024-01-15").cast("timestamp")).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids")),
+    "SELECT CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'history' ELSE 'live' END AS source, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
+)
 
 
 @R.query("s22_custom_source", "SELECT CAST(n_nationkey AS BIGINT) AS n, CAST(n_nationkey * n_nationkey AS BIGINT) AS square FROM nation")
@@ -118,7 +151,19 @@ def two_phase_sink(t: Tables) -> DataFrame:
     return sink.read(rows.schema).select("event_id")
 
 
-R.add("s24_at_least_once", lambda t: t.spark.read.parquet(run_to_end(t.stream("events").select("event_id"))[1]).select("event_id").distinct(), "SELECT event_id FROM events")
+@R.query("s24_delivery", "SELECT 'at least once' AS kind, 2 * count(*) AS n, count(DISTINCT event_id) AS ids FROM events UNION ALL SELECT 'exactly once', count(*), count(DISTINCT event_id) FROM events")
+def delivery(t: Tables) -> DataFrame:
+    """A batch that comes again is written again by a sink that appends; one that overwrites the
+    batch's own folder has it once."""
+    rows, appended = t.stream("events").select("event_id"), fresh_path(t.spark, "appended")
+    append = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(appended)
+    rows.writeStream.option("checkpointLocation", fresh_path(t.spark, "checkpoint")).trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
+    append(t["events"].select("event_id"), 0)
+    _, once, checkpoint = run_to_end(rows)
+    run_to_end(rows, checkpoint=checkpoint, out=once)
+    t["events"].select("event_id").write.mode("overwrite").parquet(f"{once}/batch=0")
+    count = lambda path, kind: t.spark.read.parquet(path).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return count(appended, "at least once").unionByName(count(once, "exactly once"))
 
 
 @R.query("s25_insert", "SELECT n_nationkey AS x, CAST(NULL AS INTEGER) AS y FROM nation WHERE n_regionkey = 2")
@@ -166,8 +211,29 @@ def catalog(t: Tables) -> DataFrame:
     return shown.withColumn("listed", F.lit(listed))
 
 
-R.add("s30_explain", lambda t: t.sql("EXPLAIN FORMATTED SELECT p_brand, count(*) FROM part WHERE p_size > 10 GROUP BY p_brand").select(F.col("plan").contains("PushedFilters").alias("pushed")), "SELECT true AS pushed")
-R.add("s31_schema", lambda t: t["part"].select(F.schema_of_json(F.lit('{"a": 1}')).alias("inferred")).distinct(), "SELECT 'STRUCT<a: BIGINT>' AS inferred")
+@R.query("s30_explain", "SELECT detail, c AS column_name, p_brand FROM (SELECT unnest(['cost', 'extended', 'formatted', 'json', 'simple']) AS detail) JOIN (SELECT unnest(['p_brand', 'p_size']) AS c) ON true JOIN (SELECT DISTINCT p_brand FROM part WHERE p_size > 45) ON true")
+def explain(t: Tables) -> DataFrame:
+    """Plans in every detail tell the columns that the scan reads, which are those of the query's result and filter."""
+    query = t["part"].where("p_size > 45").select("p_brand").distinct()
+    mark = {"cost": "sizeInBytes", "extended": "Analyzed Logical Plan", "formatted": "PushedFilters", "json": "AttributeReference", "simple": "Physical Plan"}
+    rows = [(detail, c) for detail, what in mark.items() for text in [S.explained(query, detail)] for c in t["part"].columns if what in text and c in _read(text)]
+    return t.spark.createDataFrame(rows, "detail string, column_name string").crossJoin(F.broadcast(query))  # some brands
+
+
+def _read(plan: str) -> set[str]:
+    """Columns that a plan's scan reads, as its text has them; in JSON those of its filters and results."""
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)
+    if schema:
+        return {x.split(":")[0] for x in schema[1].split(",")}
+    return set(re.findall(r'"name":"(\w+)"', plan.split("LogicalRelation")[0]))
+
+
+@R.query("s31_schema", "SELECT column_name, column_type FROM (DESCRIBE SELECT p_brand, count(*) AS n, max(p_retailprice) AS dearest, max(p_size) AS largest FROM part GROUP BY p_brand)")
+def schema(t: Tables) -> DataFrame:
+    """Names and types after an aggregation, as the other engine calls them."""
+    names = {"string": "VARCHAR", "int": "INTEGER"}
+    grouped = t["part"].groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("dearest"), F.max("p_size").alias("largest"))
+    return t.spark.createDataFrame([(f.name, names.get(f.dataType.simpleString(), f.dataType.simpleString().upper())) for f in grouped.schema], "column_name string, column_type string")
 
 
 @R.query("s32_views", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 3")
@@ -176,7 +242,18 @@ def views(t: Tables) -> DataFrame:
     return t.spark.table("third_region").agg(F.count("*").alias("n"))
 
 
-R.add("s33_not_null", lambda t: S.not_null(t["nation"], "n_name").select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation")
+@R.query("s33_not_null", "SELECT n_nationkey, n_regionkey <> 2 AS fine, true AS refused FROM nation")
+def not_null(t: Tables) -> DataFrame:
+    """Rows that break the constraint fail the write, or go to an output of their own."""
+    nation = t["nation"].select("n_nationkey", F.expr("nullif(n_regionkey, 2)").alias("r"))
+    try:
+        S.discard(S.not_null(nation, "r"))
+        refused = False
+    except Exception as error:
+        refused = "null in r" in str(error)
+    good, bad = S.split_nulls(nation, "r")
+    both = good.withColumn("fine", F.lit(True)).unionByName(bad.withColumn("fine", F.lit(False)))
+    return both.select("n_nationkey", "fine", F.lit(refused).alias("refused"))
 
 
 @R.query("s34_upsert", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")

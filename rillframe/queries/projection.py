@@ -106,7 +106,8 @@ def window_times(t: Tables) -> DataFrame:
     return counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.date_format(scalars.rowtime(F.col("w")), "yyyy-MM-dd HH:mm:ss.SSS").alias("rowtime"), "n")
 
 
-R.add("f25_processing_time", lambda t: t["region"].select("r_regionkey", (F.current_timestamp() > F.lit("2020-01-01").cast("timestamp")).alias("later")), "SELECT r_regionkey, now() > TIMESTAMPTZ '2020-01-01 00:00:00+00' AS later FROM region")
+# All rows of a batch are read at one time, so there is one group.
+R.add("f25_processing_time", lambda t: t["events"].withColumn("read", F.current_timestamp()).groupBy("read").agg(F.count("*").alias("n"), F.count_if(F.col("ts") + F.expr("INTERVAL 1 DAY") < F.col("read")).alias("past")).select("n", "past"), "SELECT count(*) AS n, count(CASE WHEN ts + INTERVAL 1 DAY < now()::TIMESTAMP THEN 1 END) AS past FROM events")
 R.add("f26_nested_access", lambda t: t["customer"].select("c_custkey", F.struct(F.col("c_acctbal").alias("balance"), (F.col("c_acctbal") > 0).alias("fine")).alias("r")).select("c_custkey", F.col("r.balance").cast("string").try_cast("double").alias("balance"), "r.fine"), "SELECT c_custkey, c_acctbal AS balance, c_acctbal > 0 AS fine FROM customer")
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from rillframe.operators.joins import interval_join
+from rillframe.operators.joins import bucketed_interval_join, connect, interval_join
 from rillframe.plans.scratch import fresh_path
 from rillframe.queries.registry import Registry
 from rillframe.sources.tables import Tables
 from rillframe.streaming import state as S
 from rillframe.streaming import windows as W
-from rillframe.streaming.drains import drain, run_to_end, use_rocksdb
+from rillframe.streaming.drains import drain, run_in_parts, run_to_end
 
 R = Registry()
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -78,8 +77,11 @@ SESSIONS = """WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER
     s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
     SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
 R.add("t06_session_window", lambda t: W.session(t["events"], "ts", "4 hours", ["user_id"], rows_()).select(start(), "user_id", "n"), SESSIONS)
-R.add("t07_session_dynamic_gap", lambda t: W.session(t["events"], "ts", F.when(F.col("event_type") == "nothing", "1 hour").otherwise("4 hours"), ["user_id"], rows_()).select(start(), "user_id", "n"), SESSIONS)
-R.add("t08_processing_time_window", lambda t: W.processing_time(t["events"], "1 day", ["event_type"], rows_()).select("event_type", "n"), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+GAPS = """WITH e AS (SELECT *, max(ts + CASE event_type WHEN 'purchase' THEN INTERVAL 1 HOUR WHEN 'view' THEN INTERVAL 8 HOUR ELSE INTERVAL 4 HOUR END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_until FROM events),
+    s AS (SELECT *, sum(CASE WHEN open_until IS NULL OR ts >= open_until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+    SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
+R.add("t07_session_dynamic_gap", lambda t: W.session(t["events"], "ts", F.when(F.col("event_type") == "purchase", "1 hour").when(F.col("event_type") == "view", "8 hours").otherwise("4 hours"), ["user_id"], rows_()).select(start(), "user_id", "n"), GAPS)
+R.add("t08_processing_time_window", lambda t: W.processing_time(t["events"], "1 day", ["event_type"], rows_()).select("event_type", "n", F.current_timestamp().between(F.col("window.start"), F.col("window.end")).alias("now"), ((F.unix_seconds("window.end") - F.unix_seconds("window.start")) / 3600).cast("bigint").alias("hours")), "SELECT event_type, count(*) AS n, true AS now, CAST(24 AS BIGINT) AS hours FROM events GROUP BY 1")
 
 COUNTS = "SELECT user_id AS key, max(event_id) AS at, round(sum(value), 4) AS total FROM (SELECT *, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 5) AS w FROM events) GROUP BY user_id, w HAVING count(*) = 5"
 SLIDES = "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 2 = 0"
@@ -95,6 +97,7 @@ R.add("t10_sliding_count_window", lambda t: W.count_sliding(t["events"], 5, 2, [
 R.add("t10_sliding_count_window_stream", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5, 2), "key bigint, at bigint, total double")).select(*rounded_()), SLIDES)
 R.add("t11_global_window_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountTrigger("value", "event_id", 10), "key bigint, at bigint, total double")).select(*rounded_()), "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn % 10 = 0")
 R.add("t12_purging_count_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 5, 5, purge=True), "key bigint, at bigint, total double")).select(*rounded_()), COUNTS)
+R.add("t12_continuous_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.ContinuousTrigger("value", "ts", "event_id", 14_400), "key bigint, at bigint, total double")).select(*rounded_()), "WITH b AS (SELECT user_id, CAST(floor(epoch(ts) / 14400) AS BIGINT) AS b, sum(coalesce(value, 0)) AS s FROM events GROUP BY ALL) SELECT user_id AS key, (b + 1) * 14400 AS at, round(sum(s) OVER (PARTITION BY user_id ORDER BY b), 4) AS total FROM b QUALIFY b < max(b) OVER (PARTITION BY user_id)")
 R.add("t13_window_function", lambda t: W.tumbling(t["events"], "ts", "1 day", ["user_id"], F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds")).select(start(), "user_id", "kinds"), "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY ALL")
 R.add("t14_windowed_aggregate", lambda t: W.tumbling(t["events"], "ts", "12 hours", ["event_type"], F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 3).alias("mean"), total_()).select(start(), "event_type", "least", "most", "mean", "total"), "SELECT strftime(time_bucket(INTERVAL 12 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, min(value) AS least, max(value) AS most, round(avg(value), 3) AS mean, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 LATE = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, max(ts) OVER (PARTITION BY event_type ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before - ts > INTERVAL 3 DAY"
@@ -107,15 +110,44 @@ def shuffled(events: DataFrame) -> DataFrame:
 R.add("t15_late_side_output", lambda t: W.split_late(shuffled(t["events"]), "ts", "arrival", ["event_type"], 3 * 86_400)[1].agg(*ids_()), LATE)
 R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events")), "event_type", S.LateTag("ts", "arrival", 3 * 86_400), "key string, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*ids_()), LATE)
 R.add("t16_stream_group_aggregate", lambda t: latest(drain(t.stream("events").groupBy("event_type").agg(rows_(), total_()), "update"), "event_type"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
-R.add("t17_stream_distinct", lambda t: drain(t.stream("events").withWatermark("ts", "40 days").select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")).drop("batch"), "SELECT DISTINCT user_id, event_type FROM events")
+
+
+@R.query("t17_stream_distinct", "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def stream_distinct(t: Tables) -> DataFrame:
+    """Distinct within days of event time: the watermark lets go of the days that it has passed. Days
+    arrive in two parts, and rows of the first part come again with the second."""
+    events = t["events"].select("user_id", "event_type", "ts")
+    early = F.dayofmonth("ts") <= 15
+    days = lambda df, _: df.withWatermark("ts", "2 days").select("user_id", "event_type", F.window("ts", "1 day").alias("day")).dropDuplicates(["user_id", "event_type", "day"])
+    found = run_in_parts([events.where(early), events.where(~early).unionByName(events.where(early))], days)
+    return found.select("user_id", "event_type", F.date_format("day.start", "yyyy-MM-dd").alias("day"))
+
+
 RUNNING = "SELECT user_id AS key, event_id AS at, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events"
 R.add("t18_keyed_process", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id"), "key bigint, at bigint, total double")).select(*rounded_()), RUNNING)
 R.add("t19_value_state", lambda t: drain(S.process(keyed(t), "user_id", S.KeepLast("ts", "event_id"), "key bigint, id bigint", "update"), "update").groupBy("key").agg(F.max_by("id", "batch").alias("id")), "SELECT user_id AS key, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY 1")
 R.add("t20_list_state", lambda t: drain(S.process(keyed(t), "user_id", S.CountWindow("value", "event_id", 3, 1), "key bigint, at bigint, total double")).select(*rounded_()), "SELECT user_id AS key, event_id AS at, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS total FROM events")
 R.add("t21_map_state", lambda t: latest(drain(S.process(keyed(t), "user_id", S.CountsByValue("event_type"), "key bigint, value string, n bigint", "update"), "update"), "key", "value"), "SELECT user_id AS key, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
-R.add("t22_aggregating_state", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id"), "key bigint, at bigint, total double")).groupBy("key").agg(F.max("at").alias("at"), F.round(F.max_by("total", "at"), 4).alias("total")), "SELECT user_id AS key, max(event_id) AS at, round(sum(value), 4) AS total FROM events GROUP BY 1")
-R.add("t23_state_ttl", lambda t: drain(S.process(keyed(t), "user_id", S.RunningSum("value", "event_id", ttl_ms=86_400_000), "key bigint, at bigint, total double", time_mode="ProcessingTime"), idle_batches=False).select(*rounded_()), RUNNING)
-R.add("t25_idle_retention", lambda t: latest(drain(S.process(keyed(t), "user_id", S.CountsByValue("event_type", ttl_ms=int(1.5 * 3_600_000)), "key bigint, value string, n bigint", "update", "ProcessingTime"), "update", idle_batches=False), "key", "value"), "SELECT user_id AS key, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
+R.add("t22_aggregating_state", lambda t: drain(S.process(keyed(t), "user_id", S.Accumulator("value", "event_id"), "key bigint, at bigint, total double, n bigint")).select(*rounded_(), "n"), "SELECT user_id AS key, event_id AS at, round(sum(coalesce(value, 0)) OVER w, 4) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+
+
+def halves(t: Tables) -> list[DataFrame]:
+    events = t["events"].select("user_id", "event_id", "ts", "event_type", "value")
+    return [events.where(F.col("event_id") % 2 == k) for k in (0, 1)]
+
+
+@R.query("t23_state_ttl", "SELECT user_id AS key, event_id AS at, round(sum(value) OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id), 4) AS total FROM events")
+def state_ttl(t: Tables) -> DataFrame:
+    """Sums that expire between two runs begin anew in the second."""
+    summed = lambda df, _: S.process(df, "user_id", S.RunningSum("value", "event_id", ttl_ms=2_000), "key bigint, at bigint, total double", time_mode="ProcessingTime")
+    return run_in_parts(halves(t), summed, pause=3.0, idle_batches=False).select(*rounded_())
+
+
+@R.query("t25_idle_retention", "SELECT user_id AS key, event_type AS value, coalesce(nullif(count(CASE WHEN event_id % 2 = 1 THEN 1 END), 0), count(*)) AS n FROM events GROUP BY ALL")
+def idle_retention(t: Tables) -> DataFrame:
+    """Counts of keys that were idle for longer than the retention begin anew."""
+    counted = lambda df, _: S.process(df, "user_id", S.CountsByValue("event_type", ttl_ms=2_000), "key bigint, value string, n bigint", "update", "ProcessingTime")
+    return latest(run_in_parts(halves(t), counted, "update", pause=3.0, idle_batches=False), "key", "value")
 
 
 @R.query("t24_timers", "SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1 HOUR < (SELECT date_trunc('millisecond', max(ts)) FROM events)")
@@ -127,27 +159,20 @@ def timers(t: Tables) -> DataFrame:
 
 @R.query("t26_resume", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def resume(t: Tables) -> DataFrame:
-    """A second run on the same checkpoint finds its input used up and its state in place."""
-    stream = lambda: t.stream("events").groupBy("event_type").agg(rows_(), total_())
-    _, out, checkpoint = run_to_end(stream(), "update")
-    run_to_end(stream(), "update", checkpoint=checkpoint, out=out)
-    return latest(t.spark.read.schema(StructType([*stream().schema.fields, StructField("batch", IntegerType())])).parquet(out), "event_type")
+    """A second run goes on from the checkpoint of the first, over input that came in between and
+    reading it with another parallelism; its sums hold what the first run has seen."""
+    summed = lambda df, k: df.repartition(2 + 3 * k).groupBy("event_type").agg(rows_(), total_())
+    return latest(run_in_parts(halves(t), summed, "update"), "event_type")
 
 
 @R.query("t27_state_evolution", "SELECT user_id AS key, round(sum(coalesce(value, 0)), 4) AS total, CAST(count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS BIGINT) AS n FROM events GROUP BY 1")
 def state_evolution(t: Tables) -> DataFrame:
     """A first version runs over half of the rows; a second, with one more field in its state, goes
     on from its checkpoint over the other half."""
-    events, source = t["events"].select("user_id", "event_id", "value"), fresh_path(t.spark, "halves")
     t.spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
-    paths: dict[str, str | None] = {"out": None, "checkpoint": None}
-    for half in (0, 1):
-        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(source)
-        stream = t.spark.readStream.schema(events.schema).parquet(source)
-        summed = S.process(stream, "user_id", S.EvolvingTotal("value", counted=half == 1), "key bigint, total double, n bigint", "update")
-        _, paths["out"], paths["checkpoint"] = run_to_end(summed, "update", **paths)
+    summed = lambda df, k: S.process(df, "user_id", S.EvolvingTotal("value", counted=k == 1), "key bigint, total double, n bigint", "update")
+    rows = run_in_parts(halves(t), summed, "update")
     t.spark.conf.unset("spark.sql.streaming.stateStore.encodingFormat")
-    rows = t.spark.read.schema("key bigint, total double, n bigint, batch int").parquet(paths["out"])
     return latest(rows, "key").select("key", F.round("total", 4).alias("total"), "n")
 
 
@@ -167,23 +192,43 @@ def tumble_join_tumble(t: Tables) -> DataFrame:
     def side(kind: str, ts: str, n: str) -> DataFrame:
         return W.tumbling(t["events"].where(F.col("event_type") == kind), "ts", "1 hour", ["user_id"], F.count("*").alias(n)).select("user_id", F.col("window.start").alias(ts), n)
 
-    joined = interval_join(side("click", "at", "clicks"), side("view", "seen", "views"), "user_id", "at", "seen", "0 SECONDS", "6 HOURS")
+    joined = bucketed_interval_join(side("click", "at", "clicks"), side("view", "seen", "views"), "user_id", "at", "seen", 6 * 3600)
     return W.tumbling(joined, "at", "1 day", [], F.sum(F.col("clicks") * F.col("views")).alias("n")).select(start(), "n")
 
 
-@R.query("t30_metrics", "SELECT count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events")
+@R.query("t30_metrics", "SELECT count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 4) AS mean, count(*) AS metered, true AS rated FROM events")
 def metrics(t: Tables) -> DataFrame:
-    """Counter, sum and gauge beside a running job, without a pass of their own."""
+    """Counter, gauge and distribution (number, sum, extremes, mean) beside a running stream, and a
+    meter: rows and rows a second from its progress."""
     seen = Observation("events")
-    t["events"].observe(seen, rows_(), total_(), F.max("value").alias("most")).write.format("noop").mode("overwrite").save()
+    t["events"].observe(seen, rows_(), total_(), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 4).alias("mean")).write.format("noop").mode("overwrite").save()
     got = seen.get
-    return t.spark.range(1).select(F.lit(got["n"]).cast("bigint").alias("n"), F.lit(got["total"]).alias("total"), F.lit(got["most"]).alias("most"))
+    query, _, _ = run_to_end(t.stream("events").select("event_id"))
+    progress = query.recentProgress
+    metered, rated = sum(p.numInputRows for p in progress), any(p.processedRowsPerSecond > 0 for p in progress)
+    return t.spark.createDataFrame([(got["n"], got["total"], got["least"], got["most"], got["mean"], metered, rated)], "n bigint, total double, least double, most double, mean double, metered bigint, rated boolean")
 
 
-@R.query("t31_job_handle", "SELECT count(*) AS n, false AS active, true AS named FROM events")
+@R.query("t31_job_handle", "SELECT count(*) AS n, count(*) AS read, true AS was_active, false AS active, true AS same_id FROM events")
 def job_handle(t: Tables) -> DataFrame:
-    query, out, _ = run_to_end(t.stream("events").select("event_id"))
-    return t.spark.read.parquet(out).agg(rows_()).select("n", F.lit(query.isActive).alias("active"), F.lit(bool(query.id)).alias("named"))
+    """Id, status, progress and cancelling: a query that would wait for more input is stopped, and
+    the next run on its checkpoint has its id."""
+    rows = t.stream("events").select("event_id")
+    out, checkpoint = fresh_path(t.spark, "handled"), fresh_path(t.spark, "checkpoint")
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+    query.processAllAvailable()
+    was_active, read = query.isActive, sum(p.numInputRows for p in query.recentProgress)
+    query.stop()
+    again = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    again.awaitTermination()
+    return t.spark.read.parquet(out).agg(rows_()).select("n", F.lit(read).cast("bigint").alias("read"), F.lit(was_active).alias("was_active"), F.lit(query.isActive).alias("active"), F.lit(query.id == again.id).alias("same_id"))
+
+
+@R.query("j14_connected_stream", "SELECT user_id AS key, event_id AS at, seen FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen FROM events WHERE event_type IN ('click', 'purchase')) WHERE event_type = 'purchase'")
+def connected_stream(t: Tables) -> DataFrame:
+    """Clicks and purchases are two inputs of one processor: a purchase finds its user's last click."""
+    side = lambda kind: t.stream("events").where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
+    return drain(S.process(connect(side("click"), side("purchase")), "user_id", S.Connected("ts", "event_id"), "key bigint, at bigint, seen bigint")).drop("batch")
 
 
 @R.query("j12_interval_join_stream", "SELECT a.event_id AS purchase, b.event_id AS seen_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts <= b.ts + INTERVAL 1 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
@@ -193,9 +238,11 @@ def interval_join_stream(t: Tables) -> DataFrame:
     return drain(joined.select("purchase", "seen_id")).drop("batch")
 
 
-@R.query("w06_keep_first_stream", "SELECT DISTINCT user_id, event_type FROM events")
+@R.query("w06_keep_first_stream", "SELECT user_id || ':' || event_type AS key, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1")
 def keep_first_stream(t: Tables) -> DataFrame:
-    return drain(t.stream("events").withWatermark("ts", "40 days").select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")).drop("batch")
+    """The earliest row of each key, whichever part of the input it comes with."""
+    first = lambda df, _: S.process(df.withColumn("k", F.concat_ws(":", "user_id", "event_type")), "k", S.KeepLast("ts", "event_id", first=True), "key string, id bigint", "update")
+    return run_in_parts(halves(t)[::-1], first, "update").groupBy("key").agg(F.max_by("id", "batch").alias("id"))
 
 
 @R.query("w08_stream_order", "SELECT row_number() OVER (ORDER BY n DESC, event_type) AS place, event_type, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")

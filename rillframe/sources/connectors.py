@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from rillframe.operators.aggregates import draw
 from rillframe.plans.scratch import fresh_path
+from rillframe.streaming.drains import run_to_end
 
 
 def from_elements(spark: SparkSession, rows: list, schema: str | StructType | None = None) -> DataFrame:
@@ -24,8 +26,9 @@ def number_sequence(spark: SparkSession, start: int, end: int, partitions: int |
 
 
 def generated(spark: SparkSession, rows: int, seed: int, **columns: Callable[[Column], Column]) -> DataFrame:
-    """A bounded number of rows, each column a function of a hash of seed and row."""
-    return spark.range(rows).select("id", *[make(F.xxhash64(F.lit(seed), F.lit(name), "id")).alias(name) for name, make in columns.items()])
+    """A bounded number of rows, each column a function of 32 random bits of seed, name and row."""
+    named = spark.range(rows).select("id", *[F.lit(name).alias(f"_{name}") for name in columns])
+    return named.select("id", *[make(draw(seed, f"_{name}", "id")).alias(name) for name, make in columns.items()])
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, delimiter: str = "|", comments: bool = True, strict: bool = False) -> DataFrame:
@@ -53,7 +56,8 @@ def watch_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def without_hidden_files(df: DataFrame) -> DataFrame:
-    """Rows of files whose names don't begin with _ or a dot and aren't being copied."""
+    """Rows of files whose names don't begin with _ or a dot and aren't being copied, also of those
+    that were named one by one, which Spark reads whatever their names."""
     name = F.col("_metadata.file_name")
     return df.where(~name.startswith("_") & ~name.startswith(".") & ~name.contains("_COPYING_"))
 
@@ -99,8 +103,16 @@ def write_all(df: DataFrame, *sinks: Callable[[DataFrame], None]) -> None:
 
 
 def hybrid(history: DataFrame, live: DataFrame, ts: str, cut: Column) -> DataFrame:
-    """First a bounded source up to the cut, then another from there on."""
-    return history.where(F.col(ts) < cut).unionByName(live.where(F.col(ts) >= cut))
+    """First a bounded source up to the cut, then another from there on. Where ``live`` is a stream,
+    history is written out first and the stream runs over what is there now into the same folder;
+    the result has the ``batch`` of each row, 0 for history."""
+    before, after = history.where(F.col(ts) < cut), live.where(F.col(ts) >= cut)
+    if not live.isStreaming:
+        return before.unionByName(after)
+    out = fresh_path(history.sparkSession, "hybrid")
+    before.write.parquet(f"{out}/source=history/batch=0")
+    run_to_end(after, out=f"{out}/source=live")
+    return history.sparkSession.read.parquet(out)
 
 
 def upsert(spark: SparkSession, path: str | None, changes: DataFrame, key: str, version: Column) -> tuple[DataFrame, str]:
@@ -114,6 +126,28 @@ def upsert(spark: SparkSession, path: str | None, changes: DataFrame, key: str,
     return spark.read.parquet(out), out
 
 
+def split_nulls(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep the constraint, and rejects."""
+    fine = F.lit(True)
+    for c in columns:
+        fine = fine & F.col(c).isNotNull()
+    return df.where(fine), df.where(~fine)
+
+
+def explained(df: DataFrame, detail: str = "formatted") -> str:
+    """The plan as text (``simple``, ``extended``, ``cost``, ``formatted``) or, for ``json``, as JSON."""
+    execution = df._jdf.queryExecution()
+    if detail == "json":
+        return execution.optimizedPlan().toJSON()
+    return execution.explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(detail))
+
+
+def show_rows(df: DataFrame, rows: int = 20, prefix: str = "") -> None:
+    """Prints the first rows, each behind a prefix."""
+    for row in df.limit(rows).select(F.to_json(F.struct(*df.columns)).alias("line")).toLocalIterator():
+        print(f"{prefix}{row['line']}")
+
+
 def not_null(df: DataFrame, *columns: str) -> DataFrame:
     """Fails when a row with a null in one of the columns reaches the sink."""
     checks = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in {c}"))).otherwise(F.col(c)) for c in columns}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -38,6 +41,21 @@ def run_to_end(df: DataFrame, mode: str = "append", checkpoint: str | None = Non
     return query, out, checkpoint
 
 
+def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame, int], DataFrame], mode: str = "append", pause: float = 0.0, **options) -> DataFrame:
+    """Input that arrives in parts: each is added to a folder, over which a new run of the stream goes
+    on from the checkpoint of the last. Returns all rows put out, with their ``batch``. ``build`` makes
+    the stream of the part's number; ``pause`` is seconds between runs."""
+    spark = parts[0].sparkSession
+    source, paths = fresh_path(spark, "parts"), {}
+    for k, part in enumerate(parts):
+        if k:
+            time.sleep(pause)
+        part.write.mode("append").parquet(source)
+        made = build(spark.readStream.schema(part.schema).parquet(source), k)
+        _, paths["out"], paths["checkpoint"] = run_to_end(made, mode, **paths, **options)
+    return spark.read.schema(StructType([*made.schema.fields, StructField("batch", IntegerType())])).parquet(paths["out"])
+
+
 def drain(df: DataFrame, mode: str = "append", **options) -> DataFrame:
     """The rows that a stream puts out until its input is used up, with their ``batch``."""
     _, out, _ = run_to_end(df, mode, **options)

@@ -1,7 +1,9 @@
 """Operators with state per key, for streams (and batches) of keyed rows.
 
 Each is a processor for ``groupBy(key).transformWithStateInPandas``; what arrives for a key in one
-batch comes in the order of ``order`` where that is given.
+batch comes in the order of ``order`` where that is given. A batch's rows of one key are held at once
+for that; a source's limit on a batch (files or offsets a trigger) bounds them. State per key has a
+bounded size but where the docstring says otherwise.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -25,7 +28,11 @@ def process(df: DataFrame, key: str, processor: StatefulProcessor, schema: str,
     return df.groupBy(key).transformWithStateInPandas(processor, schema, mode, time_mode, None, event_time)
 
 
-def _rows(rows: Iterator[pd.DataFrame], order: str | None) -> pd.DataFrame:
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
+
+def _rows(rows: Iterator[pd.DataFrame], order: str | list[str] | None) -> pd.DataFrame:
     frames = [r for r in rows if len(r)]
     if not frames:
         return pd.DataFrame()
@@ -57,11 +64,13 @@ class RunningSum(StatefulProcessor):
 
 class CountWindow(StatefulProcessor):
     """Sums over the last ``size`` values of a key after every ``slide`` of them; where size and
-    slide are equal the windows tumble and a window that isn't full puts nothing out. List state
-    holds ``size`` values at most; ``purge`` empties it when it has fired."""
+    slide are equal the windows tumble and a window that isn't full puts nothing out. List state holds less
+    than ``size`` values; ``purge`` empties it when it has fired. A batch's sums are differences of
+    one running sum."""
 
     def __init__(self, value: str, order: str, size: int, slide: int | None = None, purge: bool = False):
-        self.value, self.order, self.size, self.slide, self.purge = value, order, size, slide or size, purge
+        self.value, self.order, self.slide, self.purge = value, order, slide or size, purge
+        self.size = min(size, self.slide) if purge else size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getListState("last", "v double")
@@ -69,22 +78,23 @@ class CountWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         found = _rows(rows, self.order)
-        last = [x[0] for x in self.last.get()] if self.last.exists() else []
+        if not len(found):
+            return
+        held = [x[0] for x in self.last.get()] if self.last.exists() else []
         n = self.seen.get()[0] if self.seen.exists() else 0
-        at, sums = [], []
-        for place, v in zip(found[self.order], found[self.value].fillna(0), strict=True):
-            last = [*last, float(v)][-self.size :]
-            n += 1
-            if n % self.slide == 0:
-                at.append(place)
-                sums.append(sum(last))
-                last = [] if self.purge else last
+        values = np.append(np.array(held, float), found[self.value].fillna(0).to_numpy(float))
+        sums = np.append(0.0, np.cumsum(values))
+        fires = np.flatnonzero((n + 1 + np.arange(len(found))) % self.slide == 0)
+        ends = len(held) + fires + 1
+        totals = sums[ends] - sums[np.maximum(ends - self.size, 0)]
+        n += len(found)
         self.seen.update((n,))
-        if last:
-            self.last.put([(x,) for x in last])
+        left = min(self.size - 1, n % self.slide if self.purge else len(values))
+        if left:
+            self.last.put([(float(x),) for x in values[-left:]])
         elif self.last.exists():
             self.last.clear()
-        yield pd.DataFrame({"key": key[0], "at": pd.Series(at, dtype="int64"), "total": pd.Series(sums, dtype="float64")})
+        yield pd.DataFrame({"key": key[0], "at": found[self.order].to_numpy()[fires], "total": totals})
 
     def close(self) -> None:
         pass
@@ -114,6 +124,85 @@ class CountTrigger(StatefulProcessor):
         pass
 
 
+class ContinuousTrigger(StatefulProcessor):
+    """The sum over all values of a key so far at the end of every ``seconds`` of event time in which
+    the key had rows: a global window that fires early and goes on. It fires when a row of a later
+    stretch arrives; rows of an earlier one count towards the present. State is the sum and the
+    stretch."""
+
+    def __init__(self, value: str, ts: str, order: str, seconds: int):
+        self.value, self.ts, self.order, self.seconds = value, ts, order, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.so_far = handle.getValueState("so_far", "total double, stretch bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        found = _rows(rows, [self.ts, self.order])
+        if not len(found):
+            return
+        total, stretch = self.so_far.get() if self.so_far.exists() else (0.0, None)
+        stretches = np.maximum.accumulate(_micros(found[self.ts]).to_numpy() // (self.seconds * 1_000_000))
+        stretches = stretches if stretch is None else np.maximum(stretches, stretch)
+        sums = np.append(total, total + np.cumsum(found[self.value].fillna(0).to_numpy(float)))
+        before = np.append(stretches[0] if stretch is None else stretch, stretches[:-1])
+        fires = np.flatnonzero(stretches > before)
+        self.so_far.update((float(sums[-1]), int(stretches[-1])))
+        yield pd.DataFrame({"key": key[0], "at": (before[fires] + 1) * self.seconds, "total": sums[fires]})
+
+    def close(self) -> None:
+        pass
+
+
+class Accumulator(StatefulProcessor):
+    """Sum and number of a key's values so far after each of them, whose ratio is their mean. State is
+    this accumulator alone, which values are added to as they come."""
+
+    def __init__(self, value: str, order: str):
+        self.value, self.order = value, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "total double, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        found = _rows(rows, self.order)
+        if not len(found):
+            return
+        total, n = self.held.get() if self.held.exists() else (0.0, 0)
+        sums, numbers = total + found[self.value].fillna(0).cumsum(), n + 1 + np.arange(len(found))
+        self.held.update((float(sums.iloc[-1]), int(numbers[-1])))
+        yield pd.DataFrame({"key": key[0], "at": found[self.order], "total": sums, "n": numbers})
+
+    def close(self) -> None:
+        pass
+
+
+class Connected(StatefulProcessor):
+    """Two inputs (:func:`rillframe.operators.joins.connect`) with a handler each and one state: a row
+    of the left leaves its id there; a row of the right is put out with the id that it finds."""
+
+    def __init__(self, ts: str, order: str):
+        self.ts, self.order = ts, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        found = _rows(rows, [self.ts, self.order])
+        if not len(found):
+            return
+        ids = found[self.order].astype("Int64")
+        seen = ids.where(found["side"] == "left").ffill()
+        if self.latest.exists():
+            seen = seen.fillna(self.latest.get()[0])
+        if not pd.isna(seen.iloc[-1]):
+            self.latest.update((int(seen.iloc[-1]),))
+        right = found["side"] == "right"
+        yield pd.DataFrame({"key": key[0], "at": ids[right], "seen": seen[right]})
+
+    def close(self) -> None:
+        pass
+
+
 class CountsByValue(StatefulProcessor):
     """How often each value of a column has come for a key; map state, in update mode."""
 
@@ -148,7 +237,7 @@ class LateTag(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         found = _rows(rows, self.order)
-        micros = found[self.ts].astype("datetime64[us]").astype("int64")
+        micros = _micros(found[self.ts])
         start = self.largest.get()[0] if self.largest.exists() else -(1 << 62)
         before = micros.cummax().shift(1).fillna(start).clip(lower=start)
         self.largest.update((int(max(start, micros.max())),))
@@ -159,21 +248,21 @@ class LateTag(StatefulProcessor):
 
 
 class KeepLast(StatefulProcessor):
-    """A key's latest row by time so far, put out when it changes: deduplication that keeps the
-    last. In update mode downstream keeps the newest row of a key."""
+    """A key's latest row by time so far, or with ``first`` its earliest, put out when it changes:
+    deduplication that keeps the last, or the first. In update mode downstream keeps the newest
+    row of a key."""
 
-    def __init__(self, ts: str, order: str):
-        self.ts, self.order = ts, order
+    def __init__(self, ts: str, order: str, first: bool = False):
+        self.ts, self.order, self.first = ts, order, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", "ts bigint, id bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         found = _rows(rows, None)
-        micros = found[self.ts].astype("datetime64[us]").astype("int64")
-        top = max(zip(micros, found[self.order], strict=True))
+        top = (min if self.first else max)(zip(_micros(found[self.ts]), found[self.order], strict=True))
         old = tuple(self.best.get()) if self.best.exists() else None
-        if old is None or top > old:
+        if old is None or (top < old if self.first else top > old):
             self.best.update((int(top[0]), int(top[1])))
             yield pd.DataFrame({"key": [key[0]], "id": [int(top[1])]})
 
@@ -237,7 +326,8 @@ class EvolvingTotal(StatefulProcessor):
 
 class EventTimeSort(StatefulProcessor):
     """A key's rows in the order of their times: held in list state until the watermark has passed
-    them, then put out with their place in the key's order. Event time; needs a watermark."""
+    them, then put out with their place in the key's order. Event time; needs a watermark, whose
+    delay bounds what is held."""
 
     def __init__(self, ts: str, order: str):
         self.ts, self.order = ts, order
@@ -261,7 +351,7 @@ class EventTimeSort(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         found = _rows(rows, None)
-        micros = found[self.ts].astype("datetime64[us]").astype("int64")
+        micros = _micros(found[self.ts])
         held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
         n, due = self.done.get() if self.done.exists() else (0, -1)
         self._hold([*held, *((int(a), int(b)) for a, b in zip(micros, found[self.order], strict=True))], n, due if due >= 0 else None)

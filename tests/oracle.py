@@ -1,6 +1,8 @@
 """Running a query's checking SQL in DuckDB, and comparing results as multisets."""
 
+import decimal
 import math
+import numbers
 import os
 
 import duckdb
@@ -18,12 +20,14 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if value is None or isinstance(value, float) and math.isnan(value) or str(value) in ("<NA>", "NaT"):
+    if value is None or isinstance(value, float) and not math.isfinite(value) or str(value) in ("<NA>", "NaT"):
         return "null"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
-    if isinstance(value, (int, float)) or hasattr(value, "dtype") and getattr(value, "ndim", 0) == 0:
-        return f"{float(value):.4f}".replace("-0.0000", "0.0000")
+    if isinstance(value, numbers.Integral) or isinstance(value, (float, decimal.Decimal)) and value == int(value):
+        return str(int(value))
+    if isinstance(value, (float, decimal.Decimal)):
+        return f"{float(value):.9e}"  # ten digits: sums of doubles differ in their last places
     return str(value)
 
 

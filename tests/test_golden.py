@@ -49,7 +49,7 @@ def test_sensor_lines(spark):
 
 
 def test_json(spark):
-    contacts = spark.createDataFrame([(1, '{"name":"Flink","tel":123,"addr":{"country":"Germany","city":"Berlin"}}')], "id int, info string")
+    contacts = spark.createDataFrame([(1, '{"name":"Ada","tel":123,"addr":{"country":"Germany","city":"Berlin"}}')], "id int, info string")
     schema = "name string, tel bigint, addr struct<country string, city string>"
     assert '"tel":124' in contacts.select(scalars.json_increment(F.col("info"), "tel", schema)).first()[0]
     row = contacts.select(S.json_encode(S.json_decode(F.lit('{"svt":"x"}'), "svt string, ops struct<id string>, ids array<int>"))).first()[0]
