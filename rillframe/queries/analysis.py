@@ -57,7 +57,7 @@ def table_function(t: Tables) -> DataFrame:
 
 
 R.add("x05_aggregate_function", lambda t: t["part"].groupBy("p_brand").agg(F.round(U.mean_of(F.col("p_size").cast("double")), 4).alias("mean")), "SELECT p_brand, round(avg(p_size), 4) AS mean FROM part GROUP BY p_brand")
-R.add("x06_table_aggregate", lambda t: t["supplier"].select("s_nationkey", "s_suppkey", "s_acctbal").groupBy("s_nationkey").applyInPandas(U.top_two, "s_nationkey int, s_suppkey bigint, place int"), "SELECT s_nationkey, s_suppkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier) WHERE place <= 2")
+R.add("x06_table_aggregate", lambda t: U.top_two(t["supplier"]), "SELECT s_nationkey, s_suppkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier) WHERE place <= 2")
 
 
 @R.query("x07_registered_function", "SELECT n_nationkey, CAST(n_regionkey + 1 AS BIGINT) AS more FROM nation")

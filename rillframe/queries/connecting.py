@@ -273,5 +273,35 @@ R.sql("star_large_orders", "SELECT c_custkey, o_orderkey, round(sum(l_quantity),
 R.sql("star_regional_volume", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY n_name")
 R.sql("star_rollup_rank", "SELECT k, s, total, CAST(rank() OVER (PARTITION BY lvl, CASE WHEN lvl = 0 THEN k END ORDER BY total DESC) AS INTEGER) AS place FROM (SELECT p_brand AS k, p_size AS s, CAST(grouping(p_brand) + grouping(p_size) AS BIGINT) AS lvl, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ROLLUP (p_brand, p_size))")
 R.sql("star_class_share", "SELECT p_brand, p_size, round(total * 100 / sum(total) OVER (PARTITION BY p_brand), 4) AS share FROM (SELECT p_brand, p_size, sum(l_extendedprice) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)")
+R.sql(
+    "star_neighbour_months",
+    """WITH m AS (SELECT p_brand, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS mo, sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS total
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+    r AS (SELECT p_brand, y, mo, total, rank() OVER (PARTITION BY p_brand ORDER BY y, mo) AS rn FROM m)
+    SELECT a.p_brand, a.y, a.mo, CAST(a.total AS DOUBLE) AS total, CAST(b.total AS DOUBLE) AS month_before, CAST(c.total AS DOUBLE) AS month_after
+    FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.rn = b.rn + 1 JOIN r c ON a.p_brand = c.p_brand AND a.rn = c.rn - 1 WHERE a.y = 1997""",
+)
+R.sql(
+    "star_cumulative_channels",
+    """WITH a AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, sum(sum(l_quantity)) OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE)) AS total FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey, CAST(l_shipdate AS DATE)),
+    b AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, sum(sum(l_quantity)) OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE)) AS total FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_suppkey, CAST(l_shipdate AS DATE)),
+    j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.d, b.d) AS d, a.total AS returned, b.total AS new FROM a FULL JOIN b ON a.k = b.k AND a.d = b.d),
+    c AS (SELECT k, d, max(returned) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS returned, max(new) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS new FROM j)
+    SELECT k, CAST(d AS STRING) AS d, returned, new FROM c WHERE returned > new""",
+)
+R.sql(
+    "star_channel_rollup",
+    """WITH s AS (SELECT l_suppkey AS id, sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS sales FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+    r AS (SELECT l_suppkey AS id, sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS back FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1),
+    c AS (SELECT o_custkey AS id, sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS sales FROM orders GROUP BY 1),
+    u AS (SELECT 'supplier' AS channel, s.id, s.sales, coalesce(r.back, 0) AS back FROM s LEFT JOIN r ON s.id = r.id UNION ALL SELECT 'customer', c.id, c.sales, 0 FROM c)
+    SELECT channel, id, CAST(sum(sales) AS DOUBLE) AS sales, CAST(sum(back) AS DOUBLE) AS back FROM u GROUP BY ROLLUP (channel, id)""",
+)
+R.sql(
+    "star_variation_pairs",
+    """WITH m AS (SELECT l_suppkey AS k, CAST(extract(year FROM l_shipdate) * 12 + extract(month FROM l_shipdate) AS BIGINT) AS mo, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS dev FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT k, mo, dev / mean AS ratio FROM m WHERE mean > 0 AND dev / mean > 0.5)
+    SELECT a.k, a.mo, round(a.ratio, 6) AS ratio, round(b.ratio, 6) AS next_ratio FROM f a JOIN f b ON a.k = b.k AND b.mo = a.mo + 1""",
+)
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -100,15 +100,15 @@ R.add("t12_purging_count_trigger", lambda t: drain(S.process(keyed(t), "user_id"
 R.add("t12_continuous_trigger", lambda t: drain(S.process(keyed(t), "user_id", S.ContinuousTrigger("value", "ts", "event_id", 14_400), "key bigint, at bigint, total double")).select(*rounded_()), "WITH b AS (SELECT user_id, CAST(floor(epoch(ts) / 14400) AS BIGINT) AS b, sum(coalesce(value, 0)) AS s FROM events GROUP BY ALL) SELECT user_id AS key, (b + 1) * 14400 AS at, round(sum(s) OVER (PARTITION BY user_id ORDER BY b), 4) AS total FROM b QUALIFY b < max(b) OVER (PARTITION BY user_id)")
 R.add("t13_window_function", lambda t: W.tumbling(t["events"], "ts", "1 day", ["user_id"], F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds")).select(start(), "user_id", "kinds"), "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY ALL")
 R.add("t14_windowed_aggregate", lambda t: W.tumbling(t["events"], "ts", "12 hours", ["event_type"], F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 3).alias("mean"), total_()).select(start(), "event_type", "least", "most", "mean", "total"), "SELECT strftime(time_bucket(INTERVAL 12 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, min(value) AS least, max(value) AS most, round(avg(value), 3) AS mean, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-LATE = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, max(ts) OVER (PARTITION BY event_type ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before - ts > INTERVAL 3 DAY"
+LATE = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before - ts > INTERVAL 3 DAY"
 
 
 def shuffled(events: DataFrame) -> DataFrame:
     return events.withColumn("arrival", (F.col("event_id") % 97) * 10_000_000_000 + F.col("event_id"))
 
 
-R.add("t15_late_side_output", lambda t: W.split_late(shuffled(t["events"]), "ts", "arrival", ["event_type"], 3 * 86_400)[1].agg(*ids_()), LATE)
-R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events")), "event_type", S.LateTag("ts", "arrival", 3 * 86_400), "key string, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*ids_()), LATE)
+R.add("t15_late_side_output", lambda t: W.split_late(shuffled(t["events"]), "ts", "arrival", ["user_id"], 3 * 86_400)[1].agg(*ids_()), LATE)
+R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events")), "user_id", S.LateTag("ts", "arrival", 3 * 86_400), "key bigint, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*ids_()), LATE)
 R.add("t16_stream_group_aggregate", lambda t: latest(drain(t.stream("events").groupBy("event_type").agg(rows_(), total_()), "update"), "event_type"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 
 
