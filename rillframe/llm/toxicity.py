@@ -10,8 +10,8 @@ and its counterfactual. So the weights can't lean on which group is named, and n
 don't become false positives, also where few labelled rows name a group.
 
 The model is fitted on at most ``sample`` labelled rows (the first in the order of a hash of
-their ids) of at most ``longest`` characters each, which bounds what the driver gets; every row is
-then scored over its whole text by a sum over its distinct words, whose weights each worker keeps.
+their ids) of at most ``longest`` characters each and ``TOTAL`` in all, which bounds what the driver
+gets; every row is then scored over its whole text by a sum over its distinct words, whose weights each worker keeps.
 Only the text is an input of a score. Null texts count as empty, which get the score of the bias
 alone. Rows with a null label are not learnt from; a row labelled twice is learnt from twice; of
 rows that repeat an id the least text is learnt from; where no labelled row, or only one label, is
@@ -27,13 +27,14 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import held_out, map_batches, texts, worker_state
+from rillframe.llm.common import Scratch, held_out, map_batches, texts, worker_state
 
 DIMENSIONS = 1 << 20
-SAMPLE, LONGEST = 10_000, 8_000
+#: Rows of the labelled sample, characters of each, and characters in all.
+SAMPLE, LONGEST, TOTAL = 10_000, 40_000, 64_000_000
 _STRIP = ".,;:!?|\"'()[]{}<>#&*%$~`-_=+/\\…“”‘’«»¿¡"
 #: Identity terms by kind; a counterfactual stays within a line.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -193,6 +194,10 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "label").limit(sample))  # the bound of both broadcasts
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= longest)
     rows = rows.join(known.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text")).join(known, "id")
+    rows = Scratch(df.sparkSession).save(rows.withColumn("place", F.xxhash64("id", "label")), "labelled")
+    # A running sum over the lengths of the sample's rows alone.
+    within = rows.select("id", "label", F.length("text").alias("size"), "place").withColumn("upto", F.sum("size").over(Window.orderBy("place", "id", "label")))
+    rows = rows.join(F.broadcast(within.where(F.col("upto") <= TOTAL).select("id", "label").distinct()), ["id", "label"]).select("id", "label", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = zip(*(learnt_from(tokens(t)) for t in texts(batch)), strict=True)
@@ -208,8 +213,8 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 class Scorer:
     """A fitted model that tasks score texts with."""
 
-    def __init__(self, df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE, strength: float = 1.0):
-        weights, self.bias = fit(*labelled_sample(df, labels, id_column, text, label, folds, fold, sample), strength)
+    def __init__(self, df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE, strength: float = 1.0, longest: int = LONGEST):
+        weights, self.bias = fit(*labelled_sample(df, labels, id_column, text, label, folds, fold, sample, longest), strength)
         self.model = df.sparkSession.sparkContext.broadcast(weights)  # at most as many weights as features
         self.key = uuid.uuid4().hex
 
