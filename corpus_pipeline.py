@@ -2,8 +2,8 @@
 
 Each stage takes all rows that the stage before has kept and calls one operator of
 ``rillframe.llm``; between stages the rows are written as Parquet and read again. Each
-stage that joins its decisions back first gives every row a number in a scratch table, so repeated
-rows, repeated ids and null ids are rows of their own. Null texts count as empty, and
+stage that joins its decisions back first gives every row a number, so repeated rows, repeated ids
+and null ids are rows of their own. Null texts count as empty, and
 columns beyond those of ``documents`` pass through the filtering stages.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,15 @@ ROW = "pipeline_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return Scratch(docs.sparkSession).save(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """The rows with a number of their own: a file's place among the files and the row's in its file, which
+    every reading finds again; rows that don't come from files are written out with a number first."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("pipeline_file"), F.col("_metadata.row_index").alias("pipeline_at"))
+    except AnalysisException:
+        return Scratch(docs.sparkSession).save(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    names = sorted(r["pipeline_file"] for r in placed.select("pipeline_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "pipeline_number bigint, pipeline_file string")
+    return placed.join(files, "pipeline_file").withColumn(ROW, F.shiftleft("pipeline_number", 40) + F.col("pipeline_at")).select(*docs.columns, ROW)
 
 
 def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
