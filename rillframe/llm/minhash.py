@@ -214,10 +214,9 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", wi
     open_ = entries.join(known, "c").select("key", "block", "root").distinct()
     several = open_.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     # Most keys of a group hold the same blocks: pairs are made of each set of blocks once, not for each key.
-    lists = open_.join(several, "key").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("block", "root"))).alias("m")).select("m").distinct()
-    ordered = lists.select("m", F.posexplode("m").alias("at", "x")).select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
-    apart = ordered.where("x.block <> y.block AND x.root <> y.root").select(F.col("x.block").alias("block"), F.col("y.block").alias("other"))
-    pairs = scratch.save(apart.distinct(), "pairs")
+    lists = open_.join(several, "key").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("m")).where(F.size("m") > 1).select("m").distinct()
+    ordered = lists.select("m", F.posexplode("m").alias("at", "block"))
+    pairs = scratch.save(ordered.select("block", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("other")).distinct(), "pairs")
     left, right = blocks.select("block", "nodes", "sets"), blocks.select(F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("sets").alias("sets_b"))
     between = pairs.join(left, "block").join(right, "other").select(F.concat("nodes", "nodes_b").alias("nodes"), F.concat("sets", "sets_b").alias("sets"))
     late = scratch.save(compare(between), "late")
