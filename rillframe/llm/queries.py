@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillframe.llm import bpe, exact_dedup, html_content, language_model, lattice, minhash, mixing, secrets, token_counts, toxicity
+from rillframe.llm import bpe, exact_dedup, gnat, html_content, language_model, lattice, minhash, mixing, multiset, secrets, threshold, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_log_bilinear": language_model.query,
@@ -19,8 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_counterfactual_toxicity": toxicity.query,
     "op10_content_sort": exact_dedup.query,
+    "op11_gnat_codes": gnat.query,
+    "op12_multiset_fingerprint": multiset.query,
+    "op13_threshold_clusters": threshold.query,
 }
 
 ORACLES: dict[str, str] = {
     "op10_content_sort": exact_dedup.ORACLE,
+    "op11_gnat_codes": gnat.ORACLE,
+    "op13_threshold_clusters": threshold.ORACLE,
 }
