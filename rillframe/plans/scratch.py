@@ -56,10 +56,10 @@ class Scratch:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Writes ``df`` as Parquet and returns the table read back."""
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             remove(self.spark, old)
