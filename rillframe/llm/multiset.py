@@ -213,7 +213,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text") -
     # Rows of one id can be dealt out too, by hash and row; equal texts of one id are alike in all.
     ordered = rows.repartitionByRange(F.asc_nulls_first("id"), "h", "row").sortWithinPartitions(F.asc_nulls_first("id"), "h", "text", "row")
     walked = ordered.select("id", "text").mapInArrow(_walk(pa.int64()), f"id bigint, place int, first string, last string, {FIELDS}")
-    found = scratch.save(walked, "walked")
+    found = scratch.save(walked, "walked", "zstd")
 
     # One number for each partition: which one comes next, the first again after the last.
     places = sorted(r.place for r in found.where("last IS NOT NULL").select("place").collect())
