@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillframe.plans.scratch import Scratch
 
-__all__ = ["Scratch", "coded_words", "held_out", "map_batches", "texts", "word_hashes", "words", "worker_state"]
+__all__ = ["Scratch", "bounded_broadcast", "coded_words", "held_out", "map_batches", "over_groups", "texts", "word_hashes", "words", "worker_state"]
 
 _states: dict[str, dict] = {}
 
@@ -57,6 +57,33 @@ def held_out(id_column: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds == fold
 
 
+#: Rows of a few numbers each that are broadcast at most: some tens of megabytes.
+BROADCAST = 500_000
+
+
+def bounded_broadcast(rows: DataFrame) -> DataFrame:
+    """A saved table of a few numbers a row for a join: broadcast if it is counted to be small,
+    merged if not."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows.hint("merge")
+
+
+def over_groups(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """Adds aggregates over all rows of equal ``key``, nulls together; ``rows`` should be a saved
+    table, which is read three times.
+
+    Keys that hold more than a thousandth of all rows are fewer than a thousand: what belongs to them
+    is broadcast, so that no hot key is shuffled. That of the others is joined by key.
+    """
+    totals = rows.groupBy(key).agg(*(a.alias(name) for name, a in aggregates.items()), F.count("*").alias("_rows"))
+    in_all = totals.agg(F.sum("_rows").alias("n")).first()["n"] or 0
+    of = totals.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    first = rows.join(F.broadcast(of.where(F.col("_rows") * 1000 > in_all)), same, "left")
+    done = first.where("_rows IS NOT NULL").drop("_key", "_rows")
+    rest = first.where("_rows IS NULL").select(*rows.columns)
+    return done.unionByName(rest.join(of.where(F.col("_rows") * 1000 <= in_all), same).drop("_key", "_rows"))
+
+
 def words(text: str) -> list[bytes]:
     """Lower-cases A-Z alone and splits at blanks and the controls 9 to 13, which is what bytes do."""
     return text.encode("utf-8", "surrogatepass").lower().split()

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, map_batches
-from rillframe.llm.vectors import digest, floor_means, integer_row, integers, kept_vectors, with_totals
+from rillframe.llm.common import Scratch, map_batches, over_groups
+from rillframe.llm.vectors import digest, floor_means, integer_row, integers, kept_vectors
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Split points of a node.
@@ -186,7 +186,7 @@ def compress(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding"
         return empty.where("false")
     books = train(rows, dims, parts, entries, rounds, scale)
     codes = Scratch(df.sparkSession).save(encode(rows, books, scale), "codes")
-    out = with_totals(codes, "label", "error", "label_error")
+    out = over_groups(codes, "label", label_error=F.sum("error"))
     return out.select(F.col("id").alias(id_column), "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
 
 

@@ -12,17 +12,21 @@ only one class has can't make a candidate and go first. Classes that share keys
 blocks of a bounded number of sets and shingles, all full sets of which are compared with each
 other by products of membership matrices. Groups larger than a block are joined up by a few
 representatives of each block, which meet those of other blocks twice. Only components matter, so
-what is left are keys whose classes are not yet in one: whatever two blocks hold such classes are
-compared once, in full. So no pair of a large group is ever a row, no pair is compared for each
-table anew, blocks of one component aren't compared with each other, and no candidate is dropped.
+what is left are keys whose classes are not yet in one, and classes that have such a key. These open
+classes alone are dealt to blocks anew, by the component that they are in so far, small components
+together; blocks that share a key are compared in full unless both are of one component, and a
+comparison puts out links between different components only. So no pair of a large group is ever a
+row, no pair is compared for each table anew, a few documents that share keys with a large group
+meet its blocks but don't make these meet each other, and no candidate is dropped.
 
 Words are cut at blanks and the controls 9 to 13 after lower-casing A-Z. Null and empty texts,
 and texts without words, have an empty set and are linked with nothing; texts of fewer words than
 a shingle have their whole sequence as the one member of their set. Shingles are compared by
 64-bit hashes. Ids are integers; rows with the same id are one document, linked with whatever any
-of its texts is linked with, and each has the number of shingles of its own text; a row with a null
-id takes its class's component, or null where its class has no other id. An empty table gives an
-empty result, and columns other than id and text aren't looked at.
+of its texts is linked with, and each has the number of shingles of its own text. A row with a null
+id is a document of its own, which links others too: it takes the smallest id that links reach, or
+null where they reach none. An empty table gives an empty result, and columns other than id and text
+aren't looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import Scratch, coded_words, map_batches, word_hashes
+from rillframe.llm.common import Scratch, bounded_broadcast, coded_words, map_batches, over_groups, word_hashes
 from rillframe.llm.components import components
 
 SIDE, HALF = 12, 4
@@ -153,29 +157,60 @@ def linked_roots(sets: list[np.ndarray], parts: int, whole: int) -> np.ndarray:
 
 
 def _compared(parts: int, whole: int):
-    """Links in and between blocks, as a star for each group that they make."""
+    """Links in and between blocks, as a star for each group that they make. Nodes stand for the
+    component in ``roots`` that they are known to be in; what is known isn't put out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a: list[int] = []
-        b: list[int] = []
-        for nodes, packed in zip(batch.column("nodes").to_pylist(), batch.column("sets").to_pylist(), strict=True):
+        links: set[tuple[int, int]] = set()
+        for nodes, packed in zip(batch.column("roots").to_pylist(), batch.column("sets").to_pylist(), strict=True):
             if len(nodes) > 1:
-                roots = linked_roots([np.frombuffer(x, np.uint64) for x in packed], parts, whole)
-                moved = np.flatnonzero(roots != np.arange(len(nodes)))
-                a += [nodes[k] for k in moved]
-                b += [nodes[k] for k in roots[moved]]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+                found = linked_roots([np.frombuffer(x, np.uint64) for x in packed], parts, whole)
+                links |= {(nodes[k], nodes[r]) for k, r in enumerate(found.tolist()) if nodes[k] != nodes[r]}
+        a, b = zip(*sorted(links), strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if links else None
 
     return run
 
 
+def _open_blocks(open_: DataFrame, known: DataFrame, blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Open classes in blocks of their own: ``c``, ``root``, ``block`` and ``set``. A component of
+    more than half a block has blocks to itself, smaller ones of a home are dealt out whole."""
+    found = scratch.save(open_.select("c").distinct().join(known, "c"), "open-classes")
+    found = over_groups(found, "root", root_n=F.count("*"), root_size=F.sum("n"), shared=F.min("home"))
+    found = scratch.save(found.withColumn("large", (F.col("root_n") * 2 > SETS) | (F.col("root_size") * 2 > BLOCK)), "open-roots")
+    large = found.where("large").withColumn("parts", F.ceil(F.greatest(F.col("root_size") / BLOCK, F.col("root_n") / SETS)))
+    small = over_groups(scratch.save(found.where("NOT large"), "open-small"), "shared", home_n=F.count("*"), home_size=F.sum("n"))
+    small = small.withColumn("parts", F.ceil(F.greatest(F.col("home_size") / BLOCK, F.col("home_n") / SETS)))
+    own = large.select("c", "root", F.xxhash64(F.lit(1), "root", F.pmod(F.xxhash64("c"), "parts")).alias("block"))
+    placed = own.unionByName(small.select("c", "root", F.xxhash64(F.lit(2), "shared", F.pmod(F.xxhash64("root"), "parts")).alias("block")))
+    placed = scratch.save(placed, "open-placed")
+    sets = blocks.select(F.explode(F.arrays_zip("roots", "sets")).alias("m")).select(F.col("m.roots").alias("c"), F.col("m.sets").alias("set"))
+    return scratch.save(sets.join(bounded_broadcast(placed), "c"), "open-sets")
+
+
+def _pairs(at: DataFrame) -> DataFrame:
+    """Pairs of blocks, a block with itself among them, that meet at a key with different components;
+    ``at`` has a row for each key, block and component.
+
+    Most keys of a group hold the same blocks: keys that do are told by two 64-bit digests and their
+    number, and one of them is taken. At a key all components but the one with most blocks are paired
+    with what is not of theirs, so that blocks of one component never meet."""
+    digest = at.groupBy("key").agg(F.bit_xor(F.xxhash64("block", "root")).alias("x"), F.bit_xor(F.xxhash64("root", "block", F.lit(7))).alias("y"), F.count("*").alias("n"))
+    at = at.join(digest.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key")
+    most = at.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    minor = at.join(most, "key").where("root <> most").select("key", F.col("block").alias("a"), F.col("root").alias("a_root"))
+    met = minor.join(at, "key").where("root <> a_root")
+    return met.select(F.least("a", "block").alias("block"), F.greatest("a", "block").alias("other")).distinct()
+
+
 def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, parts: int = 80, whole: int = 100, side: int = SIDE, half: int = HALF) -> DataFrame:
     """One row per row: the id, ``n_shingles``, ``component_id`` (the smallest id that links
     reach) and ``kept`` (the row has that id). Documents are linked if ``whole`` times the size of
     their sets' intersection is at least ``parts`` times that of the union."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.save(signatures(df, id_column, text, width, side, half), "signatures")
-    classes = scratch.save(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("node IS NOT NULL").withColumn("c", F.monotonically_increasing_id()), "classes")
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = scratch.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     halves = classes.select("c", F.posexplode("keys").alias("place", "h"))
     shared = halves.groupBy("place", "h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("place", "h")
@@ -196,36 +231,46 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", wi
     placed = homes.join(full, "home").select("c", "class", "node", "home", "blocks", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("block"))
     placed = scratch.save(placed, "placed")
 
+    # A class's text is found again by its smallest id; texts without an id are looked at all.
     source = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    found = full_sets(source.join(placed.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), width)
-    sets = scratch.save(found.join(placed.select("class", "c"), "class").dropDuplicates(["c"]).select("c", "set"), "sets")
-    of_blocks = placed.join(sets, "c").groupBy("home", "blocks", "block").agg(F.collect_list(F.struct("node", "set")).alias("m"))
-    blocks = scratch.save(of_blocks.select("home", "blocks", "block", F.col("m.node").alias("nodes"), F.col("m.set").alias("sets")), "blocks")
+    chosen = source.join(placed.select(F.col("node").alias("id")).distinct(), "id", "left_semi").unionByName(source.where("id IS NULL"))
+    sets = scratch.save(full_sets(chosen, width).join(placed.select("class", "c"), "class").dropDuplicates(["c"]).select("c", "set"), "sets")
+    of_blocks = placed.join(sets, "c").groupBy("home", "blocks", "block").agg(F.collect_list(F.struct("c", "set")).alias("m"))
+    blocks = scratch.save(of_blocks.select("home", "blocks", "block", F.col("m.c").alias("roots"), F.col("m.set").alias("sets")), "blocks")
     scratch.drop("sets")
 
-    compare = lambda df: map_batches(df, _compared(parts, whole), "a bigint, b bigint", 16)
+    compare = lambda df: map_batches(df.select("roots", "sets"), _compared(parts, whole), "a bigint, b bigint", 16)
     turns = F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")
-    sent = blocks.where("blocks > 1").select("home", "blocks", "block", F.slice("nodes", 1, CHOSEN).alias("nodes"), F.slice("sets", 1, CHOSEN).alias("sets"), turns)
-    met = sent.groupBy("home", "turn", F.pmod(F.xxhash64("block", "turn"), F.ceil(F.col("blocks") / MEETING)).alias("place")).agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("sets")).alias("sets"))
-    near = scratch.save(compare(blocks.select("nodes", "sets")).unionByName(compare(met.select("nodes", "sets"))).unionByName(_same_ids(rows, classes)), "near")
+    sent = blocks.where("blocks > 1").select("home", "blocks", "block", F.slice("roots", 1, CHOSEN).alias("roots"), F.slice("sets", 1, CHOSEN).alias("sets"), turns)
+    met = sent.groupBy("home", "turn", F.pmod(F.xxhash64("block", "turn"), F.ceil(F.col("blocks") / MEETING)).alias("place")).agg(F.flatten(F.collect_list("roots")).alias("roots"), F.flatten(F.collect_list("sets")).alias("sets"))
+    near = scratch.save(compare(blocks).unionByName(compare(met)).unionByName(_same_ids(rows, classes)), "near")
     roots = scratch.save(components(near), "roots")
 
-    known = placed.join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("c", "block", F.coalesce("root", "node").alias("root"))
-    open_ = entries.join(known, "c").select("key", "block", "root").distinct()
-    several = open_.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    # Most keys of a group hold the same blocks: pairs are made of each set of blocks once, not for each key.
-    lists = open_.join(several, "key").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("m")).where(F.size("m") > 1).select("m").distinct()
-    ordered = lists.select("m", F.posexplode("m").alias("at", "block"))
-    pairs = scratch.save(ordered.select("block", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("other")).distinct(), "pairs")
-    left, right = blocks.select("block", "nodes", "sets"), blocks.select(F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("sets").alias("sets_b"))
-    between = pairs.join(left, "block").join(right, "other").select(F.concat("nodes", "nodes_b").alias("nodes"), F.concat("sets", "sets_b").alias("sets"))
-    late = scratch.save(compare(between), "late")
-    if not late.isEmpty():
-        roots = components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    rooted = classes.select("class", "node").join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("class", F.coalesce("root", "node").alias("root"))
-    out = rows.select("id", "n", "class").join(rooted, "class", "left")
-    component = F.coalesce("root", "id")
+    known = placed.join(roots.withColumnRenamed("node", "of_node"), F.col("c") == F.col("of_node"), "left").select("c", "home", F.coalesce("root", "c").alias("root"))
+    known = scratch.save(known.join(classes.select("c", "n"), "c"), "known")
+    rooted = entries.join(known.select("c", "root"), "c")
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    open_ = scratch.save(rooted.join(several, "key").select("key", "c"), "open")
+    final = classes.select("class", "c", "node").join(roots.withColumnRenamed("node", "of_node"), F.col("c") == F.col("of_node"), "left").select("class", "c", "node", "root")
+    if not open_.isEmpty():
+        members = _open_blocks(open_, known, blocks, scratch)
+        at = scratch.save(open_.join(members.select("c", "block", "root"), "c").select("key", "block", "root").distinct(), "meetings")
+        pairs = scratch.save(_pairs(at), "pairs")
+        gathered = members.groupBy("block").agg(F.collect_list(F.struct("root", "set")).alias("m"))
+        gathered = scratch.save(gathered.select("block", F.col("m.root").alias("roots"), F.col("m.set").alias("sets")), "open-blocks")
+        others = gathered.select(F.col("block").alias("other"), F.col("roots").alias("roots_b"), F.col("sets").alias("sets_b"))
+        between = pairs.where("block <> other").join(gathered, "block").join(others, "other").select(F.concat("roots", "roots_b").alias("roots"), F.concat("sets", "sets_b").alias("sets"))
+        alone = gathered.join(pairs.where("block = other").select("block"), "block", "left_semi")
+        late = scratch.save(compare(between).unionByName(compare(alone)), "late")
+        if not late.isEmpty():  # links between components; few, for most are found before
+            moved = scratch.save(components(late).select(F.col("node").alias("old"), F.col("root").alias("new")), "moved")
+            final = final.join(bounded_broadcast(moved), F.coalesce("root", "c") == F.col("old"), "left").select("class", "c", "node", F.coalesce("new", "root").alias("root"))
+
+    linked = scratch.save(final.where("root IS NOT NULL"), "linked")
+    linked = over_groups(linked, "root", least=F.min("node")).select("class", "least")
+    of_class = classes.select("class", "node").join(linked, "class", "left").select("class", F.coalesce("least", "node").alias("least"))
+    out = rows.select("id", "n", "class").join(of_class, "class", "left")
+    component = F.coalesce("least", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
@@ -233,9 +278,9 @@ def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of rows that repeat an id with different texts; mostly none."""
     of = rows.where("class IS NOT NULL AND id IS NOT NULL").select("id", "class", F.xxhash64("class").alias("h"))
     several = of.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("id")
-    linked = of.join(several, "id").join(classes.select("class", "node"), "class").select("id", "node").distinct()
-    least = linked.groupBy("id").agg(F.min("node").alias("least"))
-    return linked.join(least, "id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    linked = of.join(several, "id").join(classes.select("class", "c"), "class").select("id", "c").distinct()
+    least = linked.groupBy("id").agg(F.min("c").alias("least"))
+    return linked.join(least, "id").where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What the operators on integer vectors share: rows that count, means rounded down, totals of hot keys.
+"""What the operators on integer vectors share: rows that count, and means rounded down.
 
 A component x becomes the integer floor(scale * x), at most ``LIMIT`` in size, so that squared
 distances of up to 512 components and their differences stay exact in 64 bits; a component beyond
@@ -68,20 +68,3 @@ def floor_means(rows: DataFrame, dims: int, scale: int, cells: int, assign: Call
 def digest(values: np.ndarray) -> str:
     """sha256 of the decimal integers, joined by commas."""
     return hashlib.sha256(",".join(map(str, values.ravel().tolist())).encode()).hexdigest()
-
-
-def with_totals(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Adds the total of ``value`` over rows of equal ``key``, nulls together.
-
-    Keys that hold more than a thousandth of all rows are fewer than a thousand: their totals are
-    broadcast, so that no hot key is shuffled. Totals of the others are joined by key.
-    """
-    totals = rows.groupBy(key).agg(F.sum(value).alias(name), F.count("*").alias("n"))
-    rows_in_all = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
-    of = totals.select(F.col(key).alias("of_key"), name, "n")
-    hot = of.where(F.col("n") * 1000 > rows_in_all)
-    same = F.col(key).eqNullSafe(F.col("of_key"))
-    first = rows.join(F.broadcast(hot), same, "left")
-    done = first.where("n IS NOT NULL").drop("of_key", "n")
-    rest = first.where("n IS NULL").drop("of_key", "n", name)
-    return done.unionByName(rest.join(of.where(F.col("n") * 1000 <= rows_in_all), same).drop("of_key", "n"))

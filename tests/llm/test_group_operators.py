@@ -87,6 +87,49 @@ def test_minhash_groups_of_many_blocks(spark, monkeypatch):
     assert len(set(want.values())) == 2
 
 
+def test_minhash_links_through_null_ids(spark):
+    """A row without an id links the rows on either side of it."""
+    base = [f"w{k}" for k in range(200)]
+    a, b, c = (" ".join(base[k:] + [f"x{j}" for j in range(k)]) for k in (0, 12, 24))
+    for b_id, want in ((9, {1: 1, 2: 1, 9: 1}), (None, {1: 1, 2: 1, None: 1})):
+        df = spark.createDataFrame([(1, a), (b_id, b), (2, c)], "doc_id bigint, text string")
+        sets = [shingle_set(t, 5) for t in (a, b, c)]
+        assert [100 * len(x & y) >= 80 * len(x | y) for x, y in itertools.combinations(sets, 2)] == [True, False, True]
+        got = minhash.near_groups(df).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+        assert [r.kept for r in sorted(got, key=lambda r: r.doc_id or 99)] == [True, False, False]
+    lone = spark.createDataFrame([(None, a), (None, b), (4, "others of five words here")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_groups(lone).collect()} == {(None, None), (4, 4)}
+
+
+@pytest.mark.parametrize("copies", [1500, 3000])
+def test_minhash_strays_of_a_large_group(spark, monkeypatch, copies):
+    """Documents that share keys with a large group but aren't linked with it meet its blocks, and
+    don't make its blocks meet each other; what is linked already is not put out again."""
+    seen = {}
+    saved, paired = minhash.Scratch.save, minhash._pairs
+
+    def save(self, df, name, *rest):
+        out = saved(self, df, name, *rest)
+        if name in ("pairs", "late", "open-blocks", "blocks"):
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "SETS", 32)
+    monkeypatch.setattr(minhash.Scratch, "save", save)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[: k % 300], f"c{k // 300}", *base[k % 300 + 1 :]])) for k in range(copies)]
+    rows += [(10_000 + k, " ".join(base[: 300 - 55 - k] + [f"s{k}-{j}" for j in range(60)])) for k in range(20)]
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    strays = {i: s for i, s in sets.items() if i >= 10_000}
+    assert not any(near(s, sets[k]) for s in strays.values() for k in range(0, copies, 7))
+    assert {got[k] for k in range(copies)} == {0} and {i: got[i] for i in strays} == roots_of(strays, [(a, b) for a, b in itertools.combinations(strays, 2) if near(sets[a], sets[b])])
+    assert seen["blocks"] > copies / 32 - 1 and seen.get("open-blocks", 0) > copies / 64
+    assert seen["pairs"] <= 4 * seen["open-blocks"] and seen["late"] <= 20
+
+
 def test_lattice_points():
     draw = np.random.default_rng(2)
     points = draw.standard_normal((300, 8)) * 2
