@@ -8,12 +8,14 @@ tables miss one pair in 500; closer pairs are missed far less.
 
 Dense groups cost no work per pair. Every vector is first compared with the leaders of its cells;
 one whose angle to a leader is at most half the threshold's angle joins the leader's ball, and any
-two vectors of a ball are within the threshold's angle of each other, hence linked. Balls whose
-members meet in a cell are then compared in blocks of some hundred vectors by matrix products,
-which report link counts per vector and whether the balls are linked at all: each pair of balls
-once, whatever the number of cells they share. No bucket or partner count is capped. Rows of balls
-larger than a block meet what is known of their ball by salted keys, so that a ball with a third of
-all rows is never one task's.
+two vectors of a ball are within the threshold's angle of each other, hence linked. Where many small
+balls share a cell, vectors that are near but not that near, they are put together in teams of
+some hundred vectors; a large ball, and a small one without such neighbours, is a team of its own.
+Teams whose members meet in a cell are then compared in blocks of some hundred vectors by matrix
+products, which report link counts per vector and which balls are linked at all: each pair of teams
+once, whatever the number of cells they share, so that pairs of vectors are never rows. No bucket or
+partner count is capped. Rows of large balls meet what is known of their ball by salted keys, so
+that a ball with a third of all rows is never one task's.
 
 Vectors link only if their labels are equal and not null. Vectors that are null, empty, zero, or
 hold null or non-finite components link with nothing, nor do vectors of different lengths.
@@ -39,6 +41,8 @@ TABLES, PROBES = 12, 2
 #: Size of the projected unit sphere against the lattice, for 64 dimensions.
 SCALE = 4.0
 BLOCK = 192  # vectors that one side of a matrix product has, about
+SMALL = 96  # vectors of a ball that can be in a team with others, at most
+CROWD = 16  # small balls of a cell that make teams, at least
 SALTS = 64  # ways in which the rows of a large ball are dealt out
 _SEED = 20_240_502
 
@@ -101,7 +105,7 @@ def cells(unit: np.ndarray, group: np.ndarray, tables: int = TABLES, probes: int
             points.append(point)
             order = np.argsort(-((projected - point) @ around.T), axis=1, kind="stable")[:, :probes]
             others.append([point + around[order[:, k]] for k in range(probes)])
-        start = group.view(np.uint64) + np.uint64(t + 1) * np.uint64(0xD6E8FEB86659FD93)
+        start = group.view(np.uint64) + np.uint64((t + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
         own.append(_cell(_cell(start, points[0]), points[1]))
         near += [_cell(_cell(start, p), points[1]) for p in others[0]] + [_cell(_cell(start, points[0]), p) for p in others[1]]
     return np.stack(own, 1).view(np.int64), np.stack(near, 1).view(np.int64)
@@ -142,28 +146,67 @@ def _close(limit: float):
     return run
 
 
+def _first_reached(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row and column of a matrix of links the first row that links reach; the number of
+    rows where there is none."""
+    n = len(linked)
+    rows = np.where(linked.any(1), np.arange(n), n)
+    while True:
+        columns = np.where(linked, rows[:, None], n).min(0)
+        lower = np.minimum(rows, np.where(linked, columns[None, :], n).min(1))
+        if (lower == rows).all():
+            return rows, columns
+        rows = lower
+
+
 def _compared(threshold: float):
-    """Links between the vectors of two blocks: how many each vector has, where there are any."""
+    """Links between the vectors of two blocks, or within one if there is no other: how many each vector
+    has with vectors of other balls, and links that join the same balls, a star for each group."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[tuple] = []
-        for a, b, rows_a, rows_b, units_a, units_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "rows_a", "rows_b", "units_a", "units_b")), strict=True):
+        out: list[list] = [[], [], [], []]
+        names = ("rows_a", "balls_a", "units_a", "rows_b", "balls_b", "units_b")
+        for rows_a, balls_a, units_a, rows_b, balls_b, units_b in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            alone = rows_b is None
+            if alone:
+                rows_b, balls_b, units_b = rows_a, balls_a, units_a
             x = np.frombuffer(b"".join(units_a)).reshape(len(rows_a), -1)
             y = np.frombuffer(b"".join(units_b)).reshape(len(rows_b), -1)
-            linked = x @ y.T >= threshold
+            p, q = np.array(balls_a), np.array(balls_b)
+            linked = (x @ y.T >= threshold) & (p[:, None] != q[None, :])
+            if alone:
+                linked |= linked.T  # a product may round either way
             if linked.any():
-                p, q = linked.sum(1), linked.sum(0)
-                rows = np.concatenate([np.array(rows_a)[p > 0], np.array(rows_b)[q > 0]])
-                out.append((a, b, rows, np.concatenate([p[p > 0], q[q > 0]])))
-        if not out:
-            return None
-        a, b, rows, counts = zip(*out, strict=True)
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(rows, longs), pa.array(counts, longs)], ["a", "b", "rows", "counts"])
+                first, second = _first_reached(linked)
+                joined = {(int(u), int(v)) for balls, reached in ((p, first), (q, second)) for u, v in zip(balls[reached < len(p)], p[reached[reached < len(p)]], strict=True) if u != v}
+                a, b = zip(*sorted(joined), strict=True)
+                counts = [linked.sum(1)] if alone else [linked.sum(1), linked.sum(0)]
+                rows = [np.array(rows_a)] if alone else [np.array(rows_a), np.array(rows_b)]
+                rows, counts = np.concatenate(rows), np.concatenate(counts)
+                for held, new in zip(out, (a, b, rows[counts > 0], counts[counts > 0]), strict=True):
+                    held.append(new)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in out], ["a", "b", "rows", "counts"]) if out[0] else None
 
     return run
 
 
+def _teams(balls: DataFrame, sizes: DataFrame, coded: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows with ``team`` (of small balls of a crowded cell, or the ball itself), whether it is
+    ``mixed``, and ``part``, the block that the row is in."""
+    small = sizes.where(F.col("size") <= SMALL)
+    at = coded.join(small.withColumnRenamed("ball", "row"), "row").select(F.col("row").alias("ball"), "size", F.explode("own").alias("key"))
+    crowded = at.groupBy("key").agg(F.count("*").alias("crowd")).where(F.col("crowd") >= CROWD)
+    homes = scratch.save(at.join(crowded, "key").groupBy("ball").agg(F.max_by("key", F.struct("crowd", "key")).alias("home"), F.first("size").alias("size")), "homes")
+    full = homes.groupBy("home").agg(F.ceil(F.sum("size") / BLOCK).alias("n"))
+    mixed = homes.join(full, "home").select("ball", F.xxhash64("home", F.pmod(F.xxhash64("ball"), "n")).alias("team"))
+    tagged = scratch.save(_salted(balls, sizes.where(F.col("size") > SMALL), "left"), "tagged")
+    few = tagged.where("size IS NULL").drop("size").join(mixed, "ball", "left").withColumn("mixed", F.col("team").isNotNull()).withColumn("team", F.coalesce("team", "ball"))
+    # One key, or rows would stay dealt by ball.
+    many = tagged.where("size IS NOT NULL").withColumn("part", F.xxhash64("ball", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))))
+    names = ("row", "g", "ball", "unit", "team", "mixed", "part")
+    return scratch.save(few.withColumn("part", F.xxhash64("team")).select(*names).unionByName(many.withColumns({"team": F.col("ball"), "mixed": F.lit(False)}).select(*names)), "teams")
+
+
 def _salted(rows: DataFrame, balls: DataFrame, how: str) -> DataFrame:
     """Joins rows with what is known of their ball, where a row of ``balls`` is a large one: it is
     repeated for each salt, at most a third of it for every row of ``rows``."""
@@ -191,23 +234,24 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
     balls = valid.select("row", "g", "unit").join(chosen, "row", "left").select("row", "g", "unit", F.coalesce("leader", "row").alias("ball"))
     balls = scratch.save(balls, "balls")
     sizes = scratch.save(balls.groupBy("ball").agg(F.count("*").alias("size")), "sizes")
-    sized = _salted(balls, sizes.where(F.col("size") > BLOCK), "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    part = F.xxhash64("ball", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)))  # one key, or rows would stay dealt by ball
-    blocks = sized.groupBy(part.alias("part")).agg(F.first("ball").alias("ball"), F.collect_list(F.struct("row", "unit")).alias("m"))
-    blocks = scratch.save(blocks.select("ball", F.col("m.row").alias("rows"), F.col("m.unit").alias("units")), "blocks")
-
-    at = balls.select("row", "ball", "g")
-    entries = coded.join(at, "row")
-    owned = entries.select("g", "ball", F.explode("own").alias("key")).distinct()
-    probed = entries.select("g", F.col("ball").alias("other"), F.explode(F.concat("own", "near")).alias("key")).distinct()
-    pairs = owned.join(probed, ["g", "key"]).where("ball <> other").select(F.least("ball", "other").alias("a"), F.greatest("ball", "other").alias("b")).distinct()
-    left = blocks.select(F.col("ball").alias("a"), F.col("rows").alias("rows_a"), F.col("units").alias("units_a"))
-    right = blocks.select(F.col("ball").alias("b"), F.col("rows").alias("rows_b"), F.col("units").alias("units_b"))
-    both = pairs.join(left, "a").join(right, "b").where("length(units_a[0]) = length(units_b[0])").select("a", "b", "rows_a", "rows_b", "units_a", "units_b")
-    linked = scratch.save(map_batches(both, _compared(threshold), "a bigint, b bigint, rows array<bigint>, counts array<bigint>", 64), "linked")
+    teams = _teams(balls, sizes, coded, scratch)
+    blocks = teams.groupBy("part").agg(F.first("team").alias("team"), F.first("mixed").alias("mixed"), F.collect_list(F.struct("row", "ball", "unit")).alias("m"))
+    blocks = scratch.save(blocks.select("team", "mixed", F.col("m.row").alias("rows"), F.col("m.ball").alias("balls"), F.col("m.unit").alias("units")), "blocks")
+
+    entries = coded.join(teams.select("row", "team", "g"), "row")
+    owned = entries.select("g", "team", F.explode("own").alias("key")).distinct()
+    probed = entries.select("g", F.col("team").alias("other"), F.explode(F.concat("own", "near")).alias("key")).distinct()
+    pairs = owned.join(probed, ["g", "key"]).where("team <> other").select(F.least("team", "other").alias("a"), F.greatest("team", "other").alias("b")).distinct()
+    side = lambda of: blocks.select(F.col("team").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in ("rows", "balls", "units")))
+    columns = [f"{c}_{of}" for of in "ab" for c in ("rows", "balls", "units")]
+    both = scratch.save(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").where("length(units_a[0]) = length(units_b[0])").select(*columns)
+    alone = side("a").join(blocks.where("mixed").select(F.col("team").alias("a")), "a", "left_semi")
+    alone = alone.select(*columns[:3], *(F.lit(None).cast(both.schema[c].dataType).alias(c) for c in columns[3:]))
+    compare = lambda df: map_batches(df, _compared(threshold), "a array<bigint>, b array<bigint>, rows array<bigint>, counts array<bigint>", 64)
+    linked = scratch.save(compare(both).unionByName(compare(alone)), "linked")
 
     counts = linked.select(F.explode(F.arrays_zip("rows", "counts")).alias("x")).groupBy(F.col("x.rows").alias("row")).agg(F.sum("x.counts").alias("more"))
-    roots = components(linked.select("a", "b"))
+    roots = components(linked.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b"))
     known = scratch.save(sizes.join(roots, F.col("ball") == F.col("node"), "left").select("ball", "size", "root"), "known")
     large, small = known.where(F.col("size") > BLOCK), known.where(F.col("size") <= BLOCK)
     of = _salted(balls.select("row", "ball"), large, "left").withColumn("large", F.col("size").isNotNull())

@@ -192,14 +192,17 @@ def _pairs(at: DataFrame) -> DataFrame:
     """Pairs of blocks, a block with itself among them, that meet at a key with different components;
     ``at`` has a row for each key, block and component.
 
-    Most keys of a group hold the same blocks: keys that do are told by two 64-bit digests and their
-    number, and one of them is taken. At a key all components but the one with most blocks are paired
-    with what is not of theirs, so that blocks of one component never meet."""
-    digest = at.groupBy("key").agg(F.bit_xor(F.xxhash64("block", "root")).alias("x"), F.bit_xor(F.xxhash64("root", "block", F.lit(7))).alias("y"), F.count("*").alias("n"))
+    At a key a block counts once, with its component or as mixed, however many of its classes have the
+    key. Most keys of a group hold the same blocks: keys that do are told by two 64-bit digests and
+    their number, and one of them is taken. Of the blocks that are of one component, those of the most
+    frequent one are paired with others alone, so that blocks of one component never meet."""
+    at = at.groupBy("key", "block").agg(F.min("root").alias("least"), F.max("root").alias("most")).select("key", "block", F.when(F.col("least") == F.col("most"), F.col("least")).alias("root"))
+    named = F.struct("block", "root")
+    digest = at.groupBy("key").agg(F.bit_xor(F.xxhash64(named)).alias("x"), F.bit_xor(F.xxhash64(named, F.lit(7))).alias("y"), F.count("*").alias("n"))
     at = at.join(digest.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key")
-    most = at.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    minor = at.join(most, "key").where("root <> most").select("key", F.col("block").alias("a"), F.col("root").alias("a_root"))
-    met = minor.join(at, "key").where("root <> a_root")
+    often = at.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.when(F.col("root").isNotNull(), F.struct("n", "root"))).alias("often"))
+    minor = at.join(often, "key").where("root IS NULL OR root <> often").select("key", F.col("block").alias("a"), F.col("root").alias("a_root"))
+    met = minor.join(at, "key").where("root IS NULL OR a_root IS NULL OR root <> a_root")
     return met.select(F.least("a", "block").alias("block"), F.greatest("a", "block").alias("other")).distinct()
 
 

@@ -18,6 +18,8 @@ import regex
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space on both sides of a blank, or a blank beside white space: no cut may be made there.
 _TANGLED = re.compile(r"\s \s|  ")
+#: The blanks that a text can be cut at where some are tangled.
+_CUT = re.compile(r" (?=\S)|(?<=\S) ")
 
 
 def vocabulary_path(name: str) -> str:
@@ -94,3 +96,8 @@ def segments(text: str, specials: dict[str, int]) -> list[str | int]:
 
 def tangled(text: str) -> bool:
     return _TANGLED.search(text) is not None
+
+
+def units(text: str) -> list[str]:
+    """What stands before the first cut, and behind each cut without its blank."""
+    return _CUT.split(text) if tangled(text) else text.split(" ")

@@ -13,6 +13,11 @@ been decoded and what comes out has the structure of a key:
 * ``ssh``: length-prefixed fields that begin with the name of a key type or the magic of a
   private key file and end with the last byte.
 
+A run of base64 characters that isn't a key as a whole may hold one between the characters ``/``,
+``_`` and ``-``, as paths and names do: from the run's beginning and behind each of these, the
+encoding's own lengths tell where a key would end, and it counts if that is at another of them or
+at the run's end and its structure holds.
+
 Offsets are code points, ends exclusive; spans are ordered by start, then by kind as listed.
 Null and empty texts have no spans. Very long texts are scanned whole, in time linear in their
 length. Rows are independent, so repeated rows, null ids and empty tables need no special care;
@@ -25,6 +30,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +47,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # greedy, so the same as whole runs of 32 or more
 _ANY_HEX = re.compile(r"(?:0[xX])?((?:[0-9A-Fa-f]{2})+)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]+|-(?!----))++)-----END \1-----")  # headers may have hyphens
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
 _SHORTEST = 22  # characters, without padding, of the shortest key encoding and so of any candidate
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ssh-ed448", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
@@ -144,6 +150,63 @@ def _armoured(body: str) -> bool:
     return data is not None and (is_der(data) or is_ssh(data))
 
 
+_BETWEEN = re.compile(r"[/_-]")
+_HEX_PART = re.compile(r"(?<![^/_-])(?:0[xX])?((?:[0-9A-Fa-f]{2})+)(?![^/_-])")
+
+
+def _peek(body: str, start: int, at: int, n: int) -> bytes:
+    """Bytes ``at`` to ``at + n`` of what the characters from ``start`` on encode, or fewer at its end."""
+    first = start + at // 3 * 4
+    part = body[first : start + (at + n + 2) // 3 * 4]
+    data = decode_base64(part[: len(part) - 1] if len(part) % 4 == 1 else part) or b""
+    return data[at % 3 : at % 3 + n]
+
+
+def _ends(body: str, start: int) -> Iterator[int]:
+    """Where a key that begins at a place may end, in bytes from there."""
+    head = _peek(body, start, 0, 16)
+    if head[:1] == b"\x30" and len(head) >= 6:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        if n <= 4:
+            yield 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        return
+    if head[:15] == _SSH_MAGIC:
+        at, fields = len(_SSH_MAGIC), -1  # a number of keys stands among the fields
+    elif head[:4] < b"\x00\x00\x00\x40" and any(_peek(body, start, 4, len(t)) == t for t in _SSH_TYPES):
+        at, fields = 0, 0
+    else:
+        return
+    while len(size := _peek(body, start, at, 4)) == 4:
+        at, fields = at + 4 + (0 if fields == 2 and head[:15] == _SSH_MAGIC else int.from_bytes(size, "big")), fields + 1
+        if at * 4 > (len(body) - start) * 3:
+            return
+        if fields >= 2:
+            yield at
+
+
+def keys_inside(run: str) -> Iterator[tuple[str, int, int]]:
+    """Keys between the characters that part names and paths, none of which overlap."""
+    body, taken = run.rstrip("="), 0
+    for m in _HEX_PART.finditer(run):
+        if len(m[1]) >= _SHORTEST:
+            data = bytes.fromhex(m[1])
+            for kind, fits in (("der", is_der), ("ssh", is_ssh)):
+                if fits(data):
+                    yield kind, *m.span()
+    for start in (0, *(m.end() for m in _BETWEEN.finditer(body))):
+        if start < taken or len(body) - start < _SHORTEST:
+            continue
+        for size in _ends(body, start):
+            end = start + -(-size * 4 // 3)
+            if end == len(body) or (end < len(body) and body[end] in "/_-"):
+                data = decode_base64(body[start:end]) or b""
+                kind = "der" if is_der(data) else "ssh" if is_ssh(data) else None
+                if kind is not None:
+                    taken = len(run) if end == len(body) else end
+                    yield kind, start, taken
+                    break
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans of one text: kind, start, end."""
     found: list[tuple[str, int, int]] = []
@@ -164,8 +227,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             digits = _ANY_HEX.fullmatch(m[0])
             if digits and not (data and (is_der(data) or is_ssh(data))):
                 data = bytes.fromhex(digits[1])
-            if data:
-                found += ((kind, *m.span()) for kind, fits in (("der", is_der), ("ssh", is_ssh)) if fits(data))
+            whole = [(kind, *m.span()) for kind, fits in (("der", is_der), ("ssh", is_ssh)) if data and fits(data)]
+            found += whole or ((kind, m.start() + a, m.start() + b) for kind, a, b in keys_inside(m[0]))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -3,8 +3,8 @@
 First tier: a table of the corpus's frequent units with their numbers of tokens, at most
 ``TABLE_UNITS`` of them, broadcast to all workers. Second tier: a cache in each worker, filled by
 encoding the units that the first tier misses, a batch at a time; it starts anew beyond
-``CACHE_UNITS``. A unit is a word with the blank before it (see :mod:`rillframe.llm.pretoken`),
-whose tokens don't depend on its neighbours, so the counts are exact, not estimates; the tiers
+``CACHE_UNITS``. A unit is a word with the blank before it, or what several blanks in a row leave
+between two cuts (see :mod:`rillframe.llm.pretoken`), whose tokens don't depend on its neighbours, so the counts are exact, not estimates; the tiers
 only decide how fast they are found. To fill the first tier every batch of the corpus reports its
 ``REPORT_UNITS`` most frequent units and the sums of these reports rank them: the shuffle holds
 these short reports alone.
@@ -65,10 +65,8 @@ class TwoTierCounts:
             for part in pretoken.segments(text, self.specials):
                 if isinstance(part, int):
                     out[k] += 1
-                elif pretoken.tangled(part):
-                    out[k] += self._encoded([part])[0]
                 elif part:
-                    head, *units = part.split(" ")
+                    head, *units = pretoken.units(part)
                     out[k] += self._encoded([head])[0] if head else 0
                     cut.append((k, units))
         if len(self.known) > len(self.frequent) + CACHE_UNITS:

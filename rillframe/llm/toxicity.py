@@ -6,8 +6,11 @@ each identity term becomes another term of its kind; where it names none, a term
 its words draws is added to it, and the counterfactual has another term of that kind instead (a
 text is a set of words here, so a term has no place in it). The loss is the log loss of the texts
 with their terms plus ``strength`` times the mean squared change of the log-odds between a text
-and its counterfactual. So the weights can't lean on which group is named, and neutral mentions
-don't become false positives, also where few labelled rows name a group.
+and its counterfactual, and ``strength`` times the squared change that each identity term makes in a
+text that names no group, summed over all terms: in a model that adds up words it is the same in
+every text, so every term of every kind is in the penalty whichever of them the labelled rows have.
+So the weights can't lean on which group is named nor on that one is, and neutral mentions don't
+become false positives, also where few labelled rows name a group.
 
 The model is fitted on at most ``sample`` labelled rows (the first in the order of a hash of
 their ids) of at most ``longest`` characters each and ``TOTAL`` in all, which bounds what the driver
@@ -149,11 +152,12 @@ def fit(packed: list[bytes], labels: np.ndarray, gone: list[bytes], come: list[b
     neg = _document_frequency(x for x, y in zip(packed, labels, strict=True) if not y)
     odds = np.log((pos + 0.5) / (positives + 1)) - np.log((neg + 0.5) / (n - positives + 1))
     sure = np.abs(odds) >= 3 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    sure[np.frombuffer(b"".join([*gone, *come]), "<i4")] = True
+    terms = [_packed([t]) for kind in IDENTITY_TERMS for t in kind]
+    sure[np.frombuffer(b"".join([*gone, *come, *terms]), "<i4")] = True
     chosen = np.flatnonzero(sure)
     number = np.full(DIMENSIONS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    rows, same, other = Rows(packed, number), Rows(gone, number), Rows(come, number)
+    rows, same, other, alone = Rows(packed, number), Rows(gone, number), Rows(come, number), Rows(terms, number)
 
     size = len(chosen)
     weights, bias = np.zeros(size), prior
@@ -163,6 +167,7 @@ def fit(packed: list[bytes], labels: np.ndarray, gone: list[bytes], come: list[b
         gradient = rows.transposed_dot(error, size) / n + ridge * weights
         change = 2 * strength * (same.dot(weights) - other.dot(weights)) / n
         gradient += same.transposed_dot(change, size) - other.transposed_dot(change, size)
+        gradient += alone.transposed_dot(2 * strength * alone.dot(weights), size)
         gradient = np.append(gradient, error.mean())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2

@@ -130,6 +130,19 @@ def test_minhash_strays_of_a_large_group(spark, monkeypatch, copies):
     assert seen["pairs"] <= 4 * seen["open-blocks"] and seen["late"] <= 20
 
 
+def test_minhash_pairs_of_blocks(spark):
+    """Against all pairs of blocks at each key: mixed blocks with all, blocks of one component with others'."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(b), int(b) if b < 6 else int(b) % 2 + 100 if b < 12 else int(r)) for k in range(40) for b in rng.choice(15, 6, replace=False) for r in rng.integers(0, 50, 9)]
+    rows += [(1000 + k, *r[1:]) for k in range(30) for r in rows if r[0] == 7]  # keys with the same blocks
+    roots = defaultdict(set)
+    for k, b, r in rows:
+        roots[k, b].add(r)
+    want = {(a, b) for k, a in roots for j, b in roots if j == k and a <= b and len(roots[k, a] | roots[k, b]) > 1}
+    df = spark.createDataFrame(rows, "key bigint, block bigint, root bigint").distinct()
+    assert {tuple(r) for r in minhash._pairs(df).collect()} == want
+
+
 def test_lattice_points():
     draw = np.random.default_rng(2)
     points = draw.standard_normal((300, 8)) * 2
@@ -164,6 +177,35 @@ def test_lattice_matches_brute_force(spark):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_lattice_many_vectors_just_below_the_threshold(spark, monkeypatch):
+    """2,000 vectors of cosines about 0.90 with each other, some linked: few pairs of teams, links as by force."""
+    rng, n = np.random.default_rng(7), 2000
+    centre = np.zeros(64)
+    centre[0] = 1
+    away = rng.standard_normal((n, 64))
+    away[:, 0] = 0
+    v = np.sqrt(0.9) * centre + np.sqrt(0.1) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    v[:6] = v[0]  # a small ball among them
+    seen, saved = {}, lattice.Scratch.save
+
+    def save(self, df, name, *rest):
+        out = saved(self, df, name, *rest)
+        if name == "pairs":
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lattice.Scratch, "save", save)
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    want = roots_of(range(n), np.argwhere(linked).tolist())
+    got = {r.vec_id: r for r in lattice.near_vectors(df).collect()}
+    assert linked.sum() > 2000 and seen["pairs"] < 0.01 * n * n / 2
+    assert sum(r.n_links for r in got.values()) >= 0.97 * linked.sum() and all(got[k].n_links <= linked[k].sum() for k in got)
+    assert sum(got[k].n_links == linked[k].sum() for k in got) >= 0.95 * n and sum(got[k].component_id == want[k] for k in got) >= 0.95 * n
+
+
 def test_lattice_hot_vector(spark):
     """Very many equal vectors: linked with each other and with two that are near."""
     n = 100_000
