@@ -29,10 +29,11 @@ def gather_messages(vertices: DataFrame, edges: DataFrame, reducer: str, kinds:
     """Adds to each vertex's value what its in-neighbours' values come to by min, max, mean or sum; with
     ``kinds`` first within each kind of edge, then over the kinds by the same reducer."""
     reduce = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum}[reducer]
+    edges = edges.where(F.col("kind").isin(kinds)) if kinds else edges
     sent = edges.join(vertices.withColumnsRenamed({"id": "src", "value": "_message"}), "src")
     got = sent.groupBy("dst", *(["kind"] if kinds else [])).agg(reduce("_message").alias("_message"))
     if kinds:
-        got = got.where(F.col("kind").isin(kinds)).groupBy("dst").agg(reduce("_message").alias("_message"))
+        got = got.groupBy("dst").agg(reduce("_message").alias("_message"))
     joined = vertices.join(got, vertices["id"] == got["dst"], "left")
     return joined.select("id", (F.col("value") + F.coalesce("_message", F.lit(0))).alias("value"))
 

@@ -30,8 +30,23 @@ R.sql("a13_ratio", "SELECT CAST(CAST(count(CASE WHEN o_orderpriority LIKE '1%' T
 R.sql("a14_bucket", "SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS bucket, count(*) AS n FROM orders GROUP BY 1")
 R.sql("a15_collect_list", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 R.add("a16_percentile", lambda t: A.percentiles(t["lineitem"], "l_extendedprice", [0.5, 0.95], ["l_returnflag"]).select("l_returnflag", F.round("p0", 4).alias("median"), F.round("p1", 4).alias("p95")), "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY l_returnflag")
-# Quantities are whole numbers with some thousandth of all rows each, so the sketch gives the value itself.
-R.add("a16_percentile_approx", lambda t: t["lineitem"].groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", F.array(F.lit(0.0), F.lit(1.0)), 1000).alias("q"), F.percentile_approx("l_tax", 0.0, 1000).alias("tax")).select("l_returnflag", F.col("q")[0].alias("least"), F.col("q")[1].alias("most"), "tax"), "SELECT l_returnflag, min(l_quantity) AS least, max(l_quantity) AS most, min(l_tax) AS tax FROM lineitem GROUP BY 1")
+
+
+@R.query("a16_percentile_approx", "SELECT l_returnflag, count(*) AS n, true AS near, true AS seen FROM lineitem GROUP BY 1")
+def percentile_approx(t: Tables) -> DataFrame:
+    """A sketch of 1,000 marks for middle fractions and the ends: the ranks of what it gives are counted, and
+    lie within a thousandth of the rows; what it gives is a value of the table."""
+    rows, fractions = t["lineitem"].select("l_returnflag", "l_extendedprice"), [0.0, 0.1, 0.5, 0.75, 0.99, 1.0]
+    sketch = rows.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", F.array(*map(F.lit, fractions)), 1000).alias("q"))
+    ranks = rows.join(F.broadcast(sketch), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), *(c for k in range(len(fractions)) for c in (F.count_if(F.col("l_extendedprice") < F.col("q")[k]).alias(f"below{k}"), F.count_if(F.col("l_extendedprice") == F.col("q")[k]).alias(f"same{k}"))))
+    near, seen = F.lit(True), F.lit(True)
+    for k, f in enumerate(fractions):
+        rank, slack = f * F.col("n"), F.ceil(F.col("n") / 1000) + 1
+        near = near & (F.col(f"below{k}") <= rank + slack) & (F.col(f"below{k}") + F.col(f"same{k}") >= rank - slack)
+        seen = seen & (F.col(f"same{k}") > 0)
+    return ranks.select("l_returnflag", "n", near.alias("near"), seen.alias("seen"))
+
+
 R.add("a17_first_n", lambda t: A.first_n(t["orders"], 3, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 R.add("a18_reduce", lambda t: t["nation"].groupBy("n_regionkey").agg(F.reduce(F.sort_array(F.collect_list("n_nationkey")), F.lit(1).cast("bigint"), lambda a, x: (a * 31 + x) % 1_000_003).alias("folded")), "SELECT n_regionkey, list_reduce(list_prepend(CAST(1 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda a, x: (a * 31 + x) % 1000003) AS folded FROM nation GROUP BY n_regionkey")
 R.add("a19_histogram", lambda t: A.histogram(t["part"], "p_size").select(F.explode("histogram").alias("p_size", "n")), "SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
@@ -49,6 +64,11 @@ R.add("a21_column_summary", lambda t: A.summary(t["events"].select("event_id", "
 DRAW = "CAST('0x' || substr(md5('42:' || {}), 1, 8) AS BIGINT)"
 R.add("a22_sample_fraction", lambda t: A.sample_fraction(t["lineitem"].select("l_orderkey", "l_linenumber"), 0.1, 42, key=["l_orderkey", "l_linenumber"]), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {DRAW.format('l_orderkey || chr(58) || l_linenumber')} < 429496729")
 R.add("a22_sample_size", lambda t: A.sample_size(t["orders"].select("o_orderkey"), 100, 42, "o_orderkey"), f"SELECT o_orderkey FROM orders ORDER BY {DRAW.format('o_orderkey')}, o_orderkey LIMIT 100")
+STEPS = [int(x * (1 << 32)) for x in A.poisson_steps(0.3)]
+R.add("a22_sample_fraction_replaced", lambda t: A.sample_fraction(t["lineitem"].select("l_orderkey", "l_linenumber"), 0.3, 42, True, ["l_orderkey", "l_linenumber"]), f"SELECT l_orderkey, l_linenumber FROM (SELECT *, unnest(range(len(list_filter({STEPS}, lambda s: {DRAW.format('l_orderkey || chr(58) || l_linenumber')} >= s)))) FROM lineitem)")
+PICK = DRAW.replace("42:", "43:").format("k")
+R.add("a22_sample_size_replaced", lambda t: A.sample_size(t["orders"].select("o_orderkey"), 5000, 42, "o_orderkey", True), f"WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY {DRAW.format('o_orderkey')}, o_orderkey) - 1 AS place FROM orders), p AS (SELECT CAST(floor({PICK} * (SELECT count(*) FROM orders) / 4294967296) AS BIGINT) AS place FROM range(5000) r(k)) SELECT o_orderkey FROM p JOIN o USING (place)")
+R.add("a22_sample_weighted", lambda t: A.sample_weighted(t["customer"].select("c_custkey", "c_acctbal"), 50, 42, "c_custkey", "c_acctbal"), f"SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY -ln(({DRAW.format('c_custkey')} + 0.5) / 4294967296) / c_acctbal, c_custkey LIMIT 50")
 R.sql("a23_running_sum", "SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS total FROM events")
 R.add("a24_word_count", lambda t: tokenize(t["documents"].select("text"), "text").groupBy("word").agg(F.count("*").alias("n")), "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
 # Sums of decimals are exact, so both engines divide the same number.

@@ -11,23 +11,46 @@ from rillframe.operators import graph as G
 from rillframe.operators import observing as O
 from rillframe.operators.patterns import Step, next_match, strict_sequence
 from rillframe.queries.registry import Registry
+from rillframe.queries.streams import out_of_order
 from rillframe.sources.tables import Tables
+from rillframe.streaming.drains import run_in_parts
+from rillframe.streaming.matching import match_stream
 
 R = Registry()
 
+STRICT = [Step("view", "event_type = 'view'"), Step("click", "event_type = 'click'"), Step("purchase", "event_type = 'purchase' AND value > 10")]
+RELAXED = [Step("click", "event_type = 'click'"), Step("purchase", "event_type = 'purchase'", strict=False)]
+MIXED = [Step("click", "event_type = 'click'"), Step("view", "event_type = 'view'", strict=False), Step("purchase", "event_type = 'purchase'")]
+
 R.add(
     "c01_strict_sequence",
-    lambda t: strict_sequence(t["events"], "user_id", ["ts", "event_id"], [Step("view", "event_type = 'view'"), Step("click", "event_type = 'click'"), Step("purchase", "event_type = 'purchase' AND value > 10")], "event_id"),
+    lambda t: strict_sequence(t["events"], "user_id", ["ts", "event_id"], STRICT, "event_id"),
     """SELECT user_id, event_id AS "view", c AS click, p AS purchase FROM (SELECT *, lead(event_id) OVER w AS c, lead(event_id, 2) OVER w AS p, lead(event_type) OVER w AS t1, lead(event_type, 2) OVER w AS t2, lead(value, 2) OVER w AS v2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     WHERE event_type = 'view' AND t1 = 'click' AND t2 = 'purchase' AND v2 > 10""",
 )
 R.add(
     "c01_relaxed_sequence",
-    lambda t: next_match(t["events"], "user_id", ["ts", "event_id"], [Step("click", "event_type = 'click'"), Step("purchase", "event_type = 'purchase'", strict=False)], "event_id", "ts", 86_400),
+    lambda t: next_match(t["events"], "user_id", ["ts", "event_id"], RELAXED, "event_id", "ts", 86_400),
     """WITH n AS (SELECT *, first(CASE WHEN event_type = 'purchase' THEN {'id': event_id, 'ts': ts} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS p FROM events)
     SELECT user_id, event_id AS click, CASE WHEN p.ts - ts <= INTERVAL 1 DAY THEN p.id END AS purchase, NOT coalesce(p.ts - ts <= INTERVAL 1 DAY, false) AS timed_out FROM n WHERE event_type = 'click'""",
 )
 
+
+
+def matched(t: Tables, steps: list[Step], within: int | None = None, ends: bool = True) -> DataFrame:
+    """Events in two parts that overlap in time, and a row that closes the stream."""
+    return run_in_parts(out_of_order(t), lambda df, _: match_stream(df, "user_id", "ts", "event_id", steps, within, ends, "1 day")).drop("batch")
+
+
+R.add("c01_strict_sequence_stream", lambda t: matched(t, STRICT, ends=False).drop("timed_out"), R.oracles["c01_strict_sequence"])
+R.add("c01_relaxed_sequence_stream", lambda t: matched(t, RELAXED, 86_400), R.oracles["c01_relaxed_sequence"])
+#: A strict step behind a relaxed one: a view counts only if a purchase is the next row.
+FOLLOWED = """WITH r AS (SELECT *, CASE WHEN event_type = 'view' AND lead(event_type) OVER w = 'purchase' THEN {'view': event_id, 'purchase': lead(event_id) OVER w, 'ts': lead(ts) OVER w} END AS pair FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    n AS (SELECT *, first(pair IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS p FROM r)
+    SELECT user_id, event_id AS click, CASE WHEN p.ts - ts <= INTERVAL 2 DAY THEN p.view END AS "view", CASE WHEN p.ts - ts <= INTERVAL 2 DAY THEN p.purchase END AS purchase, NOT coalesce(p.ts - ts <= INTERVAL 2 DAY, false) AS timed_out FROM n WHERE event_type = 'click'"""
+R.add("c01_mixed_sequence", lambda t: next_match(t["events"], "user_id", ["ts", "event_id"], MIXED, "event_id", "ts", 172_800), FOLLOWED)
+R.add("c01_mixed_sequence_stream", lambda t: matched(t, MIXED, 172_800), FOLLOWED)
+
 EDGES = "(SELECT DISTINCT l_suppkey AS src, CAST(l_partkey % 100 AS BIGINT) AS dst, CAST(l_suppkey + l_partkey AS DOUBLE) AS value FROM lineitem)"
 
 
@@ -42,6 +65,14 @@ def vertices(t: Tables) -> DataFrame:
 R.add("g01_reverse", lambda t: G.reverse(edges(t)), f"SELECT dst AS src, src AS dst, value FROM {EDGES}")
 R.add("g02_triplets", lambda t: G.triplets(vertices(t), edges(t)), f"SELECT src, dst, a.s_acctbal AS src_value, b.s_acctbal AS dst_value, e.value AS edge_value FROM {EDGES} e JOIN supplier a ON src = a.s_suppkey JOIN supplier b ON dst = b.s_suppkey")
 R.add("g03_edge_order", lambda t: G.edge_orders(edges(t)), f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(bit_or(CASE WHEN src <= dst THEN 2 ELSE 1 END) AS INTEGER) AS direction FROM {EDGES} GROUP BY ALL")
+KINDS = "(SELECT DISTINCT l_suppkey AS src, CAST(l_partkey % 100 AS BIGINT) AS dst, l_returnflag AS kind FROM lineitem)"
+
+
+def kinds_of_edges(t: Tables) -> DataFrame:
+    return t["lineitem"].select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).cast("bigint").alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
+
+
+R.add("g04_neighbour_aggregation_by_kind", lambda t: G.gather_messages(vertices(t), kinds_of_edges(t), "mean", ["A", "R"]).select("id", F.round("value", 6).alias("value")), f"SELECT s_suppkey AS id, round(s_acctbal + coalesce(m, 0), 6) AS value FROM supplier LEFT JOIN (SELECT dst, avg(m) AS m FROM (SELECT dst, kind, avg(s_acctbal) AS m FROM {KINDS} JOIN supplier ON src = s_suppkey WHERE kind IN ('A', 'R') GROUP BY dst, kind) GROUP BY dst) ON s_suppkey = dst")
 R.add("g04_neighbour_aggregation", lambda t: G.gather_messages(vertices(t), edges(t), "max"), f"SELECT s_suppkey AS id, s_acctbal + coalesce(m, 0) AS value FROM supplier LEFT JOIN (SELECT dst, max(s_acctbal) AS m FROM {EDGES} JOIN supplier ON src = s_suppkey GROUP BY dst) ON s_suppkey = dst")
 R.add("g04_two_rounds", lambda t: G.iterate_messages(vertices(t), edges(t), "min", 2), f"WITH e AS {EDGES}, a AS (SELECT s_suppkey AS id, s_acctbal + coalesce(m, 0) AS value FROM supplier LEFT JOIN (SELECT dst, min(s_acctbal) AS m FROM e JOIN supplier ON src = s_suppkey GROUP BY dst) ON s_suppkey = dst) SELECT a.id, a.value + coalesce(m, 0) AS value FROM a LEFT JOIN (SELECT dst, min(a.value) AS m FROM e JOIN a ON src = a.id GROUP BY dst) n ON a.id = n.dst")
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from rillframe.plans.scratch import fresh_path
 from rillframe.queries.registry import Registry
 from rillframe.sources import connectors as S
+from rillframe.sources import streams as ST
 from rillframe.sources.tables import Tables
-from rillframe.streaming.drains import run_to_end
+from rillframe.streaming.drains import run_live, run_to_end
 
 R = Registry()
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -142,26 +144,111 @@ def custom_source(t: Tables) -> DataFrame:
     return squares.join(t["nation"], F.col("n") == F.col("n_nationkey")).select("n", "square")
 
 
+def in_log(t: Tables) -> DataFrame:
+    return t["events"].select("event_id", "event_type", "ts", F.concat(F.lit("s"), F.col("user_id") % 4).alias("split"))
+
+
+LOG = "event_id bigint, event_type string, ts timestamp"
+
+
+@R.query("s22_stream_source", "SELECT event_id, 's' || (user_id % 4) AS split, CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 0 ELSE 1 END AS BIGINT) AS run FROM events")
+def stream_source(t: Tables) -> DataFrame:
+    """A source with offsets by split, read some rows of each split at a time: a run that stops and one
+    that goes on from its checkpoint, over what has come in between, read no record twice."""
+    ST.register(t.spark)
+    log, out, checkpoint = (fresh_path(t.spark, x) for x in ("log", "from-log", "checkpoint"))
+    found = []
+    for k, part in enumerate(("ts < '2024-01-16'", "ts >= '2024-01-16'")):
+        ST.append_to_log(in_log(t).where(part), log, "split", k)
+        share = max(1, t["events"].count() // 12)  # some batches, however large the table
+        rows = ST.read_log(t.spark, log, LOG, "ts", "1 day", share).select("event_id", "split", "offset")
+        _, out, checkpoint = run_live(rows, checkpoint=checkpoint, out=out)
+        found.append(t.spark.read.parquet(out).select("event_id", "split", "offset"))
+    before, after = found
+    once = after.groupBy("event_id", "split", "offset").count().where("count = 1")
+    return once.join(before.withColumn("run", F.lit(0).cast("bigint")), ["event_id", "split", "offset"], "left").select("event_id", "split", F.coalesce("run", F.lit(1).cast("bigint")).alias("run"))
+
+
+@R.query("s22_stream_source_watermark", "SELECT strftime(w, '%Y-%m-%d') AS day, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, count(*) AS n FROM events GROUP BY 1) WHERE w + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events)")
+def stream_source_watermark(t: Tables) -> DataFrame:
+    """The records' own times move the watermark: days come out once it has passed them."""
+    ST.register(t.spark)
+    log = fresh_path(t.spark, "log")
+    ST.append_to_log(in_log(t), log, "split", 0)
+    daily = ST.read_log(t.spark, log, LOG, "ts", "2 days").groupBy(F.window("record_ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    _, out, _ = run_live(daily.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n"))
+    return t.spark.read.parquet(out).select("day", "n")
+
+
 @R.query("s23_two_phase_sink", "SELECT event_id FROM events")
 def two_phase_sink(t: Tables) -> DataFrame:
     sink, rows = S.TwoPhaseSink(t.spark), t.stream("events").select("event_id")
     query = rows.writeStream.option("checkpointLocation", fresh_path(t.spark, "checkpoint")).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     sink(t["events"].select("event_id"), 0)  # a batch that comes again is left alone
+    sink.write(t["events"].select("event_id"), 1)  # one that was never committed isn't seen
     return sink.read(rows.schema).select("event_id")
 
 
+def until_done(start) -> int:
+    """Starts a stream anew until it ends without an error; the number of errors."""
+    failures = 0
+    while True:
+        try:
+            start(failures).awaitTermination()
+            return failures
+        except StreamingQueryException:
+            failures += 1
+            if failures > 3:
+                raise
+
+
+@R.query("s23_stream_writer", "SELECT event_id, CAST(event_id % 2 AS BIGINT) AS batch FROM events")
+def stream_writer(t: Tables) -> DataFrame:
+    """A sink with a commit protocol of its own. Each of two batches fails the first time, when some of
+    its tasks have written: the batch is aborted, and its second run is committed. A batch that is
+    committed again changes nothing, and files of which no commit tells aren't seen."""
+    ST.register(t.spark)
+    path, source, checkpoint = (fresh_path(t.spark, x) for x in ("committed", "source", "checkpoint"))
+    events = t["events"].select("event_id")
+    for k in (0, 1):
+        events.where(F.col("event_id") % 2 == k).repartition(4).write.mode("append").parquet(source)
+
+        def start(failures: int):
+            rows = t.spark.readStream.schema(events.schema).parquet(source)
+            broken = F.raise_error(F.lit("lost on the way")).cast("bigint")
+            rows = rows.select(F.when(F.lit(failures == 0) & (F.col("event_id") % 1000 < 3), broken).otherwise(F.col("event_id")).alias("event_id"))
+            return rows.writeStream.format("committed_folder").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+        until_done(start)
+    writer = ST.FolderWriter(path, events.schema)
+    again = [Row(event_id=-1)]
+    writer.commit([writer.write(iter(again))], 0)  # a batch that is committed already
+    writer.abort([writer.write(iter(again)), None], 2)
+    writer.write(iter(again))  # the driver is lost before it commits
+    return ST.committed(t.spark, path, events.schema)
+
+
 @R.query("s24_delivery", "SELECT 'at least once' AS kind, 2 * count(*) AS n, count(DISTINCT event_id) AS ids FROM events UNION ALL SELECT 'exactly once', count(*), count(DISTINCT event_id) FROM events")
 def delivery(t: Tables) -> DataFrame:
-    """A batch that comes again is written again by a sink that appends; one that overwrites the
-    batch's own folder has it once."""
-    rows, appended = t.stream("events").select("event_id"), fresh_path(t.spark, "appended")
-    append = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(appended)
-    rows.writeStream.option("checkpointLocation", fresh_path(t.spark, "checkpoint")).trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
-    append(t["events"].select("event_id"), 0)
-    _, once, checkpoint = run_to_end(rows)
-    run_to_end(rows, checkpoint=checkpoint, out=once)
-    t["events"].select("event_id").write.mode("overwrite").parquet(f"{once}/batch=0")
+    """Sinks that are lost once each, when a batch has been written and before the stream knows of it: the
+    batch comes again. One that appends then has it twice, one that overwrites the batch's own folder once."""
+    rows = t.stream("events").select("event_id")
+
+    def run(write) -> None:
+        checkpoint, lost = fresh_path(t.spark, "checkpoint"), []
+
+        def sink(batch: DataFrame, number: int) -> None:
+            write(batch, number)
+            if number not in lost:
+                lost.append(number)
+                raise RuntimeError("lost behind the write")
+
+        until_done(lambda _: rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start())
+
+    appended, once = fresh_path(t.spark, "appended"), fresh_path(t.spark, "once")
+    run(lambda batch, _: batch.write.mode("append").parquet(appended))
+    run(lambda batch, number: batch.write.mode("overwrite").parquet(f"{once}/batch={number}"))
     count = lambda path, kind: t.spark.read.parquet(path).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
     return count(appended, "at least once").unionByName(count(once, "exactly once"))
 

@@ -9,9 +9,14 @@ from rillframe.operators.joins import bucketed_interval_join, connect, interval_
 from rillframe.plans.scratch import fresh_path
 from rillframe.queries.registry import Registry
 from rillframe.sources.tables import Tables
+from rillframe.streaming import changelog as L
+from rillframe.streaming import metrics as M
 from rillframe.streaming import state as S
+from rillframe.streaming import triggers as G
 from rillframe.streaming import windows as W
 from rillframe.streaming.drains import drain, run_in_parts, run_to_end
+from rillframe.streaming.lateness import windows_with_lateness
+from rillframe.streaming.rules import RuleBook
 
 R = Registry()
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -260,4 +265,216 @@ def event_time_order(t: Tables) -> DataFrame:
     return drain(S.process(rows, "user_id", S.EventTimeSort("ts", "event_id"), "key bigint, id bigint, place bigint", time_mode="EventTime")).drop("batch")
 
 
+NOBODY = -1
+MIDDLE = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
+def closing(t: Tables) -> DataFrame:
+    """One row far ahead, of a user of its own, that brings the watermark past all others."""
+    last = {"ts": F.lit("2100-01-01"), "user_id": F.lit(NOBODY), "event_id": F.lit(NOBODY)}
+    events = keyed_batch(t)
+    return t.spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+
+
+def keyed_batch(t: Tables) -> DataFrame:
+    return t["events"].select("user_id", "event_id", "ts", "event_type", "value")
+
+
+def out_of_order(t: Tables) -> list[DataFrame]:
+    """Events in two parts: rows of a quarter of a day behind the middle come in either, and behind
+    all of them a row that closes the stream."""
+    first = F.expr(f"ts < {MIDDLE} OR (ts < {MIDDLE} + INTERVAL 6 HOURS AND event_id % 2 = 1)")
+    events = keyed_batch(t)
+    return [events.where(first), events.where(~first).unionByName(closing(t))]
+
+
+@R.query(
+    "t15_allowed_lateness",
+    f"""WITH e AS (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS s, event_id % 5 <> 0 OR ts >= {MIDDLE} AS in_time FROM events),
+    w AS (SELECT date_trunc('millisecond', max(ts)) AS w FROM events WHERE ts < {MIDDLE} AND event_id % 5 <> 0),
+    g AS (SELECT user_id, s, count(CASE WHEN in_time THEN 1 END) AS n, sum(CASE WHEN in_time THEN coalesce(value, 0) ELSE 0 END) AS v, count(*) AS n_all, sum(coalesce(value, 0)) AS v_all, s + INTERVAL 1 DAY <= (FROM w) AS passed, s + INTERVAL 4 DAY <= (FROM w) AS gone FROM e GROUP BY user_id, s)
+    SELECT user_id, strftime(s, '%Y-%m-%d') AS day, 'first' AS kind, CASE WHEN passed THEN n ELSE n_all END AS n, round(CASE WHEN passed THEN v ELSE v_all END, 4) AS total FROM g WHERE n > 0 OR NOT passed
+    UNION ALL SELECT user_id, strftime(s, '%Y-%m-%d'), 'corrected', n_all, round(v_all, 4) FROM g WHERE passed AND NOT gone AND n_all > n
+    UNION ALL SELECT user_id, strftime(s, '%Y-%m-%d'), 'rejected', n_all - n, round(v_all - v, 4) FROM g WHERE gone AND n_all > n""",
+)
+def allowed_lateness(t: Tables) -> DataFrame:
+    """Days of each user that wait three days for late rows: a fifth of the rows of the first half come
+    with the second half, when the watermark has passed their days or their days' lateness."""
+    events = keyed_batch(t)
+    in_time = F.expr(f"ts < {MIDDLE} AND event_id % 5 <> 0")
+    parts = [events.where(in_time), events.where(~in_time).unionByName(closing(t))]
+    found = run_in_parts(parts, lambda df, _: windows_with_lateness(df, "user_id", "ts", "value", 86_400, 3 * 86_400), "update")
+    return found.where(F.col("key") != NOBODY).select(F.col("key").alias("user_id"), F.date_format(F.timestamp_seconds("start"), "yyyy-MM-dd").alias("day"), "kind", "n", F.round("total", 4).alias("total"))
+
+
+@R.query("t12_event_time_trigger", "WITH b AS (SELECT user_id, CAST(floor(epoch(ts) / 14400) AS BIGINT) AS b, sum(coalesce(value, 0)) AS s FROM events GROUP BY ALL) SELECT user_id AS key, (b + 1) * 14400 AS at, round(sum(s) OVER (PARTITION BY user_id ORDER BY b), 4) AS total FROM b")
+def event_time_trigger(t: Tables) -> DataFrame:
+    """Every stretch fires, a key's last as well: timers need no later row of the key."""
+    fired = lambda df, _: S.process(df.withWatermark("ts", "1 day").where("ts IS NOT NULL"), "user_id", G.EventTimeTrigger("value", "ts", 14_400_000), "key bigint, at bigint, total double", time_mode="EventTime")
+    return run_in_parts(out_of_order(t), fired).where(F.col("key") != NOBODY).select(*rounded_())
+
+
+@R.query("t12_event_time_purging_trigger", "SELECT user_id AS key, (CAST(floor(epoch(ts) / 14400) AS BIGINT) + 1) * 14400 AS at, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY ALL")
+def event_time_purging_trigger(t: Tables) -> DataFrame:
+    fired = lambda df, _: S.process(df.withWatermark("ts", "1 day").where("ts IS NOT NULL"), "user_id", G.EventTimeTrigger("value", "ts", 14_400_000, purge=True), "key bigint, at bigint, total double", time_mode="EventTime")
+    return run_in_parts(out_of_order(t), fired).where(F.col("key") != NOBODY).select(*rounded_())
+
+
+@R.query(
+    "t12_processing_time_trigger",
+    """WITH g AS (SELECT user_id, event_id % 2 AS part, count(*) AS n, sum(coalesce(value, 0)) AS v FROM events WHERE event_id % 2 = 0 OR user_id % 3 = 0 GROUP BY ALL)
+    SELECT user_id AS key, CAST(sum(n) AS BIGINT) AS n, round(sum(v), 4) AS total FROM g GROUP BY 1""",
+)
+def processing_time_trigger(t: Tables) -> DataFrame:
+    """Two parts and a last one without rows of theirs, each a pause behind the one before: keys that are quiet in the
+    second part fire in it nevertheless, those that have rows in it fire with them, and keys that are
+    new in it fire in the last."""
+    first, second = halves(t)
+    fired = lambda df, _: S.process(df, "user_id", G.ProcessingTimeTrigger("value", 1_000), "key bigint, n bigint, total double", time_mode="ProcessingTime")
+    found = run_in_parts([first, second.where("user_id % 3 = 0"), closing(t)], fired, pause=2.0, idle_batches=False)
+    return found.where(F.col("key") != NOBODY).select("key", "n", F.round("total", 4).alias("total"))
+
+
+@R.query("t12_never_trigger", "SELECT user_id AS key, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total, CAST(0 AS BIGINT) AS fired FROM events GROUP BY 1")
+def never_trigger(t: Tables) -> DataFrame:
+    """Nothing comes out; what has been added up is in the state, which is read as a table."""
+    df = S.process(keyed(t), "user_id", G.NeverTrigger("value"), "key bigint, n bigint, total double")
+    _, out, checkpoint = run_to_end(df)
+    fired = t.spark.read.schema(df.schema).parquet(out).count()
+    state = t.spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    return state.select(F.col("key.user_id").alias("key"), F.col("value.n").alias("n"), F.round("value.total", 4).alias("total"), F.lit(fired).cast("bigint").alias("fired"))
+
+
+SESSION = "key bigint, began bigint, n bigint, total double, closed boolean"
+
+
+@R.query("t08_processing_time_sessions", "SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2) AS place, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY user_id, event_id % 2")
+def processing_time_sessions(t: Tables) -> DataFrame:
+    """Two parts that lie further apart than the gap: two sessions of each key that has rows in both,
+    closed by timers, the last ones in a batch that has no rows of theirs."""
+    sessions = lambda df, _: S.process(df, "user_id", G.ProcessingTimeSession("value", 1_500), SESSION, "update", "ProcessingTime")
+    found = run_in_parts([*halves(t), closing(t)], sessions, "update", pause=2.5, idle_batches=False).where(F.col("closed") & (F.col("key") != NOBODY))
+    return found.select("key", F.row_number().over(Window.partitionBy("key").orderBy("began")).cast("bigint").alias("place"), "n", F.round("total", 4).alias("total"))
+
+
+@R.query("t08_processing_time_one_session", "SELECT user_id AS key, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY 1")
+def processing_time_one_session(t: Tables) -> DataFrame:
+    """Two parts within the gap: one session a key, which holds the rows of both."""
+    sessions = lambda df, _: S.process(df, "user_id", G.ProcessingTimeSession("value", 7_200_000), SESSION, "update", "ProcessingTime")
+    return latest(run_in_parts(halves(t), sessions, "update", idle_batches=False), "key", "began").select("key", "n", F.round("total", 4).alias("total"))
+
+
+@R.query("t08_processing_time_sliding", "SELECT event_type, place, count(*) AS n FROM (SELECT *, unnest([2 * (event_id % 2) + 1, 2 * (event_id % 2) + 2]) AS place FROM events) GROUP BY ALL")
+def processing_time_sliding(t: Tables) -> DataFrame:
+    """Windows of two seconds of reading time every second over two parts that are read further apart: each
+    part lies in two windows of its own."""
+    counted = lambda df, _: W.processing_time(df, "2 seconds", ["event_type"], rows_(), slide="1 second")
+    found = latest(run_in_parts(halves(t), counted, "update", pause=3.0), "window", "event_type")
+    return found.select("event_type", F.dense_rank().over(Window.partitionBy("event_type").orderBy("window.start")).cast("bigint").alias("place"), "n")
+
+
+@R.query(
+    "t25_lazy_clean_up",
+    f"""WITH p AS (SELECT user_id, count(CASE WHEN ts < {MIDDLE} THEN 1 END) AS n0, count(CASE WHEN ts >= {MIDDLE} THEN 1 END) AS n1, epoch_ms(max(CASE WHEN ts < {MIDDLE} THEN ts END)) AS l0, epoch_ms(max(CASE WHEN ts >= {MIDDLE} THEN ts END)) AS l1 FROM events GROUP BY 1),
+    w AS (SELECT epoch_ms(max(CASE WHEN ts < {MIDDLE} THEN ts END)) AS w0, epoch_ms(max(ts)) AS w1 FROM events),
+    q AS (SELECT *, n0 > 0 AND l0 + 259200000 < w0 AS gone0 FROM p, w),
+    r AS (SELECT *, n1 + CASE WHEN gone0 THEN 0 ELSE n0 END AS n, CASE WHEN n1 = 0 OR (n0 > 0 AND NOT gone0 AND l0 + 259200000 >= l1 + 172800000) THEN l0 ELSE l1 END + 259200000 AS due FROM q)
+    SELECT user_id AS key, n0 AS n, false AS gone FROM r WHERE n0 > 0 UNION ALL SELECT user_id, n0, true FROM r WHERE gone0
+    UNION ALL SELECT user_id, n, false FROM r WHERE n1 > 0 UNION ALL SELECT user_id, n, true FROM r WHERE (n1 > 0 OR NOT gone0) AND due < w1""",
+)
+def lazy_clean_up(t: Tables) -> DataFrame:
+    """Counts that go when a user has been idle for two to three days of event time: a row within a day of the
+    one that has set the timer leaves the timer where it is."""
+    events = keyed_batch(t)
+    counted = lambda df, _: S.process(df.withWatermark("ts", "0 seconds").where("ts IS NOT NULL"), "user_id", G.IdleRetention(172_800_000, "ts"), "key bigint, n bigint, gone boolean", "update", "EventTime")
+    return run_in_parts([events.where(f"ts < {MIDDLE}"), events.where(f"ts >= {MIDDLE}")], counted, "update").drop("batch")
+
+
+def changes(t: Tables) -> list[DataFrame]:
+    """Two parts of a changelog of events: the second takes back all that the first has put in of every
+    fifth user, and has no rows of them."""
+    first, second = halves(t)
+    taken = first.where("user_id % 5 = 0").withColumn("kind", F.lit(L.DELETE))
+    return [first.withColumn("kind", F.lit(L.INSERT)), second.where("user_id % 5 <> 0").withColumn("kind", F.lit(L.INSERT)).unionByName(taken)]
+
+
+def changelog(t: Tables) -> DataFrame:
+    return run_in_parts(changes(t), lambda df, _: L.changelog_aggregate(df, "user_id", "value", "kind"), "update")
+
+
+R.add("t16_changelog", lambda t: L.applied(changelog(t).drop("batch"), "key").select("key", "n", F.round("total", 4).alias("total")), "SELECT user_id AS key, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total FROM events WHERE user_id % 5 <> 0 GROUP BY 1")
+R.add(
+    "t16_changelog_kinds",
+    lambda t: changelog(t).groupBy("kind").agg(rows_(), F.sum(F.col("n")).alias("rows")),
+    """WITH g AS (SELECT user_id, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS n0, count(CASE WHEN event_id % 2 = 1 AND user_id % 5 <> 0 THEN 1 END) AS n1 FROM events GROUP BY 1)
+    SELECT '+I' AS kind, count(*) AS n, CAST(sum(CASE WHEN n0 > 0 THEN n0 ELSE n1 END) AS BIGINT) AS rows FROM g WHERE n0 + n1 > 0 UNION ALL SELECT unnest(['-U', '+U']), count(*), CAST(unnest([sum(n0), sum(n0 + n1)]) AS BIGINT) FROM g WHERE n0 > 0 AND n1 > 0
+    UNION ALL SELECT '-D', count(*), CAST(sum(n0) AS BIGINT) FROM g WHERE n0 > 0 AND user_id % 5 = 0 HAVING count(*) > 0""",
+)
+
+
+@R.query("t16_counts_of_counts", "SELECT n, count(*) AS users FROM (SELECT user_id, count(*) AS n FROM events WHERE user_id % 5 <> 0 GROUP BY 1) GROUP BY 1")
+def counts_of_counts(t: Tables) -> DataFrame:
+    """How many users have how many rows: a second aggregate over the changes of the first, some files
+    at a time. Each user is taken from the group that it leaves."""
+    first = changelog(t).drop("batch")
+    path = fresh_path(t.spark, "changelog")
+    first.write.parquet(path)
+    stream = t.spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    second = drain(L.changelog_aggregate(stream.withColumn("one", F.lit(1.0)), "n", "one", "kind"), "update")
+    return L.applied(second.drop("batch"), "key").select(F.col("key").alias("n"), F.col("n").alias("users"))
+
+
+@R.query("t30_listener", "SELECT count(*) AS metered, count(*) AS total, true AS ended FROM events")
+def metered_by_listener(t: Tables) -> DataFrame:
+    """A meter per query, which a listener marks with every progress report, and metric rows as a table."""
+    listener = M.MeterListener()
+    t.spark.streams.addListener(listener)
+    try:
+        query, _, _ = run_to_end(t.stream("events", 1).select("event_id"))
+        ended = listener.wait_for_end(str(query.id))
+    finally:
+        t.spark.streams.removeListener(listener)
+    return listener.rows(t.spark).where(F.col("query") == str(query.id)).agg(F.sum("rows").alias("metered"), F.max("total").alias("total"), F.lit(ended).alias("ended"))
+
+
+def rules(t: Tables, *versions: tuple[str | None, str, float]) -> DataFrame:
+    """Versions of rules for the event types that the table has; None stands for each of them but views."""
+    given = t.spark.createDataFrame(versions, "of string, at string, rate double")
+    kinds = t["events"].select("event_type").distinct().where("event_type <> 'view'")
+    return kinds.join(given, F.coalesce("of", "event_type") == F.col("event_type")).select("event_type", F.col("at").cast("timestamp").alias("valid_from"), "rate")
+
+
+RULE = "event_type string, valid_from timestamp, rate double"
+FIRST = ((None, "2000-01-01", 1.0),)
+LATER = (("purchase", "2024-01-16", 9.0), ("purchase", "2024-01-21", 4.0), ("click", "2024-01-16", 2.5))
+CORRECTED = (("purchase", "2024-01-16", 3.0),)
+RATES = """CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-21 00:00:00' THEN 4.0 WHEN event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-16 00:00:00' THEN 3.0
+    WHEN event_type = 'click' AND ts >= TIMESTAMP '2024-01-16 00:00:00' THEN 2.5 ELSE 1.0 END"""
+
+
+@R.query("j13_valid_rules", f"SELECT event_id, CAST({RATES} AS DOUBLE) AS rate FROM events")
+def valid_rules(t: Tables) -> DataFrame:
+    """Each row with the version of its rule that held at its time; of two versions for one time the later counts."""
+    book = RuleBook(t.spark, RULE, "event_type", "valid_from")
+    for versions in (FIRST, LATER, CORRECTED):
+        book.publish(rules(t, *versions))
+    return book.look_up(t["events"].select("event_id", "event_type", "ts"), "ts").select("event_id", "rate")
+
+
+@R.query("j13_changing_rules", f"SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_type <> 'view' THEN 1.0 END ELSE {RATES} END AS DOUBLE) AS rate, CAST(event_id % 2 AS BIGINT) AS run FROM events")
+def changing_rules(t: Tables) -> DataFrame:
+    """A stream that runs before and after new versions are published. Rows of the first part get the
+    rules known then; those of the second, old and new ones, the version of their own time."""
+    book = RuleBook(t.spark, RULE, "event_type", "valid_from")
+    source, out, checkpoint = (fresh_path(t.spark, x) for x in ("rows", "ruled", "checkpoint"))
+    book.publish(rules(t, *FIRST))
+    for k, part in enumerate(halves(t)):
+        part.write.mode("append").parquet(source)
+        book.stream(t.spark.readStream.schema(part.schema).parquet(source), "ts", out, checkpoint)
+        if k == 0:
+            book.publish(rules(t, *LATER))
+            book.publish(rules(t, *CORRECTED))
+    return t.spark.read.parquet(out).select("event_id", "rate", (F.col("event_id") % 2).alias("run"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

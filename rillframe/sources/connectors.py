@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rillframe.operators.aggregates import draw
 from rillframe.plans.scratch import fresh_path
@@ -202,10 +202,15 @@ class TwoPhaseSink:
         mark = f"{self.root}/commits/{number}"
         if self._exists(mark):
             return
+        self.write(batch, number)
+        self.spark.range(1).select(F.lit(number).cast("bigint").alias("batch"), F.lit(int(time.time())).alias("committed_at")).write.mode("overwrite").parquet(mark)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """The first phase alone: rows that no reader sees yet."""
         batch.write.mode("overwrite").parquet(f"{self.root}/data/batch={number}")
-        self.spark.range(1).select(F.lit(int(time.time())).alias("committed_at")).write.mode("overwrite").parquet(mark)
 
     def read(self, schema: StructType) -> DataFrame:
-        """The rows of committed batches."""
-        data = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/*")
-        return data
+        """The rows of committed batches: those whose mark is there."""
+        marks = self.spark.read.schema("batch bigint").parquet(f"{self.root}/commits/*").distinct()
+        data = self.spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/*")
+        return data.join(marks, "batch", "left_semi").select(*schema.fieldNames())

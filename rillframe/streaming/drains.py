@@ -41,6 +41,25 @@ def run_to_end(df: DataFrame, mode: str = "append", checkpoint: str | None = Non
     return query, out, checkpoint
 
 
+def run_live(df: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> tuple[StreamingQuery, str, str]:
+    """As :func:`run_to_end`, batch after batch as a stream runs on: until nothing is left to do, then
+    it is stopped. For sources of one's own, which a run over what is there now gives one batch only."""
+    spark = df.sparkSession
+    use_rocksdb(spark)
+    out, checkpoint = out or fresh_path(spark, "stream"), checkpoint or fresh_path(spark, "checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query, out, checkpoint
+
+
 def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame, int], DataFrame], mode: str = "append", pause: float = 0.0, **options) -> DataFrame:
     """Input that arrives in parts: each is added to a folder, over which a new run of the stream goes
     on from the checkpoint of the last. Returns all rows put out, with their ``batch``. ``build`` makes

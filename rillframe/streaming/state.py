@@ -15,17 +15,20 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillframe.streaming.drains import use_rocksdb
 
 
 def process(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "append", time_mode: str = "None", event_time: str = "") -> DataFrame:
-    """Applies a processor to the rows of each key."""
+    """Applies a processor to the rows of each key. Rows with a null key are of no key and left out:
+    Spark would give the other keys of their batch another type."""
     use_rocksdb(df.sparkSession)
     # Spark also starts a Python process of its own for processors, which finds no shipped package.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, mode, time_mode, None, event_time)
+    for name in [m for m in sys.modules if m.startswith("rillframe.streaming.")]:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+    return df.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(processor, schema, mode, time_mode, None, event_time)
 
 
 def _micros(times: pd.Series) -> pd.Series:
@@ -325,44 +328,46 @@ class EvolvingTotal(StatefulProcessor):
 
 
 class EventTimeSort(StatefulProcessor):
-    """A key's rows in the order of their times: held in list state until the watermark has passed
-    them, then put out with their place in the key's order. Event time; needs a watermark, whose
-    delay bounds what is held."""
+    """A key's rows in the order of their times: each waits in map state under its time and id until the
+    watermark has passed it, and is put out with its place in the key's order. A batch writes its own
+    rows and removes those that go; what waits is only read, its keys alone, to tell what can go. One timer
+    of a key stands at the earliest row. Event time; needs a watermark, whose delay bounds what is held."""
 
     def __init__(self, ts: str, order: str):
         self.ts, self.order = ts, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts bigint, id bigint")
+        self.held = handle.getMapState("held", "ts bigint, id bigint", "here boolean")
         self.done = handle.getValueState("done", "n bigint, due bigint")
 
-    def _hold(self, rows: list[tuple[int, int]], n: int, due: int | None) -> None:
-        """Keeps the rows and has a timer fire once the earliest can go."""
-        if due is not None:
-            self.handle.deleteTimer(due)
-        due = min(rows)[0] // 1000 + 1 if rows else -1
-        if rows:
-            self.held.put(rows)
+    def _wait(self, n: int, due: int, first: int | None) -> None:
+        """Moves the timer to the first row, if that comes before where it stands (-1: nowhere)."""
+        if first is not None and (due < 0 or first // 1000 + 1 < due):
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            due = first // 1000 + 1
             self.handle.registerTimer(due)
-        elif self.held.exists():
-            self.held.clear()
         self.done.update((n, due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, None)
-        micros = _micros(found[self.ts])
-        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        first = None
+        for chunk in rows:
+            for ts, id_ in zip(_micros(chunk[self.ts]), chunk[self.order], strict=True):
+                self.held.updateValue((int(ts), int(id_)), (True,))
+                first = int(ts) if first is None else min(first, int(ts))
         n, due = self.done.get() if self.done.exists() else (0, -1)
-        self._hold([*held, *((int(a), int(b)) for a, b in zip(micros, found[self.order], strict=True))], n, due if due >= 0 else None)
+        self._wait(n, due, first)
         yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "place": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(x) for x in self.held.get()) if self.held.exists() else []
-        n, _ = self.done.get()
+        held = sorted(tuple(x) for x in self.held.keys())  # noqa: SIM118
         ready = [x for x in held if x[0] < passed]
-        self._hold([x for x in held if x[0] >= passed], n + len(ready), None)
+        for x in ready:
+            self.held.removeKey(x)
+        n, _ = self.done.get()
+        self._wait(n + len(ready), -1, held[len(ready)][0] if len(ready) < len(held) else None)
         yield pd.DataFrame({"key": [key[0]] * len(ready), "id": [x[1] for x in ready], "place": list(range(n + 1, n + 1 + len(ready)))})
 
     def close(self) -> None:

@@ -35,9 +35,10 @@ def session(df: DataFrame, ts: str, gap: str | Column, keys: list[str], *aggrega
     return df.groupBy(F.session_window(ts, gap).alias("window"), *keys).agg(*aggregates)
 
 
-def processing_time(df: DataFrame, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
-    """Windows of the time at which rows are read."""
-    return tumbling(df.withColumn("_read", F.current_timestamp()), "_read", size, keys, *aggregates)
+def processing_time(df: DataFrame, size: str, keys: list[str], *aggregates: Column, slide: str | None = None) -> DataFrame:
+    """Windows of the time at which rows are read: on streams, that of their batch. Sessions of it:
+    :class:`rillframe.streaming.triggers.ProcessingTimeSession`."""
+    return sliding(df.withColumn("_read", F.current_timestamp()), "_read", size, slide, keys, *aggregates)
 
 
 def count_tumbling(df: DataFrame, size: int, keys: list[str], order: list[str], *aggregates: Column) -> DataFrame:
