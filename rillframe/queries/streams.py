@@ -93,7 +93,8 @@ SLIDES = "SELECT user_id AS key, event_id AS at, round(total, 4) AS total FROM (
 
 
 def keyed(t: Tables) -> DataFrame:
-    return t.stream("events").select("user_id", "event_id", "ts", "event_type", "value")
+    """A file a batch, at most: what a batch holds of a key doesn't grow with the table."""
+    return t.stream("events", 1).select("user_id", "event_id", "ts", "event_type", "value")
 
 
 R.add("t09_count_window", lambda t: W.count_tumbling(t["events"], 5, ["user_id"], ["event_id"], F.max("event_id").alias("at"), F.round(F.sum("value"), 4).alias("total")).select(F.col("user_id").alias("key"), "at", "total"), COUNTS)
@@ -113,7 +114,7 @@ def shuffled(events: DataFrame) -> DataFrame:
 
 
 R.add("t15_late_side_output", lambda t: W.split_late(shuffled(t["events"]), "ts", "arrival", ["user_id"], 3 * 86_400)[1].agg(*ids_()), LATE)
-R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events")), "user_id", S.LateTag("ts", "arrival", 3 * 86_400), "key bigint, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*ids_()), LATE)
+R.add("t15_late_side_output_stream", lambda t: drain(S.process(shuffled(t.stream("events", 1)), "user_id", S.LateTag("ts", "arrival", 3 * 86_400), "key bigint, at bigint, late boolean")).where("late").select((F.col("at") % 10_000_000_000).alias("event_id")).agg(*ids_()), LATE)
 R.add("t16_stream_group_aggregate", lambda t: latest(drain(t.stream("events").groupBy("event_type").agg(rows_(), total_()), "update"), "event_type"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 
 

@@ -1,14 +1,16 @@
 """Operators with state per key, for streams (and batches) of keyed rows.
 
 Each is a processor for ``groupBy(key).transformWithStateInPandas``; what arrives for a key in one
-batch comes in the order of ``order`` where that is given. A batch's rows of one key are held at once
-for that; a source's limit on a batch (files or offsets a trigger) bounds them. State per key has a
-bounded size but where the docstring says otherwise.
+batch comes in the order of ``order`` where that is given, a chunk at a time. For that the columns in use
+of a batch's rows of one key are held; a source's limit on a batch (files or offsets a trigger)
+bounds them. Processors that need no order take rows as they come and hold none. State per key has
+a bounded size but where the docstring says otherwise.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillframe.streaming.drains import use_rocksdb
 
+#: Rows of a key that are worked on at once.
+CHUNK = 10_000
+
 
 def process(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "append", time_mode: str = "None", event_time: str = "") -> DataFrame:
     """Applies a processor to the rows of each key. Rows with a null key are of no key and left out:
@@ -35,12 +40,20 @@ def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
-def _rows(rows: Iterator[pd.DataFrame], order: str | list[str] | None) -> pd.DataFrame:
-    frames = [r for r in rows if len(r)]
-    if not frames:
-        return pd.DataFrame()
-    out = pd.concat(frames, ignore_index=True)
-    return out.sort_values(order, kind="stable", ignore_index=True) if order else out
+def _sorted_chunks(rows: Iterator[pd.DataFrame], order: list[str], *columns: str) -> Iterator[pd.DataFrame]:
+    """A key's rows of a batch in the order of ``order``, ``CHUNK`` rows at a time and only the columns that
+    are needed. Spark gives no order within a batch's rows of a key and lets streams sort nothing before, so
+    these columns are held until the last row has come: the one thing that grows with the batch, which
+    the source's limit bounds."""
+    needed = list(dict.fromkeys([*order, *columns]))
+    held = [r[needed] for r in rows if len(r)]
+    if not held:
+        return
+    whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+    held.clear()
+    places = np.lexsort([whole[c].to_numpy() for c in reversed(order)])
+    for at in range(0, len(places), CHUNK):
+        yield whole.iloc[places[at : at + CHUNK]].reset_index(drop=True)
 
 
 class RunningSum(StatefulProcessor):
@@ -54,12 +67,13 @@ class RunningSum(StatefulProcessor):
         self.total = handle.getValueState("total", "total double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, self.order)
-        before = self.total.get()[0] if self.total.exists() else 0.0
-        sums = before + found[self.value].fillna(0).cumsum()
-        if len(found) or self.refresh:
-            self.total.update((float(sums.iloc[-1]) if len(found) else before,))
-        yield pd.DataFrame({"key": key[0], "at": found[self.order], "total": sums})
+        total, added = self.total.get()[0] if self.total.exists() else 0.0, False
+        for found in _sorted_chunks(rows, [self.order], self.value):
+            sums = total + found[self.value].fillna(0).cumsum()
+            total, added = float(sums.iloc[-1]), True
+            yield pd.DataFrame({"key": key[0], "at": found[self.order], "total": sums})
+        if added or self.refresh:
+            self.total.update((total,))
 
     def close(self) -> None:
         pass
@@ -68,7 +82,7 @@ class RunningSum(StatefulProcessor):
 class CountWindow(StatefulProcessor):
     """Sums over the last ``size`` values of a key after every ``slide`` of them; where size and
     slide are equal the windows tumble and a window that isn't full puts nothing out. List state holds less
-    than ``size`` values; ``purge`` empties it when it has fired. A batch's sums are differences of
+    than ``size`` values; ``purge`` empties it when it has fired. A chunk's sums are differences of
     one running sum."""
 
     def __init__(self, value: str, order: str, size: int, slide: int | None = None, purge: bool = False):
@@ -80,24 +94,25 @@ class CountWindow(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, self.order)
-        if not len(found):
+        held = np.array([x[0] for x in self.last.get()] if self.last.exists() else [], float)
+        n = before = self.seen.get()[0] if self.seen.exists() else 0
+        for found in _sorted_chunks(rows, [self.order], self.value):
+            values = np.append(held, found[self.value].fillna(0).to_numpy(float))
+            sums = np.append(0.0, np.cumsum(values))
+            fires = np.flatnonzero((n + 1 + np.arange(len(found))) % self.slide == 0)
+            ends = len(held) + fires + 1
+            totals = sums[ends] - sums[np.maximum(ends - self.size, 0)]
+            n += len(found)
+            left = min(self.size - 1, n % self.slide if self.purge else len(values))
+            held = values[len(values) - left :]
+            yield pd.DataFrame({"key": key[0], "at": found[self.order].to_numpy()[fires], "total": totals})
+        if n == before:
             return
-        held = [x[0] for x in self.last.get()] if self.last.exists() else []
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        values = np.append(np.array(held, float), found[self.value].fillna(0).to_numpy(float))
-        sums = np.append(0.0, np.cumsum(values))
-        fires = np.flatnonzero((n + 1 + np.arange(len(found))) % self.slide == 0)
-        ends = len(held) + fires + 1
-        totals = sums[ends] - sums[np.maximum(ends - self.size, 0)]
-        n += len(found)
         self.seen.update((n,))
-        left = min(self.size - 1, n % self.slide if self.purge else len(values))
-        if left:
-            self.last.put([(float(x),) for x in values[-left:]])
+        if len(held):
+            self.last.put([(float(x),) for x in held])
         elif self.last.exists():
             self.last.clear()
-        yield pd.DataFrame({"key": key[0], "at": found[self.order].to_numpy()[fires], "total": totals})
 
     def close(self) -> None:
         pass
@@ -114,14 +129,14 @@ class CountTrigger(StatefulProcessor):
         self.so_far = handle.getValueState("so_far", "total double, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, self.order)
-        if not len(found):
-            return
         total, n = self.so_far.get() if self.so_far.exists() else (0.0, 0)
-        sums = total + found[self.value].fillna(0).cumsum()
-        fires = (n + 1 + pd.RangeIndex(len(found))) % self.every == 0
-        self.so_far.update((float(sums.iloc[-1]), n + len(found)))
-        yield pd.DataFrame({"key": key[0], "at": found[self.order][fires], "total": sums[fires]})
+        for found in _sorted_chunks(rows, [self.order], self.value):
+            sums = total + found[self.value].fillna(0).cumsum()
+            fires = (n + 1 + pd.RangeIndex(len(found))) % self.every == 0
+            total, n = float(sums.iloc[-1]), n + len(found)
+            yield pd.DataFrame({"key": key[0], "at": found[self.order][fires], "total": sums[fires]})
+        if n:
+            self.so_far.update((total, n))
 
     def close(self) -> None:
         pass
@@ -131,7 +146,7 @@ class ContinuousTrigger(StatefulProcessor):
     """The sum over all values of a key so far at the end of every ``seconds`` of event time in which
     the key had rows: a global window that fires early and goes on. It fires when a row of a later
     stretch arrives; rows of an earlier one count towards the present. State is the sum and the
-    stretch."""
+    stretch. :class:`rillframe.streaming.triggers.EventTimeTrigger` fires by timers instead."""
 
     def __init__(self, value: str, ts: str, order: str, seconds: int):
         self.value, self.ts, self.order, self.seconds = value, ts, order, seconds
@@ -140,17 +155,17 @@ class ContinuousTrigger(StatefulProcessor):
         self.so_far = handle.getValueState("so_far", "total double, stretch bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, [self.ts, self.order])
-        if not len(found):
-            return
         total, stretch = self.so_far.get() if self.so_far.exists() else (0.0, None)
-        stretches = np.maximum.accumulate(_micros(found[self.ts]).to_numpy() // (self.seconds * 1_000_000))
-        stretches = stretches if stretch is None else np.maximum(stretches, stretch)
-        sums = np.append(total, total + np.cumsum(found[self.value].fillna(0).to_numpy(float)))
-        before = np.append(stretches[0] if stretch is None else stretch, stretches[:-1])
-        fires = np.flatnonzero(stretches > before)
-        self.so_far.update((float(sums[-1]), int(stretches[-1])))
-        yield pd.DataFrame({"key": key[0], "at": (before[fires] + 1) * self.seconds, "total": sums[fires]})
+        for found in _sorted_chunks(rows, [self.ts, self.order], self.value):
+            stretches = np.maximum.accumulate(_micros(found[self.ts]).to_numpy() // (self.seconds * 1_000_000))
+            stretches = stretches if stretch is None else np.maximum(stretches, stretch)
+            sums = np.append(total, total + np.cumsum(found[self.value].fillna(0).to_numpy(float)))
+            before = np.append(stretches[0] if stretch is None else stretch, stretches[:-1])
+            fires = np.flatnonzero(stretches > before)
+            total, stretch = float(sums[-1]), int(stretches[-1])
+            yield pd.DataFrame({"key": key[0], "at": (before[fires] + 1) * self.seconds, "total": sums[fires]})
+        if stretch is not None:
+            self.so_far.update((total, stretch))
 
     def close(self) -> None:
         pass
@@ -167,13 +182,13 @@ class Accumulator(StatefulProcessor):
         self.held = handle.getValueState("held", "total double, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, self.order)
-        if not len(found):
-            return
         total, n = self.held.get() if self.held.exists() else (0.0, 0)
-        sums, numbers = total + found[self.value].fillna(0).cumsum(), n + 1 + np.arange(len(found))
-        self.held.update((float(sums.iloc[-1]), int(numbers[-1])))
-        yield pd.DataFrame({"key": key[0], "at": found[self.order], "total": sums, "n": numbers})
+        for found in _sorted_chunks(rows, [self.order], self.value):
+            sums, numbers = total + found[self.value].fillna(0).cumsum(), n + 1 + np.arange(len(found))
+            total, n = float(sums.iloc[-1]), int(numbers[-1])
+            yield pd.DataFrame({"key": key[0], "at": found[self.order], "total": sums, "n": numbers})
+        if n:
+            self.held.update((total, n))
 
     def close(self) -> None:
         pass
@@ -190,17 +205,18 @@ class Connected(StatefulProcessor):
         self.latest = handle.getValueState("latest", "id bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, [self.ts, self.order])
-        if not len(found):
-            return
-        ids = found[self.order].astype("Int64")
-        seen = ids.where(found["side"] == "left").ffill()
-        if self.latest.exists():
-            seen = seen.fillna(self.latest.get()[0])
-        if not pd.isna(seen.iloc[-1]):
-            self.latest.update((int(seen.iloc[-1]),))
-        right = found["side"] == "right"
-        yield pd.DataFrame({"key": key[0], "at": ids[right], "seen": seen[right]})
+        before = latest = self.latest.get()[0] if self.latest.exists() else None
+        for found in _sorted_chunks(rows, [self.ts, self.order], "side"):
+            ids = found[self.order].astype("Int64")
+            seen = ids.where(found["side"] == "left").ffill()
+            if latest is not None:
+                seen = seen.fillna(latest)
+            if not pd.isna(seen.iloc[-1]):
+                latest = int(seen.iloc[-1])
+            right = found["side"] == "right"
+            yield pd.DataFrame({"key": key[0], "at": ids[right], "seen": seen[right]})
+        if latest != before:
+            self.latest.update((latest,))
 
     def close(self) -> None:
         pass
@@ -216,9 +232,11 @@ class CountsByValue(StatefulProcessor):
         self.counts = handle.getMapState("counts", "v string", "n bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, None)
+        added: Counter[str] = Counter()
+        for chunk in rows:
+            added.update(chunk[self.value].fillna("").value_counts().to_dict())
         out = []
-        for value, n in found[self.value].fillna("").value_counts().items():
+        for value, n in added.items():
             before = self.counts.getValue((value,))[0] if self.counts.containsKey((value,)) else 0
             self.counts.updateValue((value,), (before + int(n),))
             out.append((key[0], value, before + int(n)))
@@ -239,12 +257,13 @@ class LateTag(StatefulProcessor):
         self.largest = handle.getValueState("largest", "ts bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, self.order)
-        micros = _micros(found[self.ts])
         start = self.largest.get()[0] if self.largest.exists() else -(1 << 62)
-        before = micros.cummax().shift(1).fillna(start).clip(lower=start)
-        self.largest.update((int(max(start, micros.max())),))
-        yield pd.DataFrame({"key": key[0], "at": found[self.order], "late": (before - micros) > self.seconds * 1_000_000})
+        for found in _sorted_chunks(rows, [self.order], self.ts):
+            micros = _micros(found[self.ts])
+            before = micros.cummax().shift(1).fillna(start).clip(lower=start)
+            start = int(max(start, micros.max()))
+            yield pd.DataFrame({"key": key[0], "at": found[self.order], "late": (before - micros) > self.seconds * 1_000_000})
+        self.largest.update((start,))
 
     def close(self) -> None:
         pass
@@ -262,10 +281,12 @@ class KeepLast(StatefulProcessor):
         self.best = handle.getValueState("best", "ts bigint, id bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, None)
-        top = (min if self.first else max)(zip(_micros(found[self.ts]), found[self.order], strict=True))
-        old = tuple(self.best.get()) if self.best.exists() else None
-        if old is None or (top < old if self.first else top > old):
+        choose = min if self.first else max
+        old = top = tuple(self.best.get()) if self.best.exists() else None
+        for chunk in rows:
+            for place in [choose(zip(_micros(chunk[self.ts]), chunk[self.order], strict=True))] if len(chunk) else []:
+                top = place if top is None else choose(top, place)
+        if top != old:
             self.best.update((int(top[0]), int(top[1])))
             yield pd.DataFrame({"key": [key[0]], "id": [int(top[1])]})
 
@@ -285,14 +306,16 @@ class InactivityTimer(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n bigint, due bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, None)
         n, due = self.seen.get() if self.seen.exists() else (0, None)
-        latest = int(found[self.ts].astype("datetime64[ms]").astype("int64").max()) + self.idle_ms
-        if due is not None:
-            self.handle.deleteTimer(due)
-            latest = max(latest, due)
-        self.handle.registerTimer(latest)
-        self.seen.update((n + len(found), latest))
+        latest = due
+        for chunk in rows:
+            ends = int(chunk[self.ts].astype("datetime64[ms]").astype("int64").max()) + self.idle_ms
+            n, latest = n + len(chunk), ends if latest is None else max(latest, ends)
+        if latest != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(latest)
+        self.seen.update((n, latest))
         yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -316,10 +339,10 @@ class EvolvingTotal(StatefulProcessor):
         self.total = handle.getValueState("total", "total double, n bigint" if self.counted else "total double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        found = _rows(rows, None)
         old = self.total.get() if self.total.exists() else (0.0, None)
-        total = old[0] + float(found[self.value].fillna(0).sum())
-        n = ((old[1] if len(old) > 1 else None) or 0) + len(found)
+        total, n = old[0], (old[1] if len(old) > 1 else None) or 0
+        for chunk in rows:
+            total, n = total + float(chunk[self.value].fillna(0).sum()), n + len(chunk)
         self.total.update((total, n) if self.counted else (total,))
         yield pd.DataFrame({"key": [key[0]], "total": [total], "n": [n if self.counted else 0]})
 
