@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from rillframe.llm.common import Scratch
+from rillframe.llm.common import Scratch, bounded_broadcast
+from rillframe.operators.ranking import numbered
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,9 +32,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
         placed = docs.select("*", F.col("_metadata.file_path").alias("pipeline_file"), F.col("_metadata.row_index").alias("pipeline_at"))
     except AnalysisException:
         return Scratch(docs.sparkSession).save(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    names = sorted(r["pipeline_file"] for r in placed.select("pipeline_file").distinct().collect())
-    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "pipeline_number bigint, pipeline_file string")
-    return placed.join(files, "pipeline_file").withColumn(ROW, F.shiftleft("pipeline_number", 40) + F.col("pipeline_at")).select(*docs.columns, ROW)
+    files = Scratch(docs.sparkSession).save(numbered(placed.select("pipeline_file").distinct(), "pipeline_file", name="pipeline_number"), "files")
+    return placed.join(bounded_broadcast(files), "pipeline_file").withColumn(ROW, F.shiftleft("pipeline_number", 40) + F.col("pipeline_at")).select(*docs.columns, ROW)
 
 
 def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from rillframe.operators.aggregates import summary
 from rillframe.plans.scratch import fresh_path
 from rillframe.queries.registry import Registry
 from rillframe.sources import connectors as S
@@ -323,6 +326,35 @@ def schema(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(f.name, names.get(f.dataType.simpleString(), f.dataType.simpleString().upper())) for f in grouped.schema], "column_name string, column_type string")
 
 
+@R.query(
+    "s31_schema_read_back",
+    """SELECT column_name, column_type, n AS non_nulls FROM (DESCRIBE SELECT o_orderpriority, CAST(sum(o_totalprice) AS DECIMAL(18, 2)) AS spent, CAST(max(o_orderdate) AS DATE) AS latest, count(*) > 10 AS many, CAST(avg(o_totalprice) AS FLOAT) AS mean, count(*) AS n FROM orders GROUP BY 1)
+    JOIN (SELECT count(DISTINCT o_orderpriority) AS n FROM orders) ON true""",
+)
+def schema_read_back(t: Tables) -> DataFrame:
+    """Names and types after casts, as a table that was written has them, and the values that it has of each."""
+    name = f"typed_{uuid.uuid4().hex[:8]}"
+    typed = t["orders"].groupBy("o_orderpriority").agg(
+        F.sum("o_totalprice").cast("decimal(18,2)").alias("spent"), F.max("o_orderdate").cast("date").alias("latest"), (F.count("*") > 10).alias("many"), F.avg("o_totalprice").cast("float").alias("mean"), F.count("*").alias("n")
+    )
+    typed.write.saveAsTable(name)
+    table = t.spark.table(name)
+    names = {"string": "VARCHAR", "int": "INTEGER"}
+    types = t.spark.createDataFrame([(f.name, names.get(f.dataType.simpleString(), f.dataType.simpleString().upper())) for f in table.schema], "column_name string, column_type string")
+    return types.join(summary(table), "column_name").select("column_name", "column_type", "non_nulls")
+
+
+@R.query("s17_print", "SELECT 'nation> ' AS prefix, n_nationkey, n_name, n_regionkey FROM nation")
+def printed(t: Tables) -> DataFrame:
+    """Rows as the printing sink writes them, read from what it has printed."""
+    nation, out = t["nation"].select("n_nationkey", "n_name", "n_regionkey"), io.StringIO()
+    with contextlib.redirect_stdout(out):
+        S.show_rows(nation, nation.count(), "nation> ")
+    lines = t.spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+    parts = F.split("line", "(?<=> )", 2)
+    return lines.select(parts[0].alias("prefix"), F.from_json(parts[1], nation.schema).alias("r")).select("prefix", "r.*")
+
+
 @R.query("s32_views", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 3")
 def views(t: Tables) -> DataFrame:
     t["nation"].where("n_regionkey = 3").createOrReplaceTempView("third_region")
