@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import socket
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -47,6 +51,62 @@ def observe_step(df: DataFrame, step: Callable[[DataFrame], DataFrame], name: st
     }
 
 
+def observe_join(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> dict[str, float]:
+    """As :func:`observe_step` for a step with two inputs: the selectivity is that of all pairs, and the
+    width of what comes in is that of a row of either side together."""
+    seen = {side: Observation(f"{name} {side}") for side in ("left", "right", "out")}
+
+    def watched(df: DataFrame, side: str) -> DataFrame:
+        fields = F.sum(sum((F.col(c).isNotNull().cast("bigint") for c in df.columns), F.lit(0))).alias("fields")
+        return df.observe(seen[side], F.count("*").alias("n"), fields)
+
+    watched(join(watched(left, "left"), watched(right, "right")), "out").write.format("noop").mode("overwrite").save()
+    n = {side: x.get["n"] for side, x in seen.items()}
+    width = {side: x.get["fields"] / n[side] if n[side] else None for side, x in seen.items()}
+    pairs = n["left"] * n["right"]
+    both = None if None in (width["left"], width["right"]) else width["left"] + width["right"]
+    return {"step": name, "rows_left": n["left"], "rows_right": n["right"], "rows_out": n["out"], "selectivity": n["out"] / pairs if pairs else None, "width_in": both, "width_out": width["out"]}
+
+
+def join_step(left: DataFrame, keys: list[str], length: int, slide: int | None = None) -> dict:
+    """What a windowed join has of its description: the type of its key, and its window in seconds."""
+    kinds = {left.schema[k].dataType.simpleString() for k in keys}
+    return {"joinKeyClass": kinds.pop() if len(kinds) == 1 else "mixed", "windowType": "tumbling" if slide in (None, length) else "sliding", "windowPolicy": "time", "windowLength": length, "slidingLength": slide or length}
+
+
+def features(kind: str, step: dict, no_joins: bool = False) -> dict:
+    """The features that a kind of operator has, of what is known of a step; joins have none in a set
+    of plans without joins. Features that aren't known are missing, and nothing else is in it."""
+    return {} if kind == "join" and no_joins else {name: step[name] for name in FEATURES[kind] if step.get(name) is not None}
+
+
+NODE = "host string, physicalCPUCores bigint, totalMemory bigint, maxCPUFreq double, networkLinkSpeed bigint"
+
+
+def physical_nodes(spark: SparkSession) -> DataFrame:
+    """The hosts that tasks run on, as far as tasks can tell: cores, bytes of memory, the highest clock in MHz, and
+    the fastest link in Mbit/s; null where the system doesn't say."""
+
+    def look(frames):
+        def read(path: str) -> str:
+            try:
+                return Path(path).read_text()
+            except (OSError, UnicodeDecodeError):
+                return ""
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            memory = re.search(r"MemTotal:\s+(\d+)", read("/proc/meminfo"))
+            clocks = [float(x) for x in re.findall(r"cpu MHz\s*:\s*([\d.]+)", read("/proc/cpuinfo"))]
+            links = [int(x) for p in Path("/sys/class/net").glob("*/speed") if (x := read(str(p)).strip()).isdigit()]
+            yield pd.DataFrame({"host": [socket.gethostname()], "physicalCPUCores": [os.cpu_count()], "totalMemory": [int(memory[1]) * 1024 if memory else None], "maxCPUFreq": [max(clocks, default=None)], "networkLinkSpeed": [max(links, default=None)]})
+
+    tasks = spark.sparkContext.defaultParallelism * 4  # so that every host gets some
+    found = spark.range(0, tasks, 1, tasks).mapInPandas(look, NODE)
+    return found.groupBy("host").agg(*(F.max(c).alias(c) for c in FEATURES["physical"]))
+
+
 def plan_steps(df: DataFrame) -> list[dict]:
     """The steps of a DataFrame's plan as it was written, sources first: kind, and what its kind has of the
     relation's columns by type, filter function and literal, aggregate functions, join keys, and

@@ -9,6 +9,7 @@ from rillframe.functions import python_functions as U
 from rillframe.operators import aggregates as A
 from rillframe.operators import graph as G
 from rillframe.operators import observing as O
+from rillframe.operators.joins import windowed_join
 from rillframe.operators.patterns import Step, next_match, strict_sequence
 from rillframe.queries.registry import Registry
 from rillframe.queries.streams import out_of_order
@@ -197,6 +198,22 @@ def features_by_kind(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "kind string, feature string, value double")
 
 
+@R.query(
+    "o02_join_features",
+    """WITH c AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS w FROM events WHERE event_type = 'click'), v AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS w FROM events WHERE event_type = 'view'),
+    j AS (SELECT count(*) / ((SELECT count(*) FROM c) * (SELECT count(*) FROM v)) AS s FROM c JOIN v USING (user_id, w))
+    SELECT 'all' AS template, unnest(['joinKeyClass', 'windowType', 'windowPolicy', 'slidingLength', 'windowLength', 'tupleWidthIn', 'tupleWidthOut', 'avgRealSelectivity']) AS feature, unnest(['bigint', 'tumbling', 'time', '86400', '86400', '6.0', '6.0', format('{:.9f}', (SELECT s FROM j))]) AS value""",
+)
+def join_features(t: Tables) -> DataFrame:
+    """The features of a windowed join, from its description and from observing it; none in plans without joins."""
+    side = lambda kind: t["events"].where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
+    clicks, views = side("click"), side("view")
+    seen = O.observe_join(clicks, views, lambda a, b: windowed_join(a, b, ["user_id"], "ts", "1 day").drop("right_ts"), "join")
+    step = O.join_step(clicks, ["user_id"], 86_400) | {"tupleWidthIn": seen["width_in"], "tupleWidthOut": seen["width_out"], "avgRealSelectivity": f"{seen['selectivity']:.9f}"}
+    rows = [(template, name, str(value)) for template, none in (("all", False), ("filters", True)) for name, value in O.features("join", step, none).items()]
+    return t.spark.createDataFrame(rows, "template string, feature string, value string")
+
+
 @R.query(
     "o03_plan_nodes",
     """SELECT 0 AS id, 'source' AS operator_type, CAST(NULL AS BIGINT) AS window_length, CAST(NULL AS BIGINT) AS sliding_length, CAST(NULL AS VARCHAR) AS literal, count(*) AS n FROM events
