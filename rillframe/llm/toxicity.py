@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from rillframe.llm.common import Scratch, held_out, map_batches, texts, worker_s
 DIMENSIONS = 1 << 20
 #: Rows of the labelled sample, characters of each, and characters in all.
 SAMPLE, LONGEST, TOTAL = 10_000, 40_000, 64_000_000
+#: Entries of sparse rows that a product takes at a time.
+BLOCK = 1 << 20
 _STRIP = ".,;:!?|\"'()[]{}<>#&*%$~`-_=+/\\…“”‘’«»¿¡"
 #: Identity terms by kind; a counterfactual stays within a line.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -117,19 +119,34 @@ class Rows:
 
     def __init__(self, packed: list[bytes], number: np.ndarray):
         """``number``: each feature's place among the chosen ones, or -1."""
-        parts = []
-        for x in packed:
+        self.n = len(packed)
+        sizes = [int((number[np.frombuffer(x, "<i4")] >= 0).sum()) for x in packed]
+        self.index = np.empty(sum(sizes), np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        end = 0
+        for x, size in zip(packed, sizes, strict=True):
             index = number[np.frombuffer(x, "<i4")]
-            parts.append(index[index >= 0])
-        self.n = len(parts)
-        self.index = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in parts])
+            self.index[end : end + size] = index[index >= 0]
+            end += size
+
+    def _blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entries a block at a time, so that products hold no more than a block beside the rows."""
+        for at in range(0, len(self.index), BLOCK):
+            yield self.index[at : at + BLOCK], self.row[at : at + BLOCK]
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.index], self.n)
+        out = np.zeros(self.n)
+        for index, row in self._blocks():
+            first = row[0]
+            part = np.bincount(row - first, weights[index])
+            out[first : first + len(part)] += part
+        return out
 
     def transposed_dot(self, values: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, values[self.row], size)
+        out = np.zeros(size)
+        for index, row in self._blocks():
+            out += np.bincount(index, values[row], size)
+        return out
 
 
 def _document_frequency(packed: Iterable[bytes]) -> np.ndarray:

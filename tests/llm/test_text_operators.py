@@ -235,6 +235,18 @@ def test_every_labelled_text_has_a_counterfactual():
         assert mention != other and toxicity.tokens(text) <= mention and len(mention - other) == len(other - mention) == 1
 
 
+def test_language_model_of_several_tasks(spark, monkeypatch):
+    """Parameters averaged over several tasks score texts that they weren't learnt from better than the
+    counts alone do, as those of one task do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gain = {}
+    for share in (1 << 40, 60_000):
+        monkeypatch.setattr(language_model, "SHARE", share)
+        held = language_model.log_scores(docs.repartition(6)).where("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+        gain[share] = (held.s - held.b) / held.n
+    assert gain[1 << 40] > 0.1 and gain[60_000] > 0.05
+
+
 def test_identity_terms_hardly_move_neutral_sentences(spark):
     """Learnt from the given labels: each term of every kind, against none."""
     folder = "/root/testdata/sf0.01"
