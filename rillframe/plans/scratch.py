@@ -6,12 +6,15 @@ Only in local mode may that setting be absent; a temporary folder is made then.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -45,9 +48,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def _shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of the queries within when they end, instead of some time after
+    the driver has let go of them."""
+    before = spark.conf.get(LET_GO, None)
+    spark.conf.set(LET_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(LET_GO)
+        else:
+            spark.conf.set(LET_GO, before)
+
+
 class Scratch:
     """Scratch tables that are written, read back and can be dropped early.
 
+    What has been shuffled for a table goes when the table is written.
+
     A written table cuts the lineage: a lost executor costs the reading of a file in shared
     storage, not a new run of all that came before.
     """
@@ -59,7 +79,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Writes ``df`` as Parquet and returns the table read back."""
         path = fresh_path(self.spark, name)
-        df.write.parquet(path, compression=compression)
+        with _shuffles_let_go(self.spark):
+            df.write.parquet(path, compression=compression)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             remove(self.spark, old)
