@@ -418,8 +418,9 @@ R.sql(
 )
 R.sql(
     "star_variation_pairs",
-    """WITH m AS (SELECT l_suppkey AS k, CAST(extract(year FROM l_shipdate) * 12 + extract(month FROM l_shipdate) AS BIGINT) AS mo, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS dev FROM lineitem GROUP BY 1, 2),
-    f AS (SELECT k, mo, dev / mean AS ratio FROM m WHERE mean > 0 AND dev / mean > 0.5)
+    # Of n, the sum and the sum of squares, which are exact for whole quantities: stddev_samp / avg itself is on either side of 0.5 by rounding.
+    """WITH m AS (SELECT l_suppkey AS k, CAST(extract(year FROM l_shipdate) * 12 + extract(month FROM l_shipdate) AS BIGINT) AS mo, CAST(count(l_quantity) AS DOUBLE) AS n, sum(l_quantity) AS s, sum(l_quantity * l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT k, mo, sqrt(n * (n * q - s * s) / ((n - 1) * s * s)) AS ratio FROM m WHERE n > 1 AND s > 0 AND 4 * n * (n * q - s * s) > (n - 1) * s * s)
     SELECT a.k, a.mo, round(a.ratio, 6) AS ratio, round(b.ratio, 6) AS next_ratio FROM f a JOIN f b ON a.k = b.k AND b.mo = a.mo + 1""",
 )
 
