@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillframe.streaming.buckets import BUCKETS, Bucketed
 from rillframe.streaming.drains import use_rocksdb
 
 #: Rows of a key that are worked on at once.
@@ -33,7 +34,11 @@ def process(df: DataFrame, key: str, processor: StatefulProcessor, schema: str,
     # Spark also starts a Python process of its own for processors, which finds no shipped package.
     for name in [m for m in sys.modules if m.startswith("rillframe.streaming.")]:
         cloudpickle.register_pickle_by_value(sys.modules[name])
-    return df.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(processor, schema, mode, time_mode, None, event_time)
+    rows, by = df.where(F.col(key).isNotNull()), key
+    if isinstance(processor, Bucketed):
+        processor.key, processor.kind, by = key, df.schema[key].dataType.simpleString(), "_bucket"
+        rows = rows.withColumn(by, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    return rows.groupBy(by).transformWithStateInPandas(processor, schema, mode, time_mode, None, event_time)
 
 
 def _micros(times: pd.Series) -> pd.Series:

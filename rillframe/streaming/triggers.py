@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillframe.streaming.buckets import NEVER, Bucketed
+
 
 def _frame(key, rows: list[tuple], **types: str) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=list(types)).astype(types)
@@ -15,47 +18,41 @@ def _frame(key, rows: list[tuple], **types: str) -> pd.DataFrame:
     return out
 
 
-class EventTimeTrigger(StatefulProcessor):
+class EventTimeTrigger(Bucketed):
     """The sum over all values of a key so far at the end of every stretch of ``interval_ms`` of event
-    time in which the key had rows: a global window that fires early and goes on. A timer at the
-    stretch's end fires once the watermark has come there, though the key may never have another row. Map
-    state holds the sums of stretches to come; rows of a stretch that has fired count towards the
+    time in which the key had rows: a global window that fires early and goes on. It fires once the
+    watermark has come to the stretch's end, though the key may never have another row. State
+    holds the sums of stretches to come; rows of a stretch that has fired count towards the
     next. ``purge`` begins anew after each firing."""
 
+    STATE = [("stretch", "i8"), ("total", "f8"), ("until", "i8")]
+
     def __init__(self, value: str, ts: str, interval_ms: int, purge: bool = False):
         self.value, self.ts, self.interval, self.purge = value, ts, interval_ms, purge
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.fired = handle.getValueState("fired", "total double, until bigint")
-        self.open = handle.getMapState("open", "stretch bigint", "total double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        until = self.fired.get()[1] if self.fired.exists() else None
-        sums: dict[int, float] = {}
-        for chunk in rows:
-            stretches = chunk[self.ts].astype("datetime64[ms]").astype("int64") // self.interval
-            if until is not None:
-                stretches = stretches.clip(lower=until)
-            for stretch, total in chunk[self.value].fillna(0).groupby(stretches).sum().items():
-                sums[int(stretch)] = sums.get(int(stretch), 0.0) + float(total)
-        for stretch, total in sums.items():
-            known = self.open.containsKey((stretch,))
-            self.open.updateValue((stretch,), ((self.open.getValue((stretch,))[0] if known else 0.0) + total,))
-            if not known:
-                self.handle.registerTimer((stretch + 1) * self.interval)
-        yield _frame(key, [], at="int64", total="float64")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        stretch = at // self.interval - 1
-        total = (self.fired.get()[0] if self.fired.exists() else 0.0) + self.open.getValue((stretch,))[0]
-        self.open.removeKey((stretch,))
-        self.fired.update((0.0 if self.purge else total, stretch + 1))
-        yield _frame(key, [(at // 1000, total)], at="int64", total="float64")
-
-    def close(self) -> None:
-        pass
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        fired = held["stretch"] == NEVER
+        until = rows["key"].map(held[fired].set_index("key")["until"]).fillna(NEVER).astype("int64")
+        stretch = np.maximum(rows[self.ts].astype("datetime64[ms]").astype("int64") // self.interval, until)
+        new = pd.DataFrame({"key": rows["key"], "stretch": stretch, "total": rows[self.value].fillna(0).astype(float)})
+        sums = pd.concat([held.loc[~fired, ["key", "stretch", "total"]], new]).groupby(["key", "stretch"], as_index=False)["total"].sum()
+        none = pd.DataFrame({"key": rows["key"][:0], "at": pd.Series(dtype="int64"), "total": pd.Series(dtype=float)})
+        return none, pd.concat([held[fired], sums.assign(until=0)])
+
+    def passed(self, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        fired = held["stretch"] == NEVER
+        before, waiting = held[fired].set_index("key"), held[~fired].sort_values(["key", "stretch"])
+        ripe = (waiting["stretch"] + 1) * self.interval <= timers.getCurrentWatermarkInMs()
+        out = waiting[ripe].copy()
+        if not self.purge:
+            out["total"] = out.groupby("key")["total"].cumsum() + out["key"].map(before["total"]).fillna(0.0)
+        last = out.drop_duplicates("key", keep="last")
+        done = pd.DataFrame({"key": last["key"], "stretch": NEVER, "total": 0.0 if self.purge else last["total"], "until": last["stretch"] + 1})
+        held = pd.concat([held[fired & ~held["key"].isin(last["key"])], done, waiting[~ripe]])
+        return pd.DataFrame({"key": out["key"], "at": (out["stretch"] + 1) * self.interval // 1000, "total": out["total"]}), held
+
+    def dues(self, held) -> pd.Series:
+        return (held.loc[held["stretch"] != NEVER, "stretch"] + 1) * self.interval
 
 
 class ProcessingTimeTrigger(StatefulProcessor):
