@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillframe.streaming.buckets import Bucketed
 from rillframe.streaming.state import process
 
+FOUND, NUMBERS = ["key", "start", "kind", "n", "total"], {"start": "int64", "n": "int64", "total": "float64"}
+
 
 def with_late_rows(df: DataFrame, ts: str, delay: str) -> DataFrame:
     """A watermark that trails the largest ``ts`` by ``delay`` but under which Spark drops no row.
@@ -25,70 +25,44 @@ def with_late_rows(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return timed.where(F.col("clock").isNull()).drop("_tick")  # names the clock alone, so that Spark leaves it above the watermark
 
 
-class LatenessWindows(StatefulProcessor):
+class LatenessWindows(Bucketed):
     """Number and sum of a key's values in tumbling windows, and what becomes of late rows.
 
-    A window's accumulator is in map state under its start. When the watermark passes the window's
+    A window's accumulator is in the key's state under its start. When the watermark passes the window's
     end a timer puts it out as ``first``. Rows that come later are added and put it out anew, once for
     a batch, as ``corrected``, whose numbers replace the earlier ones; a window that had no row in time
     comes as corrected at once. When the watermark is ``lateness`` past the end, the accumulator goes;
     what comes then is ``rejected``, put out with number and sum of the rejected rows of that batch
     alone, for an output of their own."""
 
+    STATE = [("start", "i8"), ("n", "i8"), ("total", "f8"), ("fired", "?")]
+
     def __init__(self, value: str, ts: str, size_ms: int, lateness_ms: int):
         self.value, self.ts, self.size, self.lateness = value, ts, size_ms, lateness_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.windows = handle.getMapState("windows", "start bigint", "n bigint, total double, fired boolean")
-
-    def _frame(self, key, found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["start", "kind", "n", "total"])
-        out.insert(0, "key", pd.Series([key[0]] * len(found), dtype=object))
-        return out.astype({"start": "int64", "n": "int64", "total": float})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        passed = timerValues.getCurrentWatermarkInMs()
-        added: dict[int, list[float]] = {}
-        for chunk in rows:
-            starts = chunk[self.ts].astype("datetime64[ms]").astype("int64") // self.size * self.size
-            for window in chunk[self.value].fillna(0).groupby(starts).agg(n="count", total="sum").itertuples():
-                seen = added.setdefault(int(window.Index), [0, 0.0])
-                seen[0], seen[1] = seen[0] + int(window.n), seen[1] + float(window.total)
-        out = []
-        for start, (n, total) in sorted(added.items()):
-            end = start + self.size
-            if end + self.lateness <= passed:
-                out.append((start, "rejected", n, total))
-                continue
-            known = self.windows.containsKey((start,))
-            before = self.windows.getValue((start,)) if known else (0, 0.0, end <= passed)
-            now = (before[0] + n, before[1] + total, before[2])
-            if now[2]:
-                out.append((start, "corrected", now[0], now[1]))
-            if not known:
-                self.handle.registerTimer(end + self.lateness if now[2] else end)
-            self.windows.updateValue((start,), now)
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        start = at - self.size  # a window may end where the lateness of another does
-        if self.windows.containsKey((start,)) and not (held := self.windows.getValue((start,)))[2]:
-            out.append((start, "first", held[0], held[1]))
-            if self.lateness:
-                self.windows.updateValue((start,), (held[0], held[1], True))
-                self.handle.registerTimer(at + self.lateness)
-            else:
-                self.windows.removeKey((start,))
-        gone = at - self.lateness - self.size
-        if self.lateness and self.windows.containsKey((gone,)) and self.windows.getValue((gone,))[2]:
-            self.windows.removeKey((gone,))
-        yield self._frame(key, out)
-
-    def close(self) -> None:
-        pass
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        watermark = timers.getCurrentWatermarkInMs()
+        starts = rows[self.ts].astype("datetime64[ms]").astype("int64") // self.size * self.size
+        new = pd.DataFrame({"key": rows["key"], "start": starts, "n": 1, "total": rows[self.value].fillna(0).astype(float)})
+        new = new.groupby(["key", "start"], as_index=False).sum()
+        gone = new["start"] + self.size + self.lateness <= watermark
+        rejected, new = new[gone].assign(kind="rejected"), new[~gone]
+        new = new.assign(fired=new["start"] + self.size <= watermark, here=True)
+        both = pd.concat([held.assign(here=False), new])
+        # What is held comes first and tells whether the window has fired.
+        now = both.groupby(["key", "start"], as_index=False).agg(n=("n", "sum"), total=("total", "sum"), fired=("fired", "first"), here=("here", "any"))
+        now = now.astype({"fired": bool, "here": bool})
+        corrected = now[now["fired"] & now["here"]].assign(kind="corrected")
+        return pd.concat([rejected, corrected])[FOUND].astype(NUMBERS), now[["key", "start", "n", "total", "fired"]]
+
+    def passed(self, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        watermark, end = timers.getCurrentWatermarkInMs(), held["start"] + self.size
+        first = ~held["fired"] & (end <= watermark)
+        left = held.assign(fired=held["fired"] | first)[end + self.lateness > watermark]
+        return held[first].assign(kind="first")[FOUND].astype(NUMBERS), left
+
+    def dues(self, held) -> pd.Series:
+        return held["start"] + self.size + self.lateness * held["fired"]
 
 
 def windows_with_lateness(df: DataFrame, key: str, ts: str, value: str, size_seconds: int, lateness_seconds: int, delay: str = "0 seconds") -> DataFrame:
