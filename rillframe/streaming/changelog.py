@@ -7,13 +7,11 @@ well, a second aggregate over the changes of the first stays right."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillframe.streaming.buckets import Bucketed
 from rillframe.streaming.state import process
 
 INSERT, BEFORE, AFTER, DELETE = "+I", "-U", "+U", "-D"
@@ -24,7 +22,7 @@ def sign(kind: str = "kind") -> Column:
     return F.when(F.col(kind).isin(BEFORE, DELETE), -1).otherwise(1)
 
 
-class ChangelogAggregate(StatefulProcessor):
+class ChangelogAggregate(Bucketed):
     """Number and sum of each key's rows over a changelog, put out as a changelog.
 
     A batch's rows of a key come to one change: an insert if the key had no rows, a delete if it has
@@ -32,31 +30,23 @@ class ChangelogAggregate(StatefulProcessor):
     ``+U``, in this order by ``seq``, which counts a key's changes. State is number, sum and this count;
     the count stays when a key's rows have gone, so that a later insert comes after the delete."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "n bigint, total double, seq bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        before_n, before, seq = self.held.get() if self.held.exists() else (0, 0.0, 0)
-        n, total = before_n, before
-        for chunk in rows:
-            n += int(chunk["sign"].sum())
-            total += float((chunk["sign"] * chunk["value"].fillna(0)).sum())
-        if n == 0:
-            total = 0.0  # what rounding has left of values that are all gone
-        changes = []
-        if before_n == 0 and n != 0:
-            changes = [(INSERT, n, total)]
-        elif before_n != 0 and n == 0:
-            changes = [(DELETE, before_n, before)]
-        elif (n, total) != (before_n, before):
-            changes = [(BEFORE, before_n, before), (AFTER, n, total)]
-        out = pd.DataFrame([(seq + k, *c) for k, c in enumerate(changes)], columns=["seq", "kind", "n", "total"])
-        out.insert(0, "key", pd.Series([key[0]] * len(out), dtype=object))
-        self.held.update((n, total, seq + len(changes)))
-        yield out.astype({"seq": "int64", "n": "int64", "total": "float64"})
-
-    def close(self) -> None:
-        pass
+    STATE = [("n", "i8"), ("total", "f8"), ("seq", "i8")]
+
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        signs = rows["sign"].astype("int64")
+        new = pd.DataFrame({"key": rows["key"], "n": signs, "total": signs * rows["value"].fillna(0)}).groupby("key").sum()
+        old = held.set_index("key").reindex(new.index, fill_value=0)
+        n, total = old["n"] + new["n"], old["total"] + new["total"]
+        total = total.where(n != 0, 0.0)  # what rounding has left of values that are all gone
+        was = old["n"] != 0
+        update = was & (n != 0) & ((n != old["n"]) | (total != old["total"]))
+        frame = lambda which, kind, n, total, ahead: pd.DataFrame({"seq": old["seq"] + ahead, "kind": kind, "n": n, "total": total})[which]
+        out = [frame(~was & (n != 0), INSERT, n, total, 0), frame(was & (n == 0), DELETE, old["n"], old["total"], 0)]
+        out = pd.concat([*out, frame(update, BEFORE, old["n"], old["total"], 0), frame(update, AFTER, n, total, 1)])
+        seq = old["seq"] + out.groupby(level=0).size().reindex(new.index, fill_value=0)
+        now = pd.DataFrame({"n": n, "total": total, "seq": seq}).rename_axis("key").reset_index()
+        out = out.rename_axis("key").reset_index()[["key", "seq", "kind", "n", "total"]].sort_values(["key", "seq"])
+        return out.astype({"seq": "int64", "n": "int64", "total": "float64"}), pd.concat([held[~held["key"].isin(new.index)], now])
 
 
 def changelog_aggregate(changes: DataFrame, key: str, value: str, kind: str | None = None) -> DataFrame:

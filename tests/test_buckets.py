@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from rillframe.streaming.buckets import Bucketed
+from rillframe.streaming.changelog import ChangelogAggregate
 from rillframe.streaming.lateness import LatenessWindows
 from rillframe.streaming.triggers import EventTimeTrigger
 
@@ -45,3 +46,14 @@ def test_lateness_of_many_keys_in_one_call():
     assert out["kind"].tolist() == ["first"] * 6_000 and sorted(windows.dues(held).unique()) == [30_000]
     out, held = windows.arrived(rows_of(1), held, Timers(20_000))
     assert sorted(out[["start", "kind", "n", "total"]].itertuples(index=False, name=None)) == [(0, "rejected", 2, 1.0), (10_000, "corrected", 2, 4.0)]
+
+
+def test_changelog_of_many_keys_in_one_call():
+    aggregate = ChangelogAggregate()
+    assert isinstance(aggregate, Bucketed)
+    first = pd.DataFrame({"key": range(3_000), "sign": 1, "value": 2.0})
+    out, held = aggregate.arrived(first, none(aggregate), None)
+    assert len(out) == 3_000 and set(out["kind"]) == {"+I"}
+    out, held = aggregate.arrived(pd.DataFrame({"key": [1, 2, 3, 3], "sign": [-1, 1, 1, -1], "value": [2.0, 5.0, 1.0, 1.0]}), held, None)
+    assert list(out.itertuples(index=False, name=None)) == [(1, 1, "-D", 1, 2.0), (2, 1, "-U", 1, 2.0), (2, 2, "+U", 2, 7.0)]
+    assert len(held) == 3_000 and held[held["key"] == 2]["seq"].tolist() == [3]
