@@ -104,44 +104,34 @@ class NeverTrigger(StatefulProcessor):
         pass
 
 
-class ProcessingTimeSession(StatefulProcessor):
+class ProcessingTimeSession(Bucketed):
     """Sessions of processing time: rows of a key belong to one as long as no two batches with rows of
     it lie further apart than ``gap_ms``. Every batch puts out the session that its rows have come to,
     under the time at which it began and with ``closed`` false, and a timer puts it out closed when
     the gap has passed; of the rows of a session the newest counts. A batch that comes after the gap but
     before the timer closes the session itself."""
 
+    STATE = [("began", "i8"), ("due", "i8"), ("n", "i8"), ("total", "f8")]
+
     def __init__(self, value: str, gap_ms: int):
         self.value, self.gap = value, gap_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "began bigint, due bigint, n bigint, total double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        now = timerValues.getCurrentProcessingTimeInMs()
-        out = []
-        held = tuple(self.held.get()) if self.held.exists() else None
-        if held is not None:
-            self.handle.deleteTimer(held[1])
-            if now >= held[1]:
-                out.append((held[0], held[2], held[3], True))
-                held = None
-        began, _, n, total = held or (now, 0, 0, 0.0)
-        for chunk in rows:
-            n, total = n + len(chunk), total + float(chunk[self.value].fillna(0).sum())
-        self.handle.registerTimer(now + self.gap)
-        self.held.update((began, now + self.gap, n, total))
-        out.append((began, n, total, False))
-        yield _frame(key, out, began="int64", n="int64", total="float64", closed="bool")
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        now = timers.getCurrentProcessingTimeInMs()
+        new = pd.DataFrame({"key": rows["key"], "began": now, "n": 1, "total": rows[self.value].fillna(0).astype(float)})
+        here = held["key"].isin(new["key"])
+        over = here & (held["due"] <= now)
+        both = pd.concat([held.loc[here & ~over, ["key", "began", "n", "total"]], new])
+        going = both.groupby("key", as_index=False).agg(began=("began", "min"), n=("n", "sum"), total=("total", "sum"))
+        out = pd.concat([held[over].assign(closed=True), going.assign(closed=False)])
+        return out[["key", "began", "n", "total", "closed"]].astype({"closed": bool}), pd.concat([held[~here], going.assign(due=now + self.gap)])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        began, _, n, total = self.held.get()
-        self.held.clear()
-        yield _frame(key, [(began, n, total, True)], began="int64", n="int64", total="float64", closed="bool")
+    def passed(self, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        over = held["due"] <= timers.getCurrentProcessingTimeInMs()
+        return held.loc[over, ["key", "began", "n", "total"]].assign(closed=True).astype({"closed": bool}), held[~over]
 
-    def close(self) -> None:
-        pass
+    def dues(self, held) -> pd.Series:
+        return held["due"]
 
 
 class IdleRetention(StatefulProcessor):
