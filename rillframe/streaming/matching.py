@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillframe.operators.patterns import Step
+from rillframe.streaming.buckets import Bucketed
 from rillframe.streaming.state import process
 
-#: (micros, id) of a row: rows of equal time come in the order of their ids.
-Place = tuple[int, int]
+#: (micros, id, number) of a row: rows of equal time come in the order of their ids.
+Place = tuple[int, ...]
 
 
 class Matcher:
@@ -71,86 +71,57 @@ class Matcher:
                 yield first, None
 
 
-class SequenceMatch(StatefulProcessor):
+class SequenceMatch(Bucketed):
     """Puts out the matches of a :class:`Matcher`, and with ``ends`` the starts that found none.
 
-    Rows wait in map state under their time and id until the watermark has passed them; partial
-    matches are kept in map state under their start, and only those that a batch's rows have changed
-    are written. One event-time timer of a key stands at whichever comes first: a row that can go,
-    or the end of a start's time.
+    State holds rows that the watermark has not passed, with what they fit, and partial matches with
+    their places one behind another; a bucket's keys are worked on in one call. The bucket's event-time timer
+    stands at whichever comes first: a row that can go, or the end of a start's time. Rows of one time and
+    id are told apart by a number.
     """
 
     def __init__(self, strict: list[bool], within: int | None, names: list[str], ends: bool):
         self.matcher, self.names, self.ends = Matcher(strict, within), names, ends
+        self.places = [f"{x}{k}" for k in range(max(1, len(strict) - 1)) for x in ("at", "id", "no")]
+        #: A row that waits has its own place and no steps; a partial match has the places of its ``steps``.
+        self.STATE = [*((x, "i8") for x in self.places), ("fits", "i8"), ("steps", "i8")]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getMapState("rows", "ts bigint, id bigint", "fits int")
-        self.partial = handle.getMapState("partial", "ts bigint, id bigint", "parts string")
-        self.due = handle.getValueState("due", "ms bigint")
-
-    def _wait(self, times: Iterable[int], starts: Iterable[int]) -> None:
-        """Has a timer fire when the first row or the first start can go."""
-        old = self.due.get()[0] if self.due.exists() else None
-        dues = [min(times, default=None), None if self.matcher.within is None else min((s + self.matcher.within for s in starts), default=None)]
-        due = min((d // 1000 + 1 for d in dues if d is not None), default=None)
-        if due == old:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if due is None:
-            self.due.clear()
-        else:
-            self.handle.registerTimer(due)
-            self.due.update((due,))
-
-    def _frame(self, key, found: list[tuple[Place, list[Place] | None]]) -> pd.DataFrame:
-        found = [x for x in found if x[1] is not None or self.ends]
-        columns = {"key": pd.Series([key[0]] * len(found), dtype=object)}
+    def _frame(self, found: list[tuple[object, Place, list[Place] | None]]) -> pd.DataFrame:
+        columns = {"key": pd.Series([x[0] for x in found], dtype=object)}
         for k, name in enumerate(self.names):
-            columns[name] = pd.array([first[1] if k == 0 else m[k][1] if m else None for first, m in found], dtype="Int64")
-        columns["timed_out"] = pd.Series([m is None for _, m in found], dtype=bool)
+            columns[name] = pd.array([first[1] if k == 0 else m[k][1] if m else None for _, first, m in found], dtype="Int64")
+        columns["timed_out"] = pd.Series([m is None for _, _, m in found], dtype=bool)
         return pd.DataFrame(columns)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        first = None
-        for chunk in rows:
-            micros = chunk["at"].astype("datetime64[us]").astype("int64")
-            for ts, id_, fits in zip(micros, chunk["id"], chunk["fits"], strict=True):
-                self.rows.updateValue((int(ts), int(id_)), (int(fits),))
-                first = int(ts) if first is None else min(first, int(ts))
-        old = self.due.get()[0] if self.due.exists() else None
-        if first is not None and (old is None or first // 1000 + 1 < old):
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(first // 1000 + 1)
-            self.due.update((first // 1000 + 1,))
-        yield self._frame(key, [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        places = sorted((k[0], k[1]) for k in self.rows.keys())  # noqa: SIM118
-        ready = [p for p in places if p[0] < passed]
-        before = {(k[0], k[1]): v[0] for k, v in self.partial.iterator()}
-        held = {place: [[tuple(x) for x in part] for part in json.loads(text)] for place, text in sorted(before.items())}
-        found: list = []
-        for place in ready:
-            found += self.matcher.row(held, place, self.rows.getValue(place)[0])
-            self.rows.removeKey(place)
-        found += self.matcher.expired(held, passed)
-        after = {place: json.dumps(parts) for place, parts in held.items()}
-        for place in before.keys() - after.keys():
-            self.partial.removeKey(place)
-        for place, text in after.items():
-            if before.get(place) != text:
-                self.partial.updateValue(place, (text,))
-        if self.due.exists():  # the timer that has fired is gone
-            self.due.clear()
-        self._wait((p[0] for p in places if p[0] >= passed), (p[0] for p in held))
-        yield self._frame(key, found)
-
-    def close(self) -> None:
-        pass
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        micros = rows["at"].astype("datetime64[us]").astype("int64")
+        new = pd.DataFrame({"key": rows["key"], "at0": micros, "id0": rows["id"].astype("int64"), "fits": rows["fits"].astype("int64")})
+        return self._frame([]), pd.concat([held, new.reindex(columns=held.columns, fill_value=0)])
+
+    def passed(self, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        passed = timers.getCurrentWatermarkInMs() * 1000
+        waits = held["steps"] == 0
+        ready = waits & (held["at0"] < passed)
+        partial: defaultdict = defaultdict(dict)  # by key, by start
+        for key, *flat, _, steps in held[~waits].itertuples(index=False, name=None):
+            part = [tuple(flat[k : k + 3]) for k in range(0, 3 * steps, 3)]
+            partial[key].setdefault(part[0], []).append(part)
+        rows = held.loc[ready, ["key", "at0", "id0", "fits"]].sort_values(["key", "at0", "id0", "fits"])
+        rows["no0"] = rows.groupby(["key", "at0", "id0"]).cumcount()
+        found = []
+        for key, at, id_, fits, no in rows.itertuples(index=False, name=None):
+            found += [(key, *x) for x in self.matcher.row(partial[key], (at, id_, no), fits)]
+        left = []
+        for key, starts in partial.items():
+            found += [(key, *x) for x in self.matcher.expired(starts, passed)]
+            left += [(key, *sum(part, ()), *[0] * (len(self.places) - 3 * len(part)), 0, len(part)) for parts in starts.values() for part in parts]
+        left = pd.DataFrame(left, columns=held.columns)
+        return self._frame([x for x in found if x[2] is not None or self.ends]), pd.concat([held[waits & ~ready], left]) if len(left) else held[waits & ~ready]
+
+    def dues(self, held) -> pd.Series:
+        waits = held["steps"] == 0
+        ends = held.loc[~waits, "at0"] + self.matcher.within if self.matcher.within is not None else held.loc[[], "at0"]
+        return pd.concat([held.loc[waits, "at0"], ends]) // 1000 + 1
 
 
 def match_stream(df: DataFrame, key: str, ts: str, row_id: str, steps: list[Step], within_seconds: int | None = None, ends: bool = True, delay: str = "0 seconds") -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from rillframe.streaming.buckets import Bucketed
 from rillframe.streaming.changelog import ChangelogAggregate
 from rillframe.streaming.lateness import LatenessWindows
+from rillframe.streaming.matching import SequenceMatch
 from rillframe.streaming.triggers import EventTimeTrigger
 
 
@@ -57,3 +58,19 @@ def test_changelog_of_many_keys_in_one_call():
     out, held = aggregate.arrived(pd.DataFrame({"key": [1, 2, 3, 3], "sign": [-1, 1, 1, -1], "value": [2.0, 5.0, 1.0, 1.0]}), held, None)
     assert list(out.itertuples(index=False, name=None)) == [(1, 1, "-D", 1, 2.0), (2, 1, "-U", 1, 2.0), (2, 2, "+U", 2, 7.0)]
     assert len(held) == 3_000 and held[held["key"] == 2]["seq"].tolist() == [3]
+
+
+def test_sequences_of_many_keys_in_one_call():
+    keys, second = 3_000, 1_000_000
+    for within, last in ((None, 7), (5, None)):
+        matches = SequenceMatch([True, False, True], within and within * second, ["a", "b", "c"], True)
+        assert isinstance(matches, Bucketed)
+        frame = lambda rows: pd.DataFrame([(k, pd.Timestamp(at, unit="s"), i, f) for k in range(keys) for at, i, f in rows], columns=["key", "at", "id", "fits"])
+        out, held = matches.arrived(frame([(1, 1, 1), (1, 1, 1), (9, 7, 4)]), none(matches), Timers(0))
+        out, held = matches.passed(held, Timers(5_000))  # two starts of each key, alike in time and id
+        assert out.empty and len(held) == 3 * keys and matches.dues(held).min() == (9_001 if within is None else 6_001)
+        out, held = matches.arrived(frame([(8, 6, 2), (6, 5, 0)]), held, Timers(5_000))
+        out, held = matches.passed(held, Timers(10_000))
+        assert len(out) == 2 * keys and held.empty and matches.dues(held).empty
+        assert set(out[["a", "b", "c"]].astype(object).where(out[["a", "b", "c"]].notna(), None).itertuples(index=False, name=None)) == {(1, 6, 7) if last else (1, None, None)}
+        assert (out["timed_out"] == (last is None)).all()
