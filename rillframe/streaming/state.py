@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rillframe.streaming.buckets import BUCKETS, Bucketed
+from rillframe.streaming.buckets import BUCKETS, NEVER, Bucketed
 from rillframe.streaming.drains import use_rocksdb
 
 #: Rows of a key that are worked on at once.
@@ -355,48 +355,31 @@ class EvolvingTotal(StatefulProcessor):
         pass
 
 
-class EventTimeSort(StatefulProcessor):
-    """A key's rows in the order of their times: each waits in map state under its time and id until the
-    watermark has passed it, and is put out with its place in the key's order. A batch writes its own
-    rows and removes those that go; what waits is only read, its keys alone, to tell what can go. One timer
-    of a key stands at the earliest row. Event time; needs a watermark, whose delay bounds what is held."""
+class EventTimeSort(Bucketed):
+    """A key's rows in the order of their times: each waits until the watermark has passed it, and is put
+    out with its place in the key's order. The watermark's delay bounds what is held. Event time; rows
+    without a time are left out."""
+
+    #: A key's number of rows put out is in ``n``, at ``NEVER``.
+    STATE = [("at", "i8"), ("id", "i8"), ("n", "i8")]
 
     def __init__(self, ts: str, order: str):
         self.ts, self.order = ts, order
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", "ts bigint, id bigint", "here boolean")
-        self.done = handle.getValueState("done", "n bigint, due bigint")
-
-    def _wait(self, n: int, due: int, first: int | None) -> None:
-        """Moves the timer to the first row, if that comes before where it stands (-1: nowhere)."""
-        if first is not None and (due < 0 or first // 1000 + 1 < due):
-            if due >= 0:
-                self.handle.deleteTimer(due)
-            due = first // 1000 + 1
-            self.handle.registerTimer(due)
-        self.done.update((n, due))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        first = None
-        for chunk in rows:
-            for ts, id_ in zip(_micros(chunk[self.ts]), chunk[self.order], strict=True):
-                self.held.updateValue((int(ts), int(id_)), (True,))
-                first = int(ts) if first is None else min(first, int(ts))
-        n, due = self.done.get() if self.done.exists() else (0, -1)
-        self._wait(n, due, first)
-        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "place": pd.Series([], dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(x) for x in self.held.keys())  # noqa: SIM118
-        ready = [x for x in held if x[0] < passed]
-        for x in ready:
-            self.held.removeKey(x)
-        n, _ = self.done.get()
-        self._wait(n + len(ready), -1, held[len(ready)][0] if len(ready) < len(held) else None)
-        yield pd.DataFrame({"key": [key[0]] * len(ready), "id": [x[1] for x in ready], "place": list(range(n + 1, n + 1 + len(ready)))})
-
-    def close(self) -> None:
-        pass
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        rows = rows[rows[self.ts].notna()]
+        new = pd.DataFrame({"key": rows["key"], "at": _micros(rows[self.ts]), "id": rows[self.order].astype("int64"), "n": 0})
+        return pd.DataFrame({"key": rows["key"][:0], "id": new["id"][:0], "place": new["n"][:0]}), pd.concat([held, new])
+
+    def passed(self, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        counts = held["at"] == NEVER
+        done, waiting = held[counts].set_index("key")["n"], held[~counts].sort_values(["key", "at", "id"])
+        ripe = waiting["at"] < timers.getCurrentWatermarkInMs() * 1000
+        out = waiting[ripe]
+        place = out.groupby("key").cumcount() + 1 + out["key"].map(done).fillna(0).astype("int64")
+        last = out.assign(at=NEVER, id=0, n=place).drop_duplicates("key", keep="last")
+        held = pd.concat([held[counts & ~held["key"].isin(last["key"])], last, waiting[~ripe]])
+        return pd.DataFrame({"key": out["key"], "id": out["id"], "place": place.astype("int64")}), held
+
+    def dues(self, held) -> pd.Series:
+        return held.loc[held["at"] != NEVER, "at"] // 1000 + 1

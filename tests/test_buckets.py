@@ -7,6 +7,7 @@ from rillframe.streaming.buckets import Bucketed
 from rillframe.streaming.changelog import ChangelogAggregate
 from rillframe.streaming.lateness import LatenessWindows
 from rillframe.streaming.matching import SequenceMatch
+from rillframe.streaming.state import EventTimeSort
 from rillframe.streaming.triggers import EventTimeTrigger
 
 
@@ -74,3 +75,18 @@ def test_sequences_of_many_keys_in_one_call():
         assert len(out) == 2 * keys and held.empty and matches.dues(held).empty
         assert set(out[["a", "b", "c"]].astype(object).where(out[["a", "b", "c"]].notna(), None).itertuples(index=False, name=None)) == {(1, 6, 7) if last else (1, None, None)}
         assert (out["timed_out"] == (last is None)).all()
+
+
+def test_event_time_order_of_many_keys_in_one_call():
+    order = EventTimeSort("ts", "id")
+    assert isinstance(order, Bucketed)
+    frame = lambda keys, *rows: pd.DataFrame([(k, pd.Timestamp(at, unit="s"), i) for k in range(keys) for at, i in rows], columns=["key", "ts", "id"])
+    rows = pd.concat([frame(3_000, (3, 1), (1, 9), (1, 8), (1, 8), (20, 2)), pd.DataFrame({"key": [5], "ts": [pd.NaT], "id": [77]})], ignore_index=True)
+    out, held = order.arrived(rows, none(order), Timers(0))
+    assert out.empty and order.dues(held).min() == 1_001
+    out, held = order.passed(held, Timers(10_000))
+    assert len(out) == 12_000 and out[out["key"] == 5][["id", "place"]].values.tolist() == [[8, 1], [8, 2], [9, 3], [1, 4]]
+    _, held = order.arrived(frame(1, (15, 3)), held, Timers(10_000))
+    out, held = order.passed(held, Timers(30_000))
+    assert out[out["key"] == 0][["id", "place"]].values.tolist() == [[3, 5], [2, 6]] and len(out) == 3_001
+    assert order.dues(held).empty and held["n"].sum() == len(rows) - 1 + 1
