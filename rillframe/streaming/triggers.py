@@ -55,33 +55,31 @@ class EventTimeTrigger(Bucketed):
         return (held.loc[held["stretch"] != NEVER, "stretch"] + 1) * self.interval
 
 
-class ProcessingTimeTrigger(StatefulProcessor):
+class ProcessingTimeTrigger(Bucketed):
     """Number and sum of all values of a key so far, put out ``interval_ms`` of processing time after
-    the first row since the last firing. State is the two and the timer's time."""
+    the first row since the last firing. State is the two and the time at which they are due."""
+
+    STATE = [("n", "i8"), ("total", "f8"), ("due", "i8")]
 
     def __init__(self, value: str, interval_ms: int):
         self.value, self.interval = value, interval_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "n bigint, total double, waits boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        n, total, waits = self.held.get() if self.held.exists() else (0, 0.0, False)
-        for chunk in rows:
-            n, total = n + len(chunk), total + float(chunk[self.value].fillna(0).sum())
-        if not waits:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.interval)
-        self.held.update((n, total, True))
-        yield _frame(key, [], n="int64", total="float64")
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        new = pd.DataFrame({"key": rows["key"], "n": 1, "total": rows[self.value].fillna(0).astype(float)})
+        new = new.groupby("key", as_index=False).sum().assign(due=timers.getCurrentProcessingTimeInMs() + self.interval)
+        # What is held comes first: a key that waits keeps its time.
+        here = held["key"].isin(new["key"])
+        both = pd.concat([held[here], new])
+        both["due"] = both["due"].where(both["due"] != NEVER)
+        now = both.groupby("key", as_index=False).agg(n=("n", "sum"), total=("total", "sum"), due=("due", "first"))
+        return held.loc[[], ["key", "n", "total"]], pd.concat([held[~here], now.astype({"due": "int64"})])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, total, _ = self.held.get()
-        self.held.update((n, total, False))
-        yield _frame(key, [(n, total)], n="int64", total="float64")
+    def passed(self, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        fires = (held["due"] != NEVER) & (held["due"] <= timers.getCurrentProcessingTimeInMs())
+        return held.loc[fires, ["key", "n", "total"]], held.assign(due=held["due"].mask(fires, NEVER))
 
-    def close(self) -> None:
-        pass
+    def dues(self, held) -> pd.Series:
+        return held.loc[held["due"] != NEVER, "due"]
 
 
 class NeverTrigger(StatefulProcessor):

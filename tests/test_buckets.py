@@ -8,16 +8,21 @@ from rillframe.streaming.changelog import ChangelogAggregate
 from rillframe.streaming.lateness import LatenessWindows
 from rillframe.streaming.matching import SequenceMatch
 from rillframe.streaming.state import EventTimeSort
-from rillframe.streaming.triggers import EventTimeTrigger
+from rillframe.streaming.triggers import EventTimeTrigger, ProcessingTimeTrigger
 
 
 class Timers:
+    now = 0
+
     def __init__(self, watermark):
         self.watermark = watermark
 
     def getCurrentWatermarkInMs(self):  # noqa: N802
         return self.watermark
 
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
 
 def rows_of(keys):
     at = pd.to_datetime(np.array([1_000, 1_500, 12_000, 25_000] * keys), unit="ms")
@@ -90,3 +95,23 @@ def test_event_time_order_of_many_keys_in_one_call():
     out, held = order.passed(held, Timers(30_000))
     assert out[out["key"] == 0][["id", "place"]].values.tolist() == [[3, 5], [2, 6]] and len(out) == 3_001
     assert order.dues(held).empty and held["n"].sum() == len(rows) - 1 + 1
+
+
+def test_processing_time_triggers_of_many_keys_in_one_call():
+    trigger, clock = ProcessingTimeTrigger("value", 1_000), Timers(0)
+    assert isinstance(trigger, Bucketed)
+    some = lambda keys: pd.DataFrame({"key": np.repeat(np.arange(keys), 2), "value": [1.0, None] * keys})
+    for now, keys in ((0, 2_000), (600, 3_000)):  # the first 2,000 wait already
+        clock.now = now
+        out, held = trigger.arrived(some(keys), held if now else none(trigger), clock)
+        assert out.empty and list(out) == ["key", "n", "total"]
+    clock.now = 1_000
+    out, held = trigger.passed(held, clock)
+    assert set(out["key"]) == set(range(2_000)) and set(zip(out["n"], out["total"], strict=True)) == {(4, 2.0)} and set(trigger.dues(held)) == {1_600}
+    clock.now = 1_700
+    _, held = trigger.arrived(some(1), held, clock)
+    out, held = trigger.passed(held, clock)
+    assert set(out["key"]) == set(range(2_000, 3_000)) and trigger.dues(held).tolist() == [2_700]
+    clock.now = 2_700
+    out, held = trigger.passed(held, clock)
+    assert out.values.tolist() == [[0, 6, 3.0]] and trigger.dues(held).empty and len(held) == 3_000
