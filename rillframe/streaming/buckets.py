@@ -23,10 +23,13 @@ class Bucketed(StatefulProcessor):
     """``rillframe.streaming.state.process`` groups the rows of such a processor by bucket. A subclass names the columns
     of its state in ``STATE`` and gives ``arrived``, for the rows of a batch, and ``passed``, for a timer:
     both take the bucket's state as a table with ``key`` and give what is put out and the state from then on. ``dues``
-    gives the times at which state rows are due, None for processors without timers."""
+    gives the times at which state rows are due, None for processors without timers. ``BESIDE`` names columns that
+    tell a key's entries of state apart, with Spark's types: each is then written alone, and has its own time to live."""
 
     STATE: list[tuple[str, str]] = []
+    BESIDE: list[tuple[str, str]] = []
     key, kind = "key", "bigint"
+    ttl_ms: int | None = None
 
     def arrived(self, rows: pd.DataFrame, held: pd.DataFrame, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
         raise NotImplementedError
@@ -39,33 +42,39 @@ class Bucketed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", f"k {self.kind}", "rows binary")
+        self.held = handle.getMapState("held", ", ".join([f"k {self.kind}", *(f"{n} {t}" for n, t in self.BESIDE)]), "rows binary", self.ttl_ms)
         self.due = handle.getValueState("due", "ms bigint")
 
     def _table(self, before: dict) -> pd.DataFrame:
         kind = np.dtype(self.STATE)
         data = np.frombuffer(b"".join(before.values()), kind)
-        keys = pd.Series(list(before), dtype="int64" if self.kind == "bigint" else object)
         out = pd.DataFrame({name: data[name] for name, _ in self.STATE})
-        out.insert(0, "key", keys.to_numpy().repeat([len(x) // kind.itemsize for x in before.values()]))
+        sizes = [len(x) // kind.itemsize for x in before.values()]
+        for k, name in enumerate(self._keys()):
+            keys = pd.Series([x[k] for x in before], dtype="int64" if k == 0 and self.kind == "bigint" else object)
+            out.insert(k, name, keys.to_numpy().repeat(sizes))
         return out
 
+    def _keys(self) -> list[str]:
+        return ["key", *(name for name, _ in self.BESIDE)]
+
     def _save(self, before: dict, held: pd.DataFrame) -> None:
-        held = held.sort_values(["key", self.STATE[0][0]], kind="stable")
+        held = held.sort_values([*self._keys(), self.STATE[0][0]], kind="stable")
         data = np.empty(len(held), np.dtype(self.STATE))
         for name, _ in self.STATE:
             data[name] = held[name].to_numpy()
-        keys = held["key"].to_numpy()
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.array([], int)
-        after = {k: data[a:b].tobytes() for k, a, b in zip(keys[starts].tolist(), starts, np.append(starts, len(keys))[1:], strict=True)}
+        keys = [held[name].to_numpy() for name in self._keys()]
+        starts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) if len(held) else np.array([], int)
+        names = zip(*(k[starts].tolist() for k in keys), strict=True)
+        after = {k: data[a:b].tobytes() for k, a, b in zip(names, starts, np.append(starts, len(held))[1:], strict=True)}
         for k in before.keys() - after.keys():
-            self.held.removeKey((k,))
+            self.held.removeKey(k)
         for k, new in after.items():
             if before.get(k) != new:
-                self.held.updateValue((k,), (new,))
+                self.held.updateValue(k, (new,))
 
     def _step(self, timers, rows: pd.DataFrame | None) -> pd.DataFrame:
-        before = {k[0]: bytes(v[0]) for k, v in self.held.iterator()}
+        before = {tuple(k): bytes(v[0]) for k, v in self.held.iterator()}
         out, held = self.passed(self._table(before), timers) if rows is None else self.arrived(rows, self._table(before), timers)
         self._save(before, held)
         dues = self.dues(held)

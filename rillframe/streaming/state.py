@@ -10,7 +10,6 @@ a bounded size but where the docstring says otherwise.
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,28 +226,21 @@ class Connected(StatefulProcessor):
         pass
 
 
-class CountsByValue(StatefulProcessor):
-    """How often each value of a column has come for a key; map state, in update mode."""
+class CountsByValue(Bucketed):
+    """How often each value of a column has come for a key; map state by key and value, in update mode. A
+    time to live counts from a value's last row."""
+
+    STATE = [("n", "i8")]
+    BESIDE = [("value", "string")]
 
     def __init__(self, value: str, ttl_ms: int | None = None):
         self.value, self.ttl_ms = value, ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "v string", "n bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        added: Counter[str] = Counter()
-        for chunk in rows:
-            added.update(chunk[self.value].fillna("").value_counts().to_dict())
-        out = []
-        for value, n in added.items():
-            before = self.counts.getValue((value,))[0] if self.counts.containsKey((value,)) else 0
-            self.counts.updateValue((value,), (before + int(n),))
-            out.append((key[0], value, before + int(n)))
-        yield pd.DataFrame(out, columns=["key", "value", "n"])
-
-    def close(self) -> None:
-        pass
+    def arrived(self, rows, held, timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+        new = pd.DataFrame({"key": rows["key"], "value": rows[self.value].fillna("").astype(object), "n": 1})
+        here = new.drop_duplicates(["key", "value"])[["key", "value"]]
+        now = pd.concat([held, new]).groupby(["key", "value"], as_index=False)["n"].sum()
+        return now.merge(here, on=["key", "value"]), now
 
 
 class LateTag(StatefulProcessor):

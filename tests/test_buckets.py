@@ -7,7 +7,7 @@ from rillframe.streaming.buckets import Bucketed
 from rillframe.streaming.changelog import ChangelogAggregate
 from rillframe.streaming.lateness import LatenessWindows
 from rillframe.streaming.matching import SequenceMatch
-from rillframe.streaming.state import EventTimeSort
+from rillframe.streaming.state import CountsByValue, EventTimeSort
 from rillframe.streaming.triggers import EventTimeTrigger, ProcessingTimeTrigger
 
 
@@ -115,3 +115,29 @@ def test_processing_time_triggers_of_many_keys_in_one_call():
     clock.now = 2_700
     out, held = trigger.passed(held, clock)
     assert out.values.tolist() == [[0, 6, 3.0]] and trigger.dues(held).empty and len(held) == 3_000
+
+
+def test_counts_by_value_of_many_keys_in_one_call():
+    counts = CountsByValue("kind")
+    assert isinstance(counts, Bucketed)
+    held = pd.DataFrame({"key": [1, 1], "value": ["a", "b"], "n": [4, 5]})
+    rows = pd.DataFrame({"key": np.repeat(np.arange(3_000), 3), "kind": ["a", "a", None] * 3_000})
+    out, held = counts.arrived(rows, held, None)
+    assert len(out) == 6_000 and out[out["key"] == 1].values.tolist() == [[1, "", 1], [1, "a", 6]]
+    assert held[held["key"] == 1].values.tolist() == [[1, "", 1], [1, "a", 6], [1, "b", 5]]
+
+    class Held(dict):
+        written = 0
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k], self.written = v, self.written + 1
+
+        removeKey = dict.__delitem__  # noqa: N815
+
+    counts.held, before = Held(), {}
+    for n, some in ((6_001, held), (1, held.assign(n=held["n"] + (held["value"] == "b"))), (0, held[held["value"] != "b"])):
+        counts._save(before, some)
+        before = {k: v[0] for k, v in counts.held.items()}
+        assert counts.held.written == n  # what has changed, by key and value
+        assert counts._table(before)[["key", "value", "n"]].values.tolist() == some.values.tolist()
+        counts.held.written = 0
