@@ -38,6 +38,8 @@ from rillframe.llm.common import Scratch, held_out, map_batches, texts, worker_s
 DIMENSIONS = 1 << 20
 #: Rows of the labelled sample, characters of each, and characters in all.
 SAMPLE, LONGEST, TOTAL = 10_000, 40_000, 64_000_000
+#: Parts in which the driver gets the sample.
+PARTS = 16
 #: Entries of sparse rows that a product takes at a time.
 BLOCK = 1 << 20
 _STRIP = ".,;:!?|\"'()[]{}<>#&*%$~`-_=+/\\…“”‘’«»¿¡"
@@ -226,10 +228,12 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *(pa.array(x, pa.binary()) for x in parts)], ["id", "label", "features", "gone", "come"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = map_batches(rows, run, f"id {kind}, label double, features binary, gone binary, come binary").collect()
-    found.sort(key=lambda r: (str(r["id"]), r["label"]))
-    features, gone, come = ([bytes(r[x]) for r in found] for x in ("features", "gone", "come"))
-    return features, np.array([r["label"] >= 0.5 for r in found], float), gone, come
+    packed = Scratch(df.sparkSession).save(map_batches(rows, run, f"id {kind}, label double, features binary, gone binary, come binary"), "packed")
+    # Part by part: the driver's JVM never holds the sample.
+    found = [(str(r["id"]), r["label"], *(bytes(r[x]) for x in ("features", "gone", "come"))) for r in packed.repartition(PARTS).toLocalIterator()]
+    found.sort(key=lambda r: r[:2])
+    features, gone, come = ([r[k] for r in found] for k in (2, 3, 4))
+    return features, np.array([r[1] >= 0.5 for r in found], float), gone, come
 
 
 class Scorer:

@@ -308,6 +308,18 @@ def test_toxicity_of_repeated_ids(spark, docs):
         assert score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
 
 
+def test_the_labelled_sample_comes_in_parts(spark, monkeypatch):
+    """The driver never collects it whole; rows and their order are the same, also where there are none."""
+    df = spark.createDataFrame([(k, f"plain words w{k % 50}" + (" you idiot" if k % 4 == 0 else "")) for k in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, toxic int")
+    learnt = [k for k in sorted(range(400), key=str) if zlib.crc32(str(k).encode()) % 5 != 0]
+    monkeypatch.setattr(type(df), "collect", None)
+    features, y, gone, come = toxicity.labelled_sample(df, labels)
+    assert y.tolist() == [float(k % 4 == 0) for k in learnt]
+    assert list(zip(features, gone, come, strict=True)) == [toxicity.learnt_from(toxicity.tokens(f"plain words w{k % 50}" + (" you idiot" if k % 4 == 0 else ""))) for k in learnt]
+    assert [len(x) for x in toxicity.labelled_sample(df, labels.limit(0))] == [0] * 4
+
+
 def test_secrets_between_the_characters_of_paths_and_names():
     number = lambda n: bytes([2, n]) + bytes(range(1, n + 1))
     der = bytes([0x30, 0x81, 3 * 62]) + number(60) * 3
